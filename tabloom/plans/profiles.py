@@ -1 +1,179 @@
-"""Queries."""
+"""Catalogue and column profiles."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tabloom.operators import profile
+from tabloom.plans.registry import query
+from tabloom.sources.catalog import relation_schema, row_counts
+from tabloom.sources.tables import TABLES, load
+
+LINE_COLUMNS = [
+    "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+]
+
+
+def sql_counts(table, columns):
+    return "\n UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {table} GROUP BY {c}" for c in columns
+    )
+
+
+SQL_PROFILE = f"""counts AS ({sql_counts("lineitem", LINE_COLUMNS)}),
+prof AS (SELECT col, CAST(sum(n) AS BIGINT) AS row_count, count(value) AS distinct_values,
+    CAST(sum(CASE WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS coverage,
+    coalesce(bool_or(TRY_CAST(value AS DOUBLE) % 1 <> 0), false) AS frac
+  FROM counts GROUP BY col),
+kinds AS (SELECT col, row_count AS "rows", distinct_values, coverage,
+    CASE WHEN coverage >= 0.95 AND frac THEN 'float' WHEN coverage >= 0.95 THEN 'integer' ELSE 'text' END AS kind
+  FROM prof)"""
+
+
+@query("numeric_coverage", f"""WITH {SQL_PROFILE} SELECT col, "rows", coverage, kind FROM kinds""")
+def numeric_coverage(spark, sf_dir):
+    return profile.quick_profile(load(spark, sf_dir, "lineitem"), LINE_COLUMNS).drop("approx_values")
+
+
+SQL_AXIS_PROFILE = f"""{SQL_PROFILE}, axis AS (
+  SELECT col, distinct_values, kind FROM kinds WHERE distinct_values BETWEEN 3 AND 60 AND kind <> 'float')"""
+
+
+@query("axis_candidates", f"WITH {SQL_AXIS_PROFILE} SELECT * FROM axis")
+def axis_candidates(spark, sf_dir):
+    return profile.axis_candidates(load(spark, sf_dir, "lineitem"), LINE_COLUMNS)
+
+
+@query("cartesian_estimate", f"""
+WITH {SQL_AXIS_PROFILE}
+SELECT r.col AS row_attribute, c.col AS column_attribute, r.distinct_values * c.distinct_values AS cells,
+       r.distinct_values * c.distinct_values <= 20000 AS within_guard
+FROM axis r JOIN axis c ON r.col < c.col
+""")
+def cartesian_estimate(spark, sf_dir):
+    stats = profile.axis_candidates(load(spark, sf_dir, "lineitem"), LINE_COLUMNS).select(
+        F.lit("lineitem").alias("relation"), "col", "distinct_values"
+    )
+    rows = stats.select("relation", F.col("col").alias("row_attribute"), F.col("distinct_values").alias("dr"))
+    cols = stats.select("relation", F.col("col").alias("column_attribute"), F.col("distinct_values").alias("dc"))
+    cells = F.col("dr") * F.col("dc")
+    return (
+        rows.join(cols, "relation")
+        .filter("row_attribute < column_attribute")
+        .select("row_attribute", "column_attribute", cells.alias("cells"), (cells <= 20000).alias("within_guard"))
+    )
+
+
+@query("categorical_rank", f"""
+WITH counts AS ({sql_counts("part", ["p_name", "p_brand", "p_type", "p_size", "p_partkey"])}),
+top AS (SELECT col, sum(n) AS top FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rn
+  FROM counts WHERE value IS NOT NULL) WHERE rn <= 10 GROUP BY col),
+tot AS (SELECT col, sum(n) AS rows_, count(value) AS d FROM counts GROUP BY col)
+SELECT t.col, CAST(rows_ AS BIGINT) AS "rows", d AS distinct_values,
+  (CASE WHEN d <= 50 THEN 2.0::DOUBLE ELSE greatest(0.0::DOUBLE, 2.0::DOUBLE - d / 200.0::DOUBLE) END)
+   + CAST(top AS DOUBLE) / rows_ + 1.0::DOUBLE AS score
+FROM tot t JOIN top USING (col) WHERE d >= 3 ORDER BY score DESC, distinct_values, col LIMIT 4
+""")
+def categorical_rank(spark, sf_dir):
+    counts = profile.value_counts(
+        load(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type", "p_size", "p_partkey"]
+    )
+    return profile.categorical_rank(counts, top_k=4)
+
+
+def _all(spark, sf_dir):
+    return {name: load(spark, sf_dir, name) for name in TABLES}
+
+
+SQL_SCHEMA = "\n UNION ALL ".join(
+    f"SELECT '{t}' AS relation, column_name AS col, replace(column_type, 'INTEGER', 'INTEGER') AS type_name "
+    f"FROM (DESCRIBE {t})" for t in TABLES if t != "embeddings"
+)
+SQL_ROWS = "\n UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS row_count FROM {t}" for t in TABLES if t != "embeddings")
+
+
+def _flat(spark, sf_dir):
+    return {name: df for name, df in _all(spark, sf_dir).items() if name != "embeddings"}
+
+
+@query("schema_probe", f"""
+WITH s AS ({SQL_SCHEMA}), r AS ({SQL_ROWS}) SELECT s.relation, col, type_name, row_count FROM s JOIN r USING (relation)
+""")
+def schema_probe(spark, sf_dir):
+    tables = _flat(spark, sf_dir)
+    return relation_schema(spark, tables).join(row_counts(tables), "relation")
+
+
+SQL_CLASS = """CASE WHEN regexp_matches(type_name, 'REAL|FLOAT|DOUBLE|DECIMAL|NUMERIC') THEN 'float'
+  WHEN regexp_matches(type_name, 'CHAR|CLOB|TEXT|STRING|BOOL|DATE|TIME') THEN 'categorical' ELSE 'other' END"""
+
+
+@query("classify_declared_types", f"""
+WITH s AS ({SQL_SCHEMA}), r AS ({SQL_ROWS})
+SELECT relation, {SQL_CLASS} AS type_class, count(*) AS columns, max(row_count) AS row_count
+FROM s JOIN r USING (relation) GROUP BY ALL
+""")
+def classify_declared_types(spark, sf_dir):
+    tables = _flat(spark, sf_dir)
+    return (
+        relation_schema(spark, tables)
+        .join(row_counts(tables), "relation")
+        .groupBy("relation", profile.type_class(F.col("type_name")).alias("type_class"))
+        .agg(F.count(F.lit(1)).alias("columns"), F.max("row_count").alias("row_count"))
+    )
+
+
+SQL_DISTINCT_ROWS = "\n UNION ALL ".join(
+    f"SELECT '{t}' AS relation, count(*) AS row_count FROM (SELECT DISTINCT * FROM {t})" for t in TABLES if t != "embeddings"
+)
+
+
+@query("qualify_tables", f"""
+WITH s AS ({SQL_SCHEMA}), k AS (SELECT relation, count(*) FILTER (WHERE {SQL_CLASS} = 'float') AS float_columns,
+    count(*) FILTER (WHERE {SQL_CLASS} = 'categorical') AS categorical_columns FROM s GROUP BY relation),
+r AS ({SQL_DISTINCT_ROWS})
+SELECT relation, row_count, float_columns, categorical_columns FROM k JOIN r USING (relation)
+WHERE row_count >= 200 AND float_columns >= 1 AND categorical_columns >= 2 ORDER BY relation LIMIT 4
+""")
+def qualify_tables(spark, sf_dir):
+    """Tables with enough distinct rows and columns of both kinds.
+
+    The schema decides first, so only tables that can qualify are scanned for distinct rows.
+    """
+    tables = _flat(spark, sf_dir)
+    kinds = {
+        name: [profile.declared_type(f) for f in df.schema.fields] for name, df in tables.items()
+    }
+
+    def count(name, words):
+        return sum(any(w in t for w in words) for t in kinds[name])
+
+    eligible = [
+        n for n in sorted(tables)
+        if count(n, profile.FLOAT_TYPE_WORDS) >= 1 and count(n, profile.TEXT_TYPE_WORDS) >= 2
+    ]
+    counted = [
+        tables[n].distinct().agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(n).alias("relation"), "row_count",
+            F.lit(count(n, profile.FLOAT_TYPE_WORDS)).cast("long").alias("float_columns"),
+            F.lit(count(n, profile.TEXT_TYPE_WORDS)).cast("long").alias("categorical_columns"),
+        )
+        for n in eligible
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counted).filter("row_count >= 200").orderBy("relation").limit(4)
+
+
+@query("catalog_relations", f"""
+WITH r AS ({SQL_ROWS}) SELECT 'table' AS type, relation, row_count FROM r
+UNION ALL SELECT 'view', 'orders_enriched', count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+ORDER BY 1, 2
+""")
+def catalog_relations(spark, sf_dir):
+    """Tables and views in order of type and name, with their sizes."""
+    tables = _flat(spark, sf_dir)
+    enriched = tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    counted = row_counts(tables).withColumn("type", F.lit("table"))
+    view = row_counts({"orders_enriched": enriched}).withColumn("type", F.lit("view"))
+    return counted.unionByName(view).select("type", "relation", "row_count").orderBy("type", "relation")
