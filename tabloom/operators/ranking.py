@@ -72,3 +72,21 @@ def range_ranked(
     return _sliced_rank(
         df.withColumn("_slice", F.floor(F.col(position) / F.lit(slice_rows))), group, [position], rank
     )
+
+
+def ordered_positions(
+    df: DataFrame, group: Sequence[str], order: str, digest_col: str, position: str = "position"
+) -> DataFrame:
+    """Positions 0.. inside a group by ``order``; equal order values follow their digest.
+
+    Rows are numbered per (group, order value) and shifted by the number of rows before.
+    """
+    counts = df.groupBy(*group, order).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = hash_ranked(df, [*group, order], digest_col, [], "_rank", "_rows")
+    return (
+        ranked.join(offsets, [*group, order])
+        .withColumn(position, F.col("_shift") + F.col("_rank") - 1)
+        .drop("_shift", "_rank", "_rows")
+    )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions.sampling import digest, pick_int, sql_digest, sql_pick_int
+from tabloom.functions.sampling import pick_int, sql_digest, sql_pick_int
 from tabloom.operators import labels, views
-from tabloom.operators.ranking import range_ranked
 from tabloom.plans.labels import TUPLE, sql_cells
 from tabloom.plans.registry import query
-from tabloom.sources.tables import SQL_ORDER_TABLES, load, order_tables
+from tabloom.sources.tables import load, order_tables
 
 DISPLAY = {"p_partkey": "Part key", "p_name": "Part name", "p_brand": "Brand (label)", "p_retailprice": "Retail price"}
 
