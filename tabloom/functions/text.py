@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 BLANK = r"[\s\p{Z}]+"
 PUNCTUATION = r"""[!"#$%&'()*+,\-/:;<=>?@\[\\\]^_`{|}~]"""
-ARTICLE = r"(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])"
+ARTICLE = r"(?U)\b(a|an|the)\b"
 LABEL_DROP = r"[^a-z0-9.\- %]+"
 OPERATOR_WORDS = {
     "=": "is",
@@ -33,10 +33,7 @@ def squeeze(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no punctuation but dots, no articles, single blanks."""
     bare = F.regexp_replace(F.lower(text), PUNCTUATION, "")
-    # neighbouring articles share a separator, so a second pass takes the ones in between
-    for _ in range(2):
-        bare = F.regexp_replace(bare, ARTICLE, "$1 $3")
-    return squeeze(bare)
+    return squeeze(F.regexp_replace(bare, ARTICLE, " "))
 
 
 def answer_tokens(text: Column) -> Column:

@@ -87,13 +87,15 @@ def sql_marker(x, marker="final answer:"):
       {sql_strip(f"right({x}, length(list_extract(string_split(lower({x}), '{marker}'), -1)))")} ELSE '' END"""
 
 
+# RE2 has no Unicode word boundary, and neighbouring articles share a separator: two passes
+SQL_ARTICLE = r"(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])"
 SQL_PUNCTUATION = text.PUNCTUATION.replace("'", "''")
 
 
 def sql_normalize(x):
     out = f"regexp_replace(lower({x}), '{SQL_PUNCTUATION}', '', 'g')"
     for _ in range(2):
-        out = f"regexp_replace({out}, '{text.ARTICLE}', '\\1 \\3', 'g')"
+        out = f"regexp_replace({out}, '{SQL_ARTICLE}', '\\1 \\3', 'g')"
     return sql_squeeze(out)
 
 
