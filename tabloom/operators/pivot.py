@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.sampling import digest
 from tabloom.operators.profile import axis_candidates, value_candidates
 from tabloom.operators.ranking import top_rows
+from tabloom.session import materialise
 
 # Limits of the searches.
 MIN_SIDE = 3
@@ -217,8 +218,9 @@ def shrink(cells: DataFrame, table: str, seed: int, low: int = SHRINK_RANGE[0],
     """Limit every pivot to ``high`` rows and columns; keys with a needed cell always stay.
 
     Tables with fewer than ``low`` keys on a side, or with more needed keys than fit, are rejected.
+    Both sides are chosen from the full pivot, which is aggregated only once for that.
     """
-    out = cells
+    cells = out = materialise(cells, "pivot-cells")
     for path in ("row_path", "col_path"):
         marked = cells.groupBy(table, path).agg(F.max(F.col("needed").cast("int")).alias("must"))
         sizes = marked.groupBy(table).agg(F.count(F.lit(1)).alias("_n"), F.sum("must").alias("_must"))

@@ -1,10 +1,9 @@
 """Ordered choices inside groups that may be of any size.
 
 ``first_rows`` and ``top_rows`` filter a ranking function by a constant, so Spark keeps at most
-``n`` rows per group on the map side before it shuffles (WindowGroupLimit).  ``hash_ranked`` and
-``range_ranked`` number *every* row of a group: the group is cut into order-preserving slices that
-are numbered separately and then shifted by the sizes of the slices before them, so no task ever
-sorts a whole hot group.
+``n`` rows per group on the map side before it shuffles (WindowGroupLimit).  ``hash_ranked`` numbers
+*every* row of a group: the group is cut into order-preserving slices that are numbered separately
+and shifted by the sizes of the slices before them, so no task sorts a whole hot group.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import unit_interval
 
-SLICE_ROWS = 100_000
+SLICES = 4096
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn") -> DataFrame:
@@ -28,18 +27,6 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | str
     return top_rows(df, group, order, 1, "_first").drop("_first")
 
 
-def _sliced_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rank: str) -> DataFrame:
-    sizes = df.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
-    return (
-        df.join(offsets, [*group, "_slice"])
-        .withColumn(rank, F.col("_before") + F.row_number().over(inside))
-        .drop("_before", "_slice")
-    )
-
-
 def hash_ranked(
     df: DataFrame,
     group: Sequence[str],
@@ -47,30 +34,33 @@ def hash_ranked(
     tie: Sequence[str],
     rank: str = "rn",
     size: str = "group_rows",
-    slice_rows: int = SLICE_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Number every row of a group in digest order and add the group size.
 
-    A digest is uniform, so ``ceil(size / slice_rows)`` equal slices of [0, 1) hold about
-    ``slice_rows`` rows each; an ordinary group is one slice.
+    Digests are uniform, so equal slices of [0, 1) hold equal shares of a group.  One small histogram
+    per group gives its size and the offset of every slice; rows are then numbered per slice.
+    ``slices=1`` is for groups that are small by construction and needs a single shuffle.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(size))
-    sliced = df.join(sizes, list(group)).withColumn(
-        "_slice", F.floor(unit_interval(F.col(digest_col)) * F.ceil(F.col(size) / F.lit(slice_rows)))
+    whole = Window.partitionBy(*group)
+    if slices == 1:
+        return df.withColumn(rank, F.row_number().over(whole.orderBy(digest_col, *tie)).cast("long")).withColumn(
+            size, F.count(F.lit(1)).over(whole)
+        )
+    sliced = df.withColumn("_slice", F.floor(unit_interval(F.col(digest_col)) * slices))
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = (
+        sliced.groupBy(*group, "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn(size, F.sum("_n").over(whole))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
     )
-    return _sliced_rank(sliced, group, [digest_col, *tie], rank)
-
-
-def range_ranked(
-    df: DataFrame,
-    group: Sequence[str],
-    position: str,
-    rank: str = "rn",
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """Number every row of a group by a unique integer position."""
-    return _sliced_rank(
-        df.withColumn("_slice", F.floor(F.col(position) / F.lit(slice_rows))), group, [position], rank
+    inside = Window.partitionBy(*group, "_slice").orderBy(digest_col, *tie)
+    return (
+        sliced.join(histogram, [*group, "_slice"])
+        .withColumn(rank, F.col("_before") + F.row_number().over(inside))
+        .drop("_before", "_slice")
     )
 
 

@@ -101,7 +101,3 @@ def accuracy(df: DataFrame, dataset: Sequence[str]) -> DataFrame:
     return df.groupBy(*dataset).agg(
         F.count(F.lit(1)).alias("samples"), (hits / F.count(F.lit(1))).alias("accuracy")
     )
-
-
-def clean_text(text: Column) -> Column:
-    return strip(text)

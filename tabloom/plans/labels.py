@@ -9,7 +9,7 @@ from tabloom.functions.sampling import digest, sql_digest, sql_pick, sql_pick_in
 from tabloom.operators import keys, labels
 from tabloom.operators.ranking import hash_ranked
 from tabloom.plans.registry import query
-from tabloom.sources.tables import SQL_ORDER_TABLES, load, order_tables
+from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
 
 TUPLE = ["status", "priority", "year"]
 
@@ -306,10 +306,10 @@ def conjunctive_filter(spark, sf_dir):
 
 
 @query("shuffle_rows", f"""
-WITH {SQL_ORDER_TABLES}
-SELECT table_id, row_id, row_number() OVER (PARTITION BY table_id
-  ORDER BY {sql_digest(3, "shuffle", "row_id")}, row_id) AS pos FROM rel
+WITH {SQL_SUPPLIER_LINES}
+SELECT table_id, row_key, row_number() OVER (PARTITION BY table_id ORDER BY {sql_digest(3, "shuffle", "row_key")}) AS pos FROM lines
 """)
 def shuffle_rows(spark, sf_dir):
-    rel = order_tables(spark, sf_dir).select("table_id", "row_id", digest(3, "shuffle", "row_id").alias("_h"))
-    return hash_ranked(rel, ["table_id"], "_h", ["row_id"], "pos").select("table_id", "row_id", "pos")
+    """A random position for every row of every table, however large a table is."""
+    lines = supplier_lines(spark, sf_dir).select("table_id", "row_key", digest(3, "shuffle", "row_key").alias("_h"))
+    return hash_ranked(lines, ["table_id"], "_h", ["row_key"], "pos").select("table_id", "row_key", "pos")

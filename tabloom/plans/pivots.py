@@ -288,17 +288,21 @@ def wide_cells(spark, sf_dir):
     )
 
 
-def sql_side(path, source):
-    h = sql_digest(42, path, "table_id", path)
+def sql_side(path, source, before, seed=42):
+    h = sql_digest(seed, path, "table_id", path)
     return f"""m_{path} AS (SELECT table_id, {path}, bool_or(needed) AS must FROM {source} GROUP BY table_id, {path}),
 good_{path} AS (SELECT table_id FROM m_{path} GROUP BY table_id
   HAVING count(*) >= 2 AND (count(*) FILTER (WHERE must) <= 10 OR count(*) < 10)),
 k_{path} AS (SELECT table_id, {path} FROM m_{path} WHERE table_id IN (SELECT table_id FROM good_{path})
   QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY must DESC, {h}) <= 10),
-after_{path} AS (SELECT s.* FROM {source} s JOIN k_{path} k ON s.table_id = k.table_id AND s.{path} = k.{path})"""
+after_{path} AS (SELECT s.* FROM {before} s JOIN k_{path} k ON s.table_id = k.table_id AND s.{path} = k.{path})"""
 
 
-SQL_SHRINK = f"""{SQL_WIDE_CELLS}, {sql_side("row_path", "cells")}, {sql_side("col_path", "after_row_path")}"""
+def sql_shrink(seed=42):
+    return f"""{sql_side("row_path", "cells", "cells", seed)}, {sql_side("col_path", "cells", "after_row_path", seed)}"""
+
+
+SQL_SHRINK = f"{SQL_WIDE_CELLS}, {sql_shrink()}"
 
 
 @query("shrink_pivot", f"WITH {SQL_SHRINK} SELECT table_id, row_path, col_path, value, needed FROM after_col_path")
