@@ -1 +1,163 @@
-"""Queries."""
+"""Cell location and masking over parsed web tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabloom.functions.sampling import digest, sql_digest
+from tabloom.operators import locate, pivot
+from tabloom.operators.ranking import first_rows
+from tabloom.plans.registry import query
+from tabloom.session import materialise
+from tabloom.sources import html
+from tabloom.sources.tables import SQL_SUPPLIER_LINES, load, supplier_lines
+
+
+def quantity_cells(spark, sf_dir):
+    """Supplier pivots of quantities, whose small numbers repeat between cells and headers."""
+    lines = supplier_lines(spark, sf_dir).withColumn("measure", F.lit("amount"))
+    cells = pivot.pivot_cells(lines, ["table_id"], ["flag", "line_status"], ["measure", "line"], "quantity", "first", "row_key")
+    return cells.withColumn("value", F.col("value").cast("string"))
+
+
+def parsed(spark, sf_dir):
+    """The pivots written as HTML and parsed back, computed once: grid cells and body cells."""
+    pages = html.render_pivot(quantity_cells(spark, sf_dir), "table_id", 2, 2)
+    cells = materialise(html.grid_cells(html.html_grid(pages, "html"), ["table_id"]), "grid")
+    return cells, html.body_with_paths(cells, ["table_id"])
+
+
+def questions(spark, sf_dir):
+    """A query per table: the quantity at the flag, status and line of a random cell."""
+    cells = quantity_cells(spark, sf_dir).withColumn(
+        "_h", digest(80, "ask", "table_id", F.array_join(F.concat("row_path", "col_path"), "|"))
+    )
+    asked = first_rows(cells, ["table_id"], ["_h"])
+    predicate = lambda field, value: F.struct(F.lit(field).alias("field"), F.array(value).alias("values"))
+    return asked.select(
+        "table_id", F.lit("amount").alias("select_field"),
+        F.array(
+            predicate("flag", F.col("row_path")[0]), predicate("status", F.col("row_path")[1]),
+            predicate("line", F.col("col_path")[1]),
+        ).alias("predicates"),
+    )
+
+
+SQL_GRID = f"""{SQL_SUPPLIER_LINES}, v AS (SELECT table_id, flag, line_status, CAST(line AS VARCHAR) AS line, CAST(min_by(quantity, row_key) AS VARCHAR) AS value
+  FROM lines GROUP BY ALL),
+r AS (SELECT table_id, flag, line_status, row_number() OVER (PARTITION BY table_id ORDER BY flag, line_status) + 1 AS "row" FROM (SELECT DISTINCT table_id, flag, line_status FROM v)),
+c AS (SELECT table_id, line, row_number() OVER (PARTITION BY table_id ORDER BY line) + 1 AS col FROM (SELECT DISTINCT table_id, line FROM v)),
+body AS (SELECT r.table_id, r."row", c.col, r.flag, r.line_status, c.line, coalesce(v.value, '') AS value FROM r JOIN c ON r.table_id = c.table_id
+  LEFT JOIN v ON v.table_id = r.table_id AND v.flag = r.flag AND v.line_status = r.line_status AND v.line = c.line),
+target AS (SELECT b.table_id, b."row", b.col, b.value AS answer FROM body b JOIN v USING (table_id, flag, line_status, line)
+  QUALIFY row_number() OVER (PARTITION BY b.table_id ORDER BY {sql_digest(80, "ask", "b.table_id", "flag || '|' || line_status || '|amount|' || line")}) = 1)"""
+
+
+@query("locate_cell", f"""WITH {SQL_GRID} SELECT table_id, "row", col, answer FROM target""")
+def locate_cell(spark, sf_dir):
+    _, body = parsed(spark, sf_dir)
+    found = locate.locate(body, questions(spark, sf_dir), "table_id")
+    return found.select("table_id", "row", "col", "answer")
+
+
+@query("label_similarity")
+def label_similarity(spark, sf_dir):
+    """Similarity of part names and of misspelt, reordered and extended forms."""
+    part = load(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    other = (
+        F.when(F.col("p_size") % 3 == 0, F.concat_ws("_", words[1], words[0]))
+        .when(F.col("p_size") % 3 == 1, F.concat_ws(" ", "p_name", "p_type"))
+        .otherwise(F.concat_ws(" ", words[0], F.reverse(words[1])))
+    )
+    pairs = part.select("p_partkey", F.col("p_name").alias("label"), F.lower(F.translate(other, "_", " ")).alias("text"))
+    return locate.with_similarity(pairs, "label", "text").select("p_partkey", "similarity")
+
+
+@query("best_label_match")
+def best_label_match(spark, sf_dir):
+    """How well the text 'amounts, line 3' fits the header of every column."""
+    _, body = parsed(spark, sf_dir)
+    columns = body.groupBy("table_id", "col").agg(F.first("col_path").alias("path")).withColumn("text", F.lit("line 3"))
+    return locate.best_label(columns, ["table_id", "col"], "path", "text")
+
+
+@query("predicate_path_score")
+def predicate_path_score(spark, sf_dir):
+    _, body = parsed(spark, sf_dir)
+    rows = body.groupBy("table_id", "row").agg(F.first("row_path").alias("path"))
+    terms = locate.query_terms(questions(spark, sf_dir), "table_id")
+    return locate.path_scores(rows, terms, "table_id", "row", "path")
+
+
+def previous_answers(spark, sf_dir, targets):
+    """The answer of the supplier before is the earlier answer of a supplier."""
+    return targets.select((F.col("table_id") + 1).alias("table_id"), F.col("answer").alias("previous"))
+
+
+SQL_PREVIOUS = f"""{SQL_GRID}, prev AS (SELECT t.table_id + 1 AS table_id, t.answer AS previous FROM target t),
+eq AS (SELECT p.table_id, p.previous, EXISTS (SELECT 1 FROM body b WHERE b.table_id = p.table_id AND b.value = p.previous) AS in_body,
+   EXISTS (SELECT 1 FROM c WHERE c.table_id = p.table_id AND c.line = p.previous) AS in_cols FROM prev p WHERE p.table_id IN (SELECT table_id FROM r))"""
+
+
+@query("locate_previous_value", f"""
+WITH {SQL_PREVIOUS} SELECT table_id, in_body, (SELECT count(*) FROM body b WHERE b.table_id = eq.table_id AND b.value = previous) AS body_matches,
+  (SELECT count(*) FROM c WHERE c.table_id = eq.table_id AND c.line = previous) AS col_matches FROM eq
+""")
+def locate_previous_value(spark, sf_dir):
+    """Where the earlier answer occurs; an exact body match makes the kind ``body``."""
+    _, body = parsed(spark, sf_dir)
+    targets = locate.locate(body, questions(spark, sf_dir), "table_id")
+    matches = locate.previous_matches(body, previous_answers(spark, sf_dir, targets), "table_id")
+    found = locate.previous_location(matches, "table_id")
+    return found.select(
+        "table_id", ((F.col("kind") == "body") & (F.col("score") == 1)).alias("in_body"), "body_matches", "col_matches"
+    )
+
+
+def sql_masked(eq):
+    return f"""masked AS (SELECT b.table_id, b."row", b.col FROM body b JOIN {eq} e ON e.table_id = b.table_id WHERE
+    (in_body AND b.value = previous) OR (NOT in_body AND in_cols AND b.line = previous)),
+grid AS (SELECT table_id, "row", col, value AS text FROM body
+  UNION ALL SELECT table_id, "row", 0, flag FROM r UNION ALL SELECT table_id, "row", 1, line_status FROM r
+  UNION ALL SELECT table_id, 0, col, 'amount' FROM c UNION ALL SELECT table_id, 1, col, line FROM c
+  UNION ALL SELECT DISTINCT table_id, a.i, b.j, '' FROM r, (VALUES (0),(1)) a(i), (VALUES (0),(1)) b(j)),
+final AS (SELECT g.table_id, g."row", g.col, CASE
+   WHEN EXISTS (SELECT 1 FROM target t WHERE t.table_id = g.table_id AND t."row" = g."row" AND t.col = g.col) THEN text
+   WHEN EXISTS (SELECT 1 FROM masked m WHERE m.table_id = g.table_id AND m."row" = g."row" AND m.col = g.col) THEN 'n.a.'
+   WHEN g."row" = 1 AND EXISTS (SELECT 1 FROM {eq} e WHERE e.table_id = g.table_id AND NOT in_body AND in_cols AND text = previous AND g.col >= 2) THEN 'n.a.'
+   WHEN g."row" = 0 AND g.col >= 2 AND EXISTS (SELECT 1 FROM {eq} e WHERE e.table_id = g.table_id AND NOT in_body AND in_cols) THEN 'n.a.'
+   ELSE text END AS text FROM grid g)"""
+
+
+@query("mask_chain_table", f"""
+WITH {SQL_PREVIOUS}, {sql_masked("eq")} SELECT table_id, "row", col, text FROM final
+""")
+def mask_chain_table(spark, sf_dir):
+    cells, body = parsed(spark, sf_dir)
+    targets = locate.locate(body, questions(spark, sf_dir), "table_id")
+    targets = materialise(targets, "targets")
+    matches = locate.previous_matches(body, previous_answers(spark, sf_dir, targets), "table_id")
+    return locate.mask_previous(cells, matches, targets, "table_id").select("table_id", "row", "col", "text")
+
+
+@query("mask_chain_corpus", f"""
+WITH {SQL_GRID}, t AS (SELECT DISTINCT table_id, table_id // 5 AS sample_id, table_id % 5 AS place FROM r),
+n AS (SELECT sample_id, count(*) AS n FROM t GROUP BY sample_id),
+prev AS (SELECT t.table_id, p.answer AS previous FROM t JOIN n ON n.sample_id = t.sample_id
+  JOIN t q ON q.sample_id = t.sample_id AND q.place = t.place - 1 JOIN target p ON p.table_id = q.table_id WHERE t.place BETWEEN 1 AND n - 2),
+eq AS (SELECT p.table_id, p.previous, EXISTS (SELECT 1 FROM body b WHERE b.table_id = p.table_id AND b.value = p.previous) AS in_body,
+   EXISTS (SELECT 1 FROM c WHERE c.table_id = p.table_id AND c.line = p.previous) AS in_cols FROM prev p),
+{sql_masked("eq")} SELECT table_id // 5 AS sample_id, table_id, "row", col, text FROM final
+""")
+def mask_chain_corpus(spark, sf_dir):
+    """Samples of five chained tables: the middle ones lose the answer of the table before."""
+    cells, body = parsed(spark, sf_dir)
+    targets = materialise(locate.locate(body, questions(spark, sf_dir), "table_id"), "targets")
+    samples = cells.select("table_id").distinct().select(
+        "table_id", F.expr("table_id div 5").alias("sample_id"), F.expr("table_id % 5").alias("place")
+    )
+    previous = locate.chain_previous(targets, samples, "table_id", "sample_id", "place")
+    matches = locate.previous_matches(body, previous, "table_id")
+    masked = locate.mask_previous(cells, matches, targets, "table_id")
+    return masked.select(F.expr("table_id div 5").alias("sample_id"), "table_id", "row", "col", "text")
