@@ -17,19 +17,19 @@ def quantity_cells(spark, sf_dir):
     """Supplier pivots of quantities, whose small numbers repeat between cells and headers."""
     lines = supplier_lines(spark, sf_dir).withColumn("measure", F.lit("amount"))
     cells = pivot.pivot_cells(lines, ["table_id"], ["flag", "line_status"], ["measure", "line"], "quantity", "first", "row_key")
-    return cells.withColumn("value", F.col("value").cast("string"))
+    return materialise(cells.withColumn("value", F.col("value").cast("string")), "quantities")
 
 
-def parsed(spark, sf_dir):
-    """The pivots written as HTML and parsed back, computed once: grid cells and body cells."""
-    pages = html.render_pivot(quantity_cells(spark, sf_dir), "table_id", 2, 2)
+def parsed(pivots):
+    """Pivots written as HTML and parsed back, computed once: grid cells and body cells."""
+    pages = html.render_pivot(pivots, "table_id", 2, 2)
     cells = materialise(html.grid_cells(html.html_grid(pages, "html"), ["table_id"]), "grid")
-    return cells, html.body_with_paths(cells, ["table_id"])
+    return cells, materialise(html.body_with_paths(cells, ["table_id"]), "body")
 
 
-def questions(spark, sf_dir):
+def questions(pivots):
     """A query per table: the quantity at the flag, status and line of a random cell."""
-    cells = quantity_cells(spark, sf_dir).withColumn(
+    cells = pivots.withColumn(
         "_h", digest(80, "ask", "table_id", F.array_join(F.concat("row_path", "col_path"), "|"))
     )
     asked = first_rows(cells, ["table_id"], ["_h"])
@@ -55,8 +55,9 @@ target AS (SELECT b.table_id, b."row", b.col, b.value AS answer FROM body b JOIN
 
 @query("locate_cell", f"""WITH {SQL_GRID} SELECT table_id, "row", col, answer FROM target""")
 def locate_cell(spark, sf_dir):
-    _, body = parsed(spark, sf_dir)
-    found = locate.locate(body, questions(spark, sf_dir), "table_id")
+    pivots = quantity_cells(spark, sf_dir)
+    _, body = parsed(pivots)
+    found = locate.locate(body, questions(pivots), "table_id")
     return found.select("table_id", "row", "col", "answer")
 
 
@@ -77,20 +78,22 @@ def label_similarity(spark, sf_dir):
 @query("best_label_match")
 def best_label_match(spark, sf_dir):
     """How well the text 'amounts, line 3' fits the header of every column."""
-    _, body = parsed(spark, sf_dir)
+    pivots = quantity_cells(spark, sf_dir)
+    _, body = parsed(pivots)
     columns = body.groupBy("table_id", "col").agg(F.first("col_path").alias("path")).withColumn("text", F.lit("line 3"))
     return locate.best_label(columns, ["table_id", "col"], "path", "text")
 
 
 @query("predicate_path_score")
 def predicate_path_score(spark, sf_dir):
-    _, body = parsed(spark, sf_dir)
+    pivots = quantity_cells(spark, sf_dir)
+    _, body = parsed(pivots)
     rows = body.groupBy("table_id", "row").agg(F.first("row_path").alias("path"))
-    terms = locate.query_terms(questions(spark, sf_dir), "table_id")
+    terms = locate.query_terms(questions(pivots), "table_id")
     return locate.path_scores(rows, terms, "table_id", "row", "path")
 
 
-def previous_answers(spark, sf_dir, targets):
+def previous_answers(targets):
     """The answer of the supplier before is the earlier answer of a supplier."""
     return targets.select((F.col("table_id") + 1).alias("table_id"), F.col("answer").alias("previous"))
 
@@ -106,9 +109,10 @@ WITH {SQL_PREVIOUS} SELECT table_id, in_body, (SELECT count(*) FROM body b WHERE
 """)
 def locate_previous_value(spark, sf_dir):
     """Where the earlier answer occurs; an exact body match makes the kind ``body``."""
-    _, body = parsed(spark, sf_dir)
-    targets = locate.locate(body, questions(spark, sf_dir), "table_id")
-    matches = locate.previous_matches(body, previous_answers(spark, sf_dir, targets), "table_id")
+    pivots = quantity_cells(spark, sf_dir)
+    _, body = parsed(pivots)
+    targets = locate.locate(body, questions(pivots), "table_id")
+    matches = locate.previous_matches(body, previous_answers(targets), "table_id")
     found = locate.previous_location(matches, "table_id")
     return found.select(
         "table_id", ((F.col("kind") == "body") & (F.col("score") == 1)).alias("in_body"), "body_matches", "col_matches"
@@ -134,10 +138,10 @@ final AS (SELECT g.table_id, g."row", g.col, CASE
 WITH {SQL_PREVIOUS}, {sql_masked("eq")} SELECT table_id, "row", col, text FROM final
 """)
 def mask_chain_table(spark, sf_dir):
-    cells, body = parsed(spark, sf_dir)
-    targets = locate.locate(body, questions(spark, sf_dir), "table_id")
-    targets = materialise(targets, "targets")
-    matches = locate.previous_matches(body, previous_answers(spark, sf_dir, targets), "table_id")
+    pivots = quantity_cells(spark, sf_dir)
+    cells, body = parsed(pivots)
+    targets = materialise(locate.locate(body, questions(pivots), "table_id"), "targets")
+    matches = locate.previous_matches(body, previous_answers(targets), "table_id")
     return locate.mask_previous(cells, matches, targets, "table_id").select("table_id", "row", "col", "text")
 
 
@@ -152,8 +156,9 @@ eq AS (SELECT p.table_id, p.previous, EXISTS (SELECT 1 FROM body b WHERE b.table
 """)
 def mask_chain_corpus(spark, sf_dir):
     """Samples of five chained tables: the middle ones lose the answer of the table before."""
-    cells, body = parsed(spark, sf_dir)
-    targets = materialise(locate.locate(body, questions(spark, sf_dir), "table_id"), "targets")
+    pivots = quantity_cells(spark, sf_dir)
+    cells, body = parsed(pivots)
+    targets = materialise(locate.locate(body, questions(pivots), "table_id"), "targets")
     samples = cells.select("table_id").distinct().select(
         "table_id", F.expr("table_id div 5").alias("sample_id"), F.expr("table_id % 5").alias("place")
     )
