@@ -56,6 +56,7 @@ NOTES = {
 }
 INVISIBLE = ["\u200b", "\u200c", "\u200d", "\u2060", "\u00a0"]
 MAX_BLANKS = 3
+PATH_MARK = "\u0001"
 
 
 def is_filled(value: Column) -> Column:
@@ -63,11 +64,15 @@ def is_filled(value: Column) -> Column:
     return value.isNotNull() & ~F.trim(value).isin(NULL_TOKENS)
 
 
-def null_inject(df: DataFrame, table: str, row: Sequence[str], value: str, seed: int) -> DataFrame:
-    """Half of the rows that no answer needs lose their value to the null token of their table."""
+def nulled(table: str, row: Sequence[str], value: str, seed: int) -> Column:
+    """The value, or the null token of the table for half of the rows that no answer needs."""
     token = pick(seed, "null-token", NULL_TOKENS, table)
     lost = ~F.col("needed") & (uniform(seed, "null", table, *row) < 0.5)
-    return df.withColumn(value, F.when(lost, token).otherwise(F.col(value)))
+    return F.when(lost, token).otherwise(F.col(value))
+
+
+def null_inject(df: DataFrame, table: str, row: Sequence[str], value: str, seed: int) -> DataFrame:
+    return df.withColumn(value, nulled(table, row, value, seed))
 
 
 def entity_missing(df: DataFrame, table: str, row: str, seed: int) -> DataFrame:
@@ -77,12 +82,14 @@ def entity_missing(df: DataFrame, table: str, row: str, seed: int) -> DataFrame:
     return df.join(gone, [table, row], "left_anti")
 
 
-def value_contradiction(df: DataFrame, row: Sequence[str], value: str, seed: int) -> DataFrame:
-    """A value ``v`` becomes ``v (v + n)`` with n from 1 to 10."""
+def contradicted(row: Sequence[str], value: str, seed: int, digits: int = 6) -> Column:
+    """``v (v + n)`` with n from 1 to 10."""
+    other = F.col(value) + pick_int(seed, "contradiction", 1, 10, *row)
+    return F.concat(plain(F.col(value), digits), F.lit(" ("), plain(other, digits), F.lit(")"))
 
 
-    other = F.col(value) + pick_int(seed, "contradiction", 1, 10, *row)
-    return df.withColumn(value, F.concat(plain(F.col(value)), F.lit(" ("), plain(other), F.lit(")")))
+def value_contradiction(df: DataFrame, row: Sequence[str], value: str, seed: int) -> DataFrame:
+    return df.withColumn(value, contradicted(row, value, seed))
 
 
 def merge_columns(
@@ -188,8 +195,17 @@ def insert_blanks(df: DataFrame, table: str, position: str, seed: int, op: str)
     return moved.unionByName(blanks)
 
 
-def share_of(size: Column, strength: int) -> Column:
-    return F.greatest(F.lit(1), F.floor(size * F.lit(strength) / F.lit(100)))
+def checked(strength: int | str) -> Column:
+    """A strength in percent: a number, or the column that holds it."""
+    if isinstance(strength, str):
+        return F.col(strength)
+    if not 0 <= strength <= 100:
+        raise ValueError("strength must be between 0 and 100")
+    return F.lit(strength)
+
+
+def share_of(size: Column, strength: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(size * strength / F.lit(100)))
 
 
 def note_templates(seed: int, table: str) -> Column:
@@ -204,11 +220,10 @@ def note_templates(seed: int, table: str) -> Column:
 
 
 def add_notes(
-    cells: DataFrame, table: str, cell: Sequence[str], value: str, seed: int, strength: int = 20, slices: int = SLICES
+    cells: DataFrame, table: str, cell: Sequence[str], value: str, seed: int, strength: int | str = 20, slices: int = SLICES
 ) -> DataFrame:
     """A share of the filled cells of each table gets a note."""
-    if not 0 <= strength <= 100:
-        raise ValueError("strength must be between 0 and 100")
+    percent = checked(strength)
     filled = cells.filter(is_filled(F.col(value))).withColumn("_h", digest(seed, "note", table, *cell))
     ranked = hash_ranked(filled, [table], "_h", list(cell), "_rn", "_n", slices)
     templates = note_templates(seed, table)
@@ -217,7 +232,7 @@ def add_notes(
     noted = F.replace(F.replace(F.get("_t", index), F.lit("{number}"), number), F.lit("{value}"), F.col(value))
     changed = (
         ranked.withColumn("_t", templates)
-        .withColumn(value, F.when(F.col("_rn") <= share_of(F.col("_n"), strength), noted).otherwise(F.col(value)))
+        .withColumn(value, F.when(F.col("_rn") <= share_of(F.col("_n"), percent), noted).otherwise(F.col(value)))
         .drop("_h", "_rn", "_n", "_t")
     )
     rest = cells.filter(~F.coalesce(is_filled(F.col(value)), F.lit(False)))
@@ -242,46 +257,45 @@ def _swap_or_insert(text: str, seed: str, strength: int) -> str:
     return "".join(out) + (rng.choice(INVISIBLE) if len(text) in spots else "")
 
 
-def noisy(text: Column, seed: Column, strength: int) -> Column:
+def noisy(text: Column, seed: Column, strength: Column) -> Column:
     """Noise for short texts, in Arrow batches."""
 
     @F.pandas_udf("string")
-    def apply(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([_swap_or_insert(t, s, strength) for t, s in zip(texts, seeds)])
+    def apply(texts: pd.Series, seeds: pd.Series, strengths: pd.Series) -> pd.Series:
+        return pd.Series([_swap_or_insert(t, s, n) for t, s, n in zip(texts, seeds, strengths)])
 
-    return apply(text, seed)
+    return apply(text, seed, strength)
 
 
-def typos(cells: DataFrame, table: str, seed: int, strength: int = 20, slices: int = SLICES) -> DataFrame:
+def typos(cells: DataFrame, table: str, seed: int, strength: int | str = 20, slices: int = SLICES) -> DataFrame:
     """Noise in a share of the cells, row labels and column labels of every table.
 
     Labels are perturbed once per table and path, so all cells of a line keep the same label.
     """
-    if not 0 <= strength <= 100:
-        raise ValueError("strength must be between 0 and 100")
+    percent = checked(strength).alias("_percent")
     cells = materialise(cells, "typo-cells")
     textual = lambda c: F.regexp_replace(c, r"\d", "") != ""
 
     def label_slots(path):
         spot = F.filter(F.sequence(F.lit(0), F.size(path) - 1), lambda i: textual(F.get(F.col(path), i)))
-        slots = cells.select(table, path).distinct().withColumn("_spots", spot).filter(F.size("_spots") > 0)
+        slots = cells.select(table, path, percent).distinct().withColumn("_spots", spot).filter(F.size("_spots") > 0)
         index = F.floor(uniform(seed, f"level-{path}", table, F.array_join(path, "|")) * F.size("_spots")).cast("int")
         level = F.get("_spots", index)
         return slots.select(
             table, F.lit(path).alias("kind"), F.col(path).alias("path"), F.array().cast("array<string>").alias("other"),
-            level.alias("level"), F.get(F.col(path), level).alias("text"),
+            level.alias("level"), F.get(F.col(path), level).alias("text"), "_percent",
         )
 
     data = cells.filter(textual(F.col("value"))).select(
         table, F.lit("data").alias("kind"), F.col("row_path").alias("path"), F.col("col_path").alias("other"),
-        F.lit(None).cast("int").alias("level"), F.col("value").alias("text"),
+        F.lit(None).cast("int").alias("level"), F.col("value").alias("text"), percent,
     )
     slots = data.unionByName(label_slots("row_path")).unionByName(label_slots("col_path"))
     key = digest(seed, "typo", table, "kind", F.array_join("path", "|"), F.array_join("other", "|"))
     ranked = hash_ranked(slots.withColumn("_h", key), [table], "_h", [], "_rn", "_n", slices)
-    chosen = ranked.filter(F.col("_rn") <= share_of(F.col("_n"), strength))
+    chosen = ranked.filter(F.col("_rn") <= share_of(F.col("_n"), F.col("_percent")))
     changed = materialise(
-        chosen.withColumn("noise", noisy(F.col("text"), F.col("_h"), strength)).select(
+        chosen.withColumn("noise", noisy(F.col("text"), F.col("_h"), F.col("_percent"))).select(
             table, "kind", "path", "other", "level", "noise"
         ),
         "typo-slots",
@@ -306,15 +320,20 @@ def typos(cells: DataFrame, table: str, seed: int, strength: int = 20, slices: i
 
 
 def layout_cells(rel: DataFrame, layouts: DataFrame, table: str, attributes: Sequence[str]) -> DataFrame:
-    """Row and column paths of every row by the layout its table was given."""
-    have = F.create_map(*[x for c in attributes for x in (F.lit(c), F.col(c).cast("string"))])
-    side = lambda n: F.transform(F.split(F.split("layout", r" \| ")[n], "; "), lambda c: F.element_at(have, c))
-    return (
-        rel.join(layouts.select(table, "layout"), table)
-        .dropna(subset=list(attributes))
-        .withColumn("row_path", side(0))
-        .withColumn("col_path", side(1))
-    )
+    """Row and column paths of every row by the layout its table was given.
+
+    The layout is taken apart once per table; a row only joins the attribute values of each side.
+    """
+    sides = {}
+    for name, part in (("row_path", 0), ("col_path", 1)):
+        listed = F.split(F.split("layout", r" \| ")[part], "; ")
+        sides[name] = [F.array_contains(listed, c).alias(f"_{name}_{c}") for c in attributes]
+    flags = layouts.select(table, *sides["row_path"], *sides["col_path"])
+    out = rel.dropna(subset=list(attributes)).join(flags, table)
+    for name in sides:
+        text = F.concat_ws(PATH_MARK, *[F.when(F.col(f"_{name}_{c}"), F.col(c).cast("string")) for c in attributes])
+        out = out.withColumn(name, F.split(text, PATH_MARK))
+    return out.drop(*[f"_{name}_{c}" for name in sides for c in attributes])
 
 
 def unit_header_row(cells: DataFrame, table: str, header: str, unit: str, seed: int) -> DataFrame:

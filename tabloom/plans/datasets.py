@@ -1 +1,22 @@
-"""Queries."""
+"""End-to-end datasets and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabloom.operators import datasets
+from tabloom.plans import registry
+from tabloom.plans.labels import TUPLE
+from tabloom.plans.registry import query
+from tabloom.sources.tables import order_tables
+
+
+def _label_select(method):
+    return f"SELECT table_id, '{method}' AS method, label FROM ({registry.SQL['label_' + method]})"
+
+
+@query("dataset_single")
+def dataset_single(spark, sf_dir):
+    """Every order table with every method and perturbation."""
+    made = datasets.single_table(order_tables(spark, sf_dir), "table_id", TUPLE, "price", "USD", 42)
+    return made.select("table_id", "method", "perturbation", "label", "question", "sql_query", F.md5("html").alias("table_digest"))

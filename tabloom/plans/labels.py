@@ -110,12 +110,12 @@ def label_average(spark, sf_dir):
 
 
 @query("label_percentage_change", f"""
-WITH {sql_cells("change", 2)}, {SQL_PAIRS}
+WITH {sql_cells("percentage_change", 2)}, {SQL_PAIRS}
 SELECT table_id, {sql_plain("(v1 - v2) * 100.0::DOUBLE / nullif(v2, 0.0)")} AS label FROM pairs
 WHERE v2 <> 0
 """)
 def label_percentage_change(spark, sf_dir):
-    return labels.change(_cells(spark, sf_dir, "change", 2), "table_id", "price")
+    return labels.change(_cells(spark, sf_dir, "percentage_change", 2), "table_id", "price")
 
 
 @query("label_rounding", f"""
