@@ -7,6 +7,7 @@ methods and perturbations of a corpus are rows of the same frames, so a dataset
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,25 @@ from pyspark.sql import functions as F
 from tabloom.functions.numbers import exact_avg, exact_sum, money, plain
 from tabloom.functions.sampling import digest, pick, pick_int, uniform
 from tabloom.operators import perturb, pivot
+from tabloom.operators.joins import bundles
 from tabloom.operators.keys import unique_combinations
-from tabloom.operators.labels import COMPARISONS, EXTREMES, MAX_TUPLES, compare, nth, percentage_change, yes_no
+from tabloom.operators.labels import (
+    COMPARISONS,
+    EXTREMES,
+    MAX_TUPLES,
+    compare,
+    extractive,
+    multitable,
+    nth,
+    percentage_change,
+    sampled_cells,
+    yes_no,
+)
 from tabloom.operators.questions import templated
-from tabloom.operators.ranking import top_rows
+from tabloom.operators.ranking import first_rows, top_rows
+from tabloom.operators.units import convert_tables
 from tabloom.session import materialise
-from tabloom.sources.html import escape, join_all, tag
+from tabloom.sources.html import escape, join_all, multitable_text, render_rows, tag
 
 # Question methods and perturbations.
 METHODS = ["extractive", "comparative", "superlative", "sum", "average", "percentage_change"]
@@ -319,3 +333,102 @@ def single_table(
         query_texts(chosen, labels, table, columns, value), [table, "method"]
     )
     return tables.join(labels, [table, "method"]).join(texts, [table, "method"])
+
+
+def complete_bundles(tables: DataFrame, sample: str, place: str) -> DataFrame:
+    """Tables per bundle of 2, 3, 5, 10 and 20; bundles that lack a table are left out."""
+    listed = bundles(tables, place).withColumn("bundle_id", F.concat_ws("-", F.col(sample).cast("string"), "bundle"))
+    full = listed.groupBy("bundle_id", "bundle").agg(F.count(F.lit(1)).alias("_n")).filter("_n = bundle")
+    return listed.join(full.select("bundle_id"), "bundle_id", "left_semi")
+
+
+def parallel_labels(cells: DataFrame, table: str, value: str, per_sample: int = 20) -> DataFrame:
+    """Extractive label of every table with its place in every bundle."""
+    single = extractive(cells, table, value).select(
+        table, "label", F.expr(f"{table} div {per_sample}").alias("sample_id"),
+        F.expr(f"{table} % {per_sample}").cast("int").alias("place"),
+    )
+    return complete_bundles(single, "sample_id", "place")
+
+
+def parallel_answers(placed: DataFrame) -> DataFrame:
+    """Label per bundle and method across its tables."""
+    return multitable(placed, "bundle_id", "place", "label", ["superlative", "sum", "average"])
+
+
+def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int, units: DataFrame) -> DataFrame:
+    """HTML of every table as it is and with its values in another unit: ``(table, variant, html)``."""
+    texts = rel.withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
+    changed = convert_tables(texts, units, table, "shown", "unit", seed).withColumn(
+        "shown", F.concat_ws(" ", plain(F.col("converted"), 12), "to_unit", F.lit(unit))
+    )
+    both = (
+        texts.withColumn("shown", F.concat_ws(" ", "shown", F.lit(unit)))
+        .select(table, "row_id", *columns, "shown", F.lit("not_unit_converted").alias("variant"))
+        .unionByName(changed.select(table, "row_id", *columns, "shown", F.lit("unit_converted").alias("variant")))
+    )
+    both = both.withColumn("_key", F.concat_ws("|", F.col(table).cast("string"), "variant"))
+    shown = {**{c: F.col(c) for c in columns}, value: F.col("shown")}
+    pages = render_rows(both, "_key", "row_id", shown, per_page=20)
+    parts = F.split("_key", r"\|")
+    return pages.select(
+        parts[0].cast(rel.schema[table].dataType).alias(table), parts[1].alias("variant"), "html"
+    )
+
+
+def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int) -> DataFrame:
+    """Bundles of parallel tables, unit-converted and not, with a label across the tables.
+
+    The first table of a sample keeps its unit, as the question names it.
+    """
+    cells = sampled_cells(rel, table, columns, value, 1, "parallel", seed)
+    placed = materialise(parallel_labels(cells, table, value), "placed")
+    pages = converted_html(rel, table, columns, value, unit, seed, units)
+    keep = (F.col("place") > 0) | (F.col("variant") == "not_unit_converted")
+    shown = placed.select(table, "bundle_id", "place").join(pages, table).filter(keep)
+    first = shown.filter("place = 0").withColumn("variant", F.lit("unit_converted"))
+    texts = multitable_text(
+        shown.unionByName(first).withColumn("_k", F.concat_ws("|", "bundle_id", "variant")), "_k", "place", "html"
+    )
+    key = F.split("_k", r"\|")
+    texts = texts.select(key[0].alias("bundle_id"), key[1].alias("perturbation"), "text")
+    return parallel_answers(placed).join(texts, "bundle_id").withColumn(
+        "num_tables", F.element_at(F.split("bundle_id", "-"), -1).cast("int")
+    )
+
+
+def discovered(base: DataFrame, entries: Sequence, seed: int) -> DataFrame:
+    """Question, label and table of every catalogue entry.
+
+    ``base`` is the relation aggregated to its axis attributes with ``sum`` and ``n`` per value
+    column, so each pivot re-aggregates a small frame instead of the relation.
+    """
+    parts = []
+    for i, e in enumerate(entries):
+        rows, cols = e.row_attributes.split("; "), e.column_attributes.split("; ")
+        cells = pivot.paths(base, rows, cols).groupBy("row_path", "col_path").agg(
+            (F.sum(f"{e.value_attribute}_sum").cast("double") / F.sum(f"{e.value_attribute}_n")).alias("value")
+        )
+        parts.append(
+            cells.select(
+                F.lit(f"{i}|extractive|none").alias("variant"), F.lit("; ".join(rows)).alias("row_attributes"),
+                F.lit("; ".join(cols)).alias("column_attributes"), F.lit(e.value_attribute).alias("target"),
+                "row_path", "col_path", "value",
+            )
+        )
+    cells = materialise(reduce(lambda a, b: a.unionByName(b), parts), "discovered")
+    asked = cells.withColumn("_h", digest(seed, "ask", "variant", F.array_join("row_path", "|"), F.array_join("col_path", "|")))
+    asked = first_rows(asked, ["variant"], ["_h"]).drop("_h")
+    marked = cells.join(
+        asked.select("variant", "row_path", "col_path", F.lit(True).alias("needed")), ["variant", "row_path", "col_path"], "left"
+    ).withColumn("needed", F.coalesce("needed", F.lit(False)))
+    small = pivot.shrink(marked, "variant", seed).select(
+        "variant", "row_path", "col_path", plain(F.col("value"), 4).alias("value"), F.lit(False).alias("header")
+    )
+    tables = rendered(small, "entry", seed, "", "").select("entry", "html")
+    answers = asked.select(
+        F.split("variant", r"\|")[0].alias("entry"), "row_attributes", "column_attributes", "target",
+        F.array_join("row_path", "; ").alias("row_key"), F.array_join("col_path", "; ").alias("col_key"),
+        plain(F.col("value"), 4).alias("label"),
+    )
+    return answers.join(tables, "entry")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import datasets
+from tabloom.functions.numbers import exact_avg, money, plain, sql_plain
+from tabloom.functions.sampling import digest, sql_digest
+from tabloom.operators import datasets, joins, labels, pivot, questions, scoring, units, views
+from tabloom.operators.keys import unique_combinations
+from tabloom.operators.ranking import top_rows
 from tabloom.plans import registry
-from tabloom.plans.labels import TUPLE
+from tabloom.plans.labels import TUPLE, sql_cells
+from tabloom.plans.pivots import _axes, catalog_two_tier_union
 from tabloom.plans.registry import query
-from tabloom.sources.tables import order_tables
-
-
-def _label_select(method):
-    return f"SELECT table_id, '{method}' AS method, label FROM ({registry.SQL['label_' + method]})"
+from tabloom.plans.scalars import SQL_SCORED, model_outputs, sql_normalize
+from tabloom.session import materialise, scratch_path
+from tabloom.sources import files, html
+from tabloom.sources.tables import load, order_tables
 
 
 @query("dataset_single")
@@ -20,3 +24,160 @@ def dataset_single(spark, sf_dir):
     """Every order table with every method and perturbation."""
     made = datasets.single_table(order_tables(spark, sf_dir), "table_id", TUPLE, "price", "USD", 42)
     return made.select("table_id", "method", "perturbation", "label", "question", "sql_query", F.md5("html").alias("table_digest"))
+
+
+@query("dataset_single_labels", " UNION ALL ".join(
+    f"SELECT table_id, '{m}' AS method, label FROM ({registry.SQL['label_' + m]})" for m in datasets.METHODS))
+def dataset_single_labels(spark, sf_dir):
+    """The gold answers of all methods from one pass."""
+    chosen = datasets.chosen_cells(order_tables(spark, sf_dir), "table_id", TUPLE, "price", 42)
+    return datasets.sample_labels(chosen, "table_id", "price", 42).select("table_id", "method", "label")
+
+
+@query("dataset_parallel")
+def dataset_parallel(spark, sf_dir):
+    made = datasets.parallel(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
+    return made.select("bundle_id", "num_tables", "method", "perturbation", "label", F.md5("text").alias("text_digest"))
+
+
+@query("dataset_parallel_labels", f"""
+WITH {sql_cells("parallel", 1)}, lab AS (SELECT table_id // 20 AS sample_id, table_id % 20 AS place, CAST({sql_plain("price")} AS DOUBLE) AS x FROM cells WHERE rn = 1),
+b AS (SELECT sample_id || '-' || size AS bundle_id, size, x FROM lab JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON place < size),
+g AS (SELECT bundle_id, max(x) AS hi, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS total, count(*) AS n FROM b GROUP BY bundle_id, size HAVING count(*) = size)
+SELECT bundle_id, 'superlative' AS method, {sql_plain("hi")} AS label FROM g
+UNION ALL SELECT bundle_id, 'sum', {sql_plain("total")} FROM g UNION ALL SELECT bundle_id, 'average', {sql_plain("total / n")} FROM g
+""")
+def dataset_parallel_labels(spark, sf_dir):
+    cells = labels.sampled_cells(order_tables(spark, sf_dir), "table_id", TUPLE, "price", 1, "parallel")
+    return datasets.parallel_answers(datasets.parallel_labels(cells, "table_id", "price"))
+
+
+@query("dataset_fk")
+def dataset_fk(spark, sf_dir):
+    """Chained tables per region: its nations, customers of one nation, orders of one customer.
+
+    Every answer is the key of the next table; the last question averages up to four orders.  Tables
+    are cut to 100 cells around the needed rows.
+    """
+    chain = materialise(joins.fk_chain(spark, sf_dir, 31).select("r_name", "n_name", "custkey"), "chain")
+    regions = load(spark, sf_dir, "region")
+    nations = load(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "r_name", F.col("n_nationkey").cast("long").alias("row_id"), "n_nationkey", F.col("n_name").alias("nation")
+    )
+    first = nations.join(chain, "r_name").withColumn("needed", F.col("nation") == F.col("n_name"))
+    customers = load(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("row_id"), "c_name", "c_mktsegment"
+    )
+    second = customers.join(first.filter("needed").select("r_name", "n_nationkey", "nation", "custkey"), "n_nationkey").withColumn(
+        "needed", F.col("row_id") == F.col("custkey")
+    )
+    orders = load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("row_id"), "o_orderstatus", "o_orderpriority", "o_totalprice"
+    ).join(chain, "custkey")
+    asked = top_rows(orders.withColumn("_h", digest(31, "orders", "row_id")), ["r_name"], ["_h"], 4)
+    answers = asked.groupBy("r_name").agg(plain(exact_avg(F.col("o_totalprice"))).alias("label"))
+    third = orders.join(asked.select("r_name", "row_id", F.lit(True).alias("needed")), ["r_name", "row_id"], "left").withColumn(
+        "needed", F.coalesce("needed", F.lit(False))
+    )
+
+    def page(rows, place, columns):
+        capped = views.cap_rows(rows, "r_name", "row_id", columns=len(columns))
+        capped = capped.withColumn("_page", F.lit(0).cast("long"))
+        ordered = F.array_sort(F.collect_list(F.struct("row_id", html.tag("tr", F.concat(*[html.tag("td", html.escape(F.col(c).cast("string"))) for c in columns])).alias("_tr"))))
+        head = "<table><thead><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>"
+        body = html.join_all(F.transform(ordered, lambda s: s["_tr"]))
+        return capped.groupBy("r_name").agg(F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html")).withColumn("place", F.lit(place))
+
+    pages = page(first, 0, ["nation", "n_nationkey"]).unionByName(page(second, 1, ["nation", "c_name", "c_mktsegment"])).unionByName(
+        page(third, 2, ["custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    )
+    texts = html.multitable_text(pages, "r_name", "place", "html")
+    lookup = chain.select(
+        "r_name", F.explode(F.array(
+            F.struct(F.lit(1).alias("step"), F.lit("RegionName").alias("col"), F.col("r_name").alias("value"), F.lit(False).alias("is_last")),
+            F.struct(F.lit(2).alias("step"), F.lit("NationName").alias("col"), F.lit(views.PLACEHOLDER).alias("value"), F.lit(False).alias("is_last")),
+        )).alias("p"), F.lit(1).alias("branch"), F.lit(0).alias("pos"),
+    ).select("r_name", "p.step", "branch", "pos", "p.col", F.lit("=").alias("op"), "p.value", "p.is_last")
+    branches = asked.select(
+        "r_name", F.lit(3).alias("step"), F.col("rn").alias("branch"), F.lit(0).alias("pos"), F.lit("OrderKey").alias("col"),
+        F.lit("=").alias("op"), F.col("row_id").cast("string").alias("value"), F.lit(True).alias("is_last"),
+    )
+    last = chain.select("r_name", F.lit("AVG").alias("aggregate"), F.lit("TotalPrice").alias("target"))
+    asked_text = questions.templated(lookup.unionByName(branches), "r_name", last).withColumnRenamed("text", "question")
+    return answers.join(asked_text, "r_name").join(texts, "r_name").select("r_name", "question", "label", F.md5("text").alias("text_digest"))
+
+
+@query("dataset_discovered")
+def dataset_discovered(spark, sf_dir):
+    """Discovered dense pivots of the line items as table questions.
+
+    The chosen catalogue entries (at most fifteen per relation) decide the plan; the pivots
+    themselves stay distributed.
+    """
+    entries = catalog_two_tier_union(spark, sf_dir).distinct().orderBy("relation", "value_attribute", "row_attributes", "column_attributes").collect()
+    values = sorted({e.value_attribute for e in entries})
+    axes = sorted({c for e in entries for c in f"{e.row_attributes}; {e.column_attributes}".split("; ")})
+    base = _axes(spark, sf_dir).groupBy(*axes).agg(
+        *[F.sum(money(F.col(v))).alias(f"{v}_sum") for v in values], *[F.count(v).alias(f"{v}_n") for v in values]
+    )
+    return datasets.discovered(materialise(base, "axis-sums"), entries, 42).select(
+        "entry", "row_attributes", "column_attributes", "target", "row_key", "col_key", "label", F.md5("html").alias("table_digest")
+    )
+
+
+@query("dataset_collect", f"""
+WITH {sql_cells("parallel", 1)}, b AS (SELECT table_id // 20 AS sample_id, size FROM cells JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON table_id % 20 < size WHERE rn = 1),
+g AS (SELECT sample_id, size FROM b GROUP BY ALL HAVING count(*) = size)
+SELECT CAST(size AS INTEGER) AS num_tables, method, perturbation, count(*) AS samples FROM g, (VALUES ('superlative'),('sum'),('average')) m(method),
+  (VALUES ('unit_converted'),('not_unit_converted')) p(perturbation) GROUP BY ALL
+""")
+def dataset_collect(spark, sf_dir):
+    """Parallel samples written to their folders and counted per folder."""
+    made = datasets.parallel(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
+    path = scratch_path(spark, "collected")
+    files.write_dataset(made.withColumn("domain", F.lit("finance")), path)
+    return files.read_dataset(spark, path, domain="finance").groupBy("num_tables", "method", "perturbation").agg(
+        F.count(F.lit(1)).alias("samples")
+    )
+
+
+@query("error_log_summary", """
+WITH u AS (SELECT o_custkey AS table_id, max(n) FILTER (WHERE n = 1) AS has_unique FROM (
+    SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey),
+b AS (SELECT table_id // 20 AS sample_id, size, has_unique FROM u JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON table_id % 20 < size),
+r AS (SELECT sample_id, size, CASE WHEN count(*) < size THEN 'missing table' WHEN count(has_unique) < size THEN 'no unique tuple' END AS reason FROM b GROUP BY sample_id, size)
+SELECT CAST(size AS INTEGER) AS num_tables, reason, count(*) AS failures FROM r WHERE reason IS NOT NULL GROUP BY ALL
+""")
+def error_log_summary(spark, sf_dir):
+    """Bundles that give no sample, by size and reason."""
+    rel = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderstatus").alias("status"))
+    unique = unique_combinations(rel, ["table_id", "status"]).select("table_id").distinct().withColumn("has_unique", F.lit(1))
+    tables = rel.select("table_id").distinct().join(unique, "table_id", "left").select(
+        F.expr("table_id div 20").alias("sample_id"), F.expr("table_id % 20").alias("place"), "has_unique"
+    )
+    checked = joins.bundles(tables, "place").groupBy("sample_id", "bundle").agg(
+        F.count(F.lit(1)).alias("n"), F.count("has_unique").alias("good")
+    )
+    reason = F.when(F.col("n") < F.col("bundle"), "missing table").when(F.col("good") < F.col("bundle"), "no unique tuple")
+    return (
+        checked.select(F.col("bundle").alias("num_tables"), reason.alias("reason"))
+        .filter("reason IS NOT NULL")
+        .groupBy("num_tables", "reason")
+        .agg(F.count(F.lit(1)).alias("failures"))
+    )
+
+
+@query("evaluate_predictions", f"""
+WITH {SQL_SCORED}, tok AS (SELECT sample_id, 'p' AS side, unnest(string_split({sql_normalize("prediction")}, ' ')) AS token FROM scored
+  UNION ALL SELECT sample_id, 'g', unnest(string_split({sql_normalize("label")}, ' ')) FROM scored),
+cnt AS (SELECT sample_id, token, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'g') AS g FROM tok WHERE token <> '' GROUP BY ALL),
+tot AS (SELECT s.sample_id, any_value(dataset) AS dataset, any_value(match) AS match, coalesce(sum(p), 0)::DOUBLE AS p, coalesce(sum(g), 0)::DOUBLE AS g,
+  coalesce(sum(least(p, g)), 0)::DOUBLE AS same FROM scored s LEFT JOIN cnt ON cnt.sample_id = s.sample_id GROUP BY s.sample_id),
+f AS (SELECT dataset, match, CASE WHEN p = 0 AND g = 0 THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 OR same = 0 THEN 0.0::DOUBLE
+  ELSE 2.0::DOUBLE * (same / p) * (same / g) / (same / p + same / g) END AS f1 FROM tot)
+SELECT dataset, count(*) AS samples, CAST(count(*) FILTER (WHERE match) AS DOUBLE) / count(*) AS accuracy,
+  CAST(sum(CAST(f1 AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS mean_f1 FROM f GROUP BY dataset
+""")
+def evaluate_predictions(spark, sf_dir):
+    """Model outputs to accuracy and mean token F1 per dataset."""
+    return scoring.evaluated(model_outputs(spark, sf_dir), ["sample_id"], ["dataset"])
