@@ -26,7 +26,7 @@ def exact_avg(x: Column) -> Column:
 def plain(x: Column, digits: int = 6) -> Column:
     """A rounded number in positional notation, without trailing zeros but at least one decimal."""
     text = F.round(x, digits).cast(f"decimal(38,{digits})").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ".0")
+    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
 
 def sql_plain(x: str, digits: int = 6) -> str:

@@ -58,17 +58,17 @@ def drop_code_fences(text: Column) -> Column:
     Splitting at the marks pairs them in reading order; a piece between two marks is a block.
     """
     pieces = F.split(text, "```", -1)
-    last = F.size(pieces) - 1
+    last = F.array_repeat(F.size(pieces) - 1, F.size(pieces))
 
     def clean(piece, i):
-        block = (i % 2 == 1) & (i < last)
-        body = F.when(F.instr(piece, "\n") > 0, F.regexp_replace(piece, r"^[^\n]*\n", "")).otherwise(
-            F.concat(F.lit("```"), piece)
-        )
-        unclosed = (i % 2 == 1) & (i == last)
-        return F.when(block, body).when(unclosed, F.concat(F.lit("```"), piece)).otherwise(piece)
+        body = F.when(
+            F.instr(piece["p"], "\n") > 0, F.regexp_replace(piece["p"], r"^[^\n]*\n", "")
+        ).otherwise(F.concat(F.lit("```"), piece["p"]))
+        block = F.when(i < piece["last"], body).otherwise(F.concat(F.lit("```"), piece["p"]))
+        return F.when(i % 2 == 1, block).otherwise(piece["p"])
 
-    return F.array_join(F.transform(pieces, clean), "")
+    cleaned = F.transform(F.arrays_zip(pieces.alias("p"), last.alias("last")), clean)
+    return F.when(F.instr(text, "```") == 0, text).otherwise(F.array_join(cleaned, ""))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -83,10 +83,7 @@ def strip_markdown(text: Column) -> Column:
 
 def after_last_marker(text: Column, marker: str) -> Column:
     """Text behind the last occurrence of a marker in any case; empty without one."""
-    lowered = F.lower(text)
-    tail = F.length(F.substring_index(lowered, marker.lower(), -1))
-    found = F.right(text, tail)
-    return F.when(F.instr(lowered, marker.lower()) > 0, strip(found)).otherwise("")
+    return strip(F.regexp_extract(text, f"(?is)^.*{marker}(.*)$", 1))
 
 
 def first_list_element(text: Column) -> Column:

@@ -227,14 +227,12 @@ def add_notes(
     filled = cells.filter(is_filled(F.col(value))).withColumn("_h", digest(seed, "note", table, *cell))
     ranked = hash_ranked(filled, [table], "_h", list(cell), "_rn", "_n", slices)
     templates = note_templates(seed, table)
-    index = F.floor(uniform(seed, "note-template", table, *cell) * F.size("_t")).cast("int")
+    index = F.floor(uniform(seed, "note-template", table, *cell) * F.size(templates)).cast("int")
     number = pick_int(seed, "note-number", 1, 5, table, *cell).cast("string")
-    noted = F.replace(F.replace(F.get("_t", index), F.lit("{number}"), number), F.lit("{value}"), F.col(value))
-    changed = (
-        ranked.withColumn("_t", templates)
-        .withColumn(value, F.when(F.col("_rn") <= share_of(F.col("_n"), percent), noted).otherwise(F.col(value)))
-        .drop("_h", "_rn", "_n", "_t")
-    )
+    noted = F.replace(F.replace(F.get(templates, index), F.lit("{number}"), number), F.lit("{value}"), F.col(value))
+    changed = ranked.withColumn(
+        value, F.when(F.col("_rn") <= share_of(F.col("_n"), percent), noted).otherwise(F.col(value))
+    ).drop("_h", "_rn", "_n")
     rest = cells.filter(~F.coalesce(is_filled(F.col(value)), F.lit(False)))
     return changed.unionByName(rest)
 

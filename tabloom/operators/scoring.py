@@ -87,12 +87,16 @@ def token_f1(df: DataFrame, key: Sequence[str], prediction: str, label: str) ->
 
 
 def scored(outputs: DataFrame) -> DataFrame:
-    """``output, label, method`` -> prediction, cleaned label and strict match; no shuffle."""
-    label = first_list_element(F.col("label"))
+    """``output, label, method`` -> prediction, cleaned label and strict match; no shuffle.
+
+    Steps are columns of their own, so that a later one does not repeat the text work of the earlier.
+    """
     return (
-        outputs.withColumn("prediction", prediction_of(F.col("output")))
-        .withColumn("label", label)
+        outputs.withColumn("_plain", strip_markdown(F.col("output")))
+        .withColumn("prediction", strip_percent(after_last_marker(F.col("_plain"), MARKER)))
+        .withColumn("label", first_list_element(F.col("label")))
         .withColumn("match", exact_match(F.col("prediction"), F.col("label"), F.col("method")))
+        .drop("_plain")
     )
 
 
@@ -109,8 +113,10 @@ def evaluated(outputs: DataFrame, key: Sequence[str], dataset: Sequence[str]) ->
     Answers are one short text per sample, so their token overlap is computed inside the row; the
     only shuffle is the final aggregate.
     """
-    f1 = row_f1(answer_tokens(F.col("prediction")), answer_tokens(F.col("label")))
-    rows = scored(outputs).withColumn("f1", f1)
+    rows = scored(outputs).withColumn("_p", answer_tokens(F.col("prediction"))).withColumn(
+        "_g", answer_tokens(F.col("label"))
+    )
+    rows = rows.withColumn("f1", row_f1(F.col("_p"), F.col("_g")))
     n = F.count(F.lit(1))
     return rows.groupBy(*dataset).agg(
         n.alias("samples"),

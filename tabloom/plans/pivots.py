@@ -8,6 +8,7 @@ from tabloom.functions.sampling import digest, sql_digest, sql_uniform, uniform
 from tabloom.operators import pivot
 from tabloom.operators.ranking import first_rows, top_rows
 from tabloom.plans.registry import query
+from tabloom.session import materialise
 from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
 
 ROWS = ["flag", "line_status"]
@@ -167,9 +168,13 @@ def valid_pivot_catalog(spark, sf_dir):
 
 
 def full_catalog(spark, sf_dir):
-    """Catalogue of two relations: line items as a table and as an enriched view."""
-    table = _catalog(spark, sf_dir).withColumn("relation", F.lit("lineitem"))
-    view = _catalog(spark, sf_dir).filter("num_row_attributes = 1").withColumn("relation", F.lit("lineitem_view"))
+    """Catalogue of two relations: line items as a table and as an enriched view.
+
+    The catalogue is a handful of rows from a full scan, so it is kept for its several readers.
+    """
+    catalog = materialise(_catalog(spark, sf_dir), "catalogue")
+    table = catalog.withColumn("relation", F.lit("lineitem"))
+    view = catalog.filter("num_row_attributes = 1").withColumn("relation", F.lit("lineitem_view"))
     both = table.unionByName(view).withColumn("dataset", F.lit("sales"))
     return (
         both.withColumn("pivot_cells", F.col("pivot_rows") * F.col("pivot_columns"))

@@ -9,17 +9,19 @@ from tabloom.functions.sampling import digest, pick, pick_int, sql_digest, sql_p
 from tabloom.operators import scoring
 from tabloom.operators.ranking import ordered_positions
 from tabloom.plans.registry import query
-from tabloom.sources.tables import load
+from tabloom.sources.tables import load, spread
 
 METHODS = ["average", "sum", "percentage_change"]
 
 
 def model_outputs(spark, sf_dir):
     """A model answer per order: the price (or yes/no for pending orders) in many spellings."""
-    orders = load(spark, sf_dir, "orders")
     price = numbers.plain(F.col("o_totalprice"))
-    answer = F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_totalprice") > 250000, "yes").otherwise("no")).otherwise(price)
-    variant = pick_int(17, "variant", 0, 8, "o_orderkey")
+    truth = F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_totalprice") > 250000, "yes").otherwise("no")).otherwise(price)
+    orders = spread(load(spark, sf_dir, "orders"), "o_orderkey").withColumn("answer", truth).withColumn(
+        "variant", pick_int(17, "variant", 0, 8, "o_orderkey")
+    )
+    answer, variant = F.col("answer"), F.col("variant")
     wrong = F.when(F.col("o_orderstatus") == "P", "maybe").otherwise(numbers.plain(F.col("o_totalprice") + 1))
     output = (
         F.when(variant == 0, F.concat(F.lit("Let us see.\nFinal answer: "), answer))
@@ -115,7 +117,7 @@ scored AS (SELECT sample_id, dataset, method, label, prediction, CASE
 
 
 def _docs(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("is_numeric_text", f"""
