@@ -49,8 +49,9 @@ def pivot_cells(
         "mean": lambda: F.sum(F.col(value).cast("decimal(18,2)")).cast("double") / F.count(value),
         "max": lambda: F.max(value),
     }[how]()
-    present = df.filter(F.col(value).isNotNull())
-    return paths(present, rows, cols).groupBy(*group, "row_path", "col_path").agg(aggregate.alias("value"))
+    # grouped by the plain columns, which sort and hash faster than the paths made of them
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*group, *rows, *cols).agg(aggregate.alias("_value"))
+    return paths(cells, rows, cols).select(*group, "row_path", "col_path", F.col("_value").alias("value"))
 
 
 def density(df: DataFrame, group: Sequence[str], rows: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -122,15 +123,38 @@ def splits_of(attributes: Sequence[str]) -> list[tuple[list[str], list[str]]]:
 
 
 def split_search(df: DataFrame, group: Sequence[str], attributes: Sequence[str], seed: int) -> DataFrame:
-    """Per table a random full split, else a random one of the densest; one-wide pivots are out."""
+    """Per table a random full split, else a random one of the densest; one-wide pivots are out.
+
+    A split uses all attributes, so every split has the same filled cells and its sides are
+    distinct counts of attribute subsets: one aggregate gives all of them, and the choice is made
+    inside the row of the table.
+    """
     splits = splits_of(attributes)
-    names = F.array(*[F.lit("; ".join(r) + " | " + "; ".join(c)) for r, c in splits])
-    scored = _densities(df, group, splits).filter("pivot_rows > 1 AND pivot_columns > 1")
-    scored = scored.withColumn("layout", F.element_at(names, F.col("split") + 1))
-    scored = scored.withColumn("_h", digest(seed, "split", *group, "layout"))
-    full = F.col("filled") == F.col("pivot_rows") * F.col("pivot_columns")
-    best = top_rows(scored, group, [full.desc(), F.col("density").desc(), "_h"], 1)
-    return best.select(*group, "layout", "pivot_rows", "pivot_columns", "density")
+    subsets = {tuple(s) for split in splits for s in split}
+    ordered = {s: f"_n{i}" for i, s in enumerate(sorted(subsets))}
+    tuples = df.select(*group, *attributes).dropna(subset=list(attributes)).distinct()
+    counts = tuples.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_filled"),
+        *[F.countDistinct(*[F.col(c) for c in s]).alias(name) for s, name in ordered.items()],
+    )
+    options = []
+    for rows, cols in splits:
+        layout = F.lit("; ".join(rows) + " | " + "; ".join(cols))
+        n_rows, n_cols = F.col(ordered[tuple(rows)]), F.col(ordered[tuple(cols)])
+        share = F.col("_filled") / (n_rows * n_cols)
+        usable = (n_rows > 1) & (n_cols > 1)
+        options.append(
+            F.when(
+                usable,
+                F.struct(
+                    (F.col("_filled") != n_rows * n_cols).alias("holes"), (-share).alias("sparse"),
+                    digest(seed, "split", *group, layout).alias("h"), layout.alias("layout"),
+                    n_rows.alias("pivot_rows"), n_cols.alias("pivot_columns"), share.alias("density"),
+                ),
+            )
+        )
+    best = counts.withColumn("_best", F.array_min(F.array(*options))).filter(F.col("_best").isNotNull())
+    return best.select(*group, "_best.layout", "_best.pivot_rows", "_best.pivot_columns", "_best.density")
 
 
 def axis_sets(attributes: Sequence[str], cardinality: dict[str, int]) -> list[tuple[list[str], list[str]]]:

@@ -40,7 +40,8 @@ def quick_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     measures = []
     for c in columns:
-        number = F.col(c).cast("string").try_cast("double")
+        numeric_type = isinstance(df.schema[c].dataType, T.NumericType)
+        number = F.col(c).cast("double") if numeric_type else F.col(c).cast("string").try_cast("double")
         measures.append(
             F.struct(
                 F.lit(c).alias("col"),

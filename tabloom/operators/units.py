@@ -126,9 +126,9 @@ def roundtrip_decimals(value: Column, text: Column) -> Column:
     scale = F.pow(F.lit(10.0), decimals_in(text))
     fewest = F.lit(-1)
     for i in range(MAX_DECIMALS, -1, -1):
-        rounded = F.round(there * F.lit(10.0**i)) / F.lit(10.0**i)
+        rounded = F.rint(there * F.lit(10.0**i)) / F.lit(10.0**i)
         back = ((rounded * F.col("f2") + F.col("o2")) - F.col("o1")) / F.col("f1")
-        fewest = F.when(F.round(back * scale) == F.round(value * scale), F.lit(i)).otherwise(fewest)
+        fewest = F.when(F.rint(back * scale) == F.rint(value * scale), F.lit(i)).otherwise(fewest)
     return fewest
 
 

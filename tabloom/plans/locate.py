@@ -23,7 +23,7 @@ def quantity_cells(spark, sf_dir):
 def parsed(pivots):
     """Pivots written as HTML and parsed back, computed once: grid cells and body cells."""
     pages = html.render_pivot(pivots, "table_id", 2, 2)
-    cells = materialise(html.grid_cells(html.html_grid(pages, "html"), ["table_id"]), "grid")
+    cells = materialise(html.html_cells(pages, ["table_id"], "html"), "grid")
     return cells, materialise(html.body_with_paths(cells, ["table_id"]), "body")
 
 

@@ -10,7 +10,7 @@ from tabloom.operators.scoring import accuracy as accuracy_of
 from tabloom.operators.scoring import scored
 from tabloom.plans.registry import query
 from tabloom.plans.scalars import SQL_OUTPUTS, SQL_SCORED, model_outputs
-from tabloom.session import scratch_path
+from tabloom.session import materialise, scratch_path
 from tabloom.sources import catalog, files, html
 from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
 
@@ -207,8 +207,8 @@ body AS (SELECT r.table_id, r."row", c.col, r.flag, r.line_status, c.line, coale
   LEFT JOIN v ON v.table_id = r.table_id AND v.flag = r.flag AND v.line_status = r.line_status AND v.line = c.line)"""
 
 
-def pivot_grid(spark, sf_dir):
-    return html.html_grid(pivot_html(spark, sf_dir), "html")
+def pivot_cells(spark, sf_dir):
+    return html.html_cells(pivot_html(spark, sf_dir), ["table_id"], "html")
 
 
 @query("html_cells", f"""
@@ -220,21 +220,21 @@ UNION ALL SELECT DISTINCT table_id, a.i, b.j, true, '' FROM r, (VALUES (0),(1))
 """)
 def html_cells(spark, sf_dir):
     """Rendered tables parsed back to grid cells, spans expanded."""
-    return html.grid_cells(pivot_grid(spark, sf_dir), ["table_id"]).select("table_id", "row", "col", "is_header", "text")
+    return pivot_cells(spark, sf_dir).select("table_id", "row", "col", "is_header", "text")
 
 
 @query("html_header_depth", f"""
 WITH {SQL_GRID} SELECT table_id, 2 AS header_rows, 2 AS header_cols FROM r GROUP BY table_id
 """)
 def html_header_depth(spark, sf_dir):
-    return pivot_grid(spark, sf_dir).select("table_id", "header_rows", "header_cols")
+    return pivot_cells(spark, sf_dir).select("table_id", "header_rows", "header_cols").distinct()
 
 
 @query("html_paths", f"""
 WITH {SQL_GRID} SELECT table_id, "row", col, flag || '; ' || line_status AS row_path, 'price & line; ' || line AS col_path, value AS text FROM body
 """)
 def html_paths(spark, sf_dir):
-    cells = html.grid_cells(pivot_grid(spark, sf_dir), ["table_id"])
+    cells = materialise(pivot_cells(spark, sf_dir), "cells")
     return html.body_with_paths(cells, ["table_id"]).select(
         "table_id", "row", "col", F.array_join("row_path", "; ").alias("row_path"),
         F.array_join("col_path", "; ").alias("col_path"), "text",

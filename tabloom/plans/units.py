@@ -59,7 +59,7 @@ def sql_roundtrip(value, text):
     scale = f"pow(10.0::DOUBLE, CASE WHEN contains({text}, '.') THEN length(string_split({text}, '.')[2]) ELSE 0 END)"
     there = f"(({value} * f1 + o1 - o2) / f2)"
     cases = " ".join(
-        f"WHEN round((((round({there} * {10.0**i!r}::DOUBLE) / {10.0**i!r}::DOUBLE) * f2 + o2) - o1) / f1 * {scale}) = round({value} * {scale}) THEN {i}"
+        f"WHEN round_even((((round_even({there} * {10.0**i!r}::DOUBLE, 0) / {10.0**i!r}::DOUBLE) * f2 + o2) - o1) / f1 * {scale}, 0) = round_even({value} * {scale}, 0) THEN {i}"
         for i in range(13)
     )
     return f"CASE {cases} ELSE -1 END"

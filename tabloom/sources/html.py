@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Table, row and cell patterns.
+MARK = "\u0001"
 TABLE = r"(?is)<table\b.*?</table>"
 ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-CELL = r"(?is)<(?:th|td)\b[^>]*>.*?</(?:th|td)>"
-
-CELL_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("row", T.IntegerType()),
-            T.StructField("col", T.IntegerType()),
-            T.StructField("source", T.IntegerType()),
-            T.StructField("is_header", T.BooleanType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
-)
+CELL = r"(?is)<(th|td)\b([^>]*)>(.*?)</(?:th|td)>"
+
+CELL_FIELDS = [
+    T.StructField("header_rows", T.IntegerType()),
+    T.StructField("header_cols", T.IntegerType()),
+    T.StructField("row", T.IntegerType()),
+    T.StructField("col", T.IntegerType()),
+    T.StructField("source", T.IntegerType()),
+    T.StructField("is_header", T.BooleanType()),
+    T.StructField("text", T.StringType()),
+]
 
 
 def table_texts(text: Column) -> Column:
@@ -64,35 +63,9 @@ def replace_tables(text: Column, tables: Column) -> Column:
     ).otherwise(F.raise_error(F.concat(F.lit("expected "), (F.size(around) - 1).cast("string"), F.lit(" tables"))))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"""(?i)^<[^>]*\b{name}\s*=\s*["']?(\d+)""", 1)
-    return F.greatest(F.coalesce(value.try_cast("int"), F.lit(1)), F.lit(1))
-
-
-def source_rows(table_html: Column) -> Column:
-    return F.regexp_extract_all(table_html, F.lit(ROW), 1)
-
-
-def source_cells(table_html: Column) -> Column:
-    """Tagged cells of a table in reading order."""
-    return F.flatten(
-        F.transform(
-            source_rows(table_html),
-            lambda tr, r: F.transform(
-                F.regexp_extract_all(tr, F.lit(f"({CELL})"), 1),
-                lambda c: F.struct(
-                    r.alias("row"),
-                    (F.lower(F.substring(c, 2, 2)) == "th").alias("is_header"),
-                    _attribute(c, "colspan").alias("colspan"),
-                    _attribute(c, "rowspan").alias("rowspan"),
-                    F.regexp_replace(c, r"(?is)^<[^>]*>|</(?:th|td)>$", "").alias("inner"),
-                ),
-            ),
-        )
-    )
-
-
+_ROW, _CELL = re.compile(ROW), re.compile(CELL)
 _INNER_TAG = re.compile(r"<[^>]*>")
+_SPAN = {name: re.compile(rf"""(?i)\b{name}\s*=\s*["']?(\d+)""") for name in ("rowspan", "colspan")}
 
 
 def _cell_text(inner: str) -> str:
@@ -100,76 +73,67 @@ def _cell_text(inner: str) -> str:
     return " ".join(p for p in parts if p)
 
 
-def _place(cells, n_rows: int) -> list[dict]:
-    """Expand spans: a cell goes to the next column of its row that no earlier row span covers."""
-    by_row: dict[int, list] = {}
-    for n, cell in enumerate(cells):
-        by_row.setdefault(cell["row"], []).append((n, cell))
-    grid: dict[tuple[int, int], dict] = {}
-    for r in range(n_rows):
+def _place(table_html: str) -> list[tuple]:
+    """Grid cells of a table, spans expanded: a cell goes to the next column of its row that no
+    earlier row span covers.  Short rows are padded with cells that have no source."""
+    rows = _ROW.findall(table_html)
+    grid: dict[tuple[int, int], tuple] = {}
+    source = 0
+    for r, row in enumerate(rows):
         col = 0
-        for n, cell in by_row.get(r, ()):
+        for kind, attributes, inner in _CELL.findall(row):
             while (r, col) in grid:
                 col += 1
-            entry = {"source": n, "is_header": cell["is_header"], "text": _cell_text(cell["inner"])}
-            for down in range(min(cell["rowspan"], n_rows - r)):
-                for right in range(cell["colspan"]):
-                    grid.setdefault((r + down, col + right), entry)
-            col += cell["colspan"]
-    return [{"row": r, "col": c, **entry} for (r, c), entry in sorted(grid.items())]
-
-
-def _place_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        cells = [_place(c, n) for c, n in zip(batch["_source"], batch["n_rows"])]
-        yield batch.drop(columns="_source").assign(cells=pd.Series(cells, index=batch.index, dtype=object))
-
+            down, right = (
+                max(int(found.group(1)), 1) if (found := _SPAN[name].search(attributes)) else 1
+                for name in ("rowspan", "colspan")
+            )
+            entry = (source, kind.lower() == "th", _cell_text(inner))
+            source += 1
+            for i in range(min(down, len(rows) - r)):
+                for j in range(right):
+                    grid.setdefault((r + i, col + j), entry)
+            col += right
+    width = max((c for _, c in grid), default=-1) + 1
+    return [(r, c, *grid.get((r, c), (None, False, ""))) for r in range(len(rows)) for c in range(width)]
+
+
+def _depth(cells: list[tuple], axis: int) -> int:
+    """Leading lines whose occupied cells are all headers."""
+    lines: dict[int, list[bool]] = {}
+    for cell in cells:
+        lines.setdefault(cell[axis], []).append(cell[3] if cell[2] is not None else None)
+    depth = 0
+    for _, flags in sorted(lines.items()):
+        occupied = [f for f in flags if f is not None]
+        if not occupied or not all(occupied):
+            break
+        depth += 1
+    return depth
+
+
+def html_cells(df: DataFrame, keys: list[str], html: str) -> DataFrame:
+    """One row per grid position of every table, with the header depths of the table.
+
+    Tables are parsed where they are; nothing is shuffled.
+    """
+    names = [f.name for f in CELL_FIELDS]
 
-def html_grid(df: DataFrame, html: str) -> DataFrame:
-    """Replace a table by its cell array and header depths; nothing is shuffled.
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, repeats = [], []
+            for text in batch[html]:
+                cells = _place(text)
+                top = _depth(cells, 0)
+                left = _depth([c for c in cells if c[0] >= top], 1)
+                out.extend((top, left, *c) for c in cells)
+                repeats.append(len(cells))
+            flat = pd.DataFrame(out, columns=names).astype({"source": "Int32"})
+            labels = batch[keys].loc[batch.index.repeat(repeats)].reset_index(drop=True)
+            yield pd.concat([labels, flat], axis=1)
 
-    Header rows end before the first row that has a plain cell (or none at all); header columns
-    likewise within the rows below.
-    """
-    tagged = df.withColumn("n_rows", F.size(source_rows(F.col(html)))).withColumn("_source", source_cells(F.col(html)))
-    tagged = tagged.drop(html)
-    kept = [f for f in tagged.schema.fields if f.name != "_source"]
-    grid = tagged.mapInPandas(_place_batches, T.StructType([*kept, T.StructField("cells", CELL_TYPE)]))
-    grid = grid.withColumn("n_cols", F.coalesce(F.array_max(F.transform("cells", lambda c: c["col"])) + 1, F.lit(0)))
-
-    def leading(axis, cells, size):
-        plain = F.array_min(F.transform(F.filter(cells, lambda c: ~c["is_header"]), lambda c: c[axis]))
-        lines = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-        empty = F.array_min(F.array_except(lines, F.transform(cells, lambda c: c[axis])))
-        return F.least(F.coalesce(plain, size), F.coalesce(empty, size), size)
-
-    grid = grid.withColumn("header_rows", leading("row", F.col("cells"), F.col("n_rows")))
-    body = F.filter("cells", lambda c: c["row"] >= F.col("header_rows"))
-    return grid.withColumn("header_cols", leading("col", body, F.col("n_cols")))
-
-
-def grid_cells(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per grid position; short rows are padded with empty cells that have no source."""
-    padded = F.when(
-        F.col("n_rows") * F.col("n_cols") > F.size("cells"),
-        F.transform(
-            F.array_except(
-                F.sequence(F.lit(0), F.col("n_rows") * F.col("n_cols") - 1),
-                F.transform("cells", lambda c: c["row"] * F.col("n_cols") + c["col"]),
-            ),
-            lambda p: F.struct(
-                F.floor(p / F.col("n_cols")).cast("int").alias("row"),
-                (p % F.col("n_cols")).cast("int").alias("col"),
-                F.lit(None).cast("int").alias("source"),
-                F.lit(False).alias("is_header"),
-                F.lit("").alias("text"),
-            ),
-        ),
-    )
-    every = F.concat(F.col("cells"), F.coalesce(padded, F.array().cast(CELL_TYPE)))
-    return grid.select(*keys, "header_rows", "header_cols", F.explode(every).alias("c")).select(
-        *keys, "header_rows", "header_cols", "c.*"
-    )
+    schema = T.StructType([df.schema[k] for k in keys] + CELL_FIELDS)
+    return df.select(*keys, html).mapInPandas(parse, schema)
 
 
 def body_with_paths(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,50 +186,52 @@ def render_rows(df: DataFrame, table: str, row_id: str, columns: dict[str, Colum
     )
 
 
+def _level_labels(k: int) -> Column:
+    return F.transform("_cols", lambda c: tag("th", escape(F.get(c["p"], F.lit(k)))))
+
+
 def render_pivot(cells: DataFrame, table: str, row_levels: int, col_levels: int) -> DataFrame:
     """Hierarchical pivots as HTML with merged outer labels.
 
     Meant for pivots after ``shrink``, which have at most ten rows and columns, so the cells of one
     table are a small array.
     """
-    small = cells.groupBy(table).agg(F.collect_list(F.struct("row_path", "col_path", "value")).alias("_cells"))
-    rows = F.array_sort(F.array_distinct(F.transform("_cells", lambda c: c["row_path"])))
-    cols = F.array_sort(F.array_distinct(F.transform("_cells", lambda c: c["col_path"])))
-    small = small.withColumn("_rows", rows).withColumn("_cols", cols)
+    text = cells.select(
+        table, F.array_join("row_path", MARK).alias("r"), F.array_join("col_path", MARK).alias("c"), "value"
+    )
+    small = text.groupBy(table).agg(F.collect_list(F.struct("r", "c", "value")).alias("_cells"))
+    keys = lambda side: F.array_sort(F.array_distinct(F.transform("_cells", lambda x: x[side])))
+    parts = lambda side: F.transform(keys(side), lambda k: F.struct(k.alias("key"), F.split(k, MARK).alias("p")))
+    small = small.withColumn("_rows", parts("r")).withColumn("_cols", parts("c"))
     corner = F.lit("<th></th>" * row_levels)
-
-    def level_labels(k):
-        return F.transform("_cols", lambda c: tag("th", escape(F.get(c, F.lit(k)))))
-
     heads = []
     for k in range(col_levels):
         if k == 0 and col_levels > 1:
-            outer = F.array_distinct(F.transform("_cols", lambda c: c[0]))
+            outer = F.array_distinct(F.transform("_cols", lambda c: c["p"][0]))
             labels = F.transform(
                 outer,
                 lambda o: tag(
                     "th", escape(o),
-                    F.concat(F.lit(' colspan="'), F.size(F.filter("_cols", lambda c: c[0] == o)).cast("string"), F.lit('"')),
+                    F.concat(F.lit(' colspan="'), F.size(F.filter("_cols", lambda c: c["p"][0] == o)).cast("string"), F.lit('"')),
                 ),
             )
         else:
-            labels = level_labels(k)
+            labels = _level_labels(k)
         heads.append(tag("tr", F.concat(corner, join_all(labels))))
 
     def body_row(r, i):
-        first = (i == 0) | (F.get(F.col("_rows"), i - 1)[0] != r[0])
-        span = F.size(F.filter("_rows", lambda o: o[0] == r[0])).cast("string")
+        first = (i == 0) | (F.get(F.col("_rows"), i - 1)["p"][0] != r["p"][0])
+        span = F.size(F.filter("_rows", lambda o: o["p"][0] == r["p"][0])).cast("string")
         if row_levels > 1:
-            outer = F.when(first, tag("th", escape(r[0]), F.concat(F.lit(' rowspan="'), span, F.lit('"')))).otherwise("")
+            outer = F.when(first, tag("th", escape(r["p"][0]), F.concat(F.lit(' rowspan="'), span, F.lit('"')))).otherwise("")
         else:
-            outer = tag("th", escape(r[0]))
-        inner = [tag("th", escape(F.get(r, F.lit(k)))) for k in range(1, row_levels)]
-
-        def value(c):
-            hit = F.filter("_cells", lambda x: (x["row_path"] == r) & (x["col_path"] == c))
-            return tag("td", escape(F.coalesce(F.get(hit, F.lit(0))["value"], F.lit(""))))
-
-        return tag("tr", F.concat(outer, *inner, join_all(F.transform("_cols", value))))
+            outer = tag("th", escape(r["p"][0]))
+        inner = [tag("th", escape(F.get(r["p"], F.lit(k)))) for k in range(1, row_levels)]
+        mine = F.map_from_entries(
+            F.transform(F.filter("_cells", lambda x: x["r"] == r["key"]), lambda x: F.struct(x["c"], x["value"]))
+        )
+        values = F.transform("_cols", lambda c: tag("td", escape(F.coalesce(F.element_at(mine, c["key"]), F.lit("")))))
+        return tag("tr", F.concat(outer, *inner, join_all(values)))
 
     body = tag("tbody", join_all(F.transform("_rows", body_row)))
     text = F.concat(F.lit("<table>"), tag("thead", F.concat(*heads)), body, F.lit("</table>"))

@@ -50,7 +50,7 @@ SQL_ORDER_TABLES = f"""rel AS (
 
 def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as one table per supplier, with a unique text key per row."""
-    return load(spark, sf_dir, "lineitem").select(
+    return spread(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber").select(
         F.col("l_suppkey").alias("table_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
         F.col("l_returnflag").alias("flag"),
