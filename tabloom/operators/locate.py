@@ -85,8 +85,8 @@ def query_terms(queries: DataFrame, table: str) -> DataFrame:
             )
         ),
     )
-    return queries.select(table, F.explode(parts).alias("t")).select(
-        table, "t.pred", "t.part", normalize_label(F.col("t.text")).alias("_text")
+    return queries.select(table, F.explode(parts).alias("_term")).select(
+        table, "_term.pred", "_term.part", normalize_label(F.col("_term.text")).alias("_text")
     )
 
 

@@ -51,10 +51,10 @@ def hash_ranked(
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     histogram = (
         sliced.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(size, F.sum("_n").over(whole))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .agg(F.count(F.lit(1)).alias("_in_slice"))
+        .withColumn(size, F.sum("_in_slice").over(whole))
+        .withColumn("_before", F.coalesce(F.sum("_in_slice").over(before), F.lit(0)))
+        .drop("_in_slice")
     )
     inside = Window.partitionBy(*group, "_slice").orderBy(digest_col, *tie)
     return (

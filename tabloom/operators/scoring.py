@@ -69,9 +69,9 @@ def token_f1(df: DataFrame, key: Sequence[str], prediction: str, label: str) ->
     tokens = lambda c, side: F.transform(
         answer_tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(side).alias("side"))
     )
-    exploded = df.select(*key, F.explode_outer(F.concat(tokens(prediction, "p"), tokens(label, "g"))).alias("t"))
-    side = F.col("t.side")
-    counts = exploded.groupBy(*key, F.col("t.token").alias("token")).agg(
+    exploded = df.select(*key, F.explode_outer(F.concat(tokens(prediction, "p"), tokens(label, "g"))).alias("_t"))
+    side = F.col("_t.side")
+    counts = exploded.groupBy(*key, F.col("_t.token").alias("token")).agg(
         F.count(F.when(side == "p", 1)).alias("p"), F.count(F.when(side == "g", 1)).alias("g")
     )
     totals = counts.groupBy(*key).agg(

@@ -48,8 +48,8 @@ def tables_in_text(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         ),
     )
     return (
-        found.select(*keys, F.explode(placed).alias("t"))
-        .select(*keys, "t.*")
+        found.select(*keys, F.explode(placed).alias("_table"))
+        .select(*keys, "_table.*")
         .withColumn("end", F.col("start") + F.length("table_html"))
     )
 

@@ -1,0 +1,5 @@
+"""The workload is batch only, so there are no streaming operators.
+
+Row-level steps (scoring, text clean-up, rule audits, unit conversion) take a streaming DataFrame as
+it is; ``tests/test_datasets.py`` runs one.
+"""
