@@ -34,6 +34,7 @@ from tabloom.operators.ranking import first_rows, top_rows
 from tabloom.operators.units import convert_tables
 from tabloom.session import materialise
 from tabloom.sources.html import escape, join_all, multitable_text, render_rows, tag
+from tabloom.sources.tables import spread
 
 # Question methods and perturbations.
 METHODS = ["extractive", "comparative", "superlative", "sum", "average", "percentage_change"]
@@ -358,7 +359,7 @@ def parallel_answers(placed: DataFrame) -> DataFrame:
 
 def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int, units: DataFrame) -> DataFrame:
     """HTML of every table as it is and with its values in another unit: ``(table, variant, html)``."""
-    texts = rel.withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
+    texts = spread(rel, "row_id").withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
     changed = convert_tables(texts, units, table, "shown", "unit", seed).withColumn(
         "shown", F.concat_ws(" ", plain(F.col("converted"), 12), "to_unit", F.lit(unit))
     )

@@ -175,14 +175,15 @@ def axis_sets(attributes: Sequence[str], cardinality: dict[str, int]) -> list[tu
 def valid_pivots(df: DataFrame, attributes: Sequence[str], values: Sequence[str], cardinality: dict[str, int]) -> DataFrame:
     """All dense pivots of a relation as catalogue rows.
 
-    A split and its transpose have the same cells, so the densities are counted for one of them
-    and the catalogue row is mirrored.
+    The relation is reduced once to its distinct attribute tuples.  A split and its transpose have
+    the same cells, so the densities are counted for one of them and the row is mirrored.
     """
+    pairs = [p for p in axis_sets(attributes, cardinality) if p[0] < p[1]]
+    if not pairs or not values:
+        raise ValueError("no attribute set stays below the size guard")
+    tuples = df.groupBy(*attributes).agg(*[F.count(v).alias(f"_with_{v}") for v in values])
     found = []
     for value in values:
-        pairs = [p for p in axis_sets(attributes, cardinality) if p[0] < p[1]]
-        if not pairs:
-            continue
         info = F.create_map(
             *[
                 x
@@ -192,7 +193,7 @@ def valid_pivots(df: DataFrame, attributes: Sequence[str], values: Sequence[str]
             ]
         )
         scored = (
-            _densities(df.filter(F.col(value).isNotNull()), [], pairs)
+            _densities(tuples.filter(F.col(f"_with_{value}") > 0), [], pairs)
             .filter((F.col("pivot_rows") >= MIN_SIDE) & (F.col("pivot_columns") >= MIN_SIDE))
             .filter(F.col("density") >= MIN_DENSITY)
             .withColumn("i", info[F.col("split")])
@@ -212,8 +213,6 @@ def valid_pivots(df: DataFrame, attributes: Sequence[str], values: Sequence[str]
                 F.explode(F.array(straight, mirrored)).alias("p"), F.col("density").alias("non_nan_density")
             ).select("p.*", F.lit(value).alias("value_attribute"), "non_nan_density")
         )
-    if not found:
-        raise ValueError("no attribute set stays below the size guard")
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

@@ -33,6 +33,11 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def text_number(text):
+    """Number of a text; only texts that may be one are cast, as failed casts are expensive."""
+    return F.when(text.rlike(r"^\s*([-+.\d]|(?i:inf|nan))"), text.try_cast("double"))
+
+
 def quick_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, numeric coverage, kind and approximate cardinality of each column.
 
@@ -41,7 +46,7 @@ def quick_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     measures = []
     for c in columns:
         numeric_type = isinstance(df.schema[c].dataType, T.NumericType)
-        number = F.col(c).cast("double") if numeric_type else F.col(c).cast("string").try_cast("double")
+        number = F.col(c).cast("double") if numeric_type else text_number(F.col(c).cast("string"))
         measures.append(
             F.struct(
                 F.lit(c).alias("col"),

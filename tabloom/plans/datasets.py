@@ -82,8 +82,8 @@ def dataset_fk(spark, sf_dir):
 
     def page(rows, place, columns):
         capped = views.cap_rows(rows, "r_name", "row_id", columns=len(columns))
-        capped = capped.withColumn("_page", F.lit(0).cast("long"))
-        ordered = F.array_sort(F.collect_list(F.struct("row_id", html.tag("tr", F.concat(*[html.tag("td", html.escape(F.col(c).cast("string"))) for c in columns])).alias("_tr"))))
+        cells = [html.tag("td", html.escape(F.col(c).cast("string"))) for c in columns]
+        ordered = F.array_sort(F.collect_list(F.struct("row_id", html.tag("tr", F.concat(*cells)).alias("_tr"))))
         head = "<table><thead><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>"
         body = html.join_all(F.transform(ordered, lambda s: s["_tr"]))
         return capped.groupBy("r_name").agg(F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html")).withColumn("place", F.lit(place))
