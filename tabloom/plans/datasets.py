@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import exact_avg, money, plain, sql_plain
-from tabloom.functions.sampling import digest, sql_digest
-from tabloom.operators import datasets, joins, labels, pivot, questions, scoring, units, views
+from tabloom.functions.sampling import digest
+from tabloom.operators import datasets, joins, labels, questions, scoring, units, views
 from tabloom.operators.keys import unique_combinations
 from tabloom.operators.ranking import top_rows
 from tabloom.plans import registry

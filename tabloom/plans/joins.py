@@ -11,7 +11,15 @@ from tabloom.operators.views import part_specs
 from tabloom.plans.labels import TUPLE, sql_cells
 from tabloom.plans.pivots import COLS, ROWS, SQL_NEEDED, text_paths, with_needed
 from tabloom.plans.registry import query
-from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
+from tabloom.sources.tables import (
+    SQL_LINE_KEY,
+    SQL_ORDER_TABLES,
+    SQL_SUPPLIER_LINES,
+    line_key,
+    load,
+    order_tables,
+    supplier_lines,
+)
 
 
 @query("star_join_enriched", """
@@ -150,8 +158,8 @@ def column_to_vary(spark, sf_dir):
     return joins.column_to_vary(rel, fixed, "table_id", TUPLE, least_values=3)
 
 
-@query("inter_row_link", """
-WITH lines AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, l_orderkey AS k, l_linenumber AS line FROM lineitem),
+@query("inter_row_link", f"""
+WITH lines AS (SELECT {SQL_LINE_KEY} AS row_key, l_orderkey AS k, l_linenumber AS line FROM lineitem),
 m AS (SELECT row_key, k, row_number() OVER (PARTITION BY k ORDER BY row_key) AS rn FROM lines WHERE line = 2)
 SELECT l.row_key AS left_key, m.row_key AS right_key, CASE WHEN m.rn = 1 THEN 'link' ELSE 'ambiguous' END AS state
 FROM lines l JOIN m ON l.k = m.k WHERE l.line = 1 AND m.rn = 1
@@ -161,8 +169,7 @@ SELECT NULL, m.row_key, 'ambiguous' FROM m WHERE rn > 1 AND EXISTS (SELECT 1 FRO
 def inter_row_link(spark, sf_dir):
     """Line 1 of an order linked to its first line 2; further lines 2 are ambiguous."""
     lines = load(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), "l_orderkey",
-        "l_linenumber",
+        line_key().alias("row_key"), "l_orderkey", "l_linenumber"
     )
     return joins.inter_row_links(
         lines, ["l_orderkey"], "row_key", F.col("l_linenumber") == 1, F.col("l_linenumber") == 2

@@ -22,7 +22,8 @@ def sql_cells(op, k=labels.MAX_TUPLES):
     h = sql_digest(42, op, "table_id", "status", "priority", "year")
     return f"""{SQL_ORDER_TABLES}, uniq AS (
       SELECT table_id, status, priority, year, max(price) AS price, max(row_id) AS row_id
-      FROM rel GROUP BY table_id, status, priority, year HAVING count(*) = 1),
+      FROM rel WHERE status IS NOT NULL AND priority IS NOT NULL AND year IS NOT NULL
+      GROUP BY table_id, status, priority, year HAVING count(*) = 1),
     cells AS (SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY {h}, status, priority, year) AS rn
       FROM uniq) WHERE rn <= {k})"""

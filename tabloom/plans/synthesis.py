@@ -10,7 +10,7 @@ from tabloom.operators.joins import domain_product
 from tabloom.operators.views import part_specs
 from tabloom.plans.projections import SQL_SPECS
 from tabloom.plans.registry import query
-from tabloom.sources.tables import load
+from tabloom.sources.tables import SQL_LINE_KEY, line_key, load
 
 
 @query("dense_fill", f"""
@@ -69,7 +69,7 @@ ROW_RULES = [
 
 def rule_lines(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
+        line_key().alias("row_key"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line"),
         F.col("l_quantity").alias("quantity"),
@@ -81,7 +81,7 @@ def rule_lines(spark, sf_dir):
     )
 
 
-SQL_RULE_LINES = """rl AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, l_orderkey AS order_id,
+SQL_RULE_LINES = f"""rl AS (SELECT {SQL_LINE_KEY} AS row_key, l_orderkey AS order_id,
   l_linenumber AS line, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
   l_returnflag AS flag, l_linestatus AS line_status FROM lineitem)"""
 

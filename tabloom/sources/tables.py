@@ -48,11 +48,22 @@ SQL_ORDER_TABLES = f"""rel AS (
   FROM orders)"""
 
 
+def line_key():
+    """Text key of a line item; the table has no key column of its own."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+
+
+SQL_LINE_KEY = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+)
+
+
 def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as one table per supplier, with a unique text key per row."""
     return spread(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber").select(
         F.col("l_suppkey").alias("table_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
+        line_key().alias("row_key"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("line_status"),
         F.col("l_linenumber").alias("line"),
@@ -62,9 +73,8 @@ def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_SUPPLIER_LINES = """lines AS (
-  SELECT l_suppkey AS table_id,
-         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key,
+SQL_SUPPLIER_LINES = f"""lines AS (
+  SELECT l_suppkey AS table_id, {SQL_LINE_KEY} AS row_key,
          l_returnflag AS flag, l_linestatus AS line_status, l_linenumber AS line,
          CAST(l_quantity AS INTEGER) AS quantity, l_discount AS discount, l_extendedprice AS price
   FROM lineitem)"""
