@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest, uniform
-from tabloom.operators.ranking import first_rows, top_rows
+from tabloom.operators.ranking import first_rows
 
 SUBSET_SIZES = (2, 3, 4)
 
@@ -123,6 +123,8 @@ def sample_cluster(clusters: DataFrame, group: Sequence[str], seed: int) -> Data
         "wanted", F.lit(2) + F.floor(uniform(seed, "nodes", *group, "cluster_id") * (F.col("nodes") - 1))
     )
     nodes = clusters.drop("nodes").join(chosen, [*group, "cluster_id"])
+    # a cluster has at most one node per column of its table
+    order = Window.partitionBy(*group, "cluster_id").orderBy("_h")
     nodes = nodes.withColumn("_h", digest(seed, "node", *group, "cluster_id", "col"))
-    ranked = top_rows(nodes, [*group, "cluster_id"], ["_h"], 64, "rn").filter("rn <= wanted")
+    ranked = nodes.withColumn("rn", F.row_number().over(order)).filter("rn <= wanted")
     return ranked.withColumn("is_target", F.col("rn") == 1).drop("_h", "nodes", "wanted", "rn")

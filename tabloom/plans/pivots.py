@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest, sql_digest, sql_uniform, uniform
@@ -90,13 +91,13 @@ def pivot_reindex(spark, sf_dir):
 
     def smallest(key):
         kept = top_rows(values.select("table_id", key).distinct(), ["table_id"], [key], 5)
-        return kept.groupBy("table_id").agg(F.collect_list(key).alias(f"{key}s"))
+        return kept.groupBy("table_id").agg(F.collect_list(key).alias(f"{key}_keys"))
 
     grid = (
         smallest("quantity")
         .join(smallest("discount"), "table_id")
-        .select("table_id", F.explode("quantitys").alias("quantity"), "discounts")
-        .select("table_id", "quantity", F.explode("discounts").alias("discount"))
+        .select("table_id", F.explode("quantity_keys").alias("quantity"), "discount_keys")
+        .select("table_id", "quantity", F.explode("discount_keys").alias("discount"))
     )
     return grid.join(values, ["table_id", "quantity", "discount"], "left")
 
@@ -202,8 +203,6 @@ def sort_catalog(spark, sf_dir):
     The catalogue holds at most one row per attribute set, value and relation, a number fixed by
     the search limits and not by the data.
     """
-    from pyspark.sql import Window
-
     window = Window.orderBy(*pivot.catalog_order())
     return full_catalog(spark, sf_dir).withColumn("place", F.row_number().over(window).cast("long"))
 

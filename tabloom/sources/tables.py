@@ -20,7 +20,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute an input that has fewer splits than tasks can run at once.
 
-    For work that is heavy per row; an input of many files is left as it is.
+    For scans with heavy work per row; an input of many files is left as it is.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)
