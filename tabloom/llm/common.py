@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +103,28 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         yield batch.slice(start)
 
 
+def words_of(texts: pa.Array, split: Callable = pa.compute.split_pattern, **options) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of some texts: their codes, the bounds of each text among the codes, and the distinct words."""
+    lists = split(texts, **options)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    encoded = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return encoded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], encoded.dictionary
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of many runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values between each two bounds; 0 where nothing is."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, mark: str, train: Column, per_class: int) -> DataFrame:
     """At most ``per_class`` training documents of either label (those of smallest id digest), with ``label`` 0 or 1.
 
