@@ -12,6 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _own_dir: list[str] = []
 
@@ -113,6 +114,36 @@ def words_of(texts: pa.Array, split: Callable = pa.compute.split_pattern, **opti
     return encoded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], encoded.dictionary
 
 
+def decide(docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]], name: str, kind: str) -> DataFrame:
+    """``docs`` with one more column, computed from whole texts (null as empty) on the workers.
+
+    ``make()`` gives, on the worker, a function of some texts. All other columns go through as they are; a column
+    called ``name`` is replaced.
+    """
+    rest = [f for f in docs.schema.fields if f.name != name]
+    names = [f.name for f in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = pa.compute.fill_null(part.column("text").cast(pa.string()), "")
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), fn(texts)], [*names, name])
+
+    shape = StructType([*rest, StructField(name, _parse_datatype_string(kind))])
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, shape)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, shipped_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids`` (a written table); a null id is never dropped.
+
+    Up to ``shipped_rows`` ids are broadcast, so texts stay where they are; beyond, both sides are shuffled.
+    """
+    ids = ids.select(F.col("doc_id").cast("long").alias("dropped_id")).distinct()
+    small = F.broadcast(ids) if ids.count() <= shipped_rows else ids
+    return docs.join(small, docs["doc_id"] == small["dropped_id"], "left_anti")
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of many runs, one after another."""
     ends = np.cumsum(lengths)

@@ -14,14 +14,16 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, fold, labelled, plain_text, ship, shipped, slices, table
+from .common import (
+    by_batch, decide, fold, labelled, plain_text, remove, ship, shipped, slices, sums, table, words_of, written,
+)
 from .registry import query
 
 #: Symbols written for letters.
@@ -44,6 +46,8 @@ for _c, _i in ALPHABET.items():
 #: Kinds of word parts that the classifier knows: lengths of beginnings.
 STEMS = (3, 4, 5, 6)
 MARKED = re.compile(r"[^\W\d_][\d@$!|+€]|[\d@$!|+€][^\W\d_]|(\w)\1\1|[^\W\d_][.\-_*~'·][^\W\d_](?:[.\-_*~'·]|$)")
+TRIPLE = re.compile(r"(.)\1\1")
+PARTING = re.compile(r"[\W\d_]+")
 EDGES = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
@@ -117,69 +121,74 @@ def parts(word: str) -> list[str]:
     return [f"={word}", *[f"^{word[:n]}" for n in STEMS if len(word) >= n]]
 
 
-class Restored(dict):
-    """token -> restored words, filled on demand, emptied when it has grown to ``room`` tokens."""
+class Restored:
+    """Reads tokens as words; readings of marked tokens are kept until there are ``room`` of them."""
 
-    room = 300_000
+    room = 200_000
 
     def __init__(self, speller: Speller):
-        super().__init__()
         self.speller = speller
+        self.read: dict[str, tuple[str, ...]] = {}
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        word = token.strip(EDGES)
-        if MARKED.search(token):
-            words = tuple(w for w in self.speller.read(token).split() if w)
-        else:
-            words = tuple(w for w in re.split(r"[\W\d_]+", word) if w) if not word.isalpha() else (word,)
-        if len(self) >= self.room:
-            self.clear()
-        self[token] = words
-        return words
+    def words(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not TRIPLE.search(token):
+            return (token,)
+        if not MARKED.search(token) and " " not in token:
+            return tuple(w for w in PARTING.split(token) if w)
+        if token not in self.read:
+            if len(self.read) >= self.room:
+                self.read.clear()
+            self.read[token] = tuple(w for w in self.speller.read(token).split() if w)
+        return self.read[token]
 
 
 class Scores(dict):
-    """token -> strongest evidence among the parts of its restored words; single letters get NaN, see ``spaced``."""
+    """token -> strongest evidence among the parts of its restored words."""
 
-    room = 300_000
+    room = 400_000
 
     def __init__(self, restored: Restored, weights: dict[str, float]):
         super().__init__()
         self.restored, self.weights = restored, weights
 
-    def of(self, words: tuple[str, ...]) -> float:
-        return max((self.weights.get(p, 0.0) for w in words for p in parts(w)), default=0.0)
-
     def __missing__(self, token: str) -> float:
         if len(self) >= self.room:
             self.clear()
-            self.restored.clear()
-        self[token] = value = math.nan if len(token.strip(EDGES) or token) == 1 else self.of(self.restored[token])
+        words = self.restored.words(token)
+        self[token] = value = max((self.weights.get(p, 0.0) for w in words for p in parts(w)), default=0.0)
         return value
 
 
-def spaced(tokens: list[str], single: np.ndarray) -> Iterator[str]:
+def is_single(token: str) -> bool:
+    return len(token) == 1 or len(token.strip(EDGES)) == 1
+
+
+def spaced(tokens: list[str]) -> Iterator[str]:
     """Runs of at least three single symbols, which may be one word written with spaces."""
-    for is_run, run in itertools.groupby(range(len(tokens)), key=single.__getitem__):
-        run = list(run) if is_run else ()
-        if len(run) >= 3:
-            yield " ".join(tokens[i] for i in run)
-
-
-def evidence(text: str, scores: Scores) -> tuple[float, float, float]:
-    """Strongest evidence in a text, sum of its five strongest, logarithm of one plus the tokens that have any."""
-    tokens = text.lower().split()
-    if not tokens:
-        return 0.0, 0.0, 0.0
-    values = np.fromiter(map(scores.__getitem__, tokens), np.float64, len(tokens))
-    single = np.isnan(values)
-    if single.any():
-        values[single] = 0.0
-        if single.sum() >= 3:
-            more = [scores.of(scores.restored[run]) for run in spaced(tokens, single)]
-            values = np.concatenate([values, more])
-    top = values if len(values) <= 5 else np.partition(values, -5)[-5:]
-    return float(values.max()), float(top.sum()), float(np.log1p(np.count_nonzero(values > 0)))
+    for single, run in itertools.groupby(tokens, key=is_single):
+        if single and len(run := list(run)) >= 3:
+            yield " ".join(run)
+
+
+def evidence(texts: pa.Array, scores: Scores) -> np.ndarray:
+    """Per text: strongest evidence of a word, and the logarithms of one plus its sum and its count."""
+    codes, bounds, distinct = words_of(pa.compute.utf8_lower(texts), pa.compute.utf8_split_whitespace)
+    distinct = distinct.to_pylist()
+    values = np.fromiter((scores[t] for t in distinct), np.float64, len(distinct))[codes] if distinct else np.zeros(0)
+    single = np.fromiter(map(is_single, distinct), bool, len(distinct))[codes] if distinct else np.zeros(0, bool)
+    run = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(single) > 2 else np.zeros(0, np.int64)
+    found = np.zeros((len(texts), 3))
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    if len(full):
+        found[full, 0] = np.maximum.reduceat(values, bounds[:-1][full])
+    found[:, 1] = sums(values, bounds)
+    found[:, 2] = sums((values > 0).astype(np.float64), bounds)
+    for i in np.unique(np.searchsorted(bounds, run, "right") - 1):
+        for token in spaced([distinct[c] for c in codes[bounds[i] : bounds[i + 1]]]):
+            if value := scores[token]:
+                found[i] = max(found[i, 0], value), found[i, 1] + value, found[i, 2] + 1
+    found[:, 1:] = np.log1p(np.maximum(found[:, 1:], 0.0))
+    return found
 
 
 def _part_counts(speller_file: str):
@@ -189,9 +198,8 @@ def _part_counts(speller_file: str):
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 tokens = text.lower().split()
-                single = np.fromiter((len(t.strip(EDGES) or t) == 1 for t in tokens), bool, len(tokens))
-                distinct = [*set(tokens), *(spaced(tokens, single) if single.sum() >= 3 else ())]
-                counts[label].update({p for token in distinct for w in restored[token] for p in parts(w)})
+                distinct = {*tokens, *spaced(tokens)}
+                counts[label].update({p for token in distinct for w in restored.words(token) for p in parts(w)})
         for label in (0, 1):
             names = list(counts[label])
             for start in range(0, len(names), 50_000):
@@ -278,60 +286,76 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _evidence_of(speller_file: str, weights):
+def _evidence_of(speller_file: str, weights: tuple):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = _scores(speller_file, weights)
-        found = [evidence(t, scores) for t in batch.column("text").to_pylist()]
-        rest = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-        return pa.record_batch(rest | {n: pa.array([f[i] for f in found], pa.float64()) for i, n in enumerate(("e_max", "e_sum", "e_count"))})
+        found = evidence(batch.column("text"), _scores(speller_file, weights))
+        return pa.record_batch({"label": batch.column("label")} | {f"e{i}": pa.array(found[:, i]) for i in range(3)})
 
     return by_batch(fn)
 
 
-_scorers: dict[tuple, Scores] = {}
+_scorers: dict[str, Scores] = {}
 
 
-def _scores(speller_file: str, weights) -> Scores:
-    key = (speller_file, weights.id if hasattr(weights, "id") else id(weights))
+def _scores(speller_file: str, weights: tuple) -> Scores:
+    """Tables and caches of this worker for one job."""
+    key, values = weights
     if key not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scores(Restored(load_speller(speller_file)), weights.value)
+        _scorers[key] = Scores(Restored(load_speller(speller_file)), values.value)
     return _scorers[key]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 6000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = 6000) -> Callable:
+    """A function that scores some texts on a worker, for ``decide``; learned from labels where ``rows`` holds.
 
-    Labels are learned from training folds only, from at most ``per_class`` documents of either label: word parts from
-    one half of them, the weights of the document's evidence from the other, so that evidence is never judged on the
-    texts it was found in. The character model counts all texts. Null and empty texts have no evidence and get the
-    score of such documents; with labels of one kind only, or none, every score is the share of label 1 (0 if none).
+    From at most ``per_class`` documents of either label: word parts from one half of them, the weights of the
+    document's evidence from the other, so that evidence is never judged on the texts it was found in. The character
+    model counts all texts. With labels of one kind only, or none, every score is the share of label 1 (0 if none).
     """
     spark = docs.sparkSession
     speller_file = train_speller(docs)
-    sample = labelled(docs.select("doc_id", "text"), labels, "toxic", fold(modulus) != held_out, per_class)
+    sample = labelled(docs.select("doc_id", "text"), labels, "toxic", rows, per_class)
+    sample = written(sample.select("doc_id", "label", plain_text().alias("text")), "toxic-sample")
     half = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(2))
-    weights = spark.sparkContext.broadcast(train_weights(sample.where(half == 0), speller_file))
+    weights = (speller_file, spark.sparkContext.broadcast(train_weights(sample.where(half == 0), speller_file)))
     seen = (
         sample.where(half == 1)
-        .select("label", plain_text().alias("text"))
-        .mapInArrow(_evidence_of(speller_file, weights), "label int, e_max double, e_sum double, e_count double")
+        .select("label", "text")
+        .mapInArrow(_evidence_of(speller_file, weights), "label int, e0 double, e1 double, e2 double")
         .toPandas()
     )
+    remove(sample)
     y = seen["label"].to_numpy(np.float64)
     if len(set(y)) == 2:
-        w = logistic(seen[["e_max", "e_sum", "e_count"]].to_numpy(np.float64), y)
+        w = logistic(seen[["e0", "e1", "e2"]].to_numpy(np.float64), y)
     else:
         rate = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
         w = np.array([0.0, 0.0, 0.0, math.log(rate / (1 - rate))])
-    z = F.col("e_max") * float(w[0]) + F.col("e_sum") * float(w[1]) + F.col("e_count") * float(w[2]) + float(w[3])
-    rows = docs.select("doc_id", plain_text().alias("text")).mapInArrow(
-        _evidence_of(speller_file, weights), "doc_id long, e_max double, e_sum double, e_count double"
-    )
-    score = 1 / (1 + F.exp(-z))
-    return rows.select("doc_id", (fold(modulus) == held_out).alias("held_out"), score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+
+    def make():
+        scores = _scores(speller_file, weights)
+        return lambda texts: pa.array(1 / (1 + np.exp(-np.clip(evidence(texts, scores) @ w[:3] + w[3], -30, 30))))
+
+    return make
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 6000) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+
+    Labels are learned from the training folds only, see ``train``. Null and empty texts have no evidence and get the
+    score of such documents. An empty table gives no rows.
+    """
+    make = train(docs, labels, fold(modulus) != held_out, per_class)
+    found = decide(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "score", "double")
+    held = (fold(modulus) == held_out).alias("held_out")
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that score below 0.5."""
+    found = decide(docs, train(docs, labels, fold(5) != 0), "toxicity_found", "double")
+    return found.where("toxicity_found < 0.5").drop("toxicity_found")
 
 
 @query("op2_toxicity")
