@@ -443,15 +443,23 @@ def bpe_round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Ids equal the library's for the whole text without added tokens; special strings inside a text get their own id.
     Null and empty texts have no ids and decode to an empty text. An empty table gives no rows.
     """
-    return _encoded(docs, model, False)
+    return _encoded(docs, model, ("ids", "decoded"))
 
 
 def bpe_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """As ``bpe_round_trip``, with digests of ids (little-endian 32 bits) and of the decoded text in their place."""
-    return _encoded(docs, model, True)
+    return _encoded(docs, model, ("ids_sha256", "decoded_sha256"))
 
 
-def _encoded(docs: DataFrame, model: str, digests: bool) -> DataFrame:
+def bpe_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """As ``bpe_round_trip``, with the digest of the decoded text in its place."""
+    return _encoded(docs, model, ("ids", "decoded_sha256"))
+
+
+KINDS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _encoded(docs: DataFrame, model: str, wanted: tuple[str, ...]) -> DataFrame:
     file = build_lexicon(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,16 +469,17 @@ def _encoded(docs: DataFrame, model: str, digests: bool) -> DataFrame:
                 ids, bounds = encoder.encode(part.column("text"))
                 texts = encoder.decode(ids, bounds)
                 columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(bounds))}
-                if digests:
-                    raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
-                    columns["ids_sha256"] = pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
-                    columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
-                else:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-                    columns["decoded"] = pa.array(texts, pa.string())
+                raw, at = memoryview(ids.astype("<u4")).cast("B"), (4 * bounds).tolist()
+                makers = {
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))),
+                    "decoded": lambda: pa.array(texts, pa.string()),
+                    "ids_sha256": lambda: pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
+                    "decoded_sha256": lambda: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                }
+                columns |= {name: makers[name]() for name in wanted}
                 yield pa.record_batch(columns)
 
-    shape = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    shape = ", ".join(f"{name} {KINDS[name]}" for name in wanted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, {shape}")
 

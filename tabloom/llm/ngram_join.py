@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, remove, table, written
+from .common import components, drop_ids, remove, table, written
 from .registry import query
 
 #: Frequent columns whose counts order the matrix; a larger table orders better, any table gives the same pairs.
@@ -297,6 +297,20 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     )
 
 
+def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with all their columns, but only the document of the smallest id of each component.
+
+    Rows with a null id stay; of rows that repeat an id one stays.
+    """
+    found = written(ngram_components(docs, n, percent), "document-components")
+    kept = drop_ids(docs, written(found.where("component_id <> doc_id").select("doc_id"), "near-copies"))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
+    return kept.withColumn("copy_place", first).where("copy_place = 1 or doc_id is null").drop("copy_place")
+
+
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
