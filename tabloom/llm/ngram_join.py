@@ -22,9 +22,12 @@ from .common import components, drop_ids, remove, table, written
 from .registry import query
 
 #: Frequent columns whose counts order the matrix; a larger table orders better, any table gives the same pairs.
-FREQUENT = 200_000
-#: Documents with possible partners up to which their ids are shipped as a filter; beyond, texts are joined.
+FREQUENT = 100_000
+#: Documents with possible partners (times their blocks) up to which ids are shipped as a filter; beyond, texts are joined.
 SHIPPED = 2_000_000
+#: Sets on either side of a block of the product.
+BLOCK = 512
+PAIR = ("a_key", "a_size", "b_key", "b_size")
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -136,34 +139,47 @@ def _rarest(n: int, percent: int, frequent):
 
 
 def _arrays(n: int, wanted=None):
+    """(cell, key, shingles) of the texts of some documents; ``wanted`` has ids, sorted, and their cells, else a column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if wanted is not None:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(np.isin(ids, wanted.value)))
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingle_set(text.as_py(), n) for text in part.column("text")]
-                yield pa.record_batch(
-                    {
-                        "key": pa.array([_set_key(s) for s in sets], pa.int64()),
-                        "size": pa.array([len(s) for s in sets], pa.int64()),
-                        "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-                    }
-                )
+                ids, bounds, cells = wanted.value
+                mine = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                hits = np.flatnonzero(ids[place] == mine)
+                batch, place = batch.take(pa.array(hits)), place[hits]
+            for i, text in enumerate(batch.column("text")):
+                shingles = shingle_set(text.as_py(), n)
+                to = cells[bounds[place[i]] : bounds[place[i] + 1]] if wanted is not None else batch.column("cells")[i].as_py()
+                for at in range(0, len(to), 64):
+                    some = to[at : at + 64]
+                    yield pa.record_batch(
+                        {
+                            "cell": pa.array(some, pa.int64()),
+                            "key": pa.array([_set_key(shingles)] * len(some), pa.int64()),
+                            "shingles": pa.array([shingles.tobytes()] * len(some), pa.binary()),
+                        }
+                    )
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        counts = [
-            len(np.intersect1d(np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64), assume_unique=True))
-            for a, b in zip(left, right, strict=True)
-        ]
-        rest = {c: batch.column(c) for c in ("a_key", "a_size", "b_key", "b_size")}
-        yield pa.record_batch(rest | {"overlap": pa.array(counts, pa.int64())})
+def _overlaps(members: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Overlaps of the pairs of one block of the product."""
+    members = members.combine_chunks()
+    sets = dict(zip(members.column("key").to_pylist(), members.column("shingles"), strict=True))
+    arrays: dict[int, np.ndarray] = {}
+    counts = []
+    for a, b in zip(pairs.column("a_key").to_pylist(), pairs.column("b_key").to_pylist(), strict=True):
+        for k in (a, b):
+            if k not in arrays:
+                value = sets[k]
+                raw = isinstance(value, pa.BinaryScalar)
+                arrays[k] = np.frombuffer(value.as_py(), np.int64) if raw else np.asarray(value.values, np.int64)
+        place = np.minimum(np.searchsorted(arrays[a], arrays[b]), len(arrays[a]) - 1)
+        counts.append(int(np.count_nonzero(arrays[a][place] == arrays[b])))
+    return pa.table({c: pairs.column(c) for c in ("g", *PAIR)} | {"overlap": pa.array(counts, pa.int64())})
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -174,16 +190,53 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (rest >= least) & sizes
 
 
-def _counted(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Those of the (distinct) pairs of sets whose Jaccard similarity reaches the threshold, by exact overlap."""
-    left = arrays.select(F.col("key").alias("a_key"), F.col("size").alias("a_size"), F.col("shingles").alias("left"))
-    right = arrays.select(F.col("key").alias("b_key"), F.col("size").alias("b_size"), F.col("shingles").alias("right"))
-    full = pairs.join(left, ["a_key", "a_size"]).join(right, ["b_key", "b_size"])
-    counted = full.select("a_key", "a_size", "b_key", "b_size", "left", "right").mapInArrow(
-        _overlaps, "a_key long, a_size long, b_key long, b_size long, overlap long"
-    )
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs with the block (``cell``) of the product that counts them.
+
+    Pairs of one pivot (``g``) are counted in blocks of about BLOCK sets on either side, so a set travels once for each
+    block and not for each pair; small pivots share a block.
+    """
+    extents = pairs.groupBy("g").agg(F.count_distinct("a_key").alias("n_a"), F.count_distinct("b_key").alias("n_b"))
+    parts = [F.pmod(F.xxhash64(f"{s}_key"), F.ceil(F.col(f"n_{s}") / F.lit(BLOCK))) for s in "ab"]
+    shared = F.pmod(F.xxhash64("g"), F.lit(max(1, pairs.count() // BLOCK)))
+    cell = F.when((F.col("n_a") <= BLOCK) & (F.col("n_b") <= BLOCK), shared).otherwise(F.xxhash64("g", *parts))
+    return written(pairs.join(extents, "g").select(cell.alias("cell"), "g", *PAIR), "celled-pairs")
+
+
+def _places(celled: DataFrame) -> DataFrame:
+    sides = [celled.select("cell", F.col(f"{s}_key").alias("key"), F.col(f"{s}_size").alias("size")) for s in "ab"]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
+def _overlap(members: DataFrame, celled: DataFrame) -> DataFrame:
+    pairs = celled.select(F.col("cell").alias("block"), "g", *PAIR)
+    shape = "g long, a_key long, a_size long, b_key long, b_size long, overlap long"
+    return members.groupBy("cell").cogroup(pairs.groupBy("block")).applyInArrow(_overlaps, shape)
+
+
+def _counted(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the (distinct) pairs of sets whose Jaccard similarity reaches the threshold, by exact overlap.
+
+    First the product is taken over the rarest columns alone: of the two rows, the one whose rarest columns end first
+    has them all decided, so the overlap is at most what they share plus the rest of that row. Full sets are taken anew
+    from the texts, for the rows of the pairs that this bound leaves.
+    """
+    celled = _blocks(written(pairs, "pairs"))
+    members = _places(celled).join(firsts, ["key", "size"]).select("cell", "key", "shingles")
+    least = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / F.lit(100.0 + percent))
+    rest = F.greatest(*[F.ceil(F.col(f"{s}_size") * percent / F.lit(100.0)) - 1 for s in "ab"])
+    likely = _overlap(members, celled).where(F.col("overlap") + rest >= least).drop("overlap")
+    celled = _blocks(written(likely, "likely-pairs"))
+    places = written(_places(celled).join(held, ["key", "size"]).select("cell", "doc_id"), "places")
     union = F.col("a_size") + F.col("b_size") - F.col("overlap")
-    return counted.where(F.col("overlap") * 100 >= union * percent)
+    counted = _overlap(_sets_of(texts, places, n), celled)
+    return written(counted.where(F.col("overlap") * 100 >= union * percent).drop("overlap", "g"), "links")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The entries of columns that stand in more than one set."""
+    shared = rows.groupBy("column").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    return rows.join(written(shared.select("column"), "shared-columns"), "column")
 
 
 def _frequent_columns(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -202,48 +255,45 @@ def _frequent_columns(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def _sets_of(texts: DataFrame, listed: DataFrame, n: int) -> DataFrame:
-    """The full sets of the listed rows, taken anew from the texts."""
-    schema = "key long, size long, shingles binary"
-    if listed.count() <= SHIPPED:
-        ids = listed.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(ids))
-        return texts.mapInArrow(_arrays(n, wanted), schema)
-    return texts.join(listed.select("doc_id").distinct(), "doc_id").mapInArrow(_arrays(n), schema)
+def _sets_of(texts: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The full sets of the documents in ``places`` (cell, doc_id), one row for each cell."""
+    schema = "cell long, key long, shingles binary"
+    if 0 < places.count() <= SHIPPED:
+        found = places.toPandas().sort_values("doc_id")
+        ids, first = np.unique(found["doc_id"].to_numpy(np.int64), return_index=True)
+        wanted = (ids, np.append(first, len(found)), found["cell"].to_numpy(np.int64))
+        return texts.mapInArrow(_arrays(n, texts.sparkSession.sparkContext.broadcast(wanted)), schema)
+    cells = places.groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
+    return texts.join(cells, "doc_id").mapInArrow(_arrays(n), schema)
 
 
 def _rest_pairs(lists: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
     """Possible pairs of rows of one column that the pivots have left in different components."""
-    named = lists.join(tops, ["key", "size"])
-    pivots = tops.select(F.col("key").alias("p_key"), F.col("size").alias("p_size"), F.col("component").alias("p_component"))
-    named = written(
-        named.join(pivots, ["p_key", "p_size"]).select("column", "band", "key", "size", "at", "component", "p_component"), "named"
-    )
+    # A set without links is a component of its own, known by its key.
+    name = F.when(F.col("component").isNull(), F.xxhash64("key", "size", F.lit("alone"))).otherwise(F.xxhash64("component"))
+    named = lists.join(tops, ["key", "size"], "left").withColumn("component", name)
+    pivots = named.where("key = p_key and size = p_size").select("column", "band", F.col("component").alias("p_component"))
+    named = written(named.join(pivots, ["column", "band"]).select("column", "band", "p_key", "key", "size", "at", "component", "p_component"), "named")
     here, there = (
         named.where(condition).select("column", "band", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "at", "component")], *extra)
-        for side, condition, extra in (("a", "component <> p_component", ["p_component"]), ("b", "true", []))
+        for side, condition, extra in (("a", "component <> p_component", ["p_component", "p_key"]), ("b", "true", []))
     )
     pairs = here.join(there, ["column", "band"]).where(
         (F.col("a_component") != F.col("b_component"))
         & _possible("a_", "b_", percent)
         & ((F.col("b_component") == F.col("p_component")) | (F.col("a_key") <= F.col("b_key")))
     )
-    return pairs.select("a_key", "a_size", "b_key", "b_size").distinct()
+    return pairs.groupBy(*PAIR).agg(F.min("p_key").alias("g"))
 
 
-def _numbered(links: DataFrame, listed: DataFrame) -> DataFrame:
-    """Links between sets as links between the smallest ids of their documents."""
+def _tops(links: DataFrame, held: DataFrame) -> DataFrame:
+    """Component, as its smallest document, of every set that has a link."""
     a, b = (
-        listed.select(F.col("key").alias(f"{s}_key"), F.col("size").alias(f"{s}_size"), F.col("doc_id").alias(s)) for s in "ab"
+        held.select(F.col("key").alias(f"{s}_key"), F.col("size").alias(f"{s}_size"), F.col("doc_id").alias(s)) for s in "ab"
     )
-    return links.join(a, ["a_key", "a_size"]).join(b, ["b_key", "b_size"]).select("a", "b")
-
-
-def _tops(links: DataFrame, listed: DataFrame) -> DataFrame:
-    """Component of every listed set."""
-    reached = components(_numbered(links, listed))
-    tops = listed.join(reached, listed["doc_id"] == reached["node"], "left")
-    return written(tops.select("key", "size", F.coalesce("component", "doc_id").alias("component")), "tops")
+    numbered = links.join(a, ["a_key", "a_size"]).join(b, ["b_key", "b_size"]).select("a", "b")
+    reached = components(numbered)
+    return written(held.join(reached, held["doc_id"] == reached["node"]).select("key", "size", "component"), "tops")
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -260,32 +310,37 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     seen = written(texts.mapInArrow(_sizes_and_columns(n), "doc_id long, key long, size long"), "sets")
     sets = seen.where("doc_id is not null")
     frequent = spark.sparkContext.broadcast(_frequent_columns(seen))
-    rows = written(texts.mapInArrow(_rarest(n, percent, frequent), "column long, key long, size long, at long").distinct(), "matrix")
+    rows = written(texts.mapInArrow(_rarest(n, percent, frequent), "column long, key long, size long, at long"), "matrix")
+    rows_of_two = written(_shared(rows).distinct(), "shared-entries")
+    remove(rows)
     # Sizes of similar sets are within a factor of 100 / percent; bands of four such steps, met from both sides.
     step = F.log(F.col("size").cast("double")) / float(np.log(100 / percent))
     band = F.floor(step / 4)
     bands = F.when(F.floor((step + 1.001) / 4) > band, F.array(band, band + 1)).otherwise(F.array(band))
-    entries = rows.withColumn("band", F.explode(bands))
-    shared = entries.groupBy("column", "band").agg(
+    entries = rows_of_two.withColumn("band", F.explode(bands))
+    pivots = entries.groupBy("column", "band").agg(
         F.count(F.lit(1)).alias("held"), F.min(F.struct("at", "size", "key")).alias("pivot")
     ).where("held > 1")
-    shared = shared.select("column", "band", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("at", "size", "key")])
-    lists = written(entries.join(written(shared, "pivots"), ["column", "band"]), "lists")
+    pivots = written(pivots.select("column", "band", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("at", "size", "key")]), "pivots")
+    lists = written(entries.join(pivots, ["column", "band"]), "lists")
     stars = lists.where(_possible("", "p_", percent) & ((F.col("key") != F.col("p_key")) | (F.col("size") != F.col("p_size"))))
     stars = stars.select(
-        F.col("key").alias("a_key"), F.col("size").alias("a_size"), F.col("p_key").alias("b_key"), F.col("p_size").alias("b_size")
-    ).distinct()
+        F.col("p_key").alias("g"), F.col("key").alias("a_key"), F.col("size").alias("a_size"),
+        F.col("p_key").alias("b_key"), F.col("p_size").alias("b_size"),
+    ).distinct()
     held = written(
         sets.where("size > 0").groupBy("key", "size").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held")), "held"
     )
-    listed = written(lists.select("key", "size").distinct().join(held, ["key", "size"]), "listed")
-    arrays = written(_sets_of(texts, listed, n), "arrays")
-    links = written(_counted(stars, arrays, percent), "links")
-    tops = _tops(links, listed)
-    rest = written(_counted(_rest_pairs(lists, tops, percent), arrays, percent), "links")
+    firsts = rows_of_two.groupBy("key", "size").agg(F.array_sort(F.collect_list("column")).alias("shingles"))
+    firsts = written(firsts, "firsts")
+    links = _counted(stars, firsts, texts, held, n, percent)
+    tops = _tops(links, held)
+    rest = written(_rest_pairs(lists, tops, percent), "rest-pairs")
     if not rest.isEmpty():
-        tops = _tops(links.unionByName(rest), listed)
-    for done in (rows, lists, arrays):
+        more = _counted(rest, firsts, texts, held, n, percent)
+        if not more.isEmpty():
+            tops = _tops(links.unionByName(more), held)
+    for done in (rows_of_two, lists):
         remove(done)
     named = held.join(tops, ["key", "size"], "left").where("held > 1 or component <> doc_id")
     named = written(named.select("key", "size", F.coalesce("component", "doc_id").alias("component")), "components")
