@@ -380,7 +380,8 @@ def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: st
 def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int) -> DataFrame:
     """Bundles of parallel tables, unit-converted and not, with a label across the tables.
 
-    The first table of a sample keeps its unit, as the question names it.
+    The first table of a sample keeps its unit, as the question names it. A bundle with a table that no unit converts
+    has no converted variant, so every text holds all tables that its label was computed from.
     """
     cells = sampled_cells(rel, table, columns, value, 1, "parallel", seed)
     placed = materialise(parallel_labels(cells, table, value), "placed")
@@ -388,9 +389,10 @@ def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str
     keep = (F.col("place") > 0) | (F.col("variant") == "not_unit_converted")
     shown = placed.select(table, "bundle_id", "place").join(pages, table).filter(keep)
     first = shown.filter("place = 0").withColumn("variant", F.lit("unit_converted"))
-    texts = multitable_text(
-        shown.unionByName(first).withColumn("_k", F.concat_ws("|", "bundle_id", "variant")), "_k", "place", "html"
-    )
+    shown = shown.unionByName(first).withColumn("_k", F.concat_ws("|", "bundle_id", "variant"))
+    tables = F.element_at(F.split("bundle_id", "-"), -1).cast("int")
+    whole = shown.groupBy("_k", "bundle_id").agg(F.count_distinct("place").alias("_n")).filter(F.col("_n") == tables).select("_k")
+    texts = multitable_text(shown.join(whole, "_k"), "_k", "place", "html")
     key = F.split("_k", r"\|")
     texts = texts.select(key[0].alias("bundle_id"), key[1].alias("perturbation"), "text")
     return parallel_answers(placed).join(texts, "bundle_id").withColumn(

@@ -344,11 +344,7 @@ def candidate_presence(df: DataFrame, candidates, value: str) -> DataFrame:
 
     def ids(side):
         window = Window.partitionBy("candidate").orderBy(side)
-        # beyond the guard a candidate is dropped, so 201 ids per candidate are enough
-        distinct = cells.select("candidate", side).distinct()
-        return distinct.withColumn(f"{side}_id", F.row_number().over(window)).filter(
-            F.col(f"{side}_id") <= MAX_PAIR_IDS + 1
-        )
+        return cells.select("candidate", side).distinct().withColumn(f"{side}_id", F.row_number().over(window))
 
     return (
         cells.join(ids("r"), ["candidate", "r"])

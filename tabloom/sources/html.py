@@ -65,6 +65,8 @@ def replace_tables(text: Column, tables: Column) -> Column:
 
 _ROW, _CELL = re.compile(ROW), re.compile(CELL)
 _INNER_TAG = re.compile(r"<[^>]*>")
+#: Largest spans that the HTML standard allows.
+_MOST = {"rowspan": 65534, "colspan": 1000}
 _SPAN = {name: re.compile(rf"""(?i)\b{name}\s*=\s*["']?(\d+)""") for name in ("rowspan", "colspan")}
 
 
@@ -85,7 +87,7 @@ def _place(table_html: str) -> list[tuple]:
             while (r, col) in grid:
                 col += 1
             down, right = (
-                max(int(found.group(1)), 1) if (found := _SPAN[name].search(attributes)) else 1
+                min(max(int(found.group(1)), 1), _MOST[name]) if (found := _SPAN[name].search(attributes)) else 1
                 for name in ("rowspan", "colspan")
             )
             entry = (source, kind.lower() == "th", _cell_text(inner))
@@ -123,7 +125,7 @@ def html_cells(df: DataFrame, keys: list[str], html: str) -> DataFrame:
         for batch in batches:
             out, repeats = [], []
             for text in batch[html]:
-                cells = _place(text)
+                cells = _place(text) if isinstance(text, str) else []  # a missing page has no cells
                 top = _depth(cells, 0)
                 left = _depth([c for c in cells if c[0] >= top], 1)
                 out.extend((top, left, *c) for c in cells)

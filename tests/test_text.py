@@ -97,3 +97,11 @@ def test_tolerant_mode_is_per_dataset(spark):
     assert {(r.d, r.p): r.match for r in got} == {
         ("n", "12.001"): True, ("n", "none"): False, ("t", "Yes."): True, ("t", "No - 3"): False,
     }
+
+
+def test_missing_pages_and_wide_spans_give_bounded_cells(spark):
+    from tabloom.sources.html import html_cells
+
+    wide = "<table><tr><td colspan='900000000'>x</td></tr></table>"
+    rows = html_cells(spark.createDataFrame([(1, None), (2, wide)], "k long, html string"), ["k"], "html").collect()
+    assert len(rows) == 1000 and {r.k for r in rows} == {2}
