@@ -352,15 +352,15 @@ def parallel_labels(cells: DataFrame, table: str, value: str, per_sample: int =
     return complete_bundles(single, "sample_id", "place")
 
 
-def parallel_answers(placed: DataFrame) -> DataFrame:
+def parallel_answers(placed: DataFrame, seed: int = 42) -> DataFrame:
     """Label per bundle and method across its tables."""
-    return multitable(placed, "bundle_id", "place", "label", ["superlative", "sum", "average"])
+    return multitable(placed, "bundle_id", "place", "label", ["superlative", "sum", "average"], seed)
 
 
 def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int, units: DataFrame) -> DataFrame:
     """HTML of every table as it is and with its values in another unit: ``(table, variant, html)``."""
     texts = spread(rel, "row_id").withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
-    changed = convert_tables(texts, units, table, "shown", "unit", seed).withColumn(
+    changed = convert_tables(texts, units, table, "shown", "unit", seed).filter("reason IS NULL").withColumn(
         "shown", F.concat_ws(" ", plain(F.col("converted"), 12), "to_unit", F.lit(unit))
     )
     both = (
@@ -395,7 +395,7 @@ def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str
     texts = multitable_text(shown.join(whole, "_k"), "_k", "place", "html")
     key = F.split("_k", r"\|")
     texts = texts.select(key[0].alias("bundle_id"), key[1].alias("perturbation"), "text")
-    return parallel_answers(placed).join(texts, "bundle_id").withColumn(
+    return parallel_answers(placed, seed).join(texts, "bundle_id").withColumn(
         "num_tables", F.element_at(F.split("bundle_id", "-"), -1).cast("int")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from tabloom.sources.tables import load
 
 # Fixed values.
 BUNDLE_SIZES = [2, 3, 5, 10, 20]
-MAX_PRODUCT = 20_000
 
 
 def sales_enriched(spark, sf_dir: str) -> DataFrame:
@@ -64,24 +64,31 @@ def column_to_vary(rel: DataFrame, fixed: DataFrame, table: str, columns: Sequen
     )
 
 
-def first_matches(df: DataFrame, keys: Sequence[str], row_key: str, selector: Column) -> DataFrame:
-    """First selected row per key, found by a map-side aggregate."""
-    return df.filter(selector).groupBy(*keys).agg(F.min(row_key).alias("right_key"))
-
-
 def inter_row_links(df: DataFrame, keys: Sequence[str], row_key: str, left: Column, right: Column) -> DataFrame:
-    """Left rows linked to the first right row with the same key; other right rows are ambiguous."""
-    lefts = df.filter(left).select(*keys, F.col(row_key).alias("left_key"))
-    firsts = first_matches(df, keys, row_key, right)
-    links = lefts.join(firsts, list(keys)).select("left_key", "right_key", F.lit("link").alias("state"))
-    linked = firsts.join(lefts.select(*keys).distinct(), list(keys), "left_semi")
-    extra = (
-        df.filter(right)
-        .join(linked, list(keys))
-        .filter(F.col(row_key) != F.col("right_key"))
-        .select(F.lit(None).cast("string").alias("left_key"), F.col(row_key).alias("right_key"), F.lit("ambiguous").alias("state"))
+    """Left rows linked to the first right row with equal keys; other right rows of such keys are ambiguous.
+
+    Null keys are equal to each other. A condition that is null does not hold. One aggregate finds the first right row
+    of each key, and whether any left row needs it; the selected rows meet it in one join.
+    """
+    sides = df.select(*keys, F.col(row_key).alias("_row"), F.coalesce(left, F.lit(False)).alias("_left"), F.coalesce(right, F.lit(False)).alias("_right"))
+    sides = sides.filter("_left or _right")
+    firsts = (
+        sides.groupBy(*keys)
+        .agg(F.min(F.when(F.col("_right"), F.col("_row"))).alias("_first"), F.bool_or("_left").alias("_wanted"))
+        .filter("_wanted and _first is not null")
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
     )
-    return links.unionByName(extra)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    none = F.lit(None).cast(df.schema[row_key].dataType)
+    roles = F.array(
+        F.when(F.col("_left"), F.struct(F.col("_row").alias("left_key"), F.col("_first").alias("right_key"), F.lit("link").alias("state"))),
+        F.when(
+            F.col("_right") & (F.col("_row") != F.col("_first")),
+            F.struct(none.alias("left_key"), F.col("_row").alias("right_key"), F.lit("ambiguous").alias("state")),
+        ),
+    )
+    found = sides.join(firsts, same).select(F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
+    return found.select("r.left_key", "r.right_key", "r.state")
 
 
 def fk_chain(spark, sf_dir: str, seed: int) -> DataFrame:
@@ -136,12 +143,21 @@ def fanout(df: DataFrame, **grid: Sequence[str]) -> DataFrame:
     return df
 
 
-def domain_product(specs: DataFrame, domains: dict[str, str], limit: int = MAX_PRODUCT) -> DataFrame:
-    """All combinations of the listed domains per spec; products above the limit are left out."""
-    size = F.lit(1)
-    for column in domains.values():
-        size = size * F.size(column)
-    out = specs.filter(size <= limit)
+def product_size(domains: dict[str, str]) -> Column:
+    return reduce(lambda a, b: a * b, [F.size(c).cast("long") for c in domains.values()], F.lit(1))
+
+
+def refused_products(specs: DataFrame, domains: dict[str, str], limit: int) -> DataFrame:
+    """The specs that ``domain_product`` leaves out for a limit, with the size that is too large."""
+    return specs.withColumn("combinations", product_size(domains)).filter(F.col("combinations") > limit)
+
+
+def domain_product(specs: DataFrame, domains: dict[str, str], limit: int | None = None) -> DataFrame:
+    """All combinations of the listed domains per spec; with a ``limit``, only of specs whose product is within it.
+
+    ``refused_products`` lists the others.
+    """
+    out = specs if limit is None else specs.filter(product_size(domains) <= limit)
     for name, column in domains.items():
         out = out.withColumn(name, F.explode(column))
     return out

@@ -101,11 +101,11 @@ def reduced(cells: DataFrame, table: str, value: str, method: str, seed: int = 4
     )
 
 
-def multitable(labels: DataFrame, sample: str, position: str, value: str, methods=MULTI_METHODS) -> DataFrame:
+def multitable(labels: DataFrame, sample: str, position: str, value: str, methods=MULTI_METHODS, seed: int = 42) -> DataFrame:
     """One label per sample and method from the labels of its tables.
 
     ``value`` is the label text; a sample with a label that is not a number is dropped, and so is
-    a percentage with a zero base.
+    a percentage with a zero base.  Each sample draws its comparison and its extreme, given in ``op``.
     """
     number = F.regexp_replace(F.col(value), ",", "").try_cast("double")
     numbered = labels.withColumn("_x", number)
@@ -115,13 +115,18 @@ def multitable(labels: DataFrame, sample: str, position: str, value: str, method
         F.max(F.when(F.col(position) == 0, F.col("_x"))).alias("a"),
         F.max(F.when(F.col(position) == 1, F.col("_x"))).alias("b"),
         F.max("_x").alias("hi"),
+        F.min("_x").alias("lo"),
         F.sum(F.col("_x").cast("decimal(18,6)")).cast("double").alias("total"),
     )
     method = F.col("method")
     pair = F.col("n") == 2
+    op = (
+        F.when(method == "comparative", pick(seed, "multi-comparison", COMPARISONS, sample))
+        .when(method == "superlative", pick(seed, "multi-extreme", EXTREMES, sample))
+    )
     label = (
-        F.when((method == "comparative") & pair, yes_no(F.col("a") > F.col("b")))
-        .when(method == "superlative", plain(F.col("hi")))
+        F.when((method == "comparative") & pair, yes_no(compare(F.col("op"), F.col("a"), F.col("b"))))
+        .when(method == "superlative", plain(F.when(F.col("op") == "MAX", F.col("hi")).otherwise(F.col("lo"))))
         .when(method == "sum", plain(F.col("total")))
         .when(method == "average", plain(F.col("total") / F.col("n")))
         .when((method == "percentage_change") & pair, plain(percentage_change(F.col("a"), F.col("b"))))
@@ -129,7 +134,8 @@ def multitable(labels: DataFrame, sample: str, position: str, value: str, method
     return (
         agg.filter("numeric")
         .withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-        .select(sample, "method", label.alias("label"))
+        .withColumn("op", op)
+        .select(sample, "method", "op", label.alias("label"))
         .filter("label IS NOT NULL")
     )
 

@@ -6,15 +6,13 @@ the row key, so they are the same on any cluster.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import plain
-from tabloom.functions.sampling import digest, pick, pick_int, uniform
+from tabloom.functions.sampling import digest, pick, pick_int, uniform, unit_interval
 from tabloom.operators.ranking import SLICES, first_rows, hash_ranked, top_rows
 from tabloom.operators.units import NULL_TOKENS
 from tabloom.session import materialise
@@ -237,32 +235,36 @@ def add_notes(
     return changed.unionByName(rest)
 
 
-def _swap_or_insert(text: str, seed: str, strength: int) -> str:
-    """Swap neighbouring non-digits, or put invisible characters between them; digits stay in order."""
-    rng = random.Random(seed)
-    if not text:
-        return rng.choice(INVISIBLE)
-    free = [not ch.isdigit() for ch in text]
-    gaps = [i for i in range(1, len(text)) if free[i - 1] and free[i]]
-    if rng.random() < 0.5 and sum(free) > 1:
-        chars = list(text)
-        for _ in range(rng.randint(1, 2)):
-            for i in rng.sample(gaps, len(gaps) * strength // 100):
-                chars[i - 1], chars[i] = chars[i], chars[i - 1]
-        return "".join(chars)
-    spots = set(rng.sample(gaps, max(1, len(gaps) * strength // 100))) if gaps else {len(text)}
-    out = [(rng.choice(INVISIBLE) if i in spots else "") + ch for i, ch in enumerate(text)]
-    return "".join(out) + (rng.choice(INVISIBLE) if len(text) in spots else "")
-
-
 def noisy(text: Column, seed: Column, strength: Column) -> Column:
-    """Noise for short texts, in Arrow batches."""
+    """Noise for short texts: neighbours change places, or invisible characters go between them.
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series, seeds: pd.Series, strengths: pd.Series) -> pd.Series:
-        return pd.Series([_swap_or_insert(t, s, n) for t, s, n in zip(texts, seeds, strengths)])
-
-    return apply(text, seed, strength)
+    Digits are never touched, so numbers keep their order. ``seed`` is a digest per text; the gaps between two
+    non-digits are ranked by digests of it, and ``strength`` percent of them are used, of swaps in one or two rounds. An empty text becomes an invisible character; null stays.
+    """
+    chars = F.split(text, "")
+    size = F.size(chars)
+    plain_at = lambda i: ~F.get(chars, i).rlike(r"^\p{Nd}$")
+    gaps = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i > 0) & plain_at(i - 1) & plain_at(i))
+    share = F.floor(F.size(gaps) * strength / 100).cast("int")
+
+    def spots(n: Column, draw: str) -> Column:
+        ranked = F.array_sort(F.transform(gaps, lambda i: F.struct(F.md5(F.concat_ws("|", seed, F.lit(draw), i)).alias("h"), i.alias("i"))))
+        return F.transform(F.slice(ranked, F.lit(1), n), lambda g: g["i"])
+
+    def swapped(have: Column, i: Column) -> Column:
+        return F.transform(have, lambda c, j: F.when(j == i, F.get(have, i - 1)).when(j == i - 1, F.get(have, i)).otherwise(c))
+
+    def invisible(i: Column) -> Column:
+        which = F.floor(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("sign"), i))) * len(INVISIBLE)).cast("int")
+        return F.get(F.array(*[F.lit(c) for c in INVISIBLE]), which)
+
+    again = F.when(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("rounds")))) < 0.5, share).otherwise(0)
+    moved = F.array_join(F.aggregate(F.concat(spots(share, "gap"), spots(again, "second")), chars, swapped), "")
+    at = spots(F.greatest(share, F.lit(1)), "gap")
+    filled = F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.concat(invisible(i), c)).otherwise(c)), "")
+    swaps = (unit_interval(F.md5(F.concat_ws("|", seed, F.lit("kind")))) < 0.5) & (share > 0)
+    at_end = F.concat(text, invisible(size))
+    return F.when(F.length(text) == 0, invisible(F.lit(0))).when(F.size(gaps) == 0, at_end).when(swaps, moved).otherwise(filled)
 
 
 def typos(cells: DataFrame, table: str, seed: int, strength: int | str = 20, slices: int = SLICES) -> DataFrame:

@@ -25,7 +25,6 @@ MIN_SIDE = 3
 MIN_DENSITY = 0.95
 MAX_SIDE_ATTRIBUTES = 4
 MAX_ESTIMATED_CELLS = 20_000
-MAX_TRIES = 1000
 MAX_PAIR_IDS = 200
 SHRINK_RANGE = (2, 10)
 
@@ -111,15 +110,15 @@ def _densities(df: DataFrame, group: Sequence[str], splits: Sequence[tuple[Seque
     return counted.withColumn("density", F.col("filled") / (F.col("pivot_rows") * F.col("pivot_columns")))
 
 
-def splits_of(attributes: Sequence[str]) -> list[tuple[list[str], list[str]]]:
-    """Row/column splits, most column attributes first, at most ``MAX_TRIES``."""
+def splits_of(attributes: Sequence[str], most: int | None = None) -> list[tuple[list[str], list[str]]]:
+    """All row/column splits, most column attributes first; with ``most`` only those with at most so many of these."""
     found = []
-    for size in range(MAX_SIDE_ATTRIBUTES, 0, -1):
+    for size in range(min(most or len(attributes), len(attributes)), 0, -1):
         for cols in combinations(attributes, size):
             rows = [c for c in attributes if c not in cols]
             if rows:
                 found.append((rows, list(cols)))
-    return found[:MAX_TRIES]
+    return found
 
 
 def split_search(df: DataFrame, group: Sequence[str], attributes: Sequence[str], seed: int) -> DataFrame:
@@ -255,34 +254,42 @@ def shrink(cells: DataFrame, table: str, seed: int, low: int = SHRINK_RANGE[0],
 
 
 def _trim(presence: np.ndarray, low: int, high: int):
-    """Drop the sparsest line until both sides fit, then while that raises the density."""
-    rows, cols = np.arange(presence.shape[0]), np.arange(presence.shape[1])
+    """Drop the sparsest line until both sides fit, then while that raises the density.
+
+    Filled cells are counted per line once; a removed line is subtracted from the counts of the other side.
+    """
     if min(presence.shape) < low:
         return None
-
-    def sparsest(axis):
-        fill = presence[np.ix_(rows, cols)].mean(axis=1 - axis)
-        at = int(fill.argmin())
-        return fill[at], at
-
-    def without(axis, at):
-        return (np.delete(rows, at), cols) if axis == 0 else (rows, np.delete(cols, at))
-
-    while len(rows) > high or len(cols) > high:
-        options = [(*sparsest(axis), axis) for axis, side in ((0, rows), (1, cols)) if len(side) > high]
-        _, at, axis = min(options, key=lambda o: (o[0], o[2]))
-        rows, cols = without(axis, at)
-    while True:
-        base = presence[np.ix_(rows, cols)].mean()
-        options = []
-        for axis, side in ((0, rows), (1, cols)):
-            if len(side) > low:
-                r, c = without(axis, sparsest(axis)[1])
-                options.append((presence[np.ix_(r, c)].mean() - base, -axis, r, c))
-        gains = [o for o in options if o[0] > 0]
-        if not gains:
-            return rows, cols
-        _, _, rows, cols = max(gains, key=lambda o: (o[0], o[1]))
+    filled = [presence.sum(1, dtype=np.int64), presence.sum(0, dtype=np.int64)]
+    alive = [np.arange(n) for n in presence.shape]
+    total = int(filled[0].sum())
+
+    def weakest(axis):
+        """Place of the sparsest line of a side, and its filled cells."""
+        at = int(filled[axis][alive[axis]].argmin())
+        return at, int(filled[axis][alive[axis][at]])
+
+    def drop(axis, at, cells):
+        line = alive[axis][at]
+        alive[axis] = np.delete(alive[axis], at)
+        filled[1 - axis] -= presence[line] if axis == 0 else presence[:, line]
+        return total - cells
+
+    def density(cells, axis=None):
+        rows, cols = (len(alive[side]) - (axis == side) for side in (0, 1))
+        return cells / (rows * cols)
+
+    while wide := [axis for axis in (0, 1) if len(alive[axis]) > high]:
+        found = {axis: weakest(axis) for axis in wide}
+        axis = min(wide, key=lambda x: (found[x][1] / len(alive[1 - x]), x))
+        total = drop(axis, *found[axis])
+    while free := [axis for axis in (0, 1) if len(alive[axis]) > low]:
+        found = {axis: weakest(axis) for axis in free}
+        axis = max(free, key=lambda x: (density(total - found[x][1], x), -x))
+        if density(total - found[axis][1], axis) <= density(total):
+            break
+        total = drop(axis, *found[axis])
+    return alive[0], alive[1]
 
 
 def trim_dense(presence: DataFrame, group: str, low: int, high: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,12 +97,17 @@ def names(units: DataFrame) -> DataFrame:
     return named.groupBy("domain", "name").agg(F.max_by(entry, "ordinal").alias("entry"))
 
 
+def sized(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A frame made from a unit table, to be broadcast if it is counted to be small; a larger one is joined as usual."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def lookup(df: DataFrame, units: DataFrame, source: str = "from_unit", target: str = "to_unit") -> DataFrame:
     """Resolve both units of a row; rows whose units differ in kind or lack a factor are not convertible."""
     found = names(units)
     for column, prefix in ((source, "f"), (target, "t")):
         side = found.select("domain", F.col("name").alias(column), F.col("entry").alias(f"_{prefix}"))
-        df = df.join(F.broadcast(side), ["domain", column], "left")
+        df = df.join(sized(side), ["domain", column], "left")
     same = F.col("_f.kind") == F.col("_t.kind")
     usable = same & F.col("_f.factor").isNotNull() & F.col("_t.factor").isNotNull()
     return df.select(
@@ -116,18 +121,22 @@ def lookup(df: DataFrame, units: DataFrame, source: str = "from_unit", target: s
     )
 
 
-def converted(value: Column) -> Column:
-    return (value * F.col("f1") + F.col("o1") - F.col("o2")) / F.col("f2")
+def converted(value: Column, factor: Callable[[str], Column] = F.col) -> Column:
+    return (value * factor("f1") + factor("o1") - factor("o2")) / factor("f2")
+
+
+def scale_of(text: Column) -> Column:
+    """Ten to the decimals of a number as it is written."""
+    return F.pow(F.lit(10.0), decimals_in(text))
 
 
-def roundtrip_decimals(value: Column, text: Column) -> Column:
-    """Fewest decimals of the converted value that convert back to the value; -1 if none do."""
-    there = converted(value)
-    scale = F.pow(F.lit(10.0), decimals_in(text))
+def roundtrip_decimals(value: Column, scale: Column, factor: Callable[[str], Column] = F.col) -> Column:
+    """Fewest decimals of the converted value that convert back to the value at its ``scale``; -1 if none do."""
+    there = converted(value, factor)
     fewest = F.lit(-1)
     for i in range(MAX_DECIMALS, -1, -1):
         rounded = F.rint(there * F.lit(10.0**i)) / F.lit(10.0**i)
-        back = ((rounded * F.col("f2") + F.col("o2")) - F.col("o1")) / F.col("f1")
+        back = ((rounded * factor("f2") + factor("o2")) - factor("o1")) / factor("f1")
         fewest = F.when(F.rint(back * scale) == F.rint(value * scale), F.lit(i)).otherwise(fewest)
     return fewest
 
@@ -168,11 +177,11 @@ def random_targets(units: DataFrame) -> DataFrame:
 
 
 def random_target(df: DataFrame, units: DataFrame, unit: str, seed: int, op: str, *keys: str) -> DataFrame:
-    """Add a random convertible target and the unit the conversion starts from."""
+    """Add a random convertible target and the unit the conversion starts from; both null where there is none."""
     options = random_targets(units).withColumnRenamed("name", unit)
     index = F.floor(uniform(seed, op, *keys) * F.size("targets")).cast("int")
     return (
-        df.join(F.broadcast(options), ["domain", unit])
+        df.join(sized(options), ["domain", unit], "left")
         .withColumn("to_unit", F.get("targets", index))
         .drop("targets")
     )
@@ -202,26 +211,35 @@ def enrich_aliases(entries: DataFrame, codes: DataFrame, key: str, label: str, a
 
 
 def convert_tables(df: DataFrame, units: DataFrame, table: str, value: str, unit: str, seed: int, tries: int = 5) -> DataFrame:
-    """Convert whole tables, trying up to five random targets per table.
+    """Convert whole tables, trying up to ``tries`` random targets per table.
 
-    The first target whose every value converts back is used; the display precision is the largest
-    one needed.  Null tokens pass through.
+    The first target whose every value converts back is used; the display precision is the largest one needed.  Null
+    tokens pass through.  Rows of a table that no target converts stay, with null target and ``reason`` set.  Every row
+    meets all targets of its table at once, in one aggregate.
     """
-    tables = df.select(table, "domain", unit).distinct().withColumn("attempt", F.explode(F.array(*[F.lit(i) for i in range(tries)])))
+    attempts = F.explode(F.array(*[F.lit(i) for i in range(tries)]))
+    tables = df.select(table, "domain", unit).distinct().withColumn("attempt", attempts)
     targets = random_target(tables, units, unit, seed, "convert-table", table, "attempt")
-    resolved = lookup(targets, units, "surrogate", "to_unit").filter("convertible").select(
-        table, "attempt", "to_unit", "f1", "o1", "f2", "o2"
+    resolved = lookup(targets, units, "surrogate", "to_unit").filter("convertible")
+    parts = ("to_unit", "f1", "o1", "f2", "o2")
+    wide = resolved.groupBy(table).agg(
+        F.array(*[F.max(F.when(F.col("attempt") == i, F.struct(*parts))) for i in range(tries)]).alias("_targets")
     )
     number = F.col(value).try_cast("double")
-    needed = F.when(number.isNotNull(), roundtrip_decimals(number, F.col(value)))
+    # The values that convert back to a number depend on the number and its scale alone.
+    numbers = df.select(table, number.alias("_x"), scale_of(F.col(value)).alias("_scale")).filter("_x is not null").distinct()
+    needed = F.transform("_targets", lambda t: F.when(t.isNotNull(), roundtrip_decimals(F.col("_x"), F.col("_scale"), t.getField)))
     checked = (
-        df.select(table, value)
-        .join(resolved, table)
-        .groupBy(table, "attempt")
-        .agg(F.min(needed).alias("worst"), F.max(needed).alias("decimals"))
-        .filter("worst >= 0")
+        numbers.join(wide, table)
+        .select(table, needed.alias("_d"))
+        .groupBy(table)
+        .agg(*[f(F.get("_d", F.lit(i))).alias(f"_{name}{i}") for i in range(tries) for name, f in (("worst", F.min), ("most", F.max))])
     )
-    first = Window.partitionBy(table).orderBy("attempt")
-    chosen = checked.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn", "worst")
-    plan = chosen.join(resolved, [table, "attempt"])
-    return df.join(plan, table).withColumn("converted", converted(number)).drop("f1", "o1", "f2", "o2")
+    options = [
+        F.when(F.col(f"_worst{i}") >= 0, F.struct(F.col(f"_most{i}").alias("decimals"), F.get("_targets", F.lit(i)).alias("t")))
+        for i in range(tries)
+    ]
+    plan = checked.join(wide, table).select(table, F.coalesce(*options).alias("_plan"))
+    plan = plan.select(table, "_plan.decimals", *[F.col(f"_plan.t.{p}").alias(p) for p in parts])
+    found = df.join(plan, table, "left").withColumn("converted", converted(number))
+    return found.withColumn("reason", F.when(F.col("to_unit").isNull(), "no target converts the table")).drop(*parts[1:])

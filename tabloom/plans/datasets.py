@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import exact_avg, money, plain, sql_plain
-from tabloom.functions.sampling import digest
+from tabloom.functions.sampling import digest, sql_pick
 from tabloom.operators import datasets, joins, labels, questions, scoring, units, views
 from tabloom.operators.keys import unique_combinations
 from tabloom.operators.ranking import top_rows
@@ -37,15 +37,15 @@ def dataset_single_labels(spark, sf_dir):
 @query("dataset_parallel")
 def dataset_parallel(spark, sf_dir):
     made = datasets.parallel(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
-    return made.select("bundle_id", "num_tables", "method", "perturbation", "label", F.md5("text").alias("text_digest"))
+    return made.select("bundle_id", "num_tables", "method", "op", "perturbation", "label", F.md5("text").alias("text_digest"))
 
 
 @query("dataset_parallel_labels", f"""
 WITH {sql_cells("parallel", 1)}, lab AS (SELECT table_id // 20 AS sample_id, table_id % 20 AS place, CAST({sql_plain("price")} AS DOUBLE) AS x FROM cells WHERE rn = 1),
 b AS (SELECT sample_id || '-' || size AS bundle_id, size, x FROM lab JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON place < size),
-g AS (SELECT bundle_id, max(x) AS hi, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS total, count(*) AS n FROM b GROUP BY bundle_id, size HAVING count(*) = size)
-SELECT bundle_id, 'superlative' AS method, {sql_plain("hi")} AS label FROM g
-UNION ALL SELECT bundle_id, 'sum', {sql_plain("total")} FROM g UNION ALL SELECT bundle_id, 'average', {sql_plain("total / n")} FROM g
+g AS (SELECT bundle_id, {sql_pick(42, 'multi-extreme', labels.EXTREMES, 'bundle_id')} AS ext, max(x) AS hi, min(x) AS lo, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS total, count(*) AS n FROM b GROUP BY bundle_id, size HAVING count(*) = size)
+SELECT bundle_id, 'superlative' AS method, ext AS op, CASE WHEN ext = 'MAX' THEN {sql_plain("hi")} ELSE {sql_plain("lo")} END AS label FROM g
+UNION ALL SELECT bundle_id, 'sum', NULL, {sql_plain("total")} FROM g UNION ALL SELECT bundle_id, 'average', NULL, {sql_plain("total / n")} FROM g
 """)
 def dataset_parallel_labels(spark, sf_dir):
     cells = labels.sampled_cells(order_tables(spark, sf_dir), "table_id", TUPLE, "price", 1, "parallel")

@@ -137,15 +137,18 @@ WITH {sql_cells("extractive", 1)}, lab AS (
   SELECT table_id // 2 AS sample_id, table_id % 2 AS pos, CAST({sql_plain("price")} AS DOUBLE) AS x
   FROM cells WHERE rn = 1),
 agg AS (SELECT sample_id, count(*) AS n, max(x) FILTER (WHERE pos = 0) AS a, max(x) FILTER (WHERE pos = 1) AS b,
-  max(x) AS hi, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS total FROM lab GROUP BY sample_id)
+  max(x) AS hi, min(x) AS lo, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS total FROM lab GROUP BY sample_id),
+ops AS (SELECT *, {sql_pick(42, "multi-comparison", labels.COMPARISONS, "sample_id")} AS cmp,
+  {sql_pick(42, "multi-extreme", labels.EXTREMES, "sample_id")} AS ext FROM agg)
 SELECT * FROM (
-  SELECT sample_id, 'comparative' AS method, CASE WHEN n = 2 THEN CASE WHEN a > b THEN 'yes' ELSE 'no' END END AS label
-  FROM agg
-  UNION ALL SELECT sample_id, 'superlative', {sql_plain("hi")} FROM agg
-  UNION ALL SELECT sample_id, 'sum', {sql_plain("total")} FROM agg
-  UNION ALL SELECT sample_id, 'average', {sql_plain("total / n")} FROM agg
-  UNION ALL SELECT sample_id, 'percentage_change',
-    CASE WHEN n = 2 THEN {sql_plain("(a - b) * 100.0::DOUBLE / nullif(b, 0.0)")} END FROM agg)
+  SELECT sample_id, 'comparative' AS method, cmp AS op, CASE WHEN n = 2 THEN CASE WHEN CASE cmp WHEN '>' THEN a > b
+    WHEN '<' THEN a < b WHEN '=' THEN a = b WHEN '>=' THEN a >= b ELSE a <= b END THEN 'yes' ELSE 'no' END END AS label
+  FROM ops
+  UNION ALL SELECT sample_id, 'superlative', ext, CASE WHEN ext = 'MAX' THEN {sql_plain("hi")} ELSE {sql_plain("lo")} END FROM ops
+  UNION ALL SELECT sample_id, 'sum', NULL, {sql_plain("total")} FROM ops
+  UNION ALL SELECT sample_id, 'average', NULL, {sql_plain("total / n")} FROM ops
+  UNION ALL SELECT sample_id, 'percentage_change', NULL,
+    CASE WHEN n = 2 THEN {sql_plain("(a - b) * 100.0::DOUBLE / nullif(b, 0.0)")} END FROM ops)
 WHERE label IS NOT NULL
 """)
 def label_multitable(spark, sf_dir):

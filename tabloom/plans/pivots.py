@@ -324,10 +324,8 @@ SELECT 'kept' AS part, table_id, row_path FROM kept UNION ALL SELECT 'candidate'
 """)
 def set_difference_keys(spark, sf_dir):
     cells = text_paths(wide_cells(spark, sf_dir))
-    keys = cells.select("table_id", "row_path").distinct()
-    kept = keys.intersect(cells.filter("needed").select("table_id", "row_path"))
-    candidates = keys.exceptAll(kept)
-    return kept.withColumn("part", F.lit("kept")).unionByName(candidates.withColumn("part", F.lit("candidate")))
+    part = F.when(F.bool_or(F.coalesce("needed", F.lit(False))), "kept").otherwise("candidate")
+    return cells.groupBy("table_id", "row_path").agg(part.alias("part"))
 
 
 @query("pair_presence", f"""

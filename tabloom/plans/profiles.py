@@ -53,16 +53,15 @@ SELECT r.col AS row_attribute, c.col AS column_attribute, r.distinct_values * c.
 FROM axis r JOIN axis c ON r.col < c.col
 """)
 def cartesian_estimate(spark, sf_dir):
-    stats = profile.axis_candidates(load(spark, sf_dir, "lineitem"), LINE_COLUMNS).select(
-        F.lit("lineitem").alias("relation"), "col", "distinct_values"
-    )
-    rows = stats.select("relation", F.col("col").alias("row_attribute"), F.col("distinct_values").alias("dr"))
-    cols = stats.select("relation", F.col("col").alias("column_attribute"), F.col("distinct_values").alias("dc"))
-    cells = F.col("dr") * F.col("dc")
-    return (
-        rows.join(cols, "relation")
-        .filter("row_attribute < column_attribute")
-        .select("row_attribute", "column_attribute", cells.alias("cells"), (cells <= 20000).alias("within_guard"))
+    """Estimated pivot size of every pair of axis columns; a relation's profile has one row per column."""
+    stats = profile.axis_candidates(load(spark, sf_dir, "lineitem"), LINE_COLUMNS)
+    listed = stats.agg(F.collect_list(F.struct("col", "distinct_values")).alias("axes"))
+    rows = listed.select("axes", F.explode("axes").alias("r"))
+    pairs = rows.select("r", F.explode(F.filter("axes", lambda c: c["col"] > F.col("r")["col"])).alias("c"))
+    cells = F.col("r.distinct_values") * F.col("c.distinct_values")
+    return pairs.select(
+        F.col("r.col").alias("row_attribute"), F.col("c.col").alias("column_attribute"), cells.alias("cells"),
+        (cells <= 20000).alias("within_guard"),
     )
 
 

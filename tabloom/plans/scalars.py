@@ -355,17 +355,15 @@ def decimal_places_of_first(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("user_id").agg(first.cast("long").alias("decimals"))
 
 
-PROMPT = """Answer the question given the table.
-Question: {question}
-Table:
+PROMPT = """Data below, question after it. Give the value only.
 {table}
-
-Let's think step-by-step. """
+==
+{question}"""
 
 
 @query("prompt_render", """
-SELECT conv_id, turn, md5('Answer the question given the table.' || chr(10) || 'Question: ' || role || chr(10) || 'Table:' || chr(10) ||
-  text || chr(10) || chr(10) || 'Let''s think step-by-step. ') AS prompt FROM conversations
+SELECT conv_id, turn, md5('Data below, question after it. Give the value only.' || chr(10) || text || chr(10) || '==' || chr(10) || role) AS prompt
+FROM conversations
 """)
 def prompt_render(spark, sf_dir):
     prompt = text.render_template(PROMPT, question=F.col("role"), table=F.col("text"))

@@ -155,7 +155,7 @@ def render_multitable_doc(spark, sf_dir):
 
 
 @query("array_tables_source", f"""
-WITH {SQL_TEXTS} SELECT sample_id, 'orders_three' AS method, text, 0 AS queries, 0 AS constraints FROM texts
+WITH {SQL_TEXTS} SELECT sample_id, 'orders_three' AS method, text, '[]' AS queries, '[]' AS constraints FROM texts
 """)
 def array_tables_source(spark, sf_dir):
     """Samples that carry their tables as an array; queries and constraints are empty lists."""
@@ -166,7 +166,7 @@ def array_tables_source(spark, sf_dir):
     parts = F.transform("tables_html", lambda t, i: F.concat(F.lit("Table "), i.cast("string"), F.lit("\n\n"), t))
     return samples.select(
         "sample_id", F.concat_ws("_", F.lit("orders"), F.lit("three")).alias("method"), F.array_join(parts, "\n\n").alias("text"),
-        F.size(F.array()).alias("queries"), F.size(F.array()).alias("constraints"),
+        *[F.to_json(F.array().cast("array<string>")).alias(name) for name in ("queries", "constraints")],
     )
 
 

@@ -14,7 +14,7 @@ from tabloom.sources.tables import SQL_LINE_KEY, line_key, load
 
 
 @query("dense_fill", f"""
-WITH {SQL_SPECS}, b AS (SELECT *, unnest(brand_domain) AS brand FROM specs WHERE len(brand_domain) * len(type_domain) <= 20000),
+WITH {SQL_SPECS}, b AS (SELECT *, unnest(brand_domain) AS brand FROM specs),
 g AS (SELECT *, unnest(type_domain) AS type FROM b),
 c AS (SELECT *, CAST(round(price_lo * 100) AS BIGINT) AS lo, CAST(round(price_hi * 100) AS BIGINT) AS hi FROM g)
 SELECT table_id, brand, type, least(lo + CAST(floor({sql_uniform(41, "fill", "table_id", "brand", "type")} * (hi - lo + 1)) AS BIGINT), hi) / 100.0::DOUBLE AS value FROM c

@@ -73,7 +73,7 @@ def units_dimension(spark, sf_dir):
     """How many values are measured in each unit of the dimension."""
     found = units.names(units.dimension(spark)).select("domain", F.col("name").alias("from_unit"), F.col("entry.kind").alias("kind"))
     counts = measured(spark, sf_dir).groupBy("domain", "from_unit").agg(F.count(F.lit(1)).alias("measurements"))
-    return counts.join(F.broadcast(found), ["domain", "from_unit"]).select("domain", "kind", "from_unit", "measurements")
+    return counts.join(units.sized(found), ["domain", "from_unit"]).select("domain", "kind", "from_unit", "measurements")
 
 
 @query("unit_lookup_join", f"WITH {SQL_CONVERTED} SELECT event_id, kind, convertible, f1, o1, f2, o2 FROM r")
@@ -98,7 +98,7 @@ WITH {SQL_CONVERTED} SELECT event_id, {sql_roundtrip("value", "CAST(value AS VAR
 def unit_roundtrip_decimals(spark, sf_dir):
     resolved = units.lookup(measured(spark, sf_dir), units.dimension(spark)).filter("convertible")
     return resolved.select(
-        "event_id", units.roundtrip_decimals(F.col("value"), F.col("value").cast("string")).alias("decimals")
+        "event_id", units.roundtrip_decimals(F.col("value"), units.scale_of(F.col("value").cast("string"))).alias("decimals")
     )
 
 
@@ -115,7 +115,7 @@ WITH {SQL_MEASURED}, {SQL_MEMBER} SELECT event_id, member.kind AS kind FROM m JO
 """)
 def unit_membership(spark, sf_dir):
     member = units.membership(units.dimension(spark)).withColumnRenamed("name", "to_unit")
-    return measured(spark, sf_dir).join(F.broadcast(member), ["domain", "to_unit"]).select("event_id", "kind")
+    return measured(spark, sf_dir).join(units.sized(member), ["domain", "to_unit"]).select("event_id", "kind")
 
 
 SQL_TARGETS = f"""{SQL_MEMBER}, wanted AS (SELECT domain, name,
@@ -129,7 +129,7 @@ targets AS (SELECT w.domain, w.name, w.surrogate, list_sort(list_distinct(flatte
 @query("unit_random_target", f"""
 WITH {SQL_MEASURED}, {SQL_TARGETS} SELECT event_id, from_unit, surrogate,
   targets[CAST(floor({sql_uniform(33, "target", "event_id")} * len(targets)) AS INTEGER) + 1] AS to_unit
-FROM m JOIN targets ON targets.domain = m.domain AND name = from_unit
+FROM m LEFT JOIN targets ON targets.domain = m.domain AND name = from_unit
 """)
 def unit_random_target(spark, sf_dir):
     rows = measured(spark, sf_dir).drop("to_unit")
@@ -194,16 +194,17 @@ chk AS (SELECT tab.table_id, attempt, min(d) AS worst, max(d) AS decimals FROM (
     SELECT tab.table_id, attempt, CASE WHEN TRY_CAST(shown AS DOUBLE) IS NOT NULL THEN {sql_roundtrip("TRY_CAST(shown AS DOUBLE)", "shown")} END AS d
     FROM tab JOIN res ON res.table_id = tab.table_id) tab GROUP BY ALL),
 ok AS (SELECT table_id, min(attempt) AS attempt FROM chk WHERE worst >= 0 GROUP BY table_id)
-SELECT event_id, tab.table_id, res.to_unit, chk.decimals, (TRY_CAST(shown AS DOUBLE) * f1 + o1 - o2) / f2 AS converted
-FROM tab JOIN ok ON ok.table_id = tab.table_id JOIN res ON res.table_id = ok.table_id AND res.attempt = ok.attempt
-JOIN chk ON chk.table_id = ok.table_id AND chk.attempt = ok.attempt
+SELECT event_id, tab.table_id, res.to_unit, chk.decimals, (TRY_CAST(shown AS DOUBLE) * f1 + o1 - o2) / f2 AS converted,
+  CASE WHEN res.to_unit IS NULL THEN 'no target converts the table' END AS reason
+FROM tab LEFT JOIN ok ON ok.table_id = tab.table_id LEFT JOIN res ON res.table_id = ok.table_id AND res.attempt = ok.attempt
+LEFT JOIN chk ON chk.table_id = ok.table_id AND chk.attempt = ok.attempt
 """)
 def convert_table_units(spark, sf_dir):
     rows = measured(spark, sf_dir).select(
         "event_id", F.concat_ws("-", "user_id", "from_unit").alias("table_id"), "domain", "from_unit", "shown"
     )
     return units.convert_tables(rows, units.dimension(spark), "table_id", "shown", "from_unit", 35).select(
-        "event_id", "table_id", "to_unit", "decimals", "converted"
+        "event_id", "table_id", "to_unit", "decimals", "converted", "reason"
     )
 
 

@@ -38,12 +38,15 @@ _local_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) falls back to a folder of its own.
+    A local session without that setting, as in tests, gets a folder of its own. A cluster has no such folder, so there
+    the setting must be there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         if not _local_dir:
             _local_dir.append(tempfile.mkdtemp(prefix="tabloom-"))
         configured = _local_dir[0]

@@ -5,13 +5,14 @@ import io
 import random
 from contextlib import redirect_stdout
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest
 from tabloom.functions.text import normalize_label
-from tabloom.operators import keys, locate, perturb, pivot, rules, units, views
+from tabloom.operators import joins, keys, locate, perturb, pivot, rules, units, views
 from tabloom.operators.ranking import hash_ranked, ordered_positions, top_rows
 from tabloom.sources import files, html
 
@@ -116,6 +117,51 @@ def test_trim_keeps_a_full_block(spark):
     assert got.density == 1.0 and set(got.row_ids) <= set(range(1, 7))
 
 
+def test_trim_is_the_greedy_rule():
+    def greedy(m, low, high):
+        rows, cols = list(range(m.shape[0])), list(range(m.shape[1]))
+
+        def fill(r, c):
+            return m[np.ix_(r, c)].sum() / (len(r) * len(c))
+
+        def shorter(axis):
+            if axis == 0:
+                return [r for r in rows if r != min(rows, key=lambda x: (fill([x], cols), x))], cols
+            return rows, [c for c in cols if c != min(cols, key=lambda x: (fill(rows, [x]), x))]
+
+        while len(rows) > high or len(cols) > high:
+            sides = [a for a, side in ((0, rows), (1, cols)) if len(side) > high]
+            least = {0: min(fill([x], cols) for x in rows), 1: min(fill(rows, [x]) for x in cols)}
+            rows, cols = shorter(min(sides, key=lambda a: (least[a], a)))
+        while sides := [a for a, side in ((0, rows), (1, cols)) if len(side) > low]:
+            best = max(sides, key=lambda a: (fill(*shorter(a)), -a))
+            if fill(*shorter(best)) <= fill(rows, cols):
+                break
+            rows, cols = shorter(best)
+        return rows, cols
+
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        m = (rng.random((rng.integers(2, 14), rng.integers(2, 14))) < rng.random()).astype(np.uint8)
+        got = pivot._trim(m, 3, 8)
+        assert got is None if min(m.shape) < 3 else [list(g) for g in got] == [list(g) for g in greedy(m, 3, 8)]
+
+
+def test_links_take_null_keys_as_equal(spark):
+    rows = [("a", 1, 1), ("b", 1, 2), ("c", 1, 2), ("d", None, 1), ("e", None, 2), ("f", 3, 2), ("g", 4, 1)]
+    df = spark.createDataFrame(rows, "row string, k int, line int")
+    got = joins.inter_row_links(df, ["k"], "row", F.col("line") == 1, F.col("line") == 2).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", "b", "link"), (None, "c", "ambiguous"), ("d", "e", "link")], key=str)
+
+
+def test_domain_product_names_what_it_refuses(spark):
+    df = spark.createDataFrame([("t", [1, 2], [1, 2, 3]), ("u", [1], [1])], "t string, a array<int>, b array<int>")
+    domains = {"x": "a", "y": "b"}
+    assert joins.domain_product(df, domains).count() == 7
+    assert joins.domain_product(df, domains, 5).count() == 1
+    assert [(r.t, r.combinations) for r in joins.refused_products(df, domains, 5).collect()] == [("t", 6)]
+
+
 def test_shrink_keeps_needed_cells(spark):
     cells = [("t", [str(r)], [str(c)], f"{r}-{c}", (r, c) in {(3, 4), (40, 17)}) for r in range(50) for c in range(20)]
     df = spark.createDataFrame(cells, "t string, row_path array<string>, col_path array<string>, value string, needed boolean")
@@ -189,13 +235,20 @@ def test_tables_in_text_and_back(spark):
 
 
 def test_typos_never_move_digits(spark):
-    texts = ["Net income 2021", "12.50 USD", "ab", "7", "", "cash & equivalents (2)"]
-    for strength in (20, 100):
-        for i in range(40):
-            for t in texts:
-                out = perturb._swap_or_insert(t, f"{i}", strength)
-                assert [c for c in out if c.isdigit()] == [c for c in t if c.isdigit()]
-                assert sorted(c for c in out if c not in perturb.INVISIBLE) == sorted(t)
+    texts = ["Net income 2021", "12.50 USD", "ab", "7", "", "cash & equivalents (2)", "a٣b", None]
+    rows = [(t, f"{i}", strength) for strength in (20, 100) for i in range(40) for t in texts]
+    df = spark.createDataFrame(rows, "t string, seed string, strength int")
+    kinds = set()
+    for r in df.withColumn("out", perturb.noisy(F.col("t"), F.col("seed"), F.col("strength"))).collect():
+        if r.t is None:
+            assert r.out is None
+            continue
+        seen = [c for c in r.out if c not in perturb.INVISIBLE]
+        assert [c for c in r.out if c.isdigit()] == [c for c in r.t if c.isdigit()]
+        assert sorted(seen) == sorted(r.t)
+        kinds.add((len(r.out) > len(r.t), "".join(seen) != r.t))
+        assert r.out != r.t or r.t in ("ab", "Net income 2021", "cash & equivalents (2)", "12.50 USD")
+    assert kinds >= {(True, False), (False, True)}
 
 
 def test_notes_and_nulls(spark):
