@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that driver and executors share; one of our own only where it is unset."""
+    """``spark.checkpoint.dir``, the folder that driver and executors share; one of our own only where a local session has none set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tabloom-llm-"))
         path = _own_dir[0]
