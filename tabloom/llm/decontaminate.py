@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Word n-grams of the test items are looked up in every document. Where an item's n-gram stands, the passage around it is
-kept, as digests of words. An n-gram seeds an alignment if it is rare among those found for its item, so that common
-phrases start none. Smith-Waterman alignment of passage and item then scores copies, edited or not.
+kept, as digests of words. Smith-Waterman alignment of passage and item then scores copies, edited or not; every passage
+is aligned, so what one document gets does not hang on the others.
 """
 
 from __future__ import annotations
@@ -176,12 +176,8 @@ def _block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     seeds = spark.sparkContext.broadcast(Seeds(known))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     found = written(texts.mapInArrow(_passages(seeds), PASSAGES), "passages")
-    counts = found.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    middle = counts.groupBy("item_id").agg(F.percentile("n", F.lit(0.5)).alias("middle"))
-    rare = counts.join(F.broadcast(middle), "item_id").where("n <= middle").groupBy("item_id").agg(F.collect_set("gram").alias("rare"))
     texts_of = spark.createDataFrame([(i, w.view(np.int64).tolist()) for i, w in known], "item_id long, item_words array<long>")
-    items_of = F.broadcast(texts_of.join(rare, "item_id"))  # at most BLOCK words
-    seeded = found.join(items_of, "item_id").where(F.arrays_overlap("grams", "rare"))
+    seeded = found.join(F.broadcast(texts_of), "item_id")  # at most BLOCK words
     return seeded.select("doc_id", "item_id", "word_start", "words", "item_words").mapInArrow(
         _scored, "doc_id long, item_id long, score double, word_end long"
     ).where(F.col("score") >= threshold)

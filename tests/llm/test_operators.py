@@ -285,6 +285,16 @@ def test_copies_of_test_items_are_found(spark, sf, odd, empty):
     assert exact <= pairs
 
 
+def test_copies_are_found_whatever_the_other_documents_hold(spark):
+    item = [f"word{i}" for i in range(20)]
+    edited = [f"edit{i}" if i in (5, 10, 15) else w for i, w in enumerate(item)]
+    rows = [(i, " ".join(edited)) for i in range(1000)] + [(1000 + i, " ".join(item)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {i: 0.775 if i < 1000 else 1.0 for i in range(1010)}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
