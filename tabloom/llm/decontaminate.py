@@ -1,12 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
+"""Benchmark decontamination: counted pairs of words as seeds, then local alignment.
 
-Word n-grams of the test items are looked up in every document. Where an item's n-gram stands, the passage around it is
-kept, as digests of words. Smith-Waterman alignment of passage and item then scores copies, edited or not; every passage
-is aligned, so what one document gets does not hang on the others.
+A seed is a pair of words that stand side by side, or with one word between them, in a test item and in a document. The
+threshold tells how many seeds within how many words an alignment must hold to reach it (see ``Seeds``); every passage
+with so many is aligned with the item by Smith-Waterman, and no other can hold a match. So copies are found however they
+are edited, and what one document gets does not hang on the others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, plain_text, slices, sums, table, words_of, written
+from .common import drop_ids, plain_text, ragged, slices, sums, table, words_of, written
 from .registry import query
 
-N = 4
-#: Words of test items whose n-grams are shipped to the workers at once; a larger benchmark is taken in blocks.
+#: Words of test items whose seeds are shipped to the workers at once; a larger benchmark is taken in blocks.
 BLOCK = 1_000_000
+#: Seeds of some texts that are counted at once; a text with more is counted alone.
+HITS = 4_000_000
+#: Cells of a row of the alignment table.
+CELLS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -44,81 +49,110 @@ def word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[kept], np.concatenate([[0], np.cumsum(sums(kept.astype(np.int64), bounds))])
 
 
-def gram_digests(words: np.ndarray, n: int) -> np.ndarray:
-    """Digest of each n consecutive words."""
-    total = np.full(max(len(words) - n + 1, 0), n, np.uint64)
-    for i in range(n if len(total) else 0):
-        total = (total ^ words[i : len(words) - n + 1 + i]) * _MIX[0]
-        total ^= total >> np.uint64(29)
-        total *= _MIX[1]
-    return total.view(np.int64)
+def pair_digests(words: np.ndarray, step: int) -> np.ndarray:
+    """Digest of each word and the one ``step`` places on; of the word alone for step 0."""
+    first, second = words[: max(len(words) - step, 0)], words[step:] if step else np.uint64(0)
+    total = first * _MIX[0]
+    total = ((total ^ (total >> np.uint64(29))) + second) * _MIX[1]
+    return total ^ (total >> np.uint64(31))
 
 
 class Seeds:
-    """N-grams of some test items: sorted digests, and the items that hold each."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        rows = []
-        for item, words in items:
-            n = min(N, len(words))
-            rows += [(n, g, item, len(words)) for g in np.unique(gram_digests(words, n)).tolist()]
-        self.of = {}
-        for n in {r[0] for r in rows}:
-            some = sorted(r[1:] for r in rows if r[0] == n)
-            grams, first = np.unique(np.array([r[0] for r in some], np.int64), return_index=True)
-            self.of[n] = (grams, np.append(first, len(some)), [r[1] for r in some], [r[2] for r in some])
-
-    def places(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, place of the n-gram among all words, its digest, item, words of the item)."""
-        for n, (grams, first, items, sizes) in self.of.items():
-            digests = gram_digests(words, n)
-            if not len(digests):
-                continue
-            at = np.minimum(np.searchsorted(grams, digests), len(grams) - 1)
-            hits = np.flatnonzero(grams[at] == digests)
-            text = np.searchsorted(bounds, hits, "right") - 1
-            inside = hits + n <= bounds[text + 1]
-            for place, t, g in zip(hits[inside].tolist(), text[inside].tolist(), at[hits[inside]].tolist(), strict=True):
-                for k in range(first[g], first[g + 1]):
-                    yield t, place, int(grams[g]), items[k], sizes[k]
-
-
-PASSAGES = "doc_id long, item_id long, word_start long, grams array<long>, words array<long>"
-
-
-def _passages(seeds):
-    """Passages around the n-grams of one item; hits farther apart than an item's length make passages of their own."""
+    """Pairs of words of some test items, and how many of them a passage must hold.
+
+    An alignment of k matches and e edits scores 2 k - e (see MATCH, MISMATCH and GAP), and must reach ``need``. Between
+    two matches that are more than two words apart, in item or passage, lie at least two edits; so at most
+    k - need / 2 of its k - 1 steps from match to match are such, and at least need / 2 - 1 others are seeds, each at a
+    place of its own. It takes up at most k + e <= 3 k - need words. Where one match will do, each word is a seed.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+        self.items = items
+        sizes = np.array([len(words) for _, words in items])
+        need = np.array([math.ceil(MATCH * threshold * n - 1e-9) for n in sizes.tolist()])
+        self.least, self.span = np.maximum((need + 1) // 2 - 1, 1), 3 * sizes - need
+        self.steps, grams, owners = set(), [], []
+        for k, (_, words) in enumerate(items):
+            steps = (1, 2) if need[k] > 2 else (0,)
+            self.steps.update(steps)
+            grams.append(np.unique(np.concatenate([pair_digests(words, step) for step in steps])))
+            owners.append(np.full(len(grams[-1]), k))
+        grams, owners = np.concatenate(grams), np.concatenate(owners)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.owners, self.bounds = owners[order], np.append(first, len(grams))
+
+    def _hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, text and number of the seeds in some texts, ordered by place."""
+        found = []
+        for step in self.steps:
+            digests = pair_digests(words, step)
+            at = np.minimum(np.searchsorted(self.grams, digests), len(self.grams) - 1)
+            places = np.flatnonzero(self.grams[at] == digests)
+            text = np.searchsorted(bounds, places, "right") - 1
+            inside = places + step < bounds[text + 1]
+            found.append((places[inside], text[inside], at[places[inside]]))
+        places, text, gram = (np.concatenate(column) for column in zip(*found, strict=True))
+        order = np.argsort(places, kind="stable")
+        return places[order], text[order], gram[order]
+
+    def passages(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, items, starts, ends) of the passages to be aligned."""
+        places, text, gram = self._hits(words, bounds)
+        if not len(places):
+            return
+        held = self.bounds[gram + 1] - self.bounds[gram]
+        before = np.concatenate([[0], np.cumsum(held)])
+        ends = np.append(np.flatnonzero(np.diff(text)) + 1, len(text))  # of the hits of each text
+        start = 0
+        while start < len(text):
+            end = int(ends[max(np.searchsorted(before[ends], before[start] + HITS, "right") - 1, np.searchsorted(ends, start, "right"))])
+            yield self._counted(places[start:end], text[start:end], gram[start:end], held[start:end], bounds)
+            start = end
+
+    def _counted(self, places, text, gram, held, bounds):
+        apart = int(self.span.max())
+        # Places of texts are moved apart, and items even more, so that one sorted array has them all.
+        from_item = int(bounds[-1]) + (len(bounds) + 1) * apart
+        owners = self.owners[ragged(self.bounds[gram], held)]
+        keys = np.unique(owners * from_item + np.repeat(places + text * apart, held))
+        owners = keys // from_item
+        last = np.arange(len(keys)) + self.least[owners] - 1
+        enough = (last < len(keys)) & (keys[np.minimum(last, len(keys) - 1)] - keys < self.span[owners])
+        item, place = owners[enough], keys[enough] % from_item
+        text = np.searchsorted(bounds[:-1] + np.arange(len(bounds) - 1) * apart, place, "right") - 1
+        place = place - text * apart
+        start = np.maximum(place - self.span[item], bounds[text])
+        end = np.minimum(place + self.span[item], bounds[text + 1])
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (start[1:] > end[:-1])
+        closes = np.append(new[1:], True) if len(new) else new
+        return text[new], item[new], start[new], end[closes]
+
+
+def _matches(seeds, threshold: float):
+    """Scores of all passages of some texts that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = seeds.value
+        item_ids = np.array([i for i, _ in own.items], np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, bounds = word_digests(part.column("text"))
-                hits = sorted((t, item, place, gram, size) for t, place, gram, item, size in own.places(words, bounds))
-                found: list[list] = []
-                for t, item, place, gram, size in hits:
-                    last = found[-1] if found else None
-                    if last and last[:2] == [t, item] and place - last[3] <= size:
-                        last[3] = place
-                        last[4].add(gram)
-                    else:
-                        found.append([t, item, place, place, {gram}, size])
-                if not found:
-                    continue
-                ids = part.column("doc_id").to_pylist()
-                rows = []
-                for t, item, first, last, grams, size in found:
-                    start, end = max(bounds[t], first - size), min(bounds[t + 1], last + size + N)
-                    rows.append((ids[t], item, int(start - bounds[t]), sorted(grams), words[start:end].view(np.int64)))
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-                        "item_id": pa.array([r[1] for r in rows], pa.int64()),
-                        "word_start": pa.array([r[2] for r in rows], pa.int64()),
-                        "grams": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                        "words": pa.array([r[4] for r in rows], pa.list_(pa.int64())),
-                    }
-                )
+                for text, item, start, stop in own.passages(words, bounds):
+                    best, end = alignments(
+                        [words[a:b].view(np.int64) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], [own.items[k][1].view(np.int64) for k in item.tolist()]
+                    )
+                    score = best / (MATCH * np.array([len(own.items[k][1]) for k in item.tolist()], np.int64))
+                    kept = score >= threshold
+                    yield pa.record_batch(
+                        {
+                            "doc_id": part.column("doc_id").take(pa.array(text[kept])),
+                            "item_id": pa.array(item_ids[item[kept]]),
+                            "score": pa.array(score[kept], pa.float64()),
+                            "word_end": pa.array((start - bounds[text] + end)[kept], pa.int64()),
+                        }
+                    )
 
     return run
 
@@ -131,8 +165,12 @@ def alignments(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.
     n = len(passages)
     best, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.argsort([len(p) for p in passages], kind="stable")
-    for at in range(0, n, 256):
+    at = 0
+    while at < n:
         some = order[at : at + 256]
+        while len(some) > 1 and len(some) * len(passages[some[-1]]) > CELLS:
+            some = some[: len(some) // 2]
+        at += len(some)
         wide, tall = max(len(passages[i]) for i in some), max(len(items[i]) for i in some)
         text = np.zeros((len(some), wide), np.int64)
         item = np.full((len(some), tall), -1, np.int64)
@@ -153,18 +191,6 @@ def alignments(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.
     return best, end
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [np.asarray(w.values, np.int64) for w in batch.column("words")]
-        items = [np.asarray(w.values, np.int64) for w in batch.column("item_words")]
-        best, end = alignments(words, items)
-        score = best / (MATCH * np.maximum([len(i) for i in items], 1))
-        last = batch.column("word_start").to_numpy(zero_copy_only=False) + end
-        yield pa.record_batch(
-            {"doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"), "score": pa.array(score, pa.float64()), "word_end": pa.array(last, pa.int64())}
-        )
-
-
 def _block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """Matches with some test items, few enough to be shipped."""
     spark = docs.sparkSession
@@ -173,14 +199,9 @@ def _block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     known = [(i, words[a:b]) for (i, _), a, b in zip(rows, bounds, bounds[1:]) if b > a]
     if not known:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, word_end long")
-    seeds = spark.sparkContext.broadcast(Seeds(known))
+    seeds = spark.sparkContext.broadcast(Seeds(known, threshold))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    found = written(texts.mapInArrow(_passages(seeds), PASSAGES), "passages")
-    texts_of = spark.createDataFrame([(i, w.view(np.int64).tolist()) for i, w in known], "item_id long, item_words array<long>")
-    seeded = found.join(F.broadcast(texts_of), "item_id")  # at most BLOCK words
-    return seeded.select("doc_id", "item_id", "word_start", "words", "item_words").mapInArrow(
-        _scored, "doc_id long, item_id long, score double, word_end long"
-    ).where(F.col("score") >= threshold)
+    return texts.mapInArrow(_matches(seeds, threshold), "doc_id long, item_id long, score double, word_end long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -188,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
 
     ``score`` is the best alignment's share of that of a full copy; pairs from ``threshold`` on are returned, the best
     passage of each, with the place of the word where it ends. Null and empty texts and items match nothing; repeated
-    rows give one pair; rows with a null id are never reported. Items of fewer than N words are sought as one n-gram.
+    rows give one pair; rows with a null id are never reported. The same holds for short items: one word of two is half.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), plain_text().alias("text"))
     items = items.groupBy("item_id").agg(F.max("text").alias("text"))

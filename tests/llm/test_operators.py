@@ -295,6 +295,26 @@ def test_copies_are_found_whatever_the_other_documents_hold(spark):
     assert found == {i: 0.775 if i < 1000 else 1.0 for i in range(1010)}
 
 
+def test_edited_copies_are_found_as_by_plain_alignment_of_all_pairs(spark):
+    random = np.random.default_rng(11)
+    items = {i: [f"w{c}" for c in random.integers(0, 40, n)] for i, n in enumerate((1, 2, 3, 4, 5, 8, 13, 20, 20, 33))}
+    docs = {0: [f"e{i}" if i % 4 == 3 else w for i, w in enumerate(items[7])], 1: [w for x in items[8] for w in (x, "in")], 2: [], 3: items[9] * 9}
+    for i in range(4, 120):
+        item, edits = items[random.integers(0, len(items))], random.random() * 0.7
+        text = [f"w{c}" for c in random.integers(0, 400, random.integers(0, 30))]
+        for word in item:
+            kind = random.random() / edits
+            text += [word] if kind >= 1 else [["other"], [], [word, "more"], ["x", "y"]][int(kind * 4)]
+        docs[i] = text + [f"w{c}" for c in random.integers(0, 400, random.integers(0, 30))]
+    plain = {(d, i): plain_alignment(text, item) / (2 * len(item)) for d, text in docs.items() for i, item in items.items()}
+    rows = spark.createDataFrame([(d, " ".join(text)) for d, text in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items.items()], "item_id long, text string")
+    for threshold in (0.3, 0.5, 0.8):
+        found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(rows, bench, threshold).collect()}
+        assert found == {pair: score for pair, score in plain.items() if score >= threshold}
+        assert threshold > 0.5 or {(0, 7), (1, 8)} <= set(found)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
