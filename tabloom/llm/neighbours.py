@@ -5,7 +5,8 @@ nearest nodes of the same leaf are its first neighbours. NN-descent then joins,
 node with one another, since a neighbour of a neighbour is likely a neighbour. Queries walk the graph greedily from
 their leaves: a beam of the nearest nodes so far is expanded until nothing nearer turns up.
 
-The graph is built on vectors rounded to 16 bits; distances that are reported are exact, in double precision.
+The graph is built on vectors in single precision, so that a few large vectors do not flatten the others; distances that
+are reported are exact, in double precision.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ class Forest:
                     return len(down) - 1
                 a, b = sample[random.choice(rows, 2, replace=False)]
                 normal = a - b
+                normal = normal / (np.linalg.norm(normal) or 1.0)
                 side = sample[rows] @ normal
                 cut = float(np.median(side))
                 left = side <= cut
@@ -104,22 +106,23 @@ class Forest:
 
 
 def _planted(forest):
-    """One row for each node and tree: leaf, node and the rounded vector."""
+    """One row for each node and tree: leaf, node and the vector in single precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = matrix(batch.column("vector")) / forest.value.scale
             leaves = forest.value.leaves(vectors)
-            short = [v.tobytes() for v in vectors.astype(np.float16)]
+            short = [v.tobytes() for v in vectors.astype(np.float32)]
             yield pa.record_batch({"leaf": pa.array(leaves.reshape(-1)), "node": pa.array(np.repeat(batch.column("node").to_numpy(), TREES)), "short": pa.array([s for s in short for _ in range(TREES)], pa.binary())})
 
     return run
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x and y, in batches along the first axis."""
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x and y, in batches along the first axis."""
     dots = x @ np.swapaxes(y, -1, -2)
-    return np.maximum((x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * dots, 0)
+    squares = np.maximum((x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * dots, 0)
+    return np.sqrt(squares).astype(np.float32)
 
 
 LISTS = "node long, ids array<long>, far array<float>"
@@ -136,11 +139,11 @@ def _leaf_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for members in batch.column("members"):
             nodes = np.asarray(members.values.field("node"))
-            x = np.frombuffer(b"".join(members.values.field("short").to_pylist()), np.float16).reshape(len(nodes), -1).astype(np.float32)
+            x = np.frombuffer(b"".join(members.values.field("short").to_pylist()), np.float32).reshape(len(nodes), -1).astype(np.float64)
             if len(nodes) < 2:
                 continue
             for at in range(0, len(nodes), 1024):
-                far = _squares(x[at : at + 1024], x)
+                far = _gaps(x[at : at + 1024], x)
                 far[np.arange(len(far)), at + np.arange(len(far))] = np.inf
                 k = min(DEGREE, len(nodes) - 1)
                 near = np.argpartition(far, k - 1, axis=1)[:, :k]
@@ -178,8 +181,8 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes = np.array([np.asarray(g.field("node")) for g in some])
                 limit = np.array([np.asarray(g.field("limit")) for g in some])
                 raw = b"".join(b for g in some for b in g.field("short").to_pylist())
-                x = np.frombuffer(raw, np.float16).reshape(len(some), size, -1).astype(np.float32)
-                far = _squares(x, x)
+                x = np.frombuffer(raw, np.float32).reshape(len(some), size, -1).astype(np.float64)
+                far = _gaps(x, x)
                 far[:, np.arange(size), np.arange(size)] = np.inf
                 good = far < limit[:, :, None]
                 group, member, other = np.nonzero(good)
@@ -188,7 +191,7 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = np.flatnonzero(np.concatenate([[True], np.diff(group * size + member) > 0]))
                 found = nodes[group[start], member[start]]
                 ids = np.split(nodes[group, other], start[1:])
-                yield _lists(found, ids, np.split(far[group, member, other].astype(np.float32), start[1:]))
+                yield _lists(found, ids, np.split(far[group, member, other], start[1:]))
 
 
 def descend(graph: DataFrame, short: DataFrame) -> DataFrame:

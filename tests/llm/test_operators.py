@@ -172,6 +172,19 @@ def test_neighbours_reach_the_recall(spark, sf):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_beside_an_outlier(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(0, 0.1, (4000, 16))
+    x[7] = 0.0
+    x[7, 0] = 1e9
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist()) for q in range(0, 4000, 100)}
+    assert sum(len(found[q] & near[q]) for q in near) >= 0.9 * 10 * len(near)
+
+
 ODD_TEXTS = ["", "a", "  a b", "a  b", " x", "x ", "it's  we'll", "<|endoftext|>", "a<|endoftext|>b", "é ÷ × ñ\n\nx", "日本 語", "x\ty 　z", "a\n b\n\n c\r\n", "A" * 200 + " " + "ab" * 3000, "\x00 \x1c a", "½ x²", ".. ...\n..", "\n", " ", "▁x a▁b", "naïve x", "<s> a </s>"]
 
 
