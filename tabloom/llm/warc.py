@@ -30,7 +30,9 @@ END = "\r\n"
 
 
 def originals(pages: DataFrame, least_bytes: int = LEAST_BYTES, salts: int = 64) -> DataFrame:
-    """(page_id, original): for every page that is not its own original, the smallest page_id of its payload.
+    """(page_id, payload_key, original): for every page that is not its own original, the smallest page_id of its payload.
+
+    ``payload_key`` is the payload's digest, since a page_id may come with several payloads.
 
     A hot digest is counted and joined in ``salts`` parts, so no task holds all of its pages.
     """
@@ -42,7 +44,7 @@ def originals(pages: DataFrame, least_bytes: int = LEAST_BYTES, salts: int = 64)
     parts = written(headers.groupBy("digest", "salt").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")), "payload-parts")
     whole = parts.groupBy("digest").agg(F.min("least").alias("original"), F.sum("n").alias("n")).where("n > 1")
     known = written(parts.select("digest", "salt").join(whole.select("digest", "original"), "digest"), "payload-originals")
-    found = headers.join(known, ["digest", "salt"]).where("page_id <> original").select("page_id", "original")
+    found = headers.join(known, ["digest", "salt"]).where("page_id <> original").select("page_id", F.col("digest").alias("payload_key"), "original")
     found = written(found.distinct(), "revisits")
     for done in (headers, parts, known):
         remove(done)
@@ -81,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
     raw = F.encode(payload, "UTF-8")
     joined = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(raw).alias("size"), F.sha2(raw, 256).alias("digest")
-    ).join(F.broadcast(found) if found.count() <= SHIPPED else found, "page_id", "left")
+    ).withColumn("payload_key", F.unhex("digest")).join(F.broadcast(found) if found.count() <= SHIPPED else found, ["page_id", "payload_key"], "left")
     lines = joined.select(_record(F.col("payload"), F.col("size"), F.col("digest")).alias("value"))
     # The writer ends each line with an empty line, as records of an archive end.
     lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)

@@ -216,6 +216,21 @@ def test_archives_equal_sql_and_hold_each_payload_once(spark, sf, tmp_path):
     assert found[9].declared_digest == hashlib.sha256(page.encode()).hexdigest()
 
 
+def test_a_page_id_with_several_payloads(spark, tmp_path):
+    page, own, more = (f"<p>{word}</p>" * 40 for word in ("shared", "own", "more"))
+    rows = [(3, "u", page), (5, "u", page), (5, "v", own), (2, "w", more), (5, "w", more)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "pages.parquet")
+    pages.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    got = QUERIES["op7_warc_revisits"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(oracle_sql()["op7_warc_revisits"]).fetchall()))
+    warc.write_archives(pages, str(tmp_path / "archives"))
+    found = warc.read_archives(spark, str(tmp_path / "archives")).collect()
+    assert {r.payload.decode() for r in found if r.record_type == "response"} == {page, own, more}
+
+
 def test_language_of_held_out_rows_and_mixtures(spark, sf, odd, empty):
     rows = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, sf).collect()}
     langs = view(sf, "documents").project("doc_id, lang").fetchall()
