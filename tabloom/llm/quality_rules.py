@@ -22,6 +22,8 @@ from .common import plain_text, table, written
 from .registry import query
 
 ALPHA, DELTA = 0.1, 0.05
+#: A lost good document weighs as much as this many missed bad ones (as shares of either) when a proven rung is chosen.
+COST = 10
 WINDOW = 5
 SPACE = " \t\n\x0b\f\r"
 
@@ -164,8 +166,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     each, level = alpha / len(RULES), delta / (len(RULES) * max(strata, 1))
     n, k = F.col("n_good"), F.col("false_rejections")
     tail = F.when((n > 0) & (k <= n * each), binomial_tail(k, n, each)).otherwise(1.0)
-    # share of bad caught less share of good lost, over a common denominator
-    gain = F.col("true_rejections").cast("decimal(19,0)") * n - k.cast("decimal(19,0)") * F.col("n_bad")
+    # share of bad caught less COST times the share of good lost, over a common denominator
+    gain = F.col("true_rejections").cast("decimal(18,0)") * n - COST * k.cast("decimal(18,0)") * F.col("n_bad")
     proven = rungs.withColumn("tail", tail).withColumn("gain", gain).where((F.col("tail") <= level) & (F.col("gain") > 0))
     found = ["rung", "n_good", "false_rejections", "n_bad", "true_rejections", "tail"]
     best = F.max_by(F.struct(*found), F.struct("gain", -F.col("at")))
@@ -224,7 +226,7 @@ tested AS (
   FROM (SELECT *, CASE rule {rejected} END AS hit FROM stats JOIN marks USING (doc_id), ladder WHERE NOT base_failed)
   GROUP BY ALL),
 proven AS (
-  SELECT *, caught * n - k * m AS gain FROM tested
+  SELECT *, caught * n - {COST} * k * m AS gain FROM tested
   WHERE n > 0 AND k <= n * {each} AND list_sum(list_transform(range(0, k::bigint + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each}))))
     <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM tested))),
