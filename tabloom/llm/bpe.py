@@ -20,15 +20,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, ragged, ship, shipped, slices, sums, table, words_of
+from .common import Bounded, on_worker, plain_text, ragged, ship, shipped, slices, sums, table, words_of
 from .registry import query
 from .token_counts import heavy_hitters
 
 MODEL = "byte_bpe_50k.json"
 #: Pieces in the lexicon.
 FREQUENT = 30_000
-#: Chunks that a worker keeps besides.
-CACHED = 200_000
+#: Bytes of the chunks that a worker keeps besides.
+CACHED = 64 << 20
 #: Pieces of more bytes are merged one by one with a heap, in time n log n.
 WIDE = 48
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -302,7 +302,7 @@ class Encoder:
     def __init__(self, model: str, lexicon: Lexicon | None = None):
         self.merges = Merges(model)
         self.lexicon = lexicon
-        self.cache: dict[str, bytes] = {}  # ids of chunks that go the slow way
+        self.cache = Bounded(self._slow, CACHED)  # ids of chunks that go the slow way
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.merges.special.items()}
 
     def plain(self, text: str) -> bool:
@@ -321,12 +321,11 @@ class Encoder:
 
     def slow(self, chunk: str) -> bytes:
         """Ids of any chunk, by the full pattern."""
-        if chunk not in self.cache:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            self.cache[chunk] = b"".join(self.merges.merge_long(p.encode()) for p in self.merges.split.findall(chunk))
         return self.cache[chunk]
 
+    def _slow(self, chunk: str) -> bytes:
+        return b"".join(self.merges.merge_long(p.encode()) for p in self.merges.split.findall(chunk))
+
     def quick(self, text: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words as they stand after a space, one after another, and how many each has; see ``quick_words``."""
         n = len(bounds) - 1
@@ -407,14 +406,8 @@ class Encoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(model: str, file: str) -> Encoder:
-    if (model, file) not in _encoders:
-        _encoders.clear()
-        _encoders[model, file] = Encoder(model, Lexicon(shipped(file)))
-    return _encoders[model, file]
+    return on_worker(("encoder", model, file), lambda: Encoder(model, Lexicon(shipped(file))))
 
 
 def build_lexicon(docs: DataFrame, model: str = MODEL, most: int = FREQUENT) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +74,49 @@ def shipped(name: str) -> str:
     return SparkFiles.get(name)
 
 
+_slot: dict[tuple, object] = {}
+
+
+def on_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What this worker keeps for one job: ``make()``, unless ``key`` already made it.
+
+    Spark reuses Python workers, so what a job kept would stay beside what the next one builds. There is one slot for all
+    operators: a new key drops the old object and gives its memory back to the system first.
+    """
+    if key not in _slot:
+        _slot.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library has no such call, and returns memory by itself
+            pass
+        _slot[key] = make()
+    return _slot[key]
+
+
+class Bounded(dict):
+    """A cache of computed values by text, emptied before keys and values hold more than about ``room`` bytes."""
+
+    def __init__(self, make: Callable, room: int = 32 << 20):
+        super().__init__()
+        self.make, self.room, self.used = make, room, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        size = 200 + 4 * len(key)
+        if self.used + size > self.room:
+            self.clear()
+            self.used = 0
+        if size <= self.room // 16:
+            self[key] = value
+            self.used += size
+
+
 def plain_text(name: str = "text") -> Column:
     """Whole text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -116,13 +161,21 @@ def words_of(texts: pa.Array, split: Callable = pa.compute.split_pattern, **opti
     return encoded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], encoded.dictionary
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` is called so, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def decide(docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]], name: str, kind: str) -> DataFrame:
     """``docs`` with one more column, computed from whole texts (null as empty) on the workers.
 
-    ``make()`` gives, on the worker, a function of some texts. All other columns go through as they are; a column
-    called ``name`` is replaced.
+    ``make()`` gives, on the worker, a function of some texts. All columns go through as they are; ``name`` must be none
+    of them, see ``free_name``.
     """
-    rest = [f for f in docs.schema.fields if f.name != name]
+    rest = docs.schema.fields
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import decide, fold, plain_text, ship, shipped, slices, table
+from .common import decide, fold, free_name, on_worker, plain_text, ship, shipped, slices, table
 from .registry import query
 
 N = 4
@@ -122,15 +122,12 @@ class Languages:
         return lead, np.clip(share, 0.0, 1.0)
 
 
-_models: dict[str, Languages] = {}
-
-
 def _model(file: str) -> Languages:
-    if file not in _models:
-        _models.clear()
+    def load() -> Languages:
         with np.load(shipped(file)) as arrays:
-            _models[file] = Languages(arrays["names"].tolist(), arrays["logs"])
-    return _models[file]
+            return Languages(arrays["names"].tolist(), arrays["logs"])
+
+    return on_worker(("languages", file), load)
 
 
 def train(docs: DataFrame, rows: Column) -> str:
@@ -183,8 +180,9 @@ def identify(docs: DataFrame, modulus: int = 5, held_out: int = 0) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_share: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that have a language holding at least ``least_share`` of them."""
-    found = predict(docs, train(docs, fold(5) != 0), "language_found")
-    return found.where((F.col("language_found.lang_pred") != "und") & (F.col("language_found.score") >= least_share)).drop("language_found")
+    name = free_name(docs, "language_found")
+    found = predict(docs, train(docs, fold(5) != 0), name)
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least_share)).drop(name)
 
 
 @query("op8_language_id")

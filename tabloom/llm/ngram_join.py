@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_ids, remove, table, written
+from .common import Bounded, components, drop_ids, free_name, on_worker, remove, table, written
 from .registry import query
 
 #: Frequent columns whose counts order the matrix; a larger table orders better, any table gives the same pairs.
@@ -33,17 +33,9 @@ NO_ID = (1 << 63) - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-class _Digests(dict):
-    """word -> 64-bit digest, emptied when it has grown to a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_digests = _Digests()
+def _digests() -> Bounded:
+    """word -> 64-bit digest, on this worker."""
+    return on_worker(("word-digests",), lambda: Bounded(xxhash.xxh64_intdigest, 64 << 20))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -60,7 +52,7 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    codes = np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(_digests().__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -363,7 +355,8 @@ def keep_first(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     if repeated.isEmpty():
         return kept
     first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return kept.withColumn("copy_place", first).where("copy_place = 1 or doc_id is null").drop("copy_place")
+    place = free_name(kept, "copy_place")
+    return kept.withColumn(place, first).where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place)
 
 
 @query("op3_ngram_jaccard_join")

@@ -162,7 +162,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     per = written(per, "rule-hits")
     strata = per.select("stratum").distinct().count()
     rungs = per.select("*", F.posexplode(ladder).alias("at", "rung"))
-    rungs = rungs.withColumn("false_rejections", upto("good")).withColumn("true_rejections", upto("bad"))
+    rungs = rungs.withColumn("false_rejections", upto("good")).withColumn("true_rejections", upto("bad")).drop("hits")
+    rungs = written(rungs, "rule-rungs")  # a few rows; their counts stand in the tail's expression dozens of times
     each, level = alpha / len(RULES), delta / (len(RULES) * max(strata, 1))
     n, k = F.col("n_good"), F.col("false_rejections")
     tail = F.when((n > 0) & (k <= n * each), binomial_tail(k, n, each)).otherwise(1.0)

@@ -22,14 +22,14 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, slices, sums, table, words_of
+from .common import Bounded, on_worker, plain_text, slices, sums, table, words_of
 from .registry import query
 
 MODEL = "piece_bpe_32k.model"
 #: Pieces of a summary and of the broadcast table.
 FREQUENT = 30_000
-#: Pieces that a worker keeps besides.
-CACHED = 800_000
+#: Bytes of the pieces that a worker keeps besides.
+CACHED = 96 << 20
 SPACE = "▁"
 
 
@@ -105,11 +105,10 @@ class Lengths:
 
     def __init__(self, frequent: dict[str, int], pieces: Pieces):
         self.frequent, self.pieces = frequent, pieces
-        self.cache: dict[str, int] = {}
+        # a key with a line end is a piece as it stands after one
+        self.cache = Bounded(lambda piece: self.pieces.measure_odd(piece[1:]), CACHED)
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.cache) >= CACHED:
-            self.cache.clear()
         frequent, cache = self.frequent, self.cache
         found = [frequent.get(w) or cache.get(w) or 0 for w in words]
         n = np.array(found, np.int64)
@@ -118,17 +117,15 @@ class Lengths:
         fresh = [i for i in new if i not in split]
         plain = [words[i] for i in fresh] + [parts[0] for parts in split.values()]
         counts = self.pieces.measure_many(plain)
-        cache.update(zip(plain[: len(fresh)], counts, strict=False))
+        for piece, count in zip(plain[: len(fresh)], counts, strict=False):
+            cache.keep(piece, count)
         n[fresh] = counts[: len(fresh)]
         for i, first in zip(split, counts[len(fresh) :], strict=True):
             n[i] = first + sum(self.pieces.line_end + (self.as_it_stands(p) if p else 0) for p in split[i][1:])
         return n
 
     def as_it_stands(self, piece: str) -> int:
-        key = f"\n{piece}"  # no key of a word holds a line end
-        if key not in self.cache:
-            self.cache[key] = self.pieces.measure_odd(piece)
-        return self.cache[key]
+        return self.cache[f"\n{piece}"]
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
@@ -144,17 +141,10 @@ class Lengths:
         return n
 
 
-_workers: dict[str, Lengths] = {}
-
-
 def _lengths(model: str, frequent: tuple) -> Lengths:
     """Model, table and cache of this worker for one job."""
     key, lengths = frequent
-    if key not in _workers:
-        _workers.clear()
-        pieces = Pieces(model)
-        _workers[key] = Lengths(lengths.value, pieces)
-    return _workers[key]
+    return on_worker(("lengths", key), lambda: Lengths(lengths.value, Pieces(model)))
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096) -> DataFrame:

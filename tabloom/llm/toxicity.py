@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    by_batch, decide, fold, labelled, plain_text, remove, ship, shipped, slices, sums, table, words_of, written,
+    Bounded, by_batch, decide, fold, free_name, on_worker, labelled, plain_text, remove, ship, shipped, slices, sums, table, words_of, written,
 )
 from .registry import query
 
@@ -122,41 +122,29 @@ def parts(word: str) -> list[str]:
 
 
 class Restored:
-    """Reads tokens as words; readings of marked tokens are kept until there are ``room`` of them."""
-
-    room = 200_000
+    """Reads tokens as words; readings of marked tokens are kept in a bounded cache."""
 
     def __init__(self, speller: Speller):
         self.speller = speller
-        self.read: dict[str, tuple[str, ...]] = {}
+        self.read = Bounded(lambda token: tuple(w for w in speller.read(token).split() if w))
 
     def words(self, token: str) -> tuple[str, ...]:
         if token.isalpha() and not TRIPLE.search(token):
             return (token,)
         if not MARKED.search(token) and " " not in token:
             return tuple(w for w in PARTING.split(token) if w)
-        if token not in self.read:
-            if len(self.read) >= self.room:
-                self.read.clear()
-            self.read[token] = tuple(w for w in self.speller.read(token).split() if w)
         return self.read[token]
 
 
-class Scores(dict):
+class Scores(Bounded):
     """token -> strongest evidence among the parts of its restored words."""
 
-    room = 400_000
-
     def __init__(self, restored: Restored, weights: dict[str, float]):
-        super().__init__()
+        super().__init__(self.strongest, 64 << 20)
         self.restored, self.weights = restored, weights
 
-    def __missing__(self, token: str) -> float:
-        if len(self) >= self.room:
-            self.clear()
-        words = self.restored.words(token)
-        self[token] = value = max((self.weights.get(p, 0.0) for w in words for p in parts(w)), default=0.0)
-        return value
+    def strongest(self, token: str) -> float:
+        return max((self.weights.get(p, 0.0) for w in self.restored.words(token) for p in parts(w)), default=0.0)
 
 
 def is_single(token: str) -> bool:
@@ -193,7 +181,7 @@ def evidence(texts: pa.Array, scores: Scores) -> np.ndarray:
 
 def _part_counts(speller_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored = Restored(load_speller(speller_file))
+        restored = on_worker(("restored", speller_file), lambda: Restored(load_speller(speller_file)))
         counts = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -212,15 +200,9 @@ def _part_counts(speller_file: str):
     return run
 
 
-_spellers: dict[str, Speller] = {}
-
-
 def load_speller(name: str) -> Speller:
-    if name not in _spellers:
-        _spellers.clear()
-        rows = np.load(shipped(name))
-        _spellers[name] = Speller(rows[0], rows[1])
-    return _spellers[name]
+    rows = np.load(shipped(name))
+    return Speller(rows[0], rows[1])
 
 
 def _bytes_of(array: np.ndarray) -> bytes:
@@ -294,16 +276,10 @@ def _evidence_of(speller_file: str, weights: tuple):
     return by_batch(fn)
 
 
-_scorers: dict[str, Scores] = {}
-
-
 def _scores(speller_file: str, weights: tuple) -> Scores:
     """Tables and caches of this worker for one job."""
     key, values = weights
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scores(Restored(load_speller(speller_file)), values.value)
-    return _scorers[key]
+    return on_worker(("scores", key), lambda: Scores(Restored(load_speller(speller_file)), values.value))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = 6000) -> Callable:
@@ -354,8 +330,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that score below 0.5."""
-    found = decide(docs, train(docs, labels, fold(5) != 0), "toxicity_found", "double")
-    return found.where("toxicity_found < 0.5").drop("toxicity_found")
+    name = free_name(docs, "toxicity_found")
+    return decide(docs, train(docs, labels, fold(5) != 0), name, "double").where(F.col(name) < 0.5).drop(name)
 
 
 @query("op2_toxicity")
