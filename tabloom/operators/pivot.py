@@ -16,15 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest
-from tabloom.operators.profile import axis_candidates, value_candidates
 from tabloom.operators.ranking import top_rows
 from tabloom.session import materialise
 
 # Limits of the searches.
 MIN_SIDE = 3
 MIN_DENSITY = 0.95
-MAX_SIDE_ATTRIBUTES = 4
-MAX_ESTIMATED_CELLS = 20_000
 MAX_PAIR_IDS = 200
 SHRINK_RANGE = (2, 10)
 
@@ -71,45 +68,6 @@ def axis_key(columns: Sequence[str]):
     return F.when(present, F.concat_ws("\u0001", *[F.col(c).cast("string") for c in columns]))
 
 
-def _densities(df: DataFrame, group: Sequence[str], splits: Sequence[tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
-    """Densities of many splits from one aggregation.
-
-    The distinct attribute tuples are computed once; each split only re-counts them.  Splits are
-    exploded as tagged key pairs, so all of them share a shuffle.
-    """
-    attributes = sorted({c for rows, cols in splits for c in [*rows, *cols]})
-    tuples = df.select(*group, *attributes).distinct()
-    tagged = F.array(
-        *[
-            F.struct(F.lit(i).alias("split"), axis_key(rows).alias("r"), axis_key(cols).alias("c"))
-            for i, (rows, cols) in enumerate(splits)
-        ]
-    )
-    cells = (
-        tuples.select(*group, F.explode(tagged).alias("s"))
-        .select(*group, "s.split", "s.r", "s.c")
-        .dropna(subset=["r", "c"])
-        .distinct()
-    )
-    marks = F.array(
-        F.struct(F.lit("cell").alias("what"), F.lit("").alias("key")),
-        F.struct(F.lit("row").alias("what"), F.col("r").alias("key")),
-        F.struct(F.lit("col").alias("what"), F.col("c").alias("key")),
-    )
-    counted = (
-        cells.select(*group, "split", F.explode(marks).alias("m"))
-        .groupBy(*group, "split", "m.what", "m.key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*group, "split")
-        .agg(
-            F.sum(F.when(F.col("what") == "cell", F.col("n"))).alias("filled"),
-            F.sum(F.when(F.col("what") == "row", 1)).alias("pivot_rows"),
-            F.sum(F.when(F.col("what") == "col", 1)).alias("pivot_columns"),
-        )
-    )
-    return counted.withColumn("density", F.col("filled") / (F.col("pivot_rows") * F.col("pivot_columns")))
-
-
 def splits_of(attributes: Sequence[str], most: int | None = None) -> list[tuple[list[str], list[str]]]:
     """All row/column splits, most column attributes first; with ``most`` only those with at most so many of these."""
     found = []
@@ -156,75 +114,6 @@ def split_search(df: DataFrame, group: Sequence[str], attributes: Sequence[str],
     return best.select(*group, "_best.layout", "_best.pivot_rows", "_best.pivot_columns", "_best.density")
 
 
-def axis_sets(attributes: Sequence[str], cardinality: dict[str, int]) -> list[tuple[list[str], list[str]]]:
-    """Disjoint row/column attribute sets whose Cartesian size stays below the guard."""
-    sets = [list(c) for k in range(1, MAX_SIDE_ATTRIBUTES + 1) for c in combinations(attributes, k)]
-
-    def size(columns):
-        return int(np.prod([max(1, cardinality[c]) for c in columns], dtype=np.int64))
-
-    return [
-        (r, c)
-        for r in sets
-        for c in sets
-        if not set(r) & set(c) and size(r) * size(c) <= MAX_ESTIMATED_CELLS
-    ]
-
-
-def valid_pivots(df: DataFrame, attributes: Sequence[str], values: Sequence[str], cardinality: dict[str, int]) -> DataFrame:
-    """All dense pivots of a relation as catalogue rows.
-
-    The relation is reduced once to its distinct attribute tuples.  A split and its transpose have
-    the same cells, so the densities are counted for one of them and the row is mirrored.
-    """
-    pairs = [p for p in axis_sets(attributes, cardinality) if p[0] < p[1]]
-    if not pairs or not values:
-        raise ValueError("no attribute set stays below the size guard")
-    tuples = df.groupBy(*attributes).agg(*[F.count(v).alias(f"_with_{v}") for v in values])
-    found = []
-    for value in values:
-        info = F.create_map(
-            *[
-                x
-                for i, (r, c) in enumerate(pairs)
-                for x in (F.lit(i), F.struct(F.lit("; ".join(r)).alias("r"), F.lit("; ".join(c)).alias("c"),
-                                             F.lit(len(r)).alias("nr"), F.lit(len(c)).alias("nc")))
-            ]
-        )
-        scored = (
-            _densities(tuples.filter(F.col(f"_with_{value}") > 0), [], pairs)
-            .filter((F.col("pivot_rows") >= MIN_SIDE) & (F.col("pivot_columns") >= MIN_SIDE))
-            .filter(F.col("density") >= MIN_DENSITY)
-            .withColumn("i", info[F.col("split")])
-        )
-        straight = F.struct(
-            F.col("i.r").alias("row_attributes"), F.col("i.c").alias("column_attributes"),
-            F.col("i.nr").alias("num_row_attributes"), F.col("i.nc").alias("num_column_attributes"),
-            F.col("pivot_rows").alias("pivot_rows"), F.col("pivot_columns").alias("pivot_columns"),
-        )
-        mirrored = F.struct(
-            F.col("i.c").alias("row_attributes"), F.col("i.r").alias("column_attributes"),
-            F.col("i.nc").alias("num_row_attributes"), F.col("i.nr").alias("num_column_attributes"),
-            F.col("pivot_columns").alias("pivot_rows"), F.col("pivot_rows").alias("pivot_columns"),
-        )
-        found.append(
-            scored.select(
-                F.explode(F.array(straight, mirrored)).alias("p"), F.col("density").alias("non_nan_density")
-            ).select("p.*", F.lit(value).alias("value_attribute"), "non_nan_density")
-        )
-    return reduce(lambda a, b: a.unionByName(b), found)
-
-
-def pivot_catalog(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Profile a relation, then list its dense pivots.
-
-    Only the profile, one row per column, reaches the driver; it decides which aggregates to plan.
-    """
-    axes = {r.col: r.distinct_values for r in axis_candidates(df, columns).collect()}
-    names = [c for c in columns if c in axes]
-    return valid_pivots(df, names, value_candidates(df, columns), axes)
-
-
 CATALOG_ORDER = [
     ("non_nan_density", False), ("total_header_levels", False), ("min_header_side_levels", False),
     ("pivot_cells", False), ("pivot_rows", False), ("pivot_columns", False), ("dataset", True),

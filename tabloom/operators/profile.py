@@ -7,16 +7,22 @@ one shuffle of pre-aggregated value counts instead of a pass per column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import materialise
+
 # Limits of the profile.
 MIN_COVERAGE = 0.95
 MIN_AXIS_VALUES = 3
 MAX_AXIS_VALUES = 60
+MIN_ROWS, MIN_COLUMNS = 9, 3
 TOP_VALUES = 10
+#: Buckets of the hashes that bound a column's number of values from below.
+BUCKETS = 32_768
 FLOAT_TYPE_WORDS = ["REAL", "FLOAT", "DOUBLE", "DOUBLE PRECISION", "DECIMAL", "NUMERIC"]
 TEXT_TYPE_WORDS = [
     "CHAR", "CLOB", "TEXT", "STRING", "VARCHAR", "BOOL", "BOOLEAN", "DATE", "DATETIME", "TIME", "TIMESTAMP",
@@ -38,10 +44,16 @@ def text_number(text):
     return F.when(text.rlike(r"^\s*([-+.\d]|(?i:inf|nan))"), text.try_cast("double"))
 
 
+def bucket(column: str) -> Column:
+    """Place of a value among BUCKETS, by hash; NULL for NULL."""
+    return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(BUCKETS)))
+
+
 def quick_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows, numeric coverage, kind and approximate cardinality of each column.
+    """Rows, numeric coverage, kind and a lower bound of the number of values of each column.
 
-    A single aggregate without grouping: every task sends one row, whatever the columns hold.
+    A single aggregate without grouping: every task sends one row, whatever the columns hold. ``least_values`` counts the
+    occupied buckets of a hash, so a column surely has at least so many values.
     """
     measures = []
     for c in columns:
@@ -53,14 +65,14 @@ def quick_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.count(F.lit(1)).alias("rows"),
                 F.count(number).alias("numeric_rows"),
                 F.coalesce(F.bool_or(number % 1 != 0), F.lit(False)).alias("has_fraction"),
-                F.approx_count_distinct(c).alias("approx_values"),
+                F.bitmap_count(F.bitmap_construct_agg(bucket(c))).alias("least_values"),
             )
         )
     stats = df.agg(F.array(*measures).alias("m")).select(F.explode("m").alias("m")).select("m.*")
     stats = stats.withColumn("coverage", F.col("numeric_rows") / F.col("rows"))
     numeric = F.col("coverage") >= MIN_COVERAGE
     kind = F.when(numeric & F.col("has_fraction"), "float").when(numeric, "integer").otherwise("text")
-    return stats.select("col", "rows", "coverage", kind.alias("kind"), "approx_values")
+    return stats.select("col", "rows", "coverage", kind.alias("kind"), "least_values")
 
 
 def cardinalities(counts: DataFrame) -> DataFrame:
@@ -70,28 +82,21 @@ def cardinalities(counts: DataFrame) -> DataFrame:
 def axis_candidates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns that can label a pivot axis, with their exact number of values.
 
-    The approximate counts only rule out columns far beyond the limit, so that values are counted
-    exactly where that is cheap.  The driver sees one row per column.
+    Columns that surely have too many values are left out by their lower bound, so the exact count only meets columns
+    with few. A relation with fewer than MIN_ROWS rows or MIN_COLUMNS columns has none. The driver sees one row per column.
     """
-    stats = [r for r in quick_profile(df, columns).collect() if r.kind != "float"]
-    low = [r.col for r in stats if r.approx_values <= 10 * MAX_AXIS_VALUES]
-    if not low:
+    stats = quick_profile(df, columns).collect()
+    low = [r for r in stats if r.kind != "float" and r.least_values <= MAX_AXIS_VALUES and r.rows >= MIN_ROWS]
+    if not low or len(df.columns) < MIN_COLUMNS:
         return df.sparkSession.createDataFrame([], "col string, distinct_values long, kind string")
-    kinds = F.create_map(*[x for r in stats for x in (F.lit(r.col), F.lit(r.kind))])
+    kinds = F.create_map(*[x for r in low for x in (F.lit(r.col), F.lit(r.kind))])
     return (
-        cardinalities(value_counts(df, low))
+        cardinalities(value_counts(df, [r.col for r in low]))
         .filter(F.col("distinct_values").between(MIN_AXIS_VALUES, MAX_AXIS_VALUES))
         .withColumn("kind", kinds[F.col("col")])
     )
 
 
-def value_candidates(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Fractional numeric columns with enough values to fill a pivot."""
-    return [
-        r.col for r in quick_profile(df, columns).collect() if r.kind == "float" and r.approx_values >= MIN_AXIS_VALUES
-    ]
-
-
 def categorical_rank(counts: DataFrame, max_card: int = 50, top_k: int = 10) -> DataFrame:
     """Columns ordered by how well they suit a dense pivot."""
     present = counts.filter("value IS NOT NULL")
@@ -139,3 +144,32 @@ def type_class(type_name):
     return (
         F.when(mentions(FLOAT_TYPE_WORDS), "float").when(mentions(TEXT_TYPE_WORDS), "categorical").otherwise("other")
     )
+
+
+def qualified(tables: dict[str, DataFrame], target: int, least_rows: int, least_float: int, least_categorical: int) -> DataFrame:
+    """The first ``target`` tables by name with enough distinct rows and columns of both declared kinds.
+
+    The schema decides first, so only tables that can qualify are scanned for distinct rows. Raises if fewer qualify.
+    """
+
+    def count(df: DataFrame, words: Sequence[str]) -> int:
+        return sum(any(w in declared_type(f) for w in words) for f in df.schema.fields)
+
+    kinds = {n: (count(df, FLOAT_TYPE_WORDS), count(df, TEXT_TYPE_WORDS)) for n, df in sorted(tables.items())}
+    eligible = [n for n, (floats, texts) in kinds.items() if floats >= least_float and texts >= least_categorical]
+    counted = [
+        tables[n].distinct().agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(n).alias("relation"),
+            "row_count",
+            F.lit(kinds[n][0]).cast("long").alias("float_columns"),
+            F.lit(kinds[n][1]).cast("long").alias("categorical_columns"),
+        )
+        for n in eligible
+    ]
+    if len(counted) < target:
+        raise ValueError(f"{len(counted)} tables have the columns, {target} are wanted")
+    found = reduce(DataFrame.unionByName, counted).filter(F.col("row_count") >= least_rows).orderBy("relation").limit(target)
+    found = materialise(found, "qualified")
+    if (n := found.count()) < target:
+        raise ValueError(f"{n} tables qualify, {target} are wanted")
+    return found

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tabloom.functions.sampling import digest, sql_digest, sql_uniform, uniform
 from tabloom.operators import pivot
 from tabloom.operators.ranking import first_rows, top_rows
+from tabloom.plans.catalogue import SQL_PIVOTS, full_catalog
 from tabloom.plans.registry import query
-from tabloom.session import materialise
 from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
 
 ROWS = ["flag", "line_status"]
@@ -138,8 +138,6 @@ def pivot_split_search(spark, sf_dir):
 
 SQL_AXES = """ax AS (SELECT l_returnflag AS flag, l_linestatus AS line_status, l_linenumber AS line,
   CAST(l_quantity AS INTEGER) AS quantity, l_tax AS tax, l_discount AS discount, l_extendedprice AS price FROM lineitem)"""
-AXES = ["flag", "line", "quantity"]
-
 
 def _axes(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select(
@@ -149,53 +147,12 @@ def _axes(spark, sf_dir):
     )
 
 
-def _catalog(spark, sf_dir):
-    columns = ["flag", "line", "quantity", "discount", "price"]
-    return pivot.pivot_catalog(_axes(spark, sf_dir).select(columns), columns)
-
-
-SQL_CATALOG = f"""{SQL_AXES}, dens AS ({" UNION ALL ".join(
-    sql_density("ax", [], r, c) for r, c in pivot.axis_sets(AXES, {"flag": 3, "line": 7, "quantity": 50}))}),
-ok AS (SELECT *, filled / CAST(pivot_rows * pivot_columns AS DOUBLE) AS non_nan_density FROM dens),
-cat AS (SELECT r AS row_attributes, c AS column_attributes, nr AS num_row_attributes, nc AS num_column_attributes,
-    pivot_rows, pivot_columns, v.value_attribute, non_nan_density
-  FROM ok, (VALUES ('discount'), ('price')) v(value_attribute)
-  WHERE pivot_rows >= 3 AND pivot_columns >= 3 AND non_nan_density >= 0.95)"""
-
-
-@query("valid_pivot_catalog", f"WITH {SQL_CATALOG} SELECT * FROM cat")
-def valid_pivot_catalog(spark, sf_dir):
-    return _catalog(spark, sf_dir)
-
-
-def full_catalog(spark, sf_dir):
-    """Catalogue of two relations: line items as a table and as an enriched view.
-
-    The catalogue is a handful of rows from a full scan, so it is kept for its several readers.
-    """
-    catalog = materialise(_catalog(spark, sf_dir), "catalogue")
-    table = catalog.withColumn("relation", F.lit("lineitem"))
-    view = catalog.filter("num_row_attributes = 1").withColumn("relation", F.lit("lineitem_view"))
-    both = table.unionByName(view).withColumn("dataset", F.lit("sales"))
-    return (
-        both.withColumn("pivot_cells", F.col("pivot_rows") * F.col("pivot_columns"))
-        .withColumn("total_header_levels", F.col("num_row_attributes") + F.col("num_column_attributes"))
-        .withColumn("min_header_side_levels", F.least("num_row_attributes", "num_column_attributes"))
-    )
-
-
-SQL_FULL = f"""{SQL_CATALOG}, fullcat AS (
-  SELECT *, 'sales' AS dataset, pivot_rows * pivot_columns AS pivot_cells,
-    num_row_attributes + num_column_attributes AS total_header_levels,
-    least(num_row_attributes, num_column_attributes) AS min_header_side_levels
-  FROM (SELECT *, 'lineitem' AS relation FROM cat UNION ALL
-        SELECT *, 'lineitem_view' FROM cat WHERE num_row_attributes = 1))"""
 SQL_ORDER = """non_nan_density DESC, total_header_levels DESC, min_header_side_levels DESC, pivot_cells DESC,
   pivot_rows DESC, pivot_columns DESC, dataset, relation, value_attribute, row_attributes, column_attributes"""
 
 
 @query("sort_catalog", f"""
-WITH {SQL_FULL} SELECT *, row_number() OVER (ORDER BY {SQL_ORDER}) AS place FROM fullcat
+WITH {SQL_PIVOTS} SELECT *, row_number() OVER (ORDER BY {SQL_ORDER}) AS place FROM fullcat
 """)
 def sort_catalog(spark, sf_dir):
     """The 11-key order, with the place written out.
@@ -208,7 +165,7 @@ def sort_catalog(spark, sf_dir):
 
 
 @query("top1_per_relation", f"""
-WITH {SQL_FULL} SELECT dataset, relation, row_attributes, column_attributes, value_attribute, pivot_cells FROM fullcat
+WITH {SQL_PIVOTS} SELECT dataset, relation, row_attributes, column_attributes, value_attribute, pivot_cells FROM fullcat
 QUALIFY row_number() OVER (PARTITION BY dataset, relation ORDER BY {SQL_ORDER}) = 1
 """)
 def top1_per_relation(spark, sf_dir):
@@ -217,7 +174,7 @@ def top1_per_relation(spark, sf_dir):
 
 
 @query("best_per_key", f"""
-WITH {SQL_FULL} SELECT dataset, relation, value_attribute, max((non_nan_density, total_header_levels,
+WITH {SQL_PIVOTS} SELECT dataset, relation, value_attribute, max((non_nan_density, total_header_levels,
   min_header_side_levels, pivot_cells, pivot_rows, pivot_columns)).pivot_cells AS pivot_cells
 FROM (SELECT dataset, relation, value_attribute, non_nan_density, total_header_levels, min_header_side_levels,
   pivot_cells, pivot_rows, pivot_columns FROM fullcat) GROUP BY ALL
@@ -232,7 +189,7 @@ def best_per_key(spark, sf_dir):
 
 
 @query("catalog_summary", f"""
-WITH {SQL_FULL} SELECT count(DISTINCT dataset) AS datasets, count(DISTINCT (dataset, relation)) AS relations,
+WITH {SQL_PIVOTS} SELECT count(DISTINCT dataset) AS datasets, count(DISTINCT (dataset, relation)) AS relations,
   count(*) AS pivots FROM fullcat
 """)
 def catalog_summary(spark, sf_dir):
@@ -254,20 +211,10 @@ def stratified_sample(spark, sf_dir):
     return top_rows(sampled, ["table_id", "flag"], ["_h"], 10).select("table_id", "flag", "row_key")
 
 
-@query("catalog_two_tier_union", f"""
-WITH {SQL_FULL}, h AS (SELECT *, {sql_digest(42, "tier", "relation", "row_attributes", "column_attributes", "value_attribute")} AS hh FROM fullcat)
-SELECT relation, row_attributes, column_attributes, value_attribute FROM h
-WHERE (pivot_rows >= 10 OR pivot_columns >= 10) AND (num_row_attributes > 1 OR num_column_attributes > 1)
-  AND pivot_rows > 3 AND pivot_columns > 3
-QUALIFY row_number() OVER (PARTITION BY dataset, relation ORDER BY hh) <= 10
-UNION ALL
-SELECT relation, row_attributes, column_attributes, value_attribute FROM h
-WHERE (pivot_rows >= 10 OR pivot_columns >= 10) AND pivot_rows > 2 AND pivot_columns > 2
-QUALIFY row_number() OVER (PARTITION BY dataset, relation ORDER BY hh) <= 5
-""")
-def catalog_two_tier_union(spark, sf_dir):
+def two_tier(catalog):
+    """Large pivots of the catalogue: a strict and a loose sample per relation; a pivot may be in both."""
     keys = ["relation", "row_attributes", "column_attributes", "value_attribute"]
-    catalog = full_catalog(spark, sf_dir).withColumn("_h", digest(42, "tier", *keys))
+    catalog = catalog.withColumn("_h", digest(42, "tier", *keys))
     large = catalog.filter("pivot_rows >= 10 OR pivot_columns >= 10")
     strict = large.filter(
         "(num_row_attributes > 1 OR num_column_attributes > 1) AND pivot_rows > 3 AND pivot_columns > 3"
@@ -277,6 +224,23 @@ def catalog_two_tier_union(spark, sf_dir):
     return top_rows(strict, group, ["_h"], 10).select(keys).unionByName(top_rows(loose, group, ["_h"], 5).select(keys))
 
 
+SQL_TIERS = f"""{SQL_PIVOTS}, h AS (SELECT *, {sql_digest(42, "tier", "relation", "row_attributes", "column_attributes", "value_attribute")} AS hh FROM fullcat),
+tiers AS (
+  SELECT relation, row_attributes, column_attributes, value_attribute FROM h
+  WHERE (pivot_rows >= 10 OR pivot_columns >= 10) AND (num_row_attributes > 1 OR num_column_attributes > 1)
+    AND pivot_rows > 3 AND pivot_columns > 3
+  QUALIFY row_number() OVER (PARTITION BY dataset, relation ORDER BY hh) <= 10
+  UNION ALL
+  SELECT relation, row_attributes, column_attributes, value_attribute FROM h
+  WHERE (pivot_rows >= 10 OR pivot_columns >= 10) AND pivot_rows > 2 AND pivot_columns > 2
+  QUALIFY row_number() OVER (PARTITION BY dataset, relation ORDER BY hh) <= 5)"""
+
+
+@query("catalog_two_tier_union", f"WITH {SQL_TIERS} SELECT * FROM tiers")
+def catalog_two_tier_union(spark, sf_dir):
+    return two_tier(full_catalog(spark, sf_dir))
+
+
 SQL_WIDE_CELLS = f"""{SQL_SUPPLIER_LINES}, cells AS (
   SELECT table_id, CAST(quantity AS VARCHAR) AS row_path, CAST(discount AS VARCHAR) AS col_path, min_by(price, row_key) AS value,
     bool_or({SQL_NEEDED}) AS needed FROM lines GROUP BY table_id, quantity, discount)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tabloom.operators import profile
@@ -34,7 +32,7 @@ kinds AS (SELECT col, row_count AS "rows", distinct_values, coverage,
 
 @query("numeric_coverage", f"""WITH {SQL_PROFILE} SELECT col, "rows", coverage, kind FROM kinds""")
 def numeric_coverage(spark, sf_dir):
-    return profile.quick_profile(load(spark, sf_dir, "lineitem"), LINE_COLUMNS).drop("approx_values")
+    return profile.quick_profile(load(spark, sf_dir, "lineitem"), LINE_COLUMNS).drop("least_values")
 
 
 SQL_AXIS_PROFILE = f"""{SQL_PROFILE}, axis AS (
@@ -87,21 +85,17 @@ def _all(spark, sf_dir):
 
 
 SQL_SCHEMA = "\n UNION ALL ".join(
-    f"SELECT '{t}' AS relation, column_name AS col, replace(column_type, 'INTEGER', 'INTEGER') AS type_name "
-    f"FROM (DESCRIBE {t})" for t in TABLES if t != "embeddings"
+    f"SELECT '{t}' AS relation, column_name AS col, replace(column_type, 'FLOAT[]', 'ARRAY<FLOAT>') AS type_name "
+    f"FROM (DESCRIBE {t})" for t in TABLES
 )
-SQL_ROWS = "\n UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS row_count FROM {t}" for t in TABLES if t != "embeddings")
-
-
-def _flat(spark, sf_dir):
-    return {name: df for name, df in _all(spark, sf_dir).items() if name != "embeddings"}
+SQL_ROWS = "\n UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS row_count FROM {t}" for t in TABLES)
 
 
 @query("schema_probe", f"""
 WITH s AS ({SQL_SCHEMA}), r AS ({SQL_ROWS}) SELECT s.relation, col, type_name, row_count FROM s JOIN r USING (relation)
 """)
 def schema_probe(spark, sf_dir):
-    tables = _flat(spark, sf_dir)
+    tables = _all(spark, sf_dir)
     return relation_schema(spark, tables).join(row_counts(tables), "relation")
 
 
@@ -115,7 +109,7 @@ SELECT relation, {SQL_CLASS} AS type_class, count(*) AS columns, max(row_count)
 FROM s JOIN r USING (relation) GROUP BY ALL
 """)
 def classify_declared_types(spark, sf_dir):
-    tables = _flat(spark, sf_dir)
+    tables = _all(spark, sf_dir)
     return (
         relation_schema(spark, tables)
         .join(row_counts(tables), "relation")
@@ -125,7 +119,7 @@ def classify_declared_types(spark, sf_dir):
 
 
 SQL_DISTINCT_ROWS = "\n UNION ALL ".join(
-    f"SELECT '{t}' AS relation, count(*) AS row_count FROM (SELECT DISTINCT * FROM {t})" for t in TABLES if t != "embeddings"
+    f"SELECT '{t}' AS relation, count(*) AS row_count FROM (SELECT DISTINCT * FROM {t})" for t in TABLES
 )
 
 
@@ -137,31 +131,7 @@ SELECT relation, row_count, float_columns, categorical_columns FROM k JOIN r USI
 WHERE row_count >= 200 AND float_columns >= 1 AND categorical_columns >= 2 ORDER BY relation LIMIT 4
 """)
 def qualify_tables(spark, sf_dir):
-    """Tables with enough distinct rows and columns of both kinds.
-
-    The schema decides first, so only tables that can qualify are scanned for distinct rows.
-    """
-    tables = _flat(spark, sf_dir)
-    kinds = {
-        name: [profile.declared_type(f) for f in df.schema.fields] for name, df in tables.items()
-    }
-
-    def count(name, words):
-        return sum(any(w in t for w in words) for t in kinds[name])
-
-    eligible = [
-        n for n in sorted(tables)
-        if count(n, profile.FLOAT_TYPE_WORDS) >= 1 and count(n, profile.TEXT_TYPE_WORDS) >= 2
-    ]
-    counted = [
-        tables[n].distinct().agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(n).alias("relation"), "row_count",
-            F.lit(count(n, profile.FLOAT_TYPE_WORDS)).cast("long").alias("float_columns"),
-            F.lit(count(n, profile.TEXT_TYPE_WORDS)).cast("long").alias("categorical_columns"),
-        )
-        for n in eligible
-    ]
-    return reduce(lambda a, b: a.unionByName(b), counted).filter("row_count >= 200").orderBy("relation").limit(4)
+    return profile.qualified(_all(spark, sf_dir), target=4, least_rows=200, least_float=1, least_categorical=2)
 
 
 @query("catalog_relations", f"""
@@ -171,7 +141,7 @@ ORDER BY 1, 2
 """)
 def catalog_relations(spark, sf_dir):
     """Tables and views in order of type and name, with their sizes."""
-    tables = _flat(spark, sf_dir)
+    tables = _all(spark, sf_dir)
     enriched = tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
     counted = row_counts(tables).withColumn("type", F.lit("table"))
     view = row_counts({"orders_enriched": enriched}).withColumn("type", F.lit("view"))
