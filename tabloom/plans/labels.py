@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import exact_avg, plain, sql_plain
@@ -9,7 +11,15 @@ from tabloom.functions.sampling import digest, sql_digest, sql_pick, sql_pick_in
 from tabloom.operators import keys, labels
 from tabloom.operators.ranking import hash_ranked
 from tabloom.plans.registry import query
-from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
+from tabloom.sources.tables import (
+    SQL_LINE_KEY,
+    SQL_ORDER_TABLES,
+    SQL_SUPPLIER_LINES,
+    line_key,
+    load,
+    order_tables,
+    supplier_lines,
+)
 
 TUPLE = ["status", "priority", "year"]
 
@@ -198,6 +208,40 @@ def unique_key_search_keep(spark, sf_dir):
     return found.select("table_id", "subset", *TUPLE)
 
 
+KEY_COLUMNS = ["flag", "line_status", "line", "taxed", "quarter"]
+SQL_KEY_TABLES = f"""kt AS (SELECT l_suppkey AS table_id, {SQL_LINE_KEY} AS row_key, l_returnflag AS flag, l_linestatus AS line_status,
+  l_linenumber AS line, CASE WHEN l_tax > 0.04 THEN 'yes' ELSE 'no' END AS taxed, CASE WHEN l_quantity > 10 THEN quarter(l_shipdate) END AS quarter FROM lineitem)"""
+
+
+def _sql_smallest() -> str:
+    sets = [list(c) for r in range(1, len(KEY_COLUMNS) + 1) for c in combinations(range(len(KEY_COLUMNS)), r)]
+    parts = []
+    for i, s in enumerate(sets):
+        names = [KEY_COLUMNS[p] for p in s]
+        whole = " AND ".join(f"{n} IS NOT NULL" for n in names)
+        parts.append(f"SELECT table_id, {i} AS ord, '{' '.join(map(str, s))}' AS places, min(row_key) AS row_key FROM kt WHERE {whole} GROUP BY table_id, {', '.join(names)} HAVING count(*) = 1")
+    return " UNION ALL ".join(parts)
+
+
+@query("unique_key_any_size", f"""
+WITH {SQL_KEY_TABLES}, u AS MATERIALIZED ({_sql_smallest()}), w AS (SELECT table_id, min(ord) AS ord FROM u GROUP BY table_id)
+SELECT table_id, places, row_key FROM u JOIN w USING (table_id, ord)
+UNION ALL SELECT DISTINCT table_id, NULL, NULL FROM kt WHERE table_id NOT IN (SELECT table_id FROM w)
+""")
+def unique_key_any_size(spark, sf_dir):
+    """Rows that the smallest set of one to five columns tells apart, per supplier; suppliers without one are listed."""
+    lines = load(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("table_id"), line_key().alias("row_key"), F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("line_status"), F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_tax") > 0.04, "yes").otherwise("no").alias("taxed"),
+        F.when(F.col("l_quantity") > 10, F.quarter("l_shipdate")).alias("quarter"),
+    )
+    found = keys.smallest_keys(lines, ["table_id"], "row_key", KEY_COLUMNS)
+    return found.select("table_id", F.concat_ws(" ", F.col("places").cast("array<string>")).alias("places"), "row_key").withColumn(
+        "places", F.when(F.col("row_key").isNotNull(), F.col("places"))
+    )
+
+
 SQL_SINGLES = """nodes AS (
   SELECT table_id, row_id, 'status' AS col, status AS value FROM rel
   UNION ALL SELECT table_id, row_id, 'priority', priority FROM rel
