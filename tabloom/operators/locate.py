@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,10 +67,11 @@ def best_label(df: DataFrame, key: list[str], path: str, text: str) -> DataFrame
     return with_similarity(labels, "_label", "_text").groupBy(*key).agg(F.max("similarity").alias("similarity"))
 
 
-def query_terms(queries: DataFrame, table: str) -> DataFrame:
+def query_terms(queries: DataFrame, *key: str) -> DataFrame:
     """Texts a query looks for: per predicate its field and values, and the selected field as part -1.
 
-    ``queries`` holds ``(table, select_field, predicates array<struct<field, values array>>)``.
+    ``queries`` holds ``(key, select_field, predicates array<struct<field, values array>>)``; the key is the table, and
+    the query where a table has several.
     """
     parts = F.concat(
         F.array(F.struct(F.lit(-1).alias("pred"), F.lit("field").alias("part"), F.col("select_field").alias("text"))),
@@ -85,47 +87,51 @@ def query_terms(queries: DataFrame, table: str) -> DataFrame:
             )
         ),
     )
-    return queries.select(table, F.explode(parts).alias("_term")).select(
-        table, "_term.pred", "_term.part", normalize_label(F.col("_term.text")).alias("_text")
+    return queries.select(*key, F.explode(parts).alias("_term")).select(
+        *key, "_term.pred", "_term.part", normalize_label(F.col("_term.text")).alias("_text")
     )
 
 
-def path_scores(lines: DataFrame, terms: DataFrame, table: str, at: str, path: str) -> DataFrame:
-    """Score of every predicate on every line of one axis: ``(table, at, pred, score)``.
+def path_scores(lines: DataFrame, terms: DataFrame, table: str, at: str, path: str, query: Sequence[str] = ()) -> DataFrame:
+    """Score of every predicate on every line of one axis: ``(table, query, at, pred, score)``.
 
-    The selected field (-1) scores by its best label alone.
+    The selected field (-1) scores by its best label alone. ``query`` names the key of several queries per table.
     """
     labels = lines.select(table, at, F.explode(path).alias("_label")).withColumn("_label", normalize_label(F.col("_label")))
     texts = with_similarity(labels.filter("_label <> ''").join(terms, table), "_label", "_text")
-    best = texts.groupBy(table, at, "pred").agg(
+    best = texts.groupBy(table, *query, at, "pred").agg(
         F.max(F.when(F.col("part") == "field", F.col("similarity"))).alias("f"),
         F.max(F.when(F.col("part") == "value", F.col("similarity"))).alias("v"),
     )
     f, v = F.coalesce("f", F.lit(0.0)), F.coalesce("v", F.lit(0.0))
     both = F.when((f >= BOTH_THRESHOLD) & (v >= BOTH_THRESHOLD), F.lit(BOTH_BONUS)).otherwise(F.lit(0.0))
     score = F.least(F.lit(FIELD_WEIGHT) * f + F.lit(VALUE_WEIGHT) * v + both, F.lit(1.0))
-    return best.select(table, at, "pred", F.when(F.col("pred") == -1, f).otherwise(score).alias("score"))
+    return best.select(table, *query, at, "pred", F.when(F.col("pred") == -1, f).otherwise(score).alias("score"))
 
 
-def _by_line(scores: DataFrame, table: str, at: str) -> DataFrame:
+def _by_line(scores: DataFrame, key: Sequence[str], at: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.when(F.col("pred") >= 0, F.struct("pred", "score"))))
-    return scores.groupBy(table, at).agg(
+    return scores.groupBy(*key, at).agg(
         F.transform(listed, lambda s: s["score"]).alias(f"_{at}_scores"),
         F.max(F.when(F.col("pred") == -1, F.col("score"))).alias(f"_{at}_select"),
     )
 
 
-def locate(body: DataFrame, queries: DataFrame, table: str) -> DataFrame:
-    """Best cell per table and query: ``(table, row, col, answer, score)``.
+def located(body: DataFrame, queries: DataFrame, table: str, query: Sequence[str] = ()) -> DataFrame:
+    """Best cell of every query: ``(table, query, row, col, answer, score, reason)``.
 
-    Rows and columns are scored apart; a cell only adds up its line scores.
+    A table may have any number of queries, told apart by the columns ``query``. Rows and columns are scored apart, and a
+    label once per distinct text; a cell only adds up its line scores. A query without a confident cell has a reason
+    instead of an answer: ``below the least score``, or ``empty table`` if its table has no cells.
     """
-    terms = query_terms(queries, table)
-    n_preds = queries.select(table, F.size("predicates").alias("_n"))
+    key = [table, *query]
+    terms = query_terms(queries, *key)
+    n_preds = queries.select(*key, F.size("predicates").alias("_n"))
     lines = {at: body.groupBy(table, at).agg(F.first(f"{at}_path").alias("path")) for at in ("row", "col")}
     cells = body.select(table, "row", "col", "text").join(n_preds, table)
     for at in ("row", "col"):
-        cells = cells.join(_by_line(path_scores(lines[at], terms, table, at, "path"), table, at), [table, at], "left")
+        scores = path_scores(lines[at], terms, table, at, "path", query)
+        cells = cells.join(_by_line(scores, key, at), [*key, at], "left")
         zeros = F.array_repeat(F.lit(0.0), F.col("_n"))
         cells = cells.withColumn(f"_{at}_scores", F.coalesce(f"_{at}_scores", zeros)).withColumn(
             f"_{at}_select", F.coalesce(f"_{at}_select", F.lit(0.0))
@@ -135,8 +141,24 @@ def locate(body: DataFrame, queries: DataFrame, table: str) -> DataFrame:
     )
     bias = F.when(F.col("_col_select") >= F.col("_row_select"), F.lit(AXIS_BIAS)).otherwise(F.lit(0.0))
     total = matched + F.lit(SELECT_WEIGHT) * F.greatest("_row_select", "_col_select") + bias
-    best = first_rows(cells.withColumn("score", total), [table], [F.col("score").desc(), "row", "col"])
-    return best.filter(F.col("score") >= MIN_SCORE).select(table, "row", "col", F.col("text").alias("answer"), "score")
+    best = first_rows(cells.withColumn("score", total), key, [F.col("score").desc(), "row", "col"])
+    sure = F.col("score") >= MIN_SCORE
+    found = queries.select(*key).join(best, key, "left")
+    reason = F.when(F.col("score").isNull(), "empty table").when(~sure, "below the least score")
+    spots = [F.when(sure, F.col(c)).alias(name) for c, name in (("row", "row"), ("col", "col"), ("text", "answer"))]
+    return found.select(*key, *spots, "score", reason.alias("reason"))
+
+
+def locate(body: DataFrame, queries: DataFrame, table: str) -> DataFrame:
+    """Best cell of the one query of each table, where there is a confident one: ``(table, row, col, answer, score)``."""
+    return located(body, queries, table).filter("reason IS NULL").drop("reason")
+
+
+def uneven_samples(tables: DataFrame, queries: DataFrame, sample: str) -> DataFrame:
+    """Samples whose number of tables is not that of their queries: ``(sample, tables, queries)``; they cannot be chained."""
+    count = lambda df, name: df.groupBy(sample).agg(F.count(F.lit(1)).alias(name))
+    both = count(tables, "tables").join(count(queries, "queries"), sample, "full").na.fill(0, ["tables", "queries"])
+    return both.filter("tables <> queries")
 
 
 def previous_matches(body: DataFrame, previous: DataFrame, table: str) -> DataFrame:

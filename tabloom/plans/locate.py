@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest, sql_digest
 from tabloom.operators import locate, pivot
-from tabloom.operators.ranking import first_rows
+from tabloom.operators.ranking import top_rows
 from tabloom.plans.registry import query
 from tabloom.session import materialise
 from tabloom.sources import html
@@ -27,12 +27,12 @@ def parsed(pivots):
     return cells, materialise(html.body_with_paths(cells, ["table_id"]), "body")
 
 
-def questions(pivots):
-    """A query per table: the quantity at the flag, status and line of a random cell."""
+def questions(pivots, most=1):
+    """Queries of each table: the quantity at the flag, status and line of a random cell, or of ``most`` of them."""
     cells = pivots.withColumn(
         "_h", digest(80, "ask", "table_id", F.array_join(F.concat("row_path", "col_path"), "|"))
     )
-    asked = first_rows(cells, ["table_id"], ["_h"])
+    asked = top_rows(cells, ["table_id"], ["_h"], most, "query_id")
     predicate = lambda field, value: F.struct(F.lit(field).alias("field"), F.array(value).alias("values"))
     return asked.select(
         "table_id", F.lit("amount").alias("select_field"),
@@ -40,6 +40,7 @@ def questions(pivots):
             predicate("flag", F.col("row_path")[0]), predicate("status", F.col("row_path")[1]),
             predicate("line", F.col("col_path")[1]),
         ).alias("predicates"),
+        "query_id",
     )
 
 
@@ -61,6 +62,41 @@ def locate_cell(spark, sf_dir):
     return found.select("table_id", "row", "col", "answer")
 
 
+@query("locate_cell_queries", f"""
+WITH {SQL_GRID}, asked AS (SELECT b.table_id, b."row", b.col, b.value AS answer, row_number() OVER (PARTITION BY b.table_id
+    ORDER BY {sql_digest(80, "ask", "b.table_id", "flag || '|' || line_status || '|amount|' || line")}) AS query_id
+  FROM body b JOIN v USING (table_id, flag, line_status, line))
+SELECT table_id, query_id, "row", col, answer, NULL AS reason FROM asked WHERE query_id <= 3
+UNION ALL SELECT DISTINCT table_id, 4, NULL, NULL, NULL, 'below the least score' FROM r
+UNION ALL SELECT -1, 1, NULL, NULL, NULL, 'empty table'
+""")
+def locate_cell_queries(spark, sf_dir):
+    """Up to three queries per table, one that fits nothing, and one for a table without cells."""
+    pivots = quantity_cells(spark, sf_dir)
+    _, body = parsed(pivots)
+    asked = questions(pivots, 3)
+    shape = asked.select("predicates").schema[0].dataType.simpleString()
+    none = F.array().cast(shape)
+    vague = pivots.select("table_id").distinct().select("table_id", F.lit("").alias("select_field"), none.alias("predicates"), F.lit(4).alias("query_id"))
+    lost = spark.range(1).select(F.lit(-1).cast("long").alias("table_id"), F.lit("amount").alias("select_field"), none.alias("predicates"), F.lit(1).alias("query_id"))
+    queries = materialise(asked.unionByName(vague).unionByName(lost), "queries")
+    return locate.located(body, queries, "table_id", ["query_id"]).select("table_id", "query_id", "row", "col", "answer", "reason")
+
+
+@query("uneven_samples", f"""
+WITH {SQL_GRID}, t AS (SELECT table_id // 5 AS sample_id, count(*) AS tables FROM (SELECT DISTINCT table_id FROM r) GROUP BY 1),
+q AS (SELECT table_id // 5 AS sample_id, count(*) AS queries FROM target WHERE table_id % 7 <> 0 GROUP BY 1)
+SELECT sample_id, coalesce(tables, 0) AS tables, coalesce(queries, 0) AS queries FROM t FULL JOIN q USING (sample_id)
+WHERE coalesce(tables, 0) <> coalesce(queries, 0)
+""")
+def uneven_samples(spark, sf_dir):
+    """Samples of five tables that lack the query of a table (here those of every seventh supplier)."""
+    pivots = quantity_cells(spark, sf_dir)
+    sample = F.expr("table_id div 5").alias("sample_id")
+    tables = pivots.select("table_id").distinct().select(sample)
+    return locate.uneven_samples(tables, questions(pivots).where("table_id % 7 <> 0").select(sample), "sample_id")
+
+
 @query("label_similarity")
 def label_similarity(spark, sf_dir):
     """Similarity of part names and of misspelt, reordered and extended forms."""
