@@ -7,13 +7,12 @@ methods and perturbations of a corpus are rows of the same frames, so a dataset
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import exact_avg, exact_sum, money, plain
-from tabloom.functions.sampling import digest, pick, pick_int, uniform
+from tabloom.functions.sampling import pick, pick_int, uniform
 from tabloom.operators import perturb, pivot
 from tabloom.operators.joins import bundles
 from tabloom.operators.keys import unique_combinations
@@ -30,7 +29,7 @@ from tabloom.operators.labels import (
     yes_no,
 )
 from tabloom.operators.questions import templated
-from tabloom.operators.ranking import first_rows, top_rows
+from tabloom.operators.ranking import top_rows
 from tabloom.operators.units import convert_tables
 from tabloom.session import materialise
 from tabloom.sources.html import escape, join_all, multitable_text, render_rows, tag
@@ -359,7 +358,7 @@ def parallel_answers(placed: DataFrame, seed: int = 42) -> DataFrame:
 
 def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int, units: DataFrame) -> DataFrame:
     """HTML of every table as it is and with its values in another unit: ``(table, variant, html)``."""
-    texts = spread(rel, "row_id").withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
+    texts = with_unit(spread(rel, "row_id"), value, unit)
     changed = convert_tables(texts, units, table, "shown", "unit", seed).filter("reason IS NULL").withColumn(
         "shown", F.concat_ws(" ", plain(F.col("converted"), 12), "to_unit", F.lit(unit))
     )
@@ -377,11 +376,32 @@ def converted_html(rel: DataFrame, table: str, columns: Sequence[str], value: st
     )
 
 
+def refused_variants(placed: DataFrame, changed: DataFrame, table: str) -> DataFrame:
+    """(bundle_id, perturbation, reason, tables): variants that bundles go without, and how many of their tables cause it.
+
+    ``changed`` has a ``reason`` on the rows of tables that no unit converts. The first table of a bundle keeps its unit.
+    """
+    failed = changed.filter("reason IS NOT NULL").select(table, "reason").distinct()
+    hit = placed.filter("place > 0").select(table, "bundle_id").join(failed, table)
+    return hit.groupBy("bundle_id", F.lit("unit_converted").alias("perturbation"), "reason").agg(F.count(F.lit(1)).alias("tables"))
+
+
+def with_unit(rel: DataFrame, value: str, unit: str) -> DataFrame:
+    return rel.withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
+
+
+def parallel_refused(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int) -> DataFrame:
+    """The variants that ``parallel`` leaves out, each with its reason."""
+    cells = sampled_cells(rel, table, columns, value, 1, "parallel", seed)
+    changed = convert_tables(with_unit(rel, value, unit), units, table, "shown", "unit", seed)
+    return refused_variants(parallel_labels(cells, table, value), changed, table)
+
+
 def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int) -> DataFrame:
     """Bundles of parallel tables, unit-converted and not, with a label across the tables.
 
     The first table of a sample keeps its unit, as the question names it. A bundle with a table that no unit converts
-    has no converted variant, so every text holds all tables that its label was computed from.
+    has no converted variant, see ``parallel_refused``, so every text holds all tables that its label was computed from.
     """
     cells = sampled_cells(rel, table, columns, value, 1, "parallel", seed)
     placed = materialise(parallel_labels(cells, table, value), "placed")
@@ -398,40 +418,3 @@ def parallel(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str
     return parallel_answers(placed, seed).join(texts, "bundle_id").withColumn(
         "num_tables", F.element_at(F.split("bundle_id", "-"), -1).cast("int")
     )
-
-
-def discovered(base: DataFrame, entries: Sequence, seed: int) -> DataFrame:
-    """Question, label and table of every catalogue entry.
-
-    ``base`` is the relation aggregated to its axis attributes with ``sum`` and ``n`` per value
-    column, so each pivot re-aggregates a small frame instead of the relation.
-    """
-    parts = []
-    for i, e in enumerate(entries):
-        rows, cols = e.row_attributes.split("; "), e.column_attributes.split("; ")
-        cells = pivot.paths(base, rows, cols).groupBy("row_path", "col_path").agg(
-            (F.sum(f"{e.value_attribute}_sum").cast("double") / F.sum(f"{e.value_attribute}_n")).alias("value")
-        )
-        parts.append(
-            cells.select(
-                F.lit(f"{i}|extractive|none").alias("variant"), F.lit("; ".join(rows)).alias("row_attributes"),
-                F.lit("; ".join(cols)).alias("column_attributes"), F.lit(e.value_attribute).alias("target"),
-                "row_path", "col_path", "value",
-            )
-        )
-    cells = materialise(reduce(lambda a, b: a.unionByName(b), parts), "discovered")
-    asked = cells.withColumn("_h", digest(seed, "ask", "variant", F.array_join("row_path", "|"), F.array_join("col_path", "|")))
-    asked = first_rows(asked, ["variant"], ["_h"]).drop("_h")
-    marked = cells.join(
-        asked.select("variant", "row_path", "col_path", F.lit(True).alias("needed")), ["variant", "row_path", "col_path"], "left"
-    ).withColumn("needed", F.coalesce("needed", F.lit(False)))
-    small = pivot.shrink(marked, "variant", seed).select(
-        "variant", "row_path", "col_path", plain(F.col("value"), 4).alias("value"), F.lit(False).alias("header")
-    )
-    tables = rendered(small, "entry", seed, "", "").select("entry", "html")
-    answers = asked.select(
-        F.split("variant", r"\|")[0].alias("entry"), "row_attributes", "column_attributes", "target",
-        F.array_join("row_path", "; ").alias("row_key"), F.array_join("col_path", "; ").alias("col_key"),
-        plain(F.col("value"), 4).alias("label"),
-    )
-    return answers.join(tables, "entry")

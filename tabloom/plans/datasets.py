@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions.numbers import exact_avg, money, plain, sql_plain
-from tabloom.functions.sampling import digest, sql_pick
-from tabloom.operators import datasets, joins, labels, questions, scoring, units, views
+from tabloom.functions.numbers import sql_plain
+from tabloom.functions.sampling import sql_digest, sql_pick, sql_pick_int
+from tabloom.operators import datasets, discovered, joins, labels, scoring, units
 from tabloom.operators.keys import unique_combinations
-from tabloom.operators.ranking import top_rows
-from tabloom.plans import registry
+from tabloom.plans import catalogue, registry
 from tabloom.plans.labels import TUPLE, sql_cells
-from tabloom.plans.pivots import _axes, catalog_two_tier_union
+from tabloom.plans.pivots import SQL_TIERS, sql_side, two_tier
 from tabloom.plans.registry import query
 from tabloom.plans.scalars import SQL_SCORED, model_outputs, sql_normalize
+from tabloom.plans.units import SQL_MEASURED, SQL_TARGETS, sql_conversion
 from tabloom.session import materialise, scratch_path
-from tabloom.sources import files, html
-from tabloom.sources.tables import load, order_tables
+from tabloom.sources import files
+from tabloom.sources.tables import SQL_LINE_KEY, line_key, load, order_tables
 
 
 @query("dataset_single")
@@ -52,84 +52,110 @@ def dataset_parallel_labels(spark, sf_dir):
     return datasets.parallel_answers(datasets.parallel_labels(cells, "table_id", "price"))
 
 
-@query("dataset_fk")
-def dataset_fk(spark, sf_dir):
-    """Chained tables per region: its nations, customers of one nation, orders of one customer.
-
-    Every answer is the key of the next table; the last question averages up to four orders.  Tables
-    are cut to 100 cells around the needed rows.
-    """
-    chain = materialise(joins.fk_chain(spark, sf_dir, 31).select("r_name", "n_name", "custkey"), "chain")
-    regions = load(spark, sf_dir, "region")
-    nations = load(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "r_name", F.col("n_nationkey").cast("long").alias("row_id"), "n_nationkey", F.col("n_name").alias("nation")
-    )
-    first = nations.join(chain, "r_name").withColumn("needed", F.col("nation") == F.col("n_name"))
-    customers = load(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("row_id"), "c_name", "c_mktsegment"
-    )
-    second = customers.join(first.filter("needed").select("r_name", "n_nationkey", "nation", "custkey"), "n_nationkey").withColumn(
-        "needed", F.col("row_id") == F.col("custkey")
-    )
-    orders = load(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("row_id"), "o_orderstatus", "o_orderpriority", "o_totalprice"
-    ).join(chain, "custkey")
-    asked = top_rows(orders.withColumn("_h", digest(31, "orders", "row_id")), ["r_name"], ["_h"], 4)
-    answers = asked.groupBy("r_name").agg(plain(exact_avg(F.col("o_totalprice"))).alias("label"))
-    third = orders.join(asked.select("r_name", "row_id", F.lit(True).alias("needed")), ["r_name", "row_id"], "left").withColumn(
-        "needed", F.coalesce("needed", F.lit(False))
+KEYS = {
+    "lineitem": (line_key(), SQL_LINE_KEY), "orders": (F.col("o_orderkey"), "o_orderkey"), "customer": (F.col("c_custkey"), "c_custkey"),
+    "supplier": (F.col("s_suppkey"), "s_suppkey"), "part": (F.col("p_partkey"), "p_partkey"), "events": (F.col("event_id"), "event_id"),
+    catalogue.VIEW: (F.col("o_orderkey"), "o_orderkey"),
+}
+
+
+def _sql_store() -> str:
+    parts = []
+    for table, (_, key) in KEYS.items():
+        columns = [c.split(":") for c in catalogue.SCHEMA[table].split()]
+        names = ", ".join(f"'{c}'" for c, _ in columns)
+        texts = ", ".join(f"CAST({c} AS VARCHAR)" for c, _ in columns)
+        numbers = ", ".join(f"CAST({c} AS DECIMAL(28,6))" if k == "n" else "NULL" for c, k in columns)
+        parts.append(f"SELECT '{table}' AS relation, CAST({key} AS VARCHAR) AS row, [{names}] AS names, [{texts}] AS vals, [{numbers}] AS nums FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+SQL_DISCOVERED = f"""
+WITH {SQL_TIERS},
+entries AS (SELECT DISTINCT relation, row_attributes, column_attributes, value_attribute,
+    concat_ws('|', relation, row_attributes, column_attributes, value_attribute) AS entry,
+    string_split(row_attributes, '; ') AS ra, string_split(column_attributes, '; ') AS ca FROM tiers),
+store AS ({_sql_store()}),
+tuples AS (SELECT entry, len(ra) + len(ca) AS attrs, row, list_transform(ra, lambda a: vals[list_position(names, a)]) AS r,
+    list_transform(ca, lambda a: vals[list_position(names, a)]) AS c, nums[list_position(names, value_attribute)] AS value
+  FROM store JOIN entries USING (relation)),
+cells AS MATERIALIZED (SELECT entry, attrs, array_to_string(r, '|') AS row_path, array_to_string(c, '|') AS col_path, min(row) AS row, min_by(value, row) AS value
+  FROM tuples WHERE value IS NOT NULL AND len(list_filter(r, lambda x: x IS NULL)) = 0 AND len(list_filter(c, lambda x: x IS NULL)) = 0 GROUP BY ALL),
+spread AS (SELECT *, unnest(['average', 'sum', 'superlative']) AS method FROM cells),
+asked AS MATERIALIZED (SELECT *, CASE method WHEN 'superlative' THEN {sql_pick_int(42, "superlative-size", 3, 4, "entry")}
+    WHEN 'sum' THEN {sql_pick_int(42, "sum-size", 2, 4, "entry")} ELSE {sql_pick_int(42, "average-size", 2, 4, "entry")} END AS wanted
+  FROM (SELECT *, row_number() OVER (PARTITION BY entry, method ORDER BY {sql_digest(42, "discovered", "entry", "method", "row_path", "col_path")}, row) AS rn FROM spread)
+  WHERE rn <= wanted),
+money AS (SELECT entry, method, wanted, count(*) AS n, CAST(max(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS hi, CAST(min(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS lo,
+    CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM asked GROUP BY ALL),
+labels AS (SELECT entry, method, CASE method WHEN 'sum' THEN {sql_plain("total")} WHEN 'average' THEN {sql_plain("total / n")}
+    ELSE CASE WHEN {sql_pick(42, "extreme", labels.EXTREMES, "entry")} = 'MAX' THEN {sql_plain("hi")} ELSE {sql_plain("lo")} END END AS label FROM money WHERE n = wanted),
+marked AS MATERIALIZED (SELECT s.*, entry || '|' || method AS table_id, EXISTS (SELECT 1 FROM asked a WHERE a.entry = s.entry AND a.method = s.method
+    AND a.row_path = s.row_path AND a.col_path = s.col_path) AS needed FROM spread s SEMI JOIN labels USING (entry, method)),
+rel_rows AS (SELECT entry, method, count(*) AS relational_rows, md5(string_agg(concat_ws('#', row_path, col_path, CAST(value AS VARCHAR)), chr(10) ORDER BY row, row_path, col_path)) AS relational_digest
+  FROM (SELECT *, row_number() OVER (PARTITION BY entry, method ORDER BY needed DESC, row, row_path, col_path) AS rn FROM marked)
+  WHERE rn <= 100 AND (needed OR rn <= greatest(100 // (attrs + 1), 1)) GROUP BY ALL),
+{sql_side("row_path", "marked", "marked")}, {sql_side("col_path", "marked", "after_row_path")},
+piv AS (SELECT entry, method, count(DISTINCT row_path) AS pivot_rows, count(DISTINCT col_path) AS pivot_columns,
+    md5(string_agg(concat_ws('#', row_path, col_path, CAST(value AS VARCHAR)), chr(10) ORDER BY row_path, col_path)) AS pivot_digest FROM after_col_path GROUP BY ALL)
+SELECT entry, method, label, relational_rows, relational_digest, pivot_rows, pivot_columns, pivot_digest
+FROM labels JOIN rel_rows USING (entry, method) LEFT JOIN piv USING (entry, method)
+"""
+
+
+@query("dataset_discovered", SQL_DISCOVERED)
+def dataset_discovered(spark, sf_dir):
+    """Samples over discovered dense pivots of all relations: labels, and digests of both forms of their tables."""
+    relations = catalogue.relations(spark, sf_dir)
+    found = catalogue.searched(spark, sf_dir)
+    entries = materialise(two_tier(found.pivots), "entries")
+    store = discovered.cell_store(relations, found.shapes, {r: key for r, (key, _) in KEYS.items()})
+    made = discovered.discovered(store, entries, 42)
+    line = F.concat_ws("#", F.array_join("row_path", "|"), F.array_join("col_path", "|"), F.col("value").cast("string"))
+
+    def listed(*order: str):
+        """Digest of the lines of a table, which has at most a hundred."""
+        keys = [F.array_join(c, "|") if c.endswith("path") else F.col(c) for c in order]
+        lines = F.array_sort(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], line.alias("line"))))
+        return F.md5(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
+
+    rows = made.rows.groupBy("entry", "method").agg(F.count(F.lit(1)).alias("relational_rows"), listed("row", "row_path", "col_path").alias("relational_digest"))
+    cells = made.cells.groupBy("entry", "method").agg(
+        F.count_distinct("row_path").alias("pivot_rows"), F.count_distinct("col_path").alias("pivot_columns"), listed("row_path", "col_path").alias("pivot_digest")
     )
+    return made.labels.select("entry", "method", "label").join(rows, ["entry", "method"]).join(cells, ["entry", "method"], "left")
 
-    def page(rows, place, columns):
-        capped = views.cap_rows(rows, "r_name", "row_id", columns=len(columns))
-        cells = [html.tag("td", html.escape(F.col(c).cast("string"))) for c in columns]
-        ordered = F.array_sort(F.collect_list(F.struct("row_id", html.tag("tr", F.concat(*cells)).alias("_tr"))))
-        head = "<table><thead><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>"
-        body = html.join_all(F.transform(ordered, lambda s: s["_tr"]))
-        return capped.groupBy("r_name").agg(F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html")).withColumn("place", F.lit(place))
 
-    pages = page(first, 0, ["nation", "n_nationkey"]).unionByName(page(second, 1, ["nation", "c_name", "c_mktsegment"])).unionByName(
-        page(third, 2, ["custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
-    )
-    texts = html.multitable_text(pages, "r_name", "place", "html")
-    lookup = chain.select(
-        "r_name", F.explode(F.array(
-            F.struct(F.lit(1).alias("step"), F.lit("RegionName").alias("col"), F.col("r_name").alias("value"), F.lit(False).alias("is_last")),
-            F.struct(F.lit(2).alias("step"), F.lit("NationName").alias("col"), F.lit(views.PLACEHOLDER).alias("value"), F.lit(False).alias("is_last")),
-        )).alias("p"), F.lit(1).alias("branch"), F.lit(0).alias("pos"),
-    ).select("r_name", "p.step", "branch", "pos", "p.col", F.lit("=").alias("op"), "p.value", "p.is_last")
-    branches = asked.select(
-        "r_name", F.lit(3).alias("step"), F.col("rn").alias("branch"), F.lit(0).alias("pos"), F.lit("OrderKey").alias("col"),
-        F.lit("=").alias("op"), F.col("row_id").cast("string").alias("value"), F.lit(True).alias("is_last"),
-    )
-    last = chain.select("r_name", F.lit("AVG").alias("aggregate"), F.lit("TotalPrice").alias("target"))
-    asked_text = questions.templated(lookup.unionByName(branches), "r_name", last).withColumnRenamed("text", "question")
-    return answers.join(asked_text, "r_name").join(texts, "r_name").select("r_name", "question", "label", F.md5("text").alias("text_digest"))
+SQL_PARALLEL = f"""{SQL_MEASURED}, {SQL_TARGETS}, {sql_cells("parallel", 1)},
+tab AS (SELECT table_id, 'finance' AS domain, 'USD' AS from_unit, {sql_plain("price", 2)} AS shown FROM rel),
+{sql_conversion("tab", 42)},
+placed AS (SELECT table_id, table_id // 20 AS sample_id, table_id % 20 AS place, size FROM cells JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON table_id % 20 < size WHERE rn = 1),
+g AS (SELECT sample_id, size, sample_id || '-' || size AS bundle_id FROM placed GROUP BY ALL HAVING count(*) = size),
+refused AS (SELECT bundle_id, 'unit_converted' AS perturbation, 'no target converts the table' AS reason, count(*) AS tables
+  FROM placed JOIN g USING (sample_id, size) WHERE place > 0 AND table_id NOT IN (SELECT table_id FROM ok) GROUP BY ALL),
+variants AS (SELECT sample_id, size, bundle_id, unnest(['unit_converted', 'not_unit_converted']) AS perturbation FROM g),
+made AS (SELECT * FROM variants v WHERE NOT EXISTS (SELECT 1 FROM refused r WHERE r.bundle_id = v.bundle_id AND r.perturbation = v.perturbation))"""
 
 
-@query("dataset_discovered")
-def dataset_discovered(spark, sf_dir):
-    """Discovered dense pivots of the line items as table questions.
-
-    The chosen catalogue entries (at most fifteen per relation) decide the plan; the pivots
-    themselves stay distributed.
-    """
-    entries = catalog_two_tier_union(spark, sf_dir).distinct().orderBy("relation", "value_attribute", "row_attributes", "column_attributes").collect()
-    values = sorted({e.value_attribute for e in entries})
-    axes = sorted({c for e in entries for c in f"{e.row_attributes}; {e.column_attributes}".split("; ")})
-    base = _axes(spark, sf_dir).groupBy(*axes).agg(
-        *[F.sum(money(F.col(v))).alias(f"{v}_sum") for v in values], *[F.count(v).alias(f"{v}_n") for v in values]
-    )
-    return datasets.discovered(materialise(base, "axis-sums"), entries, 42).select(
-        "entry", "row_attributes", "column_attributes", "target", "row_key", "col_key", "label", F.md5("html").alias("table_digest")
-    )
+@query("dataset_parallel_refused", f"WITH {SQL_PARALLEL} SELECT * FROM refused")
+def dataset_parallel_refused(spark, sf_dir):
+    """Bundles without a unit-converted variant, with the reason and the number of tables that cause it."""
+    return datasets.parallel_refused(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
+
+
+@query("dataset_parallel_samples", f"""
+WITH {SQL_PARALLEL}, labelled AS ({registry.SQL["dataset_parallel_labels"]})
+SELECT bundle_id, CAST(size AS INTEGER) AS num_tables, method, op, perturbation, label FROM made JOIN labelled USING (bundle_id)
+""")
+def dataset_parallel_samples(spark, sf_dir):
+    """Keys, labels and variants of the parallel samples that have a text."""
+    made = datasets.parallel(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
+    return made.select("bundle_id", "num_tables", "method", "op", "perturbation", "label")
 
 
 @query("dataset_collect", f"""
-WITH {sql_cells("parallel", 1)}, b AS (SELECT table_id // 20 AS sample_id, size FROM cells JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON table_id % 20 < size WHERE rn = 1),
-g AS (SELECT sample_id, size FROM b GROUP BY ALL HAVING count(*) = size)
-SELECT CAST(size AS INTEGER) AS num_tables, method, perturbation, count(*) AS samples FROM g, (VALUES ('superlative'),('sum'),('average')) m(method),
-  (VALUES ('unit_converted'),('not_unit_converted')) p(perturbation) GROUP BY ALL
+WITH {SQL_PARALLEL} SELECT CAST(size AS INTEGER) AS num_tables, method, perturbation, count(*) AS samples
+FROM made, (VALUES ('superlative'),('sum'),('average')) m(method) GROUP BY ALL
 """)
 def dataset_collect(spark, sf_dir):
     """Parallel samples written to their folders and counted per folder."""

@@ -181,19 +181,24 @@ def alias_enrichment(spark, sf_dir):
     )
 
 
-@query("convert_table_units", f"""
-WITH {SQL_MEASURED}, {SQL_TARGETS},
-tab AS (SELECT event_id, user_id || '-' || from_unit AS table_id, domain, from_unit, shown FROM m),
-tries AS (SELECT DISTINCT table_id, domain, from_unit, a.attempt FROM tab, (VALUES (0),(1),(2),(3),(4)) a(attempt)),
-tg AS (SELECT table_id, t.domain, attempt, surrogate, targets[CAST(floor({sql_uniform(35, "convert-table", "table_id", "attempt")} * len(targets)) AS INTEGER) + 1] AS to_unit
+def sql_conversion(rows: str, seed: int) -> str:
+    """CTEs res, chk and ok(table_id, attempt) of the relation ``rows`` (table_id, domain, from_unit, shown)."""
+    return f"""tries AS (SELECT DISTINCT table_id, domain, from_unit, a.attempt FROM {rows}, (VALUES (0),(1),(2),(3),(4)) a(attempt)),
+tg AS (SELECT table_id, t.domain, attempt, surrogate, targets[CAST(floor({sql_uniform(seed, "convert-table", "table_id", "attempt")} * len(targets)) AS INTEGER) + 1] AS to_unit
   FROM tries t JOIN targets ON targets.domain = t.domain AND name = from_unit),
 res AS (SELECT table_id, attempt, to_unit, f.e.factor AS f1, f.e."offset" AS o1, t.e.factor AS f2, t.e."offset" AS o2 FROM tg
   JOIN names f ON f.domain = tg.domain AND f.name = surrogate JOIN names t ON t.domain = tg.domain AND t.name = to_unit
   WHERE f.e.kind = t.e.kind AND f.e.factor IS NOT NULL AND t.e.factor IS NOT NULL),
 chk AS (SELECT tab.table_id, attempt, min(d) AS worst, max(d) AS decimals FROM (
     SELECT tab.table_id, attempt, CASE WHEN TRY_CAST(shown AS DOUBLE) IS NOT NULL THEN {sql_roundtrip("TRY_CAST(shown AS DOUBLE)", "shown")} END AS d
-    FROM tab JOIN res ON res.table_id = tab.table_id) tab GROUP BY ALL),
-ok AS (SELECT table_id, min(attempt) AS attempt FROM chk WHERE worst >= 0 GROUP BY table_id)
+    FROM {rows} tab JOIN res ON res.table_id = tab.table_id) tab GROUP BY ALL),
+ok AS (SELECT table_id, min(attempt) AS attempt FROM chk WHERE worst >= 0 GROUP BY table_id)"""
+
+
+@query("convert_table_units", f"""
+WITH {SQL_MEASURED}, {SQL_TARGETS},
+tab AS (SELECT event_id, user_id || '-' || from_unit AS table_id, domain, from_unit, shown FROM m),
+{sql_conversion("tab", 35)}
 SELECT event_id, tab.table_id, res.to_unit, chk.decimals, (TRY_CAST(shown AS DOUBLE) * f1 + o1 - o2) / f2 AS converted,
   CASE WHEN res.to_unit IS NULL THEN 'no target converts the table' END AS reason
 FROM tab LEFT JOIN ok ON ok.table_id = tab.table_id LEFT JOIN res ON res.table_id = ok.table_id AND res.attempt = ok.attempt
