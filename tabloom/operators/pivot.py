@@ -22,7 +22,8 @@ from tabloom.session import materialise
 # Limits of the searches.
 MIN_SIDE = 3
 MIN_DENSITY = 0.95
-MAX_PAIR_IDS = 200
+#: Cells of a candidate's whole grid, a byte each, up to which one task trims it.
+MAX_GRID_CELLS = 50_000_000
 SHRINK_RANGE = (2, 10)
 
 
@@ -181,14 +182,13 @@ def _trim(presence: np.ndarray, low: int, high: int):
     return alive[0], alive[1]
 
 
-def trim_dense(presence: DataFrame, group: str, low: int, high: int) -> DataFrame:
-    """Dense sub-matrix per candidate.
+TRIMMED = "candidate string, row_ids array<bigint>, col_ids array<bigint>, density double, filled bigint"
 
-    ``presence`` holds ``(group, row_id, col_id)`` with ids from 1; candidates with more than 200 ids
-    on a side are left out before, so a group has at most 40 000 cells.
-    """
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def trim_dense(numbered: DataFrame, group: str, low: int, high: int) -> DataFrame:
+    """Dense sub-matrix per candidate of ``(group, row_id, col_id)`` with ids from 1, see ``numbered``."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((pdf.row_id.max(), pdf.col_id.max()), dtype=np.uint8)
         grid[pdf.row_id.to_numpy() - 1, pdf.col_id.to_numpy() - 1] = 1
         kept = _trim(grid, low, high)
@@ -205,10 +205,7 @@ def trim_dense(presence: DataFrame, group: str, low: int, high: int) -> DataFram
             }
         )
 
-    schema = "candidate string, row_ids array<bigint>, col_ids array<bigint>, density double, filled bigint"
-    sizes = presence.groupBy(group).agg(F.max("row_id").alias("_r"), F.max("col_id").alias("_c"))
-    fitting = sizes.filter((F.col("_r") <= MAX_PAIR_IDS) & (F.col("_c") <= MAX_PAIR_IDS)).select(group)
-    return presence.join(fitting, group, "left_semi").groupBy(group).applyInPandas(one, schema)
+    return numbered.groupBy(group).applyInPandas(one, TRIMMED)
 
 
 def pair_candidates(columns: Sequence[str]) -> list[tuple[list[str], list[str]]]:
@@ -223,7 +220,7 @@ def pair_candidates(columns: Sequence[str]) -> list[tuple[list[str], list[str]]]
 
 
 def candidate_presence(df: DataFrame, candidates, value: str) -> DataFrame:
-    """Presence cells of all candidates in one frame, with dense ids per candidate and side."""
+    """Occupied cells ``(candidate, r, c)`` of all candidates in one frame."""
     attributes = sorted({c for rows, cols in candidates for c in [*rows, *cols]})
     tuples = df.filter(F.col(value).isNotNull()).select(*attributes).distinct()
     tagged = F.array(
@@ -236,7 +233,24 @@ def candidate_presence(df: DataFrame, candidates, value: str) -> DataFrame:
             for r, c in candidates
         ]
     )
-    cells = tuples.select(F.explode(tagged).alias("t")).select("t.*").dropna().distinct()
+    return tuples.select(F.explode(tagged).alias("t")).select("t.*").dropna().distinct()
+
+
+def candidate_sizes(presence: DataFrame) -> DataFrame:
+    """(candidate, rows, cols, fits): whether the grid of a candidate is small enough to be trimmed in one task."""
+    line = [F.struct(F.lit(side).alias("side"), F.col(side).alias("key")) for side in ("r", "c")]
+    sides = presence.select("candidate", F.explode(F.array(*line)).alias("s"))
+    keys = sides.select("candidate", "s.side", "s.key").distinct()
+    sizes = keys.groupBy("candidate").agg(F.count(F.when(F.col("side") == "r", 1)).alias("rows"), F.count(F.when(F.col("side") == "c", 1)).alias("cols"))
+    return sizes.withColumn("fits", F.col("rows") * F.col("cols") <= MAX_GRID_CELLS)
+
+
+def numbered(presence: DataFrame) -> DataFrame:
+    """Presence cells of the candidates that fit, with ids from 1 per candidate and side; ``candidate_sizes`` tells the others.
+
+    Ids are only given where the grid is bounded, so a numbering window holds a bounded number of keys.
+    """
+    cells = presence.join(candidate_sizes(presence).filter("fits").select("candidate"), "candidate", "left_semi")
 
     def ids(side):
         window = Window.partitionBy("candidate").orderBy(side)
@@ -252,7 +266,7 @@ def candidate_presence(df: DataFrame, candidates, value: str) -> DataFrame:
 def densest_pivot(df: DataFrame, columns: Sequence[str], value: str, low: int, high: int) -> DataFrame:
     """Cells of the best 2 x 2 attribute pivot by density + 0.01 * filled, empty cells included."""
     candidates = pair_candidates(columns)
-    presence = candidate_presence(df, candidates, value)
+    presence = materialise(numbered(candidate_presence(df, candidates, value)), "presence")
     trimmed = trim_dense(presence.select("candidate", "row_id", "col_id"), "candidate", low, high)
     score = F.col("density") + F.lit(0.01) * F.col("filled")
     best = trimmed.withColumn("score", score).orderBy(F.col("score").desc(), "candidate").limit(1)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import LOOSE_NUMBER, first_number
@@ -18,6 +19,7 @@ from tabloom.functions.text import (
     strip_percent,
     yes_no_prefix,
 )
+from tabloom.sources.files import write_csv
 
 # Fixed values.
 MARKER = "Final answer:"
@@ -136,3 +138,36 @@ def row_f1(predicted: Column, gold: Column) -> Column:
         .when((p == 0) | (g == 0) | (same == 0), F.lit(0.0))
         .otherwise(F.lit(2.0) * (same / p) * (same / g) / (same / p + same / g))
     )
+
+
+class Sunk(NamedTuple):
+    """Folders of the three tables that an evaluation leaves behind."""
+
+    predictions: str
+    score: str
+    reasoning: str
+
+
+def write_scores(outputs: DataFrame, folder: str) -> Sunk:
+    """Write predictions with their match and F1, a one-row score table, and the raw reasoning texts, as CSV.
+
+    The score is observed while the predictions are written, so outputs are scored once and no second pass reads them.
+    An empty frame leaves an empty accuracy and F1.
+    """
+    folder = folder.rstrip("/")
+    sunk = Sunk(f"{folder}/preds", f"{folder}/score", f"{folder}/reasoning")
+    rows = scored(outputs).withColumn("f1", row_f1(answer_tokens(F.col("prediction")), answer_tokens(F.col("label"))))
+    seen = Observation()
+    rows = rows.select("sample_id", "prediction", "label", "match", "f1").observe(
+        seen,
+        F.count(F.lit(1)).alias("samples"),
+        F.sum(F.col("match").cast("int")).alias("hits"),
+        F.sum(F.col("f1").cast("decimal(38,9)")).alias("f1"),
+    )
+    write_csv(rows, sunk.predictions)
+    found = seen.get
+    n = found["samples"]
+    score = (n, found["hits"] / n if n else None, float(found["f1"]) / n if n else None)
+    write_csv(outputs.sparkSession.createDataFrame([score], "samples long, accuracy double, mean_f1 double"), sunk.score)
+    write_csv(outputs.select("sample_id", F.col("output").alias("reasoning")), sunk.reasoning)
+    return sunk

@@ -312,10 +312,23 @@ def pair_presence(spark, sf_dir):
 @query("dense_submatrix_trim")
 def dense_submatrix_trim(spark, sf_dir):
     candidates = pivot.pair_candidates(["flag", "line", "discount", "tax"])
-    cells = pivot.candidate_presence(_axes(spark, sf_dir), candidates, "price")
+    cells = pivot.numbered(pivot.candidate_presence(_axes(spark, sf_dir), candidates, "price"))
     return pivot.trim_dense(cells.select("candidate", "row_id", "col_id"), "candidate", 3, 10)
 
 
+SQL_CANDIDATES = " UNION ALL ".join(
+    f"SELECT '{'; '.join(r)} | {'; '.join(c)}' AS candidate, count(DISTINCT ({', '.join(r)})) AS \"rows\", count(DISTINCT ({', '.join(c)})) AS cols FROM ax WHERE price IS NOT NULL"
+    for r, c in pivot.pair_candidates(["flag", "line", "discount", "quantity"])
+)
+
+
+@query("trim_candidate_sizes", f"WITH {SQL_AXES} SELECT *, \"rows\" * cols <= {pivot.MAX_GRID_CELLS} AS fits FROM ({SQL_CANDIDATES})")
+def trim_candidate_sizes(spark, sf_dir):
+    """Grid of every candidate, and whether it is trimmed; those that do not fit are listed here instead of vanishing."""
+    candidates = pivot.pair_candidates(["flag", "line", "discount", "quantity"])
+    return pivot.candidate_sizes(pivot.candidate_presence(_axes(spark, sf_dir), candidates, "price"))
+
+
 @query("densest_pivot")
 def densest_pivot(spark, sf_dir):
     return pivot.densest_pivot(_axes(spark, sf_dir), ["flag", "line", "discount", "tax"], "price", 5, 10)

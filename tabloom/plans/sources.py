@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tabloom.functions.sampling import pick, sql_pick
 from tabloom.operators import pivot
 from tabloom.operators.scoring import accuracy as accuracy_of
-from tabloom.operators.scoring import scored
+from tabloom.operators.scoring import scored, write_scores
 from tabloom.plans.registry import query
-from tabloom.plans.scalars import SQL_OUTPUTS, SQL_SCORED, model_outputs
+from tabloom.plans.scalars import SQL_OUTPUTS, SQL_SCORED, model_outputs, sql_normalize
 from tabloom.session import materialise, scratch_path
 from tabloom.sources import catalog, files, html
 from tabloom.sources.tables import SQL_ORDER_TABLES, SQL_SUPPLIER_LINES, load, order_tables, supplier_lines
@@ -52,6 +52,41 @@ def sink_scores(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _sunk(spark, sf_dir):
+    return write_scores(model_outputs(spark, sf_dir), scratch_path(spark, "evaluation"))
+
+
+SQL_SAMPLE_F1 = f"""{SQL_SCORED}, tok AS (SELECT sample_id, 'p' AS side, unnest(string_split({sql_normalize("prediction")}, ' ')) AS token FROM scored
+  UNION ALL SELECT sample_id, 'g', unnest(string_split({sql_normalize("label")}, ' ')) FROM scored),
+cnt AS (SELECT sample_id, token, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'g') AS g FROM tok WHERE token <> '' GROUP BY ALL),
+tot AS (SELECT s.sample_id, coalesce(sum(p), 0)::DOUBLE AS p, coalesce(sum(g), 0)::DOUBLE AS g, coalesce(sum(least(p, g)), 0)::DOUBLE AS same
+  FROM scored s LEFT JOIN cnt ON cnt.sample_id = s.sample_id GROUP BY s.sample_id),
+sample_f1 AS (SELECT sample_id, prediction, label, match, CASE WHEN p = 0 AND g = 0 THEN 1.0::DOUBLE WHEN p = 0 OR g = 0 OR same = 0 THEN 0.0::DOUBLE
+  ELSE 2.0::DOUBLE * (same / p) * (same / g) / (same / p + same / g) END AS f1 FROM scored JOIN tot USING (sample_id))"""
+
+
+@query("sink_predictions", f"WITH {SQL_SAMPLE_F1} SELECT * FROM sample_f1")
+def sink_predictions(spark, sf_dir):
+    """Predictions as written, read back: with label, match and token F1."""
+    schema = "sample_id long, prediction string, label string, match boolean, f1 double"
+    return files.read_csv(spark, _sunk(spark, sf_dir).predictions, schema)
+
+
+@query("sink_score_table", f"""
+WITH {SQL_SAMPLE_F1} SELECT count(*) AS samples, count(*) FILTER (WHERE match) / count(*)::DOUBLE AS accuracy,
+  CAST(sum(CAST(f1 AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS mean_f1 FROM sample_f1
+""")
+def sink_score_table(spark, sf_dir):
+    """The score observed while the predictions were written, read back."""
+    return files.read_csv(spark, _sunk(spark, sf_dir).score, "samples long, accuracy double, mean_f1 double")
+
+
+@query("sink_reasoning", f"WITH {SQL_OUTPUTS} SELECT sample_id, output AS reasoning FROM outputs")
+def sink_reasoning(spark, sf_dir):
+    """The raw texts of the model, read back."""
+    return files.read_csv(spark, _sunk(spark, sf_dir).reasoning, "sample_id long, reasoning string")
+
+
 @query("scan_relation", "SELECT * FROM supplier")
 def scan_relation(spark, sf_dir):
     return load(spark, sf_dir, "supplier")

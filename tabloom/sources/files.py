@@ -9,7 +9,8 @@ from tabloom.functions.numbers import as_number
 
 PARTITIONS = ["num_tables", "domain", "method", "perturbation"]
 
-QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: An empty text stays one; a missing value is written as backslash N.
+QUOTING = {"quote": '"', "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 NESTED_QA = (
     "struct<table:struct<table:array<array<string>>>,"
