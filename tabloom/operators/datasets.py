@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import exact_avg, exact_sum, money, plain
-from tabloom.functions.sampling import pick, pick_int, uniform
+from tabloom.functions.sampling import digest, pick, pick_int, uniform
 from tabloom.operators import perturb, pivot
 from tabloom.operators.joins import bundles
 from tabloom.operators.keys import unique_combinations
@@ -139,33 +139,54 @@ def variant_key(table: str) -> Column:
     return F.concat_ws("|", F.col(table).cast("string"), "method", "perturbation")
 
 
-def variants(rel: DataFrame, chosen: DataFrame, labels: DataFrame, table: str) -> DataFrame:
-    """Rows of every table once per sample and row perturbation, with the rows an answer needs marked.
+def base_pivot(rel: DataFrame, layouts: DataFrame, table: str, columns: Sequence[str], value: str) -> DataFrame:
+    """One pivot per table, which all samples and variants share: ``(table, row_path, col_path, row_id, columns, value)``.
 
-    The perturbations of the pivot all start from the variant ``none``.
+    A cell is the row of the smallest key among those with its attributes.
     """
-    samples = labels.select(table, "method").withColumn(
-        "perturbation", F.explode(F.array(*[F.lit(p) for p in ["none", *BEFORE_PIVOT, MIXED]]))
-    )
-    needed = chosen.select(table, "method", "row_id", F.lit(True).alias("needed"))
-    # rows multiply here, so they are spread by number: a small input must not stay in one task
-    tasks = int(rel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        rel.repartition(tasks, F.col("row_id"))
-        .join(samples, table)
-        .join(needed, [table, "method", "row_id"], "left")
-        .withColumn("needed", F.coalesce("needed", F.lit(False)))
-        .withColumn("variant", variant_key(table))
-    )
+    placed = perturb.layout_cells(rel, layouts, table, columns)
+    cells = placed.groupBy(table, "row_path", "col_path").agg(F.min_by(F.struct("row_id", *columns, value), "row_id").alias("_row"))
+    return cells.select(table, "row_path", "col_path", "_row.*")
 
 
-def pivot_variants(cells: DataFrame) -> DataFrame:
-    """The clean pivot once more for every perturbation of pivots."""
-    parts = F.split("variant", r"\|")
-    more = F.when(parts[2] == "none", F.array(*[F.lit(p) for p in ["none", *AFTER_PIVOT]])).otherwise(F.array(parts[2]))
-    return cells.withColumn("perturbation", F.explode(more)).withColumn(
-        "variant", F.concat_ws("|", parts[0], parts[1], "perturbation")
-    )
+def shown_lines(base: DataFrame, needed: DataFrame, table: str, path: str, seed: int, low: int, high: int) -> DataFrame:
+    """The lines of one side that a sample shows: ``(table, method, path)``.
+
+    Lines with a needed cell come first, then those that the table's own draw puts first; so besides needed lines only the
+    first ``high`` lines of a table matter, and they are found once for all its samples. Samples of tables with fewer
+    than ``low`` lines, or with more needed lines than fit, have none.
+    """
+    drawn = digest(seed, path, table, F.array_join(path, "|"))
+    lines = base.groupBy(table, path).agg(F.lit(0).alias("must")).withColumn("_h", drawn)
+    sizes = lines.groupBy(table).agg(F.count(F.lit(1)).alias("_n"))
+    first = top_rows(lines, [table], ["_h", path], high).drop("rn")
+    asked = needed.groupBy(table, "method", path).agg(F.lit(1).alias("must")).withColumn("_h", drawn)
+    each = first.join(needed.select(table, "method").distinct(), table).select(*asked.columns)
+    marked = each.unionByName(asked).groupBy(table, "method", path).agg(F.max("must").alias("must"), F.max("_h").alias("_h"))
+    wanted = asked.groupBy(table, "method").agg(F.count(F.lit(1)).alias("_must")).join(sizes, table)
+    good = wanted.filter((F.col("_n") >= low) & ((F.col("_must") <= high) | (F.col("_n") < high))).select(table, "method")
+    kept = top_rows(marked, [table, "method"], [F.desc("must"), "_h", path], high)
+    return kept.select(table, "method", path).join(good, [table, "method"], "left_semi")
+
+
+def shown_cells(base: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, seed: int) -> DataFrame:
+    """The base pivot cut to what every sample shows, with ``method`` and ``needed``: at most a hundred cells each."""
+    asked = chosen.select(table, "method", "row_id").join(labels.select(table, "method"), [table, "method"], "left_semi")
+    needed = materialise(asked.join(base.select(table, "row_id", "row_path", "col_path"), [table, "row_id"]), "needed-cells")
+    low, high = pivot.SHRINK_RANGE
+    rows, cols = (materialise(shown_lines(base, needed, table, path, seed, low, high), path) for path in ("row_path", "col_path"))
+    small = base
+    for kept, path in ((rows, "row_path"), (cols, "col_path")):
+        small = small.join(kept.select(table, path).distinct(), [table, path], "left_semi")
+    cells = small.join(rows, [table, "row_path"]).join(cols, [table, "method", "col_path"])
+    marks = needed.select(table, "method", "row_id", F.lit(True).alias("needed"))
+    return cells.join(marks, [table, "method", "row_id"], "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
+
+
+def spread_variants(cells: DataFrame, table: str, perturbations: Sequence[str]) -> DataFrame:
+    """Every sample's cells once per perturbation, named by ``variant``."""
+    spread = cells.withColumn("perturbation", F.explode(F.array(*[F.lit(p) for p in perturbations])))
+    return spread.withColumn("variant", F.concat_ws("|", F.col(table).cast("string"), "method", "perturbation"))
 
 
 def _applies(name: str, seed: int) -> Column:
@@ -187,17 +208,15 @@ def row_level(rows: DataFrame, seed: int, value: str) -> DataFrame:
     return rows.withColumn("shown", text)
 
 
-def placed_rows(
+def merged_rows(
     rows: DataFrame, layouts: DataFrame, chosen: DataFrame, table: str, columns: Sequence[str], value: str, seed: int
 ) -> DataFrame:
-    """Axis paths of every row: the layout of its table, or that of its merged columns."""
-    merging = _applies("merge_columns", seed)
-    usual = perturb.layout_cells(rows.filter(~merging), layouts, table, columns)
+    """New axis paths of the rows of variants that merge two columns; those whose merge is left out keep their layout."""
     branches = chosen.select(F.concat_ws("|", F.col(table).cast("string"), "method").alias("sample"), *columns)
-    merged = rows.filter(merging).withColumn("sample", F.concat_ws("|", F.col(table).cast("string"), "method"))
+    merged = rows.withColumn("sample", F.concat_ws("|", F.col(table).cast("string"), "method"))
     merged = merged.withColumn("_price", F.col(value)).withColumn(value, F.col("shown"))
     merged = perturb.merge_columns(merged, "sample", [*columns, value], value, branches, seed).withColumn(value, F.col("_price"))
-    merged = perturb.layout_cells(merged, layouts, table, columns)
+    merged = perturb.layout_cells(merged.drop("row_path", "col_path"), layouts, table, columns)
     have = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
     rest = F.array_except(F.array(*[F.lit(c) for c in columns]), F.array("c1", "c2"))
     at = lambda i: F.array(have[F.get(rest, F.lit(i))])
@@ -212,7 +231,7 @@ def placed_rows(
         )
         .withColumn("shown", F.when(done & F.col("is_value"), F.col("merged_value")).otherwise(F.col("shown")))
     )
-    return usual.unionByName(merged.select(*usual.columns))
+    return merged.select(*rows.columns)
 
 
 def pivoted(rows: DataFrame) -> DataFrame:
@@ -315,6 +334,25 @@ def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) ->
     return small.select(table, "method", "perturbation", text.alias("html"))
 
 
+def variant_cells(
+    rel: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, perturbations: Sequence[str]
+) -> DataFrame:
+    """Cells of all samples and perturbations of the relational form: ``(variant, perturbation, row_path, col_path, value, needed)``.
+
+    Tables are pivoted once and cut to what their samples show; perturbations only touch those cells. A merge of columns
+    lays the few rows of its sample out anew.
+    """
+    layouts = materialise(pivot.split_search(rel, [table], columns, seed), "layouts")
+    base = materialise(base_pivot(rel, layouts, table, columns, value), "base-pivot")
+    cells = materialise(shown_cells(base, chosen, labels, table, seed).withColumn("shown", plain(F.col(value), 2)), "shown-cells")
+    rows = row_level(spread_variants(cells, table, perturbations), seed, value)
+    merging = _applies("merge_columns", seed)
+    usual = rows.filter(~merging).select("variant", "perturbation", "row_path", "col_path", F.col("shown").alias("value"), "needed")
+    merged = pivoted(merged_rows(rows.filter(merging), layouts, chosen, table, columns, value, seed))
+    merged = pivot.shrink(merged, "variant", seed).withColumn("perturbation", F.element_at(F.split("variant", r"\|"), -1))
+    return usual.unionByName(merged.select(*usual.columns))
+
+
 def single_table(
     rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int,
     methods: Sequence[str] = METHODS,
@@ -322,11 +360,7 @@ def single_table(
     """``question, sql_query, method, perturbation, table_html, label`` of a corpus of tables."""
     chosen = materialise(chosen_cells(rel, table, columns, value, seed, methods), "chosen")
     labels = materialise(sample_labels(chosen, table, value, seed), "labels")
-    layouts = pivot.split_search(rel, [table], columns, seed)
-    shown = rel.withColumn("shown", plain(F.col(value), 2))
-    rows = row_level(variants(shown, chosen, labels, table), seed, value)
-    placed = placed_rows(rows, layouts, chosen, table, columns, value, seed)
-    cells = pivot_variants(pivot.shrink(pivoted(placed), "variant", seed))
+    cells = variant_cells(rel, chosen, labels, table, columns, value, seed, ["none", *BEFORE_PIVOT, *AFTER_PIVOT, MIXED])
     tables = rendered(pivot_level(cells, seed, unit), table, seed, f"{value} ({unit})", unit)
     tables = tables.withColumn(table, F.col(table).cast(rel.schema[table].dataType))
     texts = question_texts(chosen, labels, table, columns, value).join(

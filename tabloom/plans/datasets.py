@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import sql_plain
-from tabloom.functions.sampling import sql_digest, sql_pick, sql_pick_int
-from tabloom.operators import datasets, discovered, joins, labels, scoring, units
+from tabloom.functions.sampling import sql_digest, sql_pick, sql_pick_int, sql_uniform
+from tabloom.operators import datasets, discovered, joins, labels, pivot, scoring, units
 from tabloom.operators.keys import unique_combinations
+from tabloom.operators.units import NULL_TOKENS
 from tabloom.plans import catalogue, registry
 from tabloom.plans.labels import TUPLE, sql_cells
-from tabloom.plans.pivots import SQL_TIERS, sql_side, two_tier
+from tabloom.plans.pivots import SQL_TIERS, sql_density, sql_side, two_tier
+from tabloom.plans.perturb import sql_layout_path
 from tabloom.plans.registry import query
 from tabloom.plans.scalars import SQL_SCORED, model_outputs, sql_normalize
 from tabloom.plans.units import SQL_MEASURED, SQL_TARGETS, sql_conversion
 from tabloom.session import materialise, scratch_path
 from tabloom.sources import files
-from tabloom.sources.tables import SQL_LINE_KEY, line_key, load, order_tables
+from tabloom.sources.tables import SQL_LINE_KEY, SQL_ORDER_TABLES, line_key, load, order_tables
 
 
 @query("dataset_single")
@@ -34,6 +36,72 @@ def dataset_single_labels(spark, sf_dir):
     return datasets.sample_labels(chosen, "table_id", "price", 42).select("table_id", "method", "label")
 
 
+CELL_VARIANTS = ["none", "null_inject", "value_contradiction", "entity_missing"]
+
+
+def _sql_single_lines(path: str) -> str:
+    return f"""l_{path} AS (SELECT table_id, {path}, {sql_digest(42, path, "table_id", path)} AS h, count(*) OVER (PARTITION BY table_id) AS n
+  FROM (SELECT DISTINCT table_id, {path} FROM base)),
+m_{path} AS (SELECT DISTINCT table_id, method, {path} FROM need),
+k_{path} AS (SELECT l.table_id, s.method, l.{path}, l.n, m.{path} IS NOT NULL AS must, h FROM l_{path} l JOIN samples s ON s.table_id = l.table_id
+  LEFT JOIN m_{path} m ON m.table_id = l.table_id AND m.method = s.method AND m.{path} = l.{path}),
+s_{path} AS (SELECT table_id, method, {path} FROM k_{path}
+  QUALIFY row_number() OVER (PARTITION BY table_id, method ORDER BY must DESC, h, {path}) <= 10
+    AND max(n) OVER (PARTITION BY table_id, method) >= 2
+    AND (count(*) FILTER (WHERE must) OVER (PARTITION BY table_id, method) <= 10 OR max(n) OVER (PARTITION BY table_id, method) < 10))"""
+
+
+@query("dataset_single_cells", f"""
+WITH {SQL_ORDER_TABLES}, labs AS ({registry.SQL["dataset_single_labels"]}),
+lay AS ({" UNION ALL ".join(sql_density("rel", ["table_id"], r, c) for r, c in pivot.splits_of(TUPLE))}),
+best AS (SELECT table_id, r || ' | ' || c AS layout FROM lay WHERE pivot_rows > 1 AND pivot_columns > 1
+  QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY (filled = pivot_rows * pivot_columns) DESC,
+    filled / CAST(pivot_rows * pivot_columns AS DOUBLE) DESC, {sql_digest(42, "split", "table_id", "r || ' | ' || c")}) = 1),
+base AS MATERIALIZED (SELECT rel.table_id, {sql_layout_path(1)} AS row_path, {sql_layout_path(2)} AS col_path, min(row_id) AS row_id, min_by(price, row_id) AS price
+  FROM rel JOIN best ON best.table_id = rel.table_id GROUP BY ALL),
+uniq AS (SELECT table_id, status, priority, year, max(price) AS price, max(row_id) AS row_id FROM rel GROUP BY ALL HAVING count(*) = 1),
+drawn AS (SELECT table_id, method, row_id, row_number() OVER (PARTITION BY table_id, method ORDER BY md5(concat_ws('|', '42', method, table_id, status, priority, year)), status, priority, year) AS rn,
+    CASE method WHEN 'extractive' THEN 1 WHEN 'comparative' THEN 2 WHEN 'percentage_change' THEN 2
+      WHEN 'superlative' THEN {sql_pick_int(42, "superlative-size", 3, 4, "table_id")} WHEN 'sum' THEN {sql_pick_int(42, "sum-size", 2, 4, "table_id")}
+      ELSE {sql_pick_int(42, "average-size", 2, 4, "table_id")} END AS wanted
+  FROM uniq, (SELECT unnest({datasets.METHODS!r}) AS method)),
+need AS MATERIALIZED (SELECT d.table_id, d.method, d.row_id, row_path, col_path FROM drawn d SEMI JOIN labs USING (table_id, method)
+  JOIN base ON base.table_id = d.table_id AND base.row_id = d.row_id WHERE rn <= wanted),
+samples AS (SELECT DISTINCT table_id, method FROM need),
+{_sql_single_lines("row_path")}, {_sql_single_lines("col_path")},
+cells AS MATERIALIZED (SELECT b.*, r.method, EXISTS (SELECT 1 FROM need n WHERE n.table_id = b.table_id AND n.method = r.method AND n.row_id = b.row_id) AS needed
+  FROM base b JOIN s_row_path r ON r.table_id = b.table_id AND r.row_path = b.row_path
+  JOIN s_col_path c ON c.table_id = b.table_id AND c.col_path = b.col_path AND c.method = r.method),
+v AS (SELECT *, table_id || '|' || method || '|' || perturbation AS variant FROM cells, (SELECT unnest({CELL_VARIANTS!r}) AS perturbation)),
+lost AS (SELECT variant, row_id FROM v WHERE needed AND perturbation = 'entity_missing'
+  QUALIFY row_number() OVER (PARTITION BY variant ORDER BY {sql_digest(42, "missing", "variant", "row_id")}) = 1),
+txt AS (SELECT *, CASE perturbation WHEN 'value_contradiction' THEN
+      {sql_plain("price", 2)} || ' (' || {sql_plain(f"price + {sql_pick_int(42, 'contradiction', 1, 10, 'variant', 'row_id')}", 2)} || ')'
+    WHEN 'null_inject' THEN CASE WHEN NOT needed AND {sql_uniform(42, "null", "variant", "row_id")} < 0.5
+      THEN {sql_pick(42, "null-token", NULL_TOKENS, "variant")} ELSE {sql_plain("price", 2)} END
+    ELSE {sql_plain("price", 2)} END AS shown
+  FROM v ANTI JOIN lost USING (variant, row_id))
+SELECT txt.table_id, txt.method, perturbation, label, count(*) AS cells, count(*) FILTER (WHERE needed) AS needed_cells,
+  md5(string_agg(concat_ws('#', row_path, col_path, shown), chr(10) ORDER BY row_path, col_path)) AS cells_digest
+FROM txt JOIN labs ON labs.table_id = txt.table_id AND labs.method = txt.method GROUP BY ALL
+""")
+def dataset_single_cells(spark, sf_dir):
+    """Labels and cell digests of the clean samples and of three perturbations of the relational form."""
+    rel = order_tables(spark, sf_dir)
+    chosen = materialise(datasets.chosen_cells(rel, "table_id", TUPLE, "price", 42), "chosen")
+    answers = materialise(datasets.sample_labels(chosen, "table_id", "price", 42), "labels")
+    cells = datasets.variant_cells(rel, chosen, answers, "table_id", TUPLE, "price", 42, CELL_VARIANTS)
+    path = lambda side: F.array_join(side, "|")
+    line = F.struct(path("row_path").alias("r"), path("col_path").alias("c"), F.concat_ws("#", path("row_path"), path("col_path"), "value").alias("line"))
+    listed = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    digests = cells.groupBy("variant", "perturbation").agg(
+        F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("needed"), 1)).alias("needed_cells"), F.md5(F.array_join(listed, "\n")).alias("cells_digest")
+    )
+    key = F.split("variant", r"\|")
+    named = digests.withColumn("table_id", key[0].cast("long")).withColumn("method", key[1])
+    return named.join(answers, ["table_id", "method"]).select("table_id", "method", "perturbation", "label", "cells", "needed_cells", "cells_digest")
+
+
 @query("dataset_parallel")
 def dataset_parallel(spark, sf_dir):
     made = datasets.parallel(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)

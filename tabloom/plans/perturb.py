@@ -192,7 +192,7 @@ def shrunk(spark, sf_dir):
     return pivot.shrink(cells, "table_id", 69)
 
 
-def _path(side):
+def sql_layout_path(side):
     parts = ", ".join(f"CASE WHEN contains(split_part(layout, ' | ', {side}), '{c}') THEN {c} END" for c in SPLIT_ATTRIBUTES)
     return f"concat_ws('|', {parts})"
 
@@ -201,7 +201,7 @@ SQL_SHRUNK = f"""{SQL_MARKED}, s AS ({" UNION ALL ".join(sql_density("rel", ["ta
 best AS (SELECT table_id, r || ' | ' || c AS layout, nr FROM s WHERE pivot_rows > 1 AND pivot_columns > 1
   QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY (filled = pivot_rows * pivot_columns) DESC,
     filled / CAST(pivot_rows * pivot_columns AS DOUBLE) DESC, {sql_digest(11, "split", "table_id", "r || ' | ' || c")}) = 1),
-cells AS (SELECT m.table_id, {_path(1)} AS row_path, {_path(2)} AS col_path, min_by({sql_plain("price", 2)}, row_id) AS value,
+cells AS (SELECT m.table_id, {sql_layout_path(1)} AS row_path, {sql_layout_path(2)} AS col_path, min_by({sql_plain("price", 2)}, row_id) AS value,
     bool_or(needed) AS needed, max(nr) AS nr FROM marked m JOIN best b ON m.table_id = b.table_id GROUP BY ALL),
 {sql_shrink(69)}"""
 
