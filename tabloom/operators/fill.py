@@ -27,16 +27,17 @@ def choice(values: Column, u: Column) -> Column:
     return F.get(values, F.floor(u * F.size(values)).cast("int"))
 
 
-def dense_fill(specs: DataFrame, domains: dict[str, str], lo: str, hi: str, seed: int) -> DataFrame:
-    """All combinations of the key domains with a uniform value of two decimals.
+def dense_fill(specs: DataFrame, domains: dict[str, str], lo: str, hi: str, seed: int, decimals: Column | int = 2) -> DataFrame:
+    """All combinations of the key domains with a uniform value of so many decimals, a number or a column of the specs.
 
-    Amounts are drawn in cents, so the value has exactly its decimals.
+    Amounts are drawn in units of the last decimal, so the value has exactly its decimals.
     """
     keys = ["table_id", *domains]
     grid = domain_product(specs, domains)
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    drawn = uniform_long(cents(lo), cents(hi), uniform(seed, "fill", *keys))
-    return grid.withColumn("value", drawn / F.lit(100.0))
+    scale = F.pow(F.lit(10.0), F.lit(decimals) if isinstance(decimals, int) else decimals)
+    steps = lambda c: F.round(F.col(c) * scale).cast("long")
+    drawn = uniform_long(steps(lo), steps(hi), uniform(seed, "fill", *keys))
+    return grid.withColumn("value", drawn / scale)
 
 
 def fk_domain(key: Column, lo: Column, hi: Column, seed: int, *names: str) -> Column:

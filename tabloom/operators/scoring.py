@@ -140,6 +140,20 @@ def row_f1(predicted: Column, gold: Column) -> Column:
     )
 
 
+def usage_totals(log: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Totals of a token log; only calls that report content count as tables."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return log.groupBy(*key).agg(
+        whole("input_tokens"),
+        whole("output_tokens"),
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("chars").alias("text_chars"),
+        whole("content_used"),
+        whole("total_content"),
+        F.count("content_used").alias("num_tables"),
+    )
+
+
 class Sunk(NamedTuple):
     """Folders of the three tables that an evaluation leaves behind."""
 

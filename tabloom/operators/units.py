@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import decimals_in
@@ -97,6 +97,12 @@ def names(units: DataFrame) -> DataFrame:
     return named.groupBy("domain", "name").agg(F.max_by(entry, "ordinal").alias("entry"))
 
 
+def sample_from(domain: str, units: Sequence[tuple] = tuple(UNITS)) -> list[str]:
+    """Units that a table of the domain may be given: all of them, but in finance only currencies that have other names."""
+    offered = [u[1] for u in units if u[0] == domain and (domain != "finance" or (u[3] == "CurrencyRepresentation" and u[6]))]
+    return list(dict.fromkeys(offered))
+
+
 def sized(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A frame made from a unit table, to be broadcast if it is counted to be small; a larger one is joined as usual."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -374,20 +374,28 @@ SQL_WORDS = "len(string_split_regex(" + sql_strip("text") + ", '[\\s\\p{Z}]+'))"
 
 
 @query("token_usage_totals", f"""
-WITH w AS (SELECT conv_id, role, {SQL_WORDS} AS n, length(text) + 1 AS chars FROM conversations)
+WITH w AS (SELECT conv_id, role, {SQL_WORDS} AS n, length(text) AS chars FROM conversations)
 SELECT conv_id, CAST(coalesce(sum(n) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS input_tokens,
   CAST(coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS output_tokens,
-  count(*) AS calls, CAST(sum(chars) AS BIGINT) AS text_chars FROM w GROUP BY conv_id
+  count(*) AS calls, CAST(sum(chars + 1) AS BIGINT) AS text_chars,
+  CAST(coalesce(sum(least(chars, 200)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS content_used,
+  CAST(coalesce(sum(chars) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS total_content,
+  count(*) FILTER (WHERE role = 'assistant') AS num_tables FROM w GROUP BY conv_id
 """)
 def token_usage_totals(spark, sf_dir):
+    """Usage per conversation; answers of the assistant are the calls that report how much of a table they used."""
     words = F.size(F.split(text.strip(F.col("text")), text.BLANK))
-    role = F.col("role")
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.sum(F.when(role == "user", words).otherwise(0)).alias("input_tokens"),
-        F.sum(F.when(role == "assistant", words).otherwise(0)).alias("output_tokens"),
-        F.count(F.lit(1)).alias("calls"),
-        F.sum(F.length("text") + 1).alias("text_chars"),
+    role, chars = F.col("role"), F.length("text")
+    answered = role == "assistant"
+    log = load(spark, sf_dir, "conversations").select(
+        "conv_id",
+        F.when(role == "user", words).otherwise(0).alias("input_tokens"),
+        F.when(answered, words).otherwise(0).alias("output_tokens"),
+        (chars + 1).alias("chars"),
+        F.when(answered, F.least(chars, F.lit(200))).alias("content_used"),
+        F.when(answered, chars).alias("total_content"),
     )
+    return scoring.usage_totals(log, ["conv_id"])
 
 
 @query("token_usage_text", f"""

@@ -26,6 +26,18 @@ def dense_fill(spark, sf_dir):
     )
 
 
+@query("dense_fill_decimals", f"""
+WITH {SQL_SPECS}, b AS (SELECT *, unnest(brand_domain) AS brand FROM specs), g AS (SELECT *, unnest(type_domain) AS type, pow(10.0::DOUBLE, table_id % 4) AS scale FROM b),
+c AS (SELECT *, CAST(round(price_lo * scale) AS BIGINT) AS lo, CAST(round(price_hi * scale) AS BIGINT) AS hi FROM g)
+SELECT table_id, brand, type, least(lo + CAST(floor({sql_uniform(41, "fill", "table_id", "brand", "type")} * (hi - lo + 1)) AS BIGINT), hi) / scale AS value FROM c
+""")
+def dense_fill_decimals(spark, sf_dir):
+    """Values of none to three decimals, as each table's unit wants them."""
+    specs = part_specs(spark, sf_dir)
+    domains = {"brand": "brand_domain", "type": "type_domain"}
+    return fill.dense_fill(specs, domains, "price_lo", "price_hi", 41, F.col("table_id") % 4).select("table_id", "brand", "type", "value")
+
+
 def sql_long(lo, hi, u):
     return f"least({lo} + CAST(floor({u} * ({hi} - {lo} + 1)) AS BIGINT), {hi})"
 

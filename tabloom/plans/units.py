@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions.sampling import pick, sql_digest, sql_pick, sql_uniform
+from tabloom.functions.sampling import pick, sql_pick, sql_uniform
 from tabloom.operators import units
 from tabloom.operators.views import random_subset
 from tabloom.plans.registry import query
@@ -139,15 +139,19 @@ def unit_random_target(spark, sf_dir):
 
 
 @query("unit_sample", f"""
-WITH {SQL_UNITS}, us AS (SELECT DISTINCT user_id FROM events), h AS (SELECT user_id, unit, row_number() OVER (PARTITION BY user_id
-  ORDER BY {sql_digest(34, "units", "user_id", "unit")}) AS rn FROM us, u WHERE domain = 'healthcare')
-SELECT user_id, string_agg(unit, ',' ORDER BY unit) AS units FROM h WHERE rn <= 5 GROUP BY user_id
+WITH {SQL_UNITS}, us AS (SELECT DISTINCT user_id FROM events), h AS (SELECT user_id, domain, unit, row_number() OVER (PARTITION BY user_id, domain
+  ORDER BY md5(concat_ws('|', '34', 'units-' || domain, user_id, unit))) AS rn FROM us,
+  (SELECT DISTINCT domain, unit FROM u WHERE domain <> 'finance' OR (kind = 'CurrencyRepresentation' AND len(aliases) > 0)))
+SELECT user_id, domain, string_agg(unit, ',' ORDER BY unit) AS units FROM h WHERE rn <= 5 GROUP BY ALL
 """)
 def unit_sample(spark, sf_dir):
-    """Five random units of a domain for every user."""
-    listed = F.array(*[F.lit(u[1]) for u in units.UNITS if u[0] == "healthcare"])
+    """Five random units of each domain for every user; the finance domain offers its currencies."""
     users = load(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select("user_id", F.array_join(random_subset(listed, 5, 34, "units", "user_id"), ",").alias("units"))
+    picks = [
+        F.struct(F.lit(d).alias("domain"), F.array_join(random_subset(F.lit(units.sample_from(d)), 5, 34, f"units-{d}", "user_id"), ",").alias("units"))
+        for d in sorted({u[0] for u in units.UNITS})
+    ]
+    return users.select("user_id", F.explode(F.array(*picks)).alias("p")).select("user_id", "p.*")
 
 
 @query("canonical_unit_pick", """
