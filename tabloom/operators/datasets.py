@@ -424,10 +424,12 @@ def with_unit(rel: DataFrame, value: str, unit: str) -> DataFrame:
     return rel.withColumn("shown", plain(F.col(value), 2)).withColumn("domain", F.lit("finance")).withColumn("unit", F.lit(unit))
 
 
-def parallel_refused(rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int) -> DataFrame:
-    """The variants that ``parallel`` leaves out, each with its reason."""
+def parallel_refused(
+    rel: DataFrame, units: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int, tries: int = 5
+) -> DataFrame:
+    """The variants that ``parallel`` leaves out, each with its reason, if ``tries`` units are tried for every table."""
     cells = sampled_cells(rel, table, columns, value, 1, "parallel", seed)
-    changed = convert_tables(with_unit(rel, value, unit), units, table, "shown", "unit", seed)
+    changed = convert_tables(with_unit(rel, value, unit), units, table, "shown", "unit", seed, tries)
     return refused_variants(parallel_labels(cells, table, value), changed, table)
 
 

@@ -194,9 +194,10 @@ def dataset_discovered(spark, sf_dir):
     return made.labels.select("entry", "method", "label").join(rows, ["entry", "method"]).join(cells, ["entry", "method"], "left")
 
 
-SQL_PARALLEL = f"""{SQL_MEASURED}, {SQL_TARGETS}, {sql_cells("parallel", 1)},
+def _sql_parallel(tries: int = 5) -> str:
+    return f"""{SQL_MEASURED}, {SQL_TARGETS}, {sql_cells("parallel", 1)},
 tab AS (SELECT table_id, 'finance' AS domain, 'USD' AS from_unit, {sql_plain("price", 2)} AS shown FROM rel),
-{sql_conversion("tab", 42)},
+{sql_conversion("tab", 42, tries)},
 placed AS (SELECT table_id, table_id // 20 AS sample_id, table_id % 20 AS place, size FROM cells JOIN (VALUES (2),(3),(5),(10),(20)) v(size) ON table_id % 20 < size WHERE rn = 1),
 g AS (SELECT sample_id, size, sample_id || '-' || size AS bundle_id FROM placed GROUP BY ALL HAVING count(*) = size),
 refused AS (SELECT bundle_id, 'unit_converted' AS perturbation, 'no target converts the table' AS reason, count(*) AS tables
@@ -205,14 +206,14 @@ variants AS (SELECT sample_id, size, bundle_id, unnest(['unit_converted', 'not_u
 made AS (SELECT * FROM variants v WHERE NOT EXISTS (SELECT 1 FROM refused r WHERE r.bundle_id = v.bundle_id AND r.perturbation = v.perturbation))"""
 
 
-@query("dataset_parallel_refused", f"WITH {SQL_PARALLEL} SELECT * FROM refused")
+@query("dataset_parallel_refused", f"WITH {_sql_parallel(1)} SELECT * FROM refused")
 def dataset_parallel_refused(spark, sf_dir):
-    """Bundles without a unit-converted variant, with the reason and the number of tables that cause it."""
-    return datasets.parallel_refused(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42)
+    """Bundles that go without a unit-converted variant if a table only gets one try, with the number of tables at fault."""
+    return datasets.parallel_refused(order_tables(spark, sf_dir), units.dimension(spark), "table_id", TUPLE, "price", "USD", 42, 1)
 
 
 @query("dataset_parallel_samples", f"""
-WITH {SQL_PARALLEL}, labelled AS ({registry.SQL["dataset_parallel_labels"]})
+WITH {_sql_parallel()}, labelled AS ({registry.SQL["dataset_parallel_labels"]})
 SELECT bundle_id, CAST(size AS INTEGER) AS num_tables, method, op, perturbation, label FROM made JOIN labelled USING (bundle_id)
 """)
 def dataset_parallel_samples(spark, sf_dir):
@@ -222,7 +223,7 @@ def dataset_parallel_samples(spark, sf_dir):
 
 
 @query("dataset_collect", f"""
-WITH {SQL_PARALLEL} SELECT CAST(size AS INTEGER) AS num_tables, method, perturbation, count(*) AS samples
+WITH {_sql_parallel()} SELECT CAST(size AS INTEGER) AS num_tables, method, perturbation, count(*) AS samples
 FROM made, (VALUES ('superlative'),('sum'),('average')) m(method) GROUP BY ALL
 """)
 def dataset_collect(spark, sf_dir):

@@ -185,9 +185,9 @@ def alias_enrichment(spark, sf_dir):
     )
 
 
-def sql_conversion(rows: str, seed: int) -> str:
+def sql_conversion(rows: str, seed: int, tries: int = 5) -> str:
     """CTEs res, chk and ok(table_id, attempt) of the relation ``rows`` (table_id, domain, from_unit, shown)."""
-    return f"""tries AS (SELECT DISTINCT table_id, domain, from_unit, a.attempt FROM {rows}, (VALUES (0),(1),(2),(3),(4)) a(attempt)),
+    return f"""tries AS (SELECT DISTINCT table_id, domain, from_unit, a.attempt FROM {rows}, (SELECT unnest(range({tries})) AS attempt) a),
 tg AS (SELECT table_id, t.domain, attempt, surrogate, targets[CAST(floor({sql_uniform(seed, "convert-table", "table_id", "attempt")} * len(targets)) AS INTEGER) + 1] AS to_unit
   FROM tries t JOIN targets ON targets.domain = t.domain AND name = from_unit),
 res AS (SELECT table_id, attempt, to_unit, f.e.factor AS f1, f.e."offset" AS o1, t.e.factor AS f2, t.e."offset" AS o2 FROM tg
