@@ -2,8 +2,9 @@
 
 Equal vectors are one node. Random projection trees, grown on a bounded sample, put every node into small leaves; the
 nearest nodes of the same leaf are its first neighbours. NN-descent then joins, round by round, the neighbours of each
-node with one another, since a neighbour of a neighbour is likely a neighbour. Queries walk the graph greedily from
-their leaves: a beam of the nearest nodes so far is expanded until nothing nearer turns up.
+node with one another, since a neighbour of a neighbour is likely a neighbour, until hardly any list changes. Queries
+walk the graph greedily from their leaves, along edges of either direction: a beam of the nearest nodes so far is
+expanded until all of its nodes have been. The beam widens with the logarithm of the table, as finding the way does.
 
 The graph is built on vectors in single precision, so that a few large vectors do not flatten the others; distances that
 are reported are exact, in double precision.
@@ -24,8 +25,12 @@ from .registry import query
 
 #: Nodes on which the trees are grown, and trees.
 SAMPLE, TREES = 20_000, 4
-#: Nodes of a leaf, about; neighbours of a node; rounds of NN-descent; nodes of a beam; rounds of a search.
-LEAF, DEGREE, ROUNDS, BEAM, STEPS = 100, 16, 3, 64, 8
+#: Nodes of a leaf, about, and at most; neighbours of a node; edges into a node that a search may walk back.
+LEAF, MOST_IN_LEAF, DEGREE, BACK = 100, 512, 16, 32
+#: NN-descent ends with a round that changes less than this share of all neighbours.
+SETTLED = 0.05
+#: Nodes of a beam for each doubling of the table beyond 500 nodes.
+BEAM = 48
 
 
 def smallest(rows: DataFrame, keys: list[str], order: list[str], k: int, salts: tuple[int, ...] = (256, 16, 1)) -> DataFrame:
@@ -86,7 +91,9 @@ class Forest:
             children = np.array([d or (i, i) for i, d in enumerate(down)], np.int64)
             self.trees.append((np.array(normals, np.float32), np.array(cuts, np.float32), children))
         width = sample.shape[1] if len(sample) else 1
-        self.planes = random.standard_normal((TREES, extra_bits, width))
+        self.planes = random.standard_normal((TREES, extra_bits, width)).astype(np.float32)
+        # planes through the sample's medians, so that a common offset of all vectors does not matter
+        self.middles = np.array([np.median(sample @ p.T, axis=0) for p in self.planes]) if len(sample) else np.zeros((TREES, extra_bits))
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """A leaf number for each vector and tree."""
@@ -100,7 +107,7 @@ class Forest:
                 if (new == at).all():
                     break
                 at = new
-            bits = (x @ self.planes[t].T > 0) @ (1 << np.arange(self.planes.shape[1]))
+            bits = (x @ self.planes[t].T > self.middles[t]) @ (1 << np.arange(self.planes.shape[1]))
             out[:, t] = (at << 20 | bits) * TREES + t
         return out
 
@@ -211,6 +218,33 @@ def descend(graph: DataFrame, short: DataFrame) -> DataFrame:
     return merge_lists(graph.unionByName(better))
 
 
+def split_leaves(planted: DataFrame, most: int = MOST_IN_LEAF) -> DataFrame:
+    """``planted`` with a column ``part``: leaves of more than ``most`` nodes are dealt into parts by hash.
+
+    Members of a leaf are compared all against all in one task; equal or tightly clustered vectors that no plane parts
+    must not make that group grow with the table. Trees deal differently, and NN-descent joins the parts again.
+    """
+    parts = planted.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+    dealt = F.coalesce(F.expr("pmod(xxhash64(node, leaf), parts)"), F.lit(0))
+    return planted.join(parts, "leaf", "left").withColumn("part", dealt).drop("parts")
+
+
+def changed_share(before: DataFrame, after: DataFrame) -> float:
+    """Share of the neighbours in ``after`` that were not in ``before``."""
+    both = after.select("node", F.col("ids").alias("new")).join(before.select("node", "ids"), "node", "left")
+    fresh = F.size(F.array_except("new", F.coalesce("ids", F.array().cast("array<long>"))))
+    found = both.agg(F.sum(fresh).alias("fresh"), F.sum(F.size("new")).alias("all")).first()
+    return (found["fresh"] or 0) / (found["all"] or 1)
+
+
+def walkable(graph: DataFrame) -> DataFrame:
+    """(node, ids): the neighbours of each node and the BACK nearest nodes that have it as theirs."""
+    edges = graph.select("node", F.explode(F.arrays_zip("ids", "far")).alias("e")).select("node", F.col("e.ids").alias("other"), F.col("e.far").alias("far"))
+    into = smallest(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "far"), ["node"], ["far", "other"], BACK)
+    every = edges.select("node", "other").unionByName(into.select("node", "other")).distinct()
+    return every.groupBy("node").agg(F.collect_list("other").alias("ids"))
+
+
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gap = matrix(batch.column("q_vector")) - matrix(batch.column("vector"))
@@ -220,7 +254,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """Nodes, their members, leaves and graph, as tables in the shared folder."""
 
-    def __init__(self, embeddings: DataFrame, k: int = 10, rounds: int = ROUNDS):
+    def __init__(self, embeddings: DataFrame, k: int = 10, settled: float = SETTLED):
         spark = embeddings.sparkSession
         rows = written(usable(embeddings).dropDuplicates(["vec_id"]), "vectors")
         sizes = rows.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
@@ -239,15 +273,20 @@ class Index:
         bits = max(0, math.ceil(math.log2(max(1.0, n * leaf / max(len(sample), 1) / (2 * LEAF)))))
         self.forest = spark.sparkContext.broadcast(Forest(sample, leaf, min(bits, 20), peak))
         planted = written(self.nodes.mapInArrow(_planted(self.forest), "leaf long, node long, short binary"), "leaves")
-        self.leaves = planted.select("leaf", "node")
-        in_leaf = planted.groupBy("leaf").agg(F.collect_list(F.struct("node", "short")).alias("members"))
+        # a walk starts at some nodes of each leaf; a leaf of many alike nodes needs no more of them
+        starts = planted.select("leaf", "node", F.xxhash64("node", "leaf").alias("lot"))
+        self.leaves = written(smallest(starts, ["leaf"], ["lot", "node"], 2 * LEAF).select("leaf", "node"), "starts")
+        in_leaf = split_leaves(planted).groupBy("leaf", "part").agg(F.collect_list(F.struct("node", "short")).alias("members"))
         graph = written(merge_lists(in_leaf.select("members").mapInArrow(_leaf_neighbours, LISTS)), "graph")
         short = planted.where(F.pmod("leaf", F.lit(TREES)) == 0).select("node", "short")
-        for _ in range(rounds):
+        changed = 1.0
+        while changed >= settled:
             after = written(descend(graph, short), "graph")
+            changed = changed_share(graph, after)
             remove(graph)
             graph = after
-        self.graph = graph
+        self.graph = written(walkable(graph), "walk")
+        self.beam = BEAM * max(2, math.ceil(math.log2(max(n, 1) / 500)))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, vec_id, score) for queries (query_id, vector); a row with the query's own id never counts."""
@@ -261,15 +300,13 @@ class Index:
 
         entry = queries.mapInArrow(start, "query_id long, leaf long").join(self.leaves, "leaf").select("query_id", "node").distinct()
         beam = written(self._nearest(self._scored(entry, queries).withColumn("open", F.lit(True))), "beam")
-        for _ in range(STEPS):
+        while not beam.where("open").isEmpty():
             steps = beam.where("open").join(self.graph, "node").select("query_id", F.explode("ids").alias("node")).distinct()
             new = self._scored(steps.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti"), queries)
             grown = beam.withColumn("open", F.lit(False)).unionByName(new.withColumn("open", F.lit(True)))
             after = written(self._nearest(grown), "beam")
             remove(beam)
             beam = after
-            if beam.where("open").isEmpty():
-                break
         found = beam.join(self.members, "node").where("vec_id <> query_id")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -280,7 +317,7 @@ class Index:
 
     def _nearest(self, beam: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "node"))
-        return beam.withColumn("place", place).where(F.col("place") <= BEAM).drop("place")
+        return beam.withColumn("place", place).where(F.col("place") <= self.beam).drop("place")
 
 
 def nearest(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:

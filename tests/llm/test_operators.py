@@ -185,6 +185,39 @@ def test_neighbours_beside_an_outlier(spark):
     assert sum(len(found[q] & near[q]) for q in near) >= 0.9 * 10 * len(near)
 
 
+def recall_of(spark, x, queries):
+    """Share of the true ten nearest that the search finds, for every hundredth vector."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % queries == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), queries):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(far, 10)[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), queries)))
+
+
+def test_recall_holds_on_a_larger_table_and_on_shifted_clusters(spark, sf):
+    given = np.array([r[0] for r in view(sf, "embeddings").project("embedding").fetchall() if r[0]], np.float64)
+    random = np.random.default_rng(5)
+    x = random.multivariate_normal(given.mean(0), np.cov(given.T), 10_000)
+    assert recall_of(spark, x, 100) >= 0.9
+    centres = random.normal(0, 1, (20, 32))
+    x = 50 + centres[random.integers(0, 20, 6000)] + random.normal(0, 0.05, (6000, 32))
+    assert recall_of(spark, x, 100) >= 0.9
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)]
+    rows += [(100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (400, [None, 1.0]), (500, [1.0, 2.0, 3.0]), (None, [3.0, 1.0]), (20, [20.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "own") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert {r.query_id for r in found} == {20}
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [19, 21, 18, 22, 17, 23, 16, 24, 15, 25]
+
+
 ODD_TEXTS = ["", "a", "  a b", "a  b", " x", "x ", "it's  we'll", "<|endoftext|>", "a<|endoftext|>b", "é ÷ × ñ\n\nx", "日本 語", "x\ty 　z", "a\n b\n\n c\r\n", "A" * 200 + " " + "ab" * 3000, "\x00 \x1c a", "½ x²", ".. ...\n..", "\n", " ", "▁x a▁b", "naïve x", "<s> a </s>"]
 
 
