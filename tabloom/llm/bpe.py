@@ -11,7 +11,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, on_worker, plain_text, ragged, ship, shipped, slices, sums, table, words_of
+from .common import Bounded, lean, on_worker, plain_text, ragged, ship, shipped, slices, sums, table, words_of
 from .registry import query
 from .token_counts import heavy_hitters
 
@@ -28,7 +27,7 @@ MODEL = "byte_bpe_50k.json"
 #: Pieces in the lexicon.
 FREQUENT = 30_000
 #: Bytes of the chunks that a worker keeps besides.
-CACHED = 64 << 20
+CACHED = 16 << 20
 #: Pieces of more bytes are merged one by one with a heap, in time n log n.
 WIDE = 48
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -78,6 +77,7 @@ class Merges:
         self.split = regex.compile(PATTERN)
         self.chunks = regex.compile(f"[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
+        del spec, ids, pairs, keys, made
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
@@ -474,7 +474,7 @@ def _encoded(docs: DataFrame, model: str, wanted: tuple[str, ...]) -> DataFrame:
 
     shape = ", ".join(f"{name} {KINDS[name]}" for name in wanted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {shape}")
+    return rows.mapInArrow(lean(run), f"doc_id long, n_tokens long, {shape}")
 
 
 @query("op9_bpe")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _own_dir: list[str] = []
+#: Rows of an Arrow batch of documents.
+BATCH = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,34 @@ def shipped(name: str) -> str:
 _slot: dict[tuple, object] = {}
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, as reused workers of many stages live beside one another."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call, and returns memory by itself
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function for ``mapInArrow`` over whole documents, with a small footprint.
+
+    The worker gives its memory back after each task. Rows are texts here, so the session's Arrow batches are cut to
+    BATCH rows: executor and worker each hold some of them besides the heap.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def on_worker(key: tuple, make: Callable[[], object]) -> object:
     """What this worker keeps for one job: ``make()``, unless ``key`` already made it.
 
@@ -86,19 +116,16 @@ def on_worker(key: tuple, make: Callable[[], object]) -> object:
     if key not in _slot:
         _slot.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library has no such call, and returns memory by itself
-            pass
+        give_back()
         _slot[key] = make()
+        give_back()
     return _slot[key]
 
 
 class Bounded(dict):
     """A cache of computed values by text, emptied before keys and values hold more than about ``room`` bytes."""
 
-    def __init__(self, make: Callable, room: int = 32 << 20):
+    def __init__(self, make: Callable, room: int = 16 << 20):
         super().__init__()
         self.make, self.room, self.used = make, room, 0
 
@@ -138,7 +165,7 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return run
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``most_bytes`` together; a longer text makes a part of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
@@ -169,7 +196,9 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def decide(docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]], name: str, kind: str) -> DataFrame:
+def decide(
+    docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]], name: str, kind: str, most_bytes: int = 2 << 20
+) -> DataFrame:
     """``docs`` with one more column, computed from whole texts (null as empty) on the workers.
 
     ``make()`` gives, on the worker, a function of some texts. All columns go through as they are; ``name`` must be none
@@ -181,12 +210,12 @@ def decide(docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", most_bytes):
                 texts = pa.compute.fill_null(part.column("text").cast(pa.string()), "")
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), fn(texts)], [*names, name])
 
     shape = StructType([*rest, StructField(name, _parse_datatype_string(kind))])
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, shape)
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(lean(run), shape)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, shipped_rows: int = 1_000_000) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, plain_text, ragged, slices, sums, table, words_of, written
+from .common import drop_ids, lean, on_worker, plain_text, ragged, slices, sums, table, words_of, written
 from .registry import query
 
 #: Words of test items whose seeds are shipped to the workers at once; a larger benchmark is taken in blocks.
@@ -134,6 +134,7 @@ def _matches(seeds, threshold: float):
     """Scores of all passages of some texts that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on_worker(("alignments",), dict)  # nothing is kept; what an earlier stage left goes
         own = seeds.value
         item_ids = np.array([i for i, _ in own.items], np.int64)
         for batch in batches:
@@ -201,7 +202,7 @@ def _block(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, word_end long")
     seeds = spark.sparkContext.broadcast(Seeds(known, threshold))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    return texts.mapInArrow(_matches(seeds, threshold), "doc_id long, item_id long, score double, word_end long")
+    return texts.mapInArrow(lean(_matches(seeds, threshold)), "doc_id long, item_id long, score double, word_end long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import plain_text, slices, table, words_of, written
+from .common import lean, plain_text, slices, table, words_of, written
 from .registry import query
 
 LEAST_DOCS, TOP = 10, 10
@@ -68,7 +68,7 @@ def kept_cells(docs: DataFrame, least_docs: int) -> DataFrame:
 
     ``first`` marks one row of each kept term of a language.
     """
-    counts = docs.mapInArrow(count_terms, "lang string, source string, term string, n long, df long")
+    counts = docs.mapInArrow(lean(count_terms), "lang string, source string, term string, n long, df long")
     cells = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     term = Window.partitionBy("lang", "term")
     cells = cells.withColumn("lang_n", F.sum("n").over(term)).withColumn("lang_df", F.sum("df").over(term))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import decide, fold, free_name, on_worker, plain_text, ship, shipped, slices, table
+from .common import decide, fold, free_name, lean, on_worker, plain_text, ship, shipped, slices, table
 from .registry import query
 
 N = 4
@@ -48,7 +48,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             langs = part.column("lang").to_pylist()
             texts = part.column("text").to_pylist()
             for lang in set(langs):
@@ -77,8 +77,12 @@ class Languages:
         likely = np.add.reduceat(self.logs[hashed], starts, axis=0)
         return likely, np.searchsorted(starts, bounds)
 
-    def infer(self, texts: list[str], most: int = 5) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the main language of each text and its share; -1 and 0 for texts without a letter."""
+    def infer(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the main language of each text and its share; -1 and 0 for texts without a letter.
+
+        A text's set of languages grows by their shares in the mixture of all, as long as each further language improves
+        its penalised likelihood.
+        """
         likely, bounds = self.words(texts)
         n = np.diff(bounds)
         lead = np.full(len(texts), -1)
@@ -106,7 +110,8 @@ class Languages:
         full = shares(np.full((len(self.names), len(live)), 1 / len(self.names), np.float32), ROUNDS)
         order = np.argsort(-full, axis=0, kind="stable")
         best = np.full(len(live), -np.inf)
-        for m in range(1, min(most, len(self.names)) + 1):
+        growing = np.ones(len(live), bool)
+        for m in range(1, len(self.names) + 1):
             inside = np.zeros_like(full, bool)
             np.put_along_axis(inside, order[:m], True, axis=0)
             weights = np.where(inside, np.maximum(full, np.float32(1e-6)), np.float32(0))
@@ -115,7 +120,10 @@ class Languages:
                 weights = shares(weights, 2)
             mixed = np.log(np.maximum((odds * np.repeat(weights, size, axis=1)).sum(0), TINY))
             value = base + np.add.reduceat(mixed, starts, dtype=np.float64) - 0.5 * (m - 1) * np.log(size + 1.0)
-            better = value > best
+            growing &= value > best
+            better = growing
+            if not better.any():
+                break
             best[better] = value[better]
             lead[live[better]] = weights[:, better].argmax(0)
             share[live[better]] = weights[:, better].max(0)
@@ -133,7 +141,7 @@ def _model(file: str) -> Languages:
 def train(docs: DataFrame, rows: Column) -> str:
     """Counts of the n-grams of all labelled documents where ``rows`` holds, as a file on every executor."""
     known = docs.where(F.col("lang").isNotNull() & rows).select("lang", plain_text().alias("text"))
-    found = known.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = known.mapInArrow(lean(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["lang"].unique())
     logs = np.zeros((1 << BITS, len(names)), np.float32)
     for i, name in enumerate(names):

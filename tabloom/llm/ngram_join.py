@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Bounded, components, drop_ids, free_name, on_worker, remove, table, written
+from .common import Bounded, components, drop_ids, free_name, lean, on_worker, remove, table, written
 from .registry import query
 
 #: Frequent columns whose counts order the matrix; a larger table orders better, any table gives the same pairs.
@@ -35,7 +35,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 def _digests() -> Bounded:
     """word -> 64-bit digest, on this worker."""
-    return on_worker(("word-digests",), lambda: Bounded(xxhash.xxh64_intdigest, 64 << 20))
+    return on_worker(("word-digests",), lambda: Bounded(xxhash.xxh64_intdigest, 32 << 20))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -64,8 +64,8 @@ def _set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _sizes_and_columns(n: int, most: int = 4_000_000):
-    """Per document its set's size and key; and, for every few million n-grams, those seen in more than one set."""
+def _sizes_and_columns(n: int, most: int = 1_000_000):
+    """Per document its set's size and key; and, for every million n-grams, those seen in more than one set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = {}, 0
@@ -254,9 +254,9 @@ def _sets_of(texts: DataFrame, places: DataFrame, n: int) -> DataFrame:
         found = places.toPandas().sort_values("doc_id")
         ids, first = np.unique(found["doc_id"].to_numpy(np.int64), return_index=True)
         wanted = (ids, np.append(first, len(found)), found["cell"].to_numpy(np.int64))
-        return texts.mapInArrow(_arrays(n, texts.sparkSession.sparkContext.broadcast(wanted)), schema)
+        return texts.mapInArrow(lean(_arrays(n, texts.sparkSession.sparkContext.broadcast(wanted))), schema)
     cells = places.groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
-    return texts.join(cells, "doc_id").mapInArrow(_arrays(n), schema)
+    return texts.join(cells, "doc_id").mapInArrow(lean(_arrays(n)), schema)
 
 
 def _rest_pairs(lists: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
@@ -299,10 +299,10 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
     )
-    seen = written(texts.mapInArrow(_sizes_and_columns(n), "doc_id long, key long, size long"), "sets")
+    seen = written(texts.mapInArrow(lean(_sizes_and_columns(n)), "doc_id long, key long, size long"), "sets")
     sets = seen.where("doc_id is not null")
     frequent = spark.sparkContext.broadcast(_frequent_columns(seen))
-    rows = written(texts.mapInArrow(_rarest(n, percent, frequent), "column long, key long, size long, at long"), "matrix")
+    rows = written(texts.mapInArrow(lean(_rarest(n, percent, frequent)), "column long, key long, size long, at long"), "matrix")
     rows_of_two = written(_shared(rows).distinct(), "shared-entries")
     remove(rows)
     # Sizes of similar sets are within a factor of 100 / percent; bands of four such steps, met from both sides.

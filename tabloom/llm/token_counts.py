@@ -3,13 +3,12 @@
 A text is cut where no token can reach across: before every run of spaces and around characters that the vocabulary
 does not know. The count of a text is then the sum over its pieces. Lengths of the most frequent pieces of the corpus
 are broadcast as one compact table; other pieces are encoded by the tokenizer's own library and kept in a cache of the
-worker. No piece is ever shuffled: the frequent ones come from bounded summaries, one per task, that are merged in a
-tree.
+worker. The pieces of the texts are never shuffled: the frequent ones come from bounded summaries, one per task, and
+only these are added up.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 import uuid
 from collections import Counter
@@ -22,23 +21,23 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, on_worker, plain_text, slices, sums, table, words_of
+from .common import Bounded, lean, on_worker, plain_text, slices, sums, table, words_of
 from .registry import query
 
 MODEL = "piece_bpe_32k.model"
 #: Pieces of a summary and of the broadcast table.
 FREQUENT = 30_000
 #: Bytes of the pieces that a worker keeps besides.
-CACHED = 96 << 20
+CACHED = 48 << 20
 SPACE = "▁"
 
 
 def heavy_hitters(texts: DataFrame, most: int = FREQUENT) -> dict[str, int]:
-    """About the ``most`` most frequent words (between single spaces) of the texts.
+    """About the ``most`` most frequent words (between single spaces) of the texts, with counts.
 
-    Misra-Gries summaries, of every few megabytes, merged within each task and then in a tree. No word that makes up
-    more than one in ``most`` of all is missed. What reaches the driver is bounded by ``most``, whatever the size of
-    the corpus. The summary only saves time: results do not depend on it.
+    Each task keeps a Misra-Gries summary of its texts, and the summaries are added up. No word that makes up more than
+    one in ``most`` of all is missed. A task sends, and the driver gets, at most ``most`` words, whatever the size of the
+    corpus. The summary only saves time: results do not depend on it.
     """
 
     def shrink(counts: Counter) -> Counter:
@@ -49,6 +48,7 @@ def heavy_hitters(texts: DataFrame, most: int = FREQUENT) -> dict[str, int]:
         return Counter({word: n - floor for word, n in kept[:-1] if n > floor})
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on_worker(("summary",), dict)  # nothing is kept; what an earlier stage left goes
         counts: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -58,16 +58,11 @@ def heavy_hitters(texts: DataFrame, most: int = FREQUENT) -> dict[str, int]:
                 top = np.flatnonzero(n > floor)
                 counts.update(dict(zip(words.take(pa.array(top)).to_pylist(), (n[top] - floor).tolist(), strict=True)))
                 counts = shrink(counts)
-        yield pa.record_batch({"summary": pa.array([pickle.dumps(dict(counts))], pa.binary())})
+        yield pa.record_batch({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    def merge(a: Counter, b: Counter) -> Counter:
-        a.update(b)
-        return shrink(a)
-
-    summaries = texts.select(plain_text().alias("text")).mapInArrow(summary, "summary binary").rdd
-    if not summaries.getNumPartitions():
-        return {}
-    return dict(summaries.map(lambda row: Counter(pickle.loads(row[0]))).treeReduce(merge, depth=3))
+    counted = texts.select(plain_text().alias("text")).mapInArrow(lean(summary), "word string, n long")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return {r["word"]: r["n"] for r in top.collect()}
 
 
 class Pieces:
@@ -169,7 +164,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096) -> Data
     text = plain_text()
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-        .mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+        .mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    Bounded, by_batch, decide, fold, free_name, on_worker, labelled, plain_text, remove, ship, shipped, slices, sums, table, words_of, written,
+    Bounded, by_batch, decide, fold, free_name, labelled, lean, on_worker, plain_text, remove, ship, shipped, slices, sums, table, words_of, written,
 )
 from .registry import query
 
@@ -140,7 +140,7 @@ class Scores(Bounded):
     """token -> strongest evidence among the parts of its restored words."""
 
     def __init__(self, restored: Restored, weights: dict[str, float]):
-        super().__init__(self.strongest, 64 << 20)
+        super().__init__(self.strongest, 32 << 20)
         self.restored, self.weights = restored, weights
 
     def strongest(self, token: str) -> float:
@@ -215,7 +215,7 @@ def train_speller(docs: DataFrame) -> str:
     """Character trigram counts over all texts, shipped to the executors; at most SIZE**3 of them exist."""
     sums = (
         docs.select(plain_text().alias("text"))
-        .mapInArrow(_trigrams, "gram long, n long")
+        .mapInArrow(lean(_trigrams), "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -242,7 +242,7 @@ def train_weights(sample: DataFrame, speller_file: str, least_gain: float = 16.0
     odds = F.log((p + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
     found = (
         sample.select(plain_text().alias("text"), "label")
-        .mapInArrow(_part_counts(speller_file), "part string, label int, n long")
+        .mapInArrow(lean(_part_counts(speller_file)), "part string, label int, n long")
         .groupBy("part")
         .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("zeros"))
         .select("part", odds.alias("odds"), (2 * (gain(p, both * share) + gain(F.col("zeros"), both * (1 - share)))).alias("gain"))
