@@ -22,19 +22,17 @@ STEPS = [
     ("suppliers", 4, "customer", "c_nationkey", "c_acctbal", ["c_name", "c_mktsegment", "c_nationkey"]),
 ]
 LONGEST = 4
+#: Row keys in SQL; those of line items are made by ``line_key``.
 ROW_KEYS = {
-    "nation": (F.col("n_nationkey"), "n_nationkey"),
-    "customer": (F.col("c_custkey"), "c_custkey"),
-    "orders": (F.col("o_orderkey"), "o_orderkey"),
-    "part": (F.col("p_partkey"), "p_partkey"),
-    "supplier": (F.col("s_suppkey"), "s_suppkey"),
-    "lineitem": (line_key(), SQL_LINE_KEY),
-}
+    "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey",
+    "lineitem": SQL_LINE_KEY,
+}
 SEED = 31
 
 
 def _walked(spark, sf_dir):
-    store = chains.row_store({r: load(spark, sf_dir, r) for r in ROW_KEYS}, {r: key for r, (key, _) in ROW_KEYS.items()})
+    keys = {r: line_key() if r == "lineitem" else F.col(key) for r, key in ROW_KEYS.items()}
+    store = chains.row_store({r: load(spark, sf_dir, r) for r in ROW_KEYS}, keys)
     steps = spark.createDataFrame(STEPS, chains.STEPS)
     regions = load(spark, sf_dir, "region").select(F.lit("customers").alias("chain"), F.col("r_name").alias("question"), F.col("r_regionkey").cast("string").alias("key"))
     brands = load(spark, sf_dir, "part").select(F.lit("suppliers").alias("chain"), F.col("p_brand").alias("question"), F.col("p_brand").alias("key")).distinct()
@@ -54,7 +52,7 @@ def _sql_walk() -> str:
         final = i + 1 == len(STEPS) or STEPS[i + 1][0] != chain
         listed = f"[{', '.join(text(c) for c in shown)}]"
         parts.append(
-            f"{chain}_rows{step} AS MATERIALIZED (SELECT question, a.key, {text(ROW_KEYS[relation][1])} AS row, {text(answer)} AS answer, {listed} AS shown "
+            f"{chain}_rows{step} AS MATERIALIZED (SELECT question, a.key, {text(ROW_KEYS[relation])} AS row, {text(answer)} AS answer, {listed} AS shown "
             f"FROM {chain}_at{step} a JOIN {relation} ON {text(key)} = a.key)"
         )
         rows.append(f"SELECT '{chain}' AS chain, question, {step} AS step, row, shown FROM {chain}_rows{step}")

@@ -120,16 +120,16 @@ def dataset_parallel_labels(spark, sf_dir):
     return datasets.parallel_answers(datasets.parallel_labels(cells, "table_id", "price"))
 
 
+#: Row keys of the relations that samples are made of, in SQL; those of line items are made by ``line_key``.
 KEYS = {
-    "lineitem": (line_key(), SQL_LINE_KEY), "orders": (F.col("o_orderkey"), "o_orderkey"), "customer": (F.col("c_custkey"), "c_custkey"),
-    "supplier": (F.col("s_suppkey"), "s_suppkey"), "part": (F.col("p_partkey"), "p_partkey"), "events": (F.col("event_id"), "event_id"),
-    catalogue.VIEW: (F.col("o_orderkey"), "o_orderkey"),
-}
+    "lineitem": SQL_LINE_KEY, "orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+    "events": "event_id", catalogue.VIEW: "o_orderkey",
+}
 
 
 def _sql_store() -> str:
     parts = []
-    for table, (_, key) in KEYS.items():
+    for table, key in KEYS.items():
         columns = [c.split(":") for c in catalogue.SCHEMA[table].split()]
         names = ", ".join(f"'{c}'" for c, _ in columns)
         texts = ", ".join(f"CAST({c} AS VARCHAR)" for c, _ in columns)
@@ -177,7 +177,7 @@ def dataset_discovered(spark, sf_dir):
     relations = catalogue.relations(spark, sf_dir)
     found = catalogue.searched(spark, sf_dir)
     entries = materialise(two_tier(found.pivots), "entries")
-    store = discovered.cell_store(relations, found.shapes, {r: key for r, (key, _) in KEYS.items()})
+    store = discovered.cell_store(relations, found.shapes, {r: line_key() if r == "lineitem" else F.col(key) for r, key in KEYS.items()})
     made = discovered.discovered(store, entries, 42)
     line = F.concat_ws("#", F.array_join("row_path", "|"), F.array_join("col_path", "|"), F.col("value").cast("string"))
 
