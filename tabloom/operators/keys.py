@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -131,6 +132,11 @@ def sample_cluster(clusters: DataFrame, group: Sequence[str], seed: int) -> Data
     return ranked.withColumn("is_target", F.col("rn") == 1).drop("_h", "nodes", "wanted", "rn")
 
 
+def _places(columns: int, size: int) -> Column:
+    """All sets of ``size`` of so many columns as places from 0, in the order of their places; one constant, however many."""
+    return F.from_json(F.lit(json.dumps(list(combinations(range(columns), size)))), "array<array<int>>")
+
+
 def smallest_keys(df: DataFrame, group: Sequence[str], row: str, columns: Sequence[str], least: int = 1, most: int | None = None) -> DataFrame:
     """Per group the first column set, by size and then position, that tells some row apart; for any number of columns.
 
@@ -138,51 +144,34 @@ def smallest_keys(df: DataFrame, group: Sequence[str], row: str, columns: Sequen
     with ``places`` and ``row`` NULL for a group in which no set of ``least`` to ``most`` columns has any. Tuples with a
     NULL do not count.
 
-    Sets are refined level by level: rows with equal tuples share a class, named by its smallest row, and the classes of a
-    larger set are the pairs of a class and a column's class. A level is one aggregate over the groups that have no key
-    yet; a group leaves with its first key, so supersets of keys are never formed. Classes are aggregated before they are
-    joined back to rows, so a value that a third of a table holds is pre-aggregated like any other.
+    Rows are counted once per distinct tuple of all columns; smaller tuples are sums over these. A size is one aggregate
+    over the groups that have no key yet, which counts tuples and carries neither rows nor their names; a group leaves
+    with its first key. The rows behind the keys are looked up once, at the end, for one set per group. All counts are
+    pre-aggregated, so a value or a group that a third of the rows hold is nobody's whole work.
     """
     most = most or len(columns)
-    key = [f"_g{i}" for i in range(len(group))]
-    base = df.select(*[F.col(c).alias(k) for c, k in zip(group, key, strict=True)], F.col(row).alias("_row"), *[F.col(c).cast("string").alias(f"_v{i}") for i, c in enumerate(columns)])
-
-    def alike(on: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in on], F.lit(True))
-
-    def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-        right = right.select(*[F.col(c).alias(f"_o_{c}") for c in on], *[c for c in right.columns if c not in on])
-        return left.join(right, alike(on)).drop(*[f"_o_{c}" for c in on])
-
-    single = base.select(*key, "_row", F.posexplode(F.array(*[f"_v{i}" for i in range(len(columns))])).alias("_at", "_value"))
-    single = materialise(single.where("_value is not null"), "single-columns")
-    named = single.groupBy(*key, "_at", "_value").agg(F.min("_row").alias("_class"), F.count(F.lit(1)).alias("_n"))
-    classes = same(single, named, [*key, "_at", "_value"]).select(*key, "_row", "_at", "_class", "_n")
-    level = materialise(classes.select(*key, "_row", F.array("_at").alias("_places"), "_class", "_n"), "classes")
-    columns_of_rows = materialise(classes.select(*key, "_row", "_at", F.col("_class").alias("_more")), "column-classes")
-    left = materialise(base.select(*key).distinct(), "open-groups")
+    key = F.struct(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.lit(0).alias("_g")).alias("_key")
+    base = df.select(key, F.array(*[F.col(c).cast("string") for c in columns]).alias("_values"), F.col(row).alias("_row"))
+    # a row of a tuple that others share is never shown, so any of them may stand for it
+    tuples = materialise(base.groupBy("_key", "_values").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_row")), "tuples")
+    left = materialise(tuples.select("_key").distinct(), "open-groups")
+    values = F.transform("_places", lambda p: F.get("_values", p))
     found = []
-    for size in range(1, most + 1):
-        if size > 1:
-            grown = same(level.drop("_n"), columns_of_rows, [*key, "_row"]).where(F.col("_at") > F.element_at("_places", -1))
-            grown = grown.select(*key, "_row", F.concat("_places", F.array("_at")).alias("_places"), "_class", "_more")
-            grown = materialise(grown, "pairs")
-            refined = grown.groupBy(*key, "_places", "_class", "_more").agg(F.min("_row").alias("_finer"), F.count(F.lit(1)).alias("_n"))
-            level = same(grown, refined, [*key, "_places", "_class", "_more"]).select(
-                *key, "_row", "_places", F.col("_finer").alias("_class"), "_n"
-            )
-            level = materialise(level, "classes")
-        if size < least:
-            continue
-        unique = level.where("_n = 1").select(*key, "_places", "_row")
-        winner = unique.groupBy(*key).agg(F.min("_places").alias("_first"))
-        hits = materialise(same(unique, winner, key).where("_places = _first").drop("_first"), "keys")
-        found.append(hits)
-        done = hits.select(*[F.col(c).alias(f"_o_{c}") for c in key]).distinct()
-        left = materialise(left.join(done, alike(key), "left_anti"), "open-groups")
+    for size in range(least, most + 1):
+        some = tuples if size == least else tuples.join(left, "_key", "left_semi")
+        spread = some.select("_key", "_values", "_n", F.posexplode(_places(len(columns), size)).alias("_at", "_places"))
+        spread = spread.select("_key", "_at", values.alias("_values"), "_n").where(~F.exists("_values", lambda x: x.isNull()))
+        unique = spread.groupBy("_key", "_at", "_values").agg(F.sum("_n").alias("_n")).where("_n = 1")
+        first = unique.groupBy("_key").agg(F.min("_at").alias("_at"))
+        first = materialise(first.select("_key", F.get(_places(len(columns), size), F.col("_at")).alias("_places")), "keys")
+        found.append(first)
+        left = materialise(left.join(first, "_key", "left_anti"), "open-groups")
         if size == most or left.isEmpty():
             break
-        level = same(level, left, key)
-    none = left.select(*key, F.lit(None).cast("array<int>").alias("_places"), F.lit(None).cast(df.schema[row].dataType).alias("_row"))
-    every = reduce(DataFrame.unionByName, found, none) if found else none
-    return every.select(*[F.col(k).alias(c) for k, c in zip(key, group, strict=True)], F.col("_places").alias("places"), F.col("_row").alias(row))
+    every = left.select("_key", F.lit(None).cast("array<int>").alias("_places"), F.lit(None).cast(df.schema[row].dataType).alias("_row"))
+    if found:
+        told = tuples.join(reduce(DataFrame.unionByName, found), "_key").select("_key", "_places", values.alias("_values"), "_n", "_row")
+        told = told.where(~F.exists("_values", lambda x: x.isNull())).groupBy("_key", "_places", "_values")
+        told = told.agg(F.sum("_n").alias("_n"), F.min("_row").alias("_row")).where("_n = 1")
+        every = told.select("_key", "_places", "_row").unionByName(every)
+    return every.select(*[F.col(f"_key._g{i}").alias(c) for i, c in enumerate(group)], F.col("_places").alias("places"), F.col("_row").alias(row))

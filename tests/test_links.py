@@ -142,6 +142,17 @@ def test_smallest_keys_equal_brute_force(spark):
     assert any(p is None for p, _ in want.values()) and any(p and len(p) > 2 for p, _ in want.values())
 
 
+def test_key_search_writes_tuples_not_rows(spark, monkeypatch):
+    """What the search writes grows with the distinct tuples; a row name that comes twice stands for both of its rows."""
+    written, real = [], keys.materialise
+    monkeypatch.setattr(keys, "materialise", lambda df, name: written.append(real(df, name)) or written[-1])
+    rows = [(g, f"{g}-{i}", i % 2, i % 3, i % 2) for g in range(4) for i in range(300)]
+    df = spark.createDataFrame([*rows, (9, "r", 1, 1, 1), (9, "r", 1, 2, 2), (9, "s", 2, 1, 2), (9, "t", 2, 2, 1)], "g long, row string, a long, b long, c long")
+    got = sorted((r.g, r.places, r.row) for r in keys.smallest_keys(df, ["g"], "row", ["a", "b", "c"]).collect())
+    assert got == [(g, None, None) for g in range(4)] + [(9, [0, 1], r) for r in ("r", "r", "s", "t")]
+    assert sum(t.count() for t in written) < 100
+
+
 def test_catalogue_finds_the_full_grid_and_lists_what_it_refuses(spark):
     """A product dimension of 6 categories and 5 brands with every combination: density 1, 6 x 5 and 5 x 6."""
     rows = [(i, f"c{i % 6}", f"b{i // 6 % 5}", f"s{i % 7}", 1.5 + i % 11) for i in range(240)]
