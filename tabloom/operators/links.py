@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest, uniform
@@ -23,6 +23,10 @@ from tabloom.operators.rules import columns_of
 from tabloom.session import materialise
 
 
+#: Rows that agree in the key of all rules, up to which one task holds them together.
+MOST_TOGETHER = 100_000
+
+
 class LinearRule(NamedTuple):
     """sum(coefficient * first value of selector) OP constant, with OP one of <= >= < > =."""
 
@@ -77,25 +81,97 @@ def ambiguous_rows(matched: DataFrame, rule: LinearRule) -> DataFrame:
     return matched.filter(found).select("_row")
 
 
-def link_rows(df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, ignore: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``(rule_id, rows)`` links, rows in the order of the terms, and ``(row, rule_id)`` ambiguous rows.
-
-    Rows link if they agree in all columns but the row key, the value, the selectors' and the ignored ones. Ambiguous
-    rows of a rule leave the table before its links are made and before the next rule is read.
-    """
+def _rows_one_by_one(df: DataFrame, rules: Sequence[LinearRule], row: str, keys: Sequence[Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """Links and ambiguous rows, rule by rule: first matches are joined to rows, ambiguous rows leave by their name."""
     links, removed = [], []
     alive = df
-    for rule in rules:
-        key = [c for c in df.columns if c not in {row, value, *ignore, *selector_columns(rule, df.columns)}]
+    for rule, key in zip(rules, keys, strict=True):
         gone = materialise(ambiguous_rows(first_matches(alive, rule, row, key), rule), "ambiguous")
         removed.append(gone.select(F.col("_row").alias(row), F.lit(rule.id).alias("rule_id")))
         alive = alive.join(gone, F.col(row) == F.col("_row"), "left_anti")
         others = [f"_f{i}" for i in range(1, len(rule.terms))]
         whole = first_matches(alive, rule, row, key).filter("_t0").dropna(subset=others)
-        links.append(whole.select(F.lit(rule.id).alias("rule_id"), F.array("_row", *others).alias("rows")))
+        part = F.xxhash64(*[c for c in key if all(c in k for k in keys)], F.lit(0)).alias("part")
+        links.append(whole.select(F.lit(rule.id).alias("rule_id"), F.array("_row", *others).alias("rows"), part))
     return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, removed)
 
 
+def _rows_by_key(picked: DataFrame, rules: Sequence[LinearRule], row: str, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The same for rules that share their key, of keys whose rows fit a task: one shuffle for all rules."""
+    whole = Window.partitionBy(*key)
+    told = picked.withColumn("_alive", F.lit(True)).withColumn("_gone", F.lit(None).cast("string"))
+    links = []
+    for n, rule in enumerate(rules):
+        picks = [F.col(f"_p{n}").bitwiseAND(1 << i) != 0 for i in range(len(rule.terms))]
+
+        def firsts(picks=picks):
+            return {f"_f{i}": F.min(F.when(F.col("_alive") & t, F.col("_row"))).over(whole) for i, t in enumerate(picks) if i}
+
+        told = told.withColumns({"_wanted": F.bool_or(F.col("_alive") & picks[0]).over(whole), **firsts()})
+        odd: Column = F.lit(False)
+        reached: Column = F.lit(True)
+        for i in range(1, len(picks)):
+            odd = odd | (reached & picks[i] & (F.col("_row") != F.col(f"_f{i}")))
+            reached = reached & F.col(f"_f{i}").isNotNull()
+        told = told.withColumn("_odd", F.col("_alive") & F.col("_wanted") & F.coalesce(odd, F.lit(False)))
+        told = told.withColumn("_gone", F.when(F.col("_odd"), rule.id).otherwise(F.col("_gone"))).withColumn("_alive", F.col("_alive") & ~F.col("_odd"))
+        told = told.withColumns(firsts())
+        others = [F.col(f"_f{i}") for i in range(1, len(picks))]
+        linked = reduce(lambda a, b: a & b, [f.isNotNull() for f in others], F.col("_alive") & picks[0])
+        told = told.withColumn(f"_l{n}", F.when(linked, F.struct(F.lit(rule.id).alias("rule_id"), F.array("_row", *others).alias("rows"))))
+        told = told.drop("_wanted", "_odd", *[f"_f{i}" for i in range(1, len(picks))])
+        links.append(f"_l{n}")
+    found = F.filter(F.array(*links), lambda x: x.isNotNull()).alias("links")
+    told = told.select("_row", "_gone", F.xxhash64(*key, F.lit(0)).alias("part"), found)
+    told = materialise(told.where("_gone is not null or size(links) > 0"), "links")
+    return (
+        told.select("part", F.explode("links").alias("l")).select("l.rule_id", "l.rows", "part"),
+        told.where("_gone is not null").select(F.col("_row").alias(row), F.col("_gone").alias("rule_id")),
+    )
+
+
+def _linked(df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, ignore: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """``link_rows``, with a ``part`` for every link: a digest of the columns in which all rows that links connect agree."""
+    keys = [[c for c in df.columns if c not in {row, value, *ignore, *selector_columns(r, df.columns)}] for r in rules]
+    if any(k != keys[0] for k in keys) or not keys[0]:
+        return _rows_one_by_one(df, rules, row, keys)
+    masks = {
+        f"_p{n}": reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(s), 1 << i).otherwise(0).cast("long") for i, (s, _) in enumerate(r.terms)])
+        for n, r in enumerate(rules)
+    }
+    key = [f"_k{i}" for i in range(len(keys[0]))]
+    picked = df.select(F.col(row).alias("_row"), *[F.col(c).alias(k) for c, k in zip(keys[0], key, strict=True)], *[m.alias(n) for n, m in masks.items()])
+    picked = picked.where(" or ".join(f"{n} <> 0" for n in masks))
+    # rows leave by name: names that stand for different rows, and keys of very many rows, take the way of the joins
+    same = F.xxhash64(*key, *masks)
+    twice = picked.where("_row is not null").groupBy(F.xxhash64("_row").alias("_id")).agg(F.min(same).alias("_a"), F.max(same).alias("_b"))
+    twice = materialise(twice.where("_a <> _b").select("_id"), "names-of-several")
+    crowded = picked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*key)
+    apart = materialise(crowded, "crowded-keys")
+    if not twice.isEmpty():
+        apart = apart.unionByName(picked.withColumn("_id", F.xxhash64("_row")).join(twice, "_id", "left_semi").select(*key)).distinct()
+    if apart.isEmpty():
+        return _rows_by_key(picked, rules, row, key)
+    apart = materialise(apart.select(*[F.col(k).alias(f"_o{k}") for k in key]), "keys-apart")
+    others = [f"_o{k}" for k in key]
+    usual = _rows_by_key(picked.join(apart, _same(key, others), "left_anti"), rules, row, key)
+    odd = _rows_one_by_one(df.join(apart, _same(keys[0], others), "left_semi"), rules, row, keys)
+    return usual[0].unionByName(odd[0]), usual[1].unionByName(odd[1])
+
+
+def link_rows(
+    df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, ignore: Sequence[str] = (), most: int = MOST_TOGETHER
+) -> tuple[DataFrame, DataFrame]:
+    """``(rule_id, rows)`` links, rows in the order of the terms, and ``(row, rule_id)`` ambiguous rows.
+
+    Rows link if they agree in all columns but the row key, the value, the selectors' and the ignored ones. Ambiguous
+    rows of a rule leave the table before its links are made and before the next rule is read. If all rules have the same
+    key, the rows of a key meet once, unless they are more than ``most``.
+    """
+    links, removed = _linked(df, rules, row, value, ignore, most)
+    return links.drop("part"), removed
+
+
 def _terms(links: DataFrame, rules: Sequence[LinearRule]) -> DataFrame:
     """(link, row, pos, coef, low, high): one row per term of a link; ``low`` and ``high`` bound the link's sum."""
 

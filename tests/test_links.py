@@ -64,6 +64,26 @@ def test_links_of_any_number_of_terms(spark):
     assert sorted((r.row, r.rule_id) for r in removed.collect()) == want[1]
 
 
+def test_links_meet_once_per_key(spark, monkeypatch):
+    """One table of results for all rules; crowded keys and names that stand for several rows give the same links."""
+    rows, df = linked_table(spark, 5, 20)
+    want = brute_links([(r[0], r[1], r[2]) for r in rows], RULES)
+
+    def shown(frames):
+        return sorted((r.rule_id, list(r.rows)) for r in frames[0].collect()), sorted((r.row, r.rule_id) for r in frames[1].collect())
+
+    written, real = [], links.materialise
+    monkeypatch.setattr(links, "materialise", lambda some, name: written.append(name) or real(some, name))
+    assert shown(links.link_rows(df, RULES, "row", "value", ["lo", "hi"])) == want
+    assert "ambiguous" not in written and written.count("links") == 1
+    assert shown(links.link_rows(df, RULES, "row", "value", ["lo", "hi"], most=6)) == want
+    assert "ambiguous" in written
+    # the name 9 is ambiguous in one key and leaves the other too
+    twice = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "c"), (9, 0, "c"), (5, 1, "a"), (6, 1, "b"), (9, 1, "c")], "row long, tab long, kind string")
+    made, gone = links.link_rows(twice.withColumn("value", F.lit(0)), RULES[:1], "row", "value")
+    assert shown((made, gone)) == ([("sum", [1, 2, 3])], [(9, "sum")])
+
+
 def test_selectors_must_read_the_same_columns(spark):
     _, df = linked_table(spark, 1, 2)
     with pytest.raises(ValueError):
