@@ -1,7 +1,7 @@
 """Question-answering samples over discovered pivots of many relations.
 
-All rows of all relations lie in one store of cells, keyed by relation and row; catalogue entries are rows that are joined
-to it. So neither the number of entries nor that of their attributes shows in the plan.
+The distinct axis tuples of all relations lie in one store of cells, with the first row of each; catalogue entries are
+rows that are joined to it. So neither the number of entries nor that of their attributes shows in the plan.
 """
 
 from __future__ import annotations
@@ -28,21 +28,25 @@ METHODS = ["average", "sum", "superlative"]
 
 
 def cell_store(relations: dict[str, DataFrame], shapes: Sequence[Shape], keys: dict[str, Column]) -> DataFrame:
-    """(relation, row, axes, vals): every row of the relations that have a key, its axes as text and its values as decimals."""
-
-    def entries(columns: Sequence[str], kind: str) -> Column:
-        return F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast(kind) for c in columns]))
-
-    parts = [
-        relations[s.relation].select(
-            F.lit(s.relation).alias("relation"),
-            keys[s.relation].cast("string").alias("row"),
-            entries(s.axes, "string").alias("axes"),
-            entries(s.values, "decimal(28,6)").alias("vals"),
-        )
-        for s in shapes
-        if s.relation in keys
-    ]
+    """(relation, axes, firsts): the distinct axis tuples of the relations that have a key, as text.
+
+    ``firsts`` holds per value column the first row of the tuple that has a value, by its key, and that value as decimal.
+    The first row of a cell is then that of its tuples, so cells never look at rows again.
+    """
+    parts = []
+    for s in shapes:
+        if s.relation not in keys:
+            continue
+        axes = [F.col(f"`{c}`").cast("string").alias(f"_a{i}") for i, c in enumerate(s.axes)]
+        vals = [F.col(f"`{c}`").cast("decimal(28,6)").alias(f"_v{i}") for i, c in enumerate(s.values)]
+        rows = relations[s.relation].select(*axes, *vals, keys[s.relation].cast("string").alias("row"))
+        firsts = [F.min(F.when(F.col(f"_v{i}").isNotNull(), F.struct("row", F.col(f"_v{i}").alias("value")))).alias(f"_f{i}") for i in range(len(vals))]
+        tuples = rows.groupBy(*[f"_a{i}" for i in range(len(axes))]).agg(*firsts)
+
+        def entries(columns: Sequence[str], prefix: str) -> Column:
+            return F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"{prefix}{i}") for i in range(len(columns))]))
+
+        parts.append(tuples.select(F.lit(s.relation).alias("relation"), entries(s.axes, "_a").alias("axes"), entries(s.values, "_f").alias("firsts")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -64,11 +68,11 @@ def entry_cells(store: DataFrame, entries: DataFrame, broadcast_entries: int = 1
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_entries else wanted
     path = lambda side: F.transform(side, lambda a: F.element_at("axes", a))
     whole = lambda side: F.forall(side, lambda x: x.isNotNull())
-    rows = store.join(wanted, "relation").select(
-        "entry", "relation", path("_r").alias("row_path"), path("_c").alias("col_path"), "row", F.element_at("vals", F.col("value_attribute")).alias("value")
+    tuples = store.join(wanted, "relation").select(
+        "entry", "relation", path("_r").alias("row_path"), path("_c").alias("col_path"), F.element_at("firsts", F.col("value_attribute")).alias("first")
     )
-    rows = rows.where(F.col("value").isNotNull() & whole("row_path") & whole("col_path"))
-    firsts = rows.groupBy("entry", "relation", "row_path", "col_path").agg(F.min(F.struct("row", "value")).alias("first"))
+    tuples = tuples.where(F.col("first").isNotNull() & whole("row_path") & whole("col_path"))
+    firsts = tuples.groupBy("entry", "relation", "row_path", "col_path").agg(F.min("first").alias("first"))
     return firsts.select("entry", "relation", "row_path", "col_path", "first.row", "first.value")
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import catalogue, chains, keys, links, pivot, scoring
+from tabloom.operators import catalogue, chains, discovered, keys, links, pivot, scoring
 from tabloom.operators.links import LinearRule
 
 RULES = [
@@ -198,6 +198,24 @@ def test_catalogue_finds_the_full_grid_and_lists_what_it_refuses(spark):
     assert {(r.attributes, r.estimated_cells) for r in tight.refused.collect()} == {("category; series", 42), ("brand; series", 35)}
 
 
+def test_store_of_cells_has_a_line_per_tuple(spark):
+    """Cells of discovered pivots come from distinct axis tuples: first row with a value, by key; nulls and repeated keys too."""
+    pick = random.Random(6)
+    rows = [(pick.choice([None, *map(str, range(150))]), pick.choice([None, "a", "b", "c"]), pick.choice(["x", "y"]), pick.choice([1, 2]), pick.choice([None, 0.5, 1.25, 2.0])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "id string, r string, c string, d int, v double")
+    shape = catalogue.Shape("t", "table", 400, 5, ("r", "c", "d"), ("v",))
+    store = discovered.cell_store({"t": df}, [shape], {"t": F.col("id")})
+    assert store.count() == len({r[1:4] for r in rows})
+    entries = spark.createDataFrame([("t", "r", "c; d", "v"), ("t", "c", "r", "v")], "relation string, row_attributes string, column_attributes string, value_attribute string")
+    got = {(r.entry, tuple(r.row_path), tuple(r.col_path)): (r.row, float(r.value)) for r in discovered.entry_cells(store, entries).collect()}
+    want = {}
+    for row, r, c, d, v in rows:
+        for key in (("t|r|c; d|v", (r,), (c, str(d))), ("t|c|r|v", (c,), (r,))):
+            if v is not None and r is not None:
+                want.setdefault(key, []).append((row, v))
+    assert got == {k: min(v, key=lambda x: (x[0] is not None, x[0] or "", x[1])) for k, v in want.items()}
+
+
 def test_attribute_sets_grow_by_level():
     allowed, refused = catalogue.attribute_sets({0: 3, 1: 4, 2: 5, 5: 30}, guard=60)
     assert [s for s, _ in allowed] == [(0,), (1,), (2,), (5,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
