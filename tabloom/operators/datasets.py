@@ -7,12 +7,15 @@ methods and perturbations of a corpus are rows of the same frames, so a dataset
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.arrays import let
 from tabloom.functions.numbers import exact_avg, exact_sum, money, plain
 from tabloom.functions.sampling import digest, pick, pick_int, uniform
+from tabloom.operators import cells as cells_of
 from tabloom.operators import perturb, pivot
 from tabloom.operators.joins import bundles
 from tabloom.operators.keys import unique_combinations
@@ -41,6 +44,8 @@ BEFORE_PIVOT = ["null_inject", "merge_columns", "entity_missing", "value_contrad
 AFTER_PIVOT = ["typos", "blank_rows", "blank_columns", "add_notes"]
 MIXED = "all_perturbations"
 STRONG, WEAK = 50, 20
+#: Rows up to which a table is held together, as an array of one row; larger tables are cut to what samples show by joins.
+MOST_TOGETHER = 500
 
 
 def _cells_wanted(table: str, seed: int) -> Column:
@@ -55,11 +60,30 @@ def _cells_wanted(table: str, seed: int) -> Column:
     )
 
 
-def chosen_cells(rel: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, methods=METHODS) -> DataFrame:
+def parted(rel: DataFrame, table: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of tables of at most ``most`` rows, every table in one partition, and those of larger tables, if any."""
+    known = rel.filter(F.col(table).isNotNull())
+    large = known.groupBy(table).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(table)
+    large = materialise(large, "large-tables")
+    tasks = int(rel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if large.isEmpty():
+        return known.repartition(tasks, table), None
+    return known.join(large, table, "left_anti").repartition(tasks, table), known.join(large, table, "left_semi")
+
+
+def chosen_cells(
+    rel: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, methods=METHODS, most: int = MOST_TOGETHER
+) -> DataFrame:
     """Cells every method asks for: ``(table, method, tuple, value, row_id, rn)``.
 
-    The unique tuples are found once; each method then draws its own sample of them.
+    The unique tuples are found once; each method then draws its own sample of them. The rows of a table meet once for
+    both, unless they are more than ``most``.
     """
+    found = [_drawn_cells(part, table, columns, value, seed, methods) for part in parted(rel, table, most) if part is not None]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _drawn_cells(rel: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, methods: Sequence[str]) -> DataFrame:
     unique = unique_combinations(rel, [table, *columns], [value, "row_id"])
     drawn = unique.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))).withColumn(
         "_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "method", F.col(table).cast("string"), *columns))
@@ -183,10 +207,97 @@ def shown_cells(base: DataFrame, chosen: DataFrame, labels: DataFrame, table: st
     return cells.join(marks, [table, "method", "row_id"], "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
 
 
-def spread_variants(cells: DataFrame, table: str, perturbations: Sequence[str]) -> DataFrame:
-    """Every sample's cells once per perturbation, named by ``variant``."""
-    spread = cells.withColumn("perturbation", F.explode(F.array(*[F.lit(p) for p in perturbations])))
-    return spread.withColumn("variant", F.concat_ws("|", F.col(table).cast("string"), "method", "perturbation"))
+def _listed(rows: DataFrame, table: str, name: str) -> DataFrame:
+    """The rows of each table as an array of structs."""
+    return rows.groupBy(table).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != table])).alias(name))
+
+
+def _small_samples(
+    small: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int
+) -> DataFrame:
+    """``shown_cells`` of tables that are held as arrays: one row per sample, made where the rows of its table lie."""
+    rows = _listed(small.dropna(subset=list(columns)).select(table, "row_id", *columns, value), table, "_rows")
+    asked = _listed(chosen.select(table, "method", "row_id", *columns), table, "_asked")
+    known = _listed(labels, table, "_known")
+    together = rows.join(asked, table).join(known, table)
+    distinct = lambda part: F.size(F.array_distinct(F.transform("_rows", lambda x: F.struct(*[x[c] for c in part]))))
+    counts = {name: distinct(part) for part, name in pivot.split_sides(columns).items()}
+    together = together.withColumns({"_filled": distinct(columns), **counts}).select(
+        table, "_rows", "_asked", "_known", F.explode(F.array(pivot.best_split([table], columns, seed))).alias("_best")
+    )
+    parts = F.split("_best.layout", r" \| ")
+    together = together.filter("_best is not null").select(
+        table, "_rows", "_asked", "_known", F.explode(F.array(F.struct(*[F.split(parts[i], "; ").alias(side) for i, side in enumerate("rc")]))).alias("_sides")
+    )
+
+    def laid(x: Column) -> Column:
+        path = lambda side: F.concat_ws(
+            perturb.PATH_MARK, *[F.when(F.array_contains(F.col("_sides")[side], c), x[c].cast("string")) for c in columns]
+        )
+        kept = F.struct(*[x[c].alias(c) for c in ("row_id", *columns, value)])
+        return F.struct(path("r").alias("r"), path("c").alias("c"), x["row_id"].isNull().alias("none"), kept.alias("row"))
+
+    def first_of_each(ordered: Column) -> Column:
+        new = lambda x, i: (i == 0) | (x["r"] != F.get(ordered, i - 1)["r"]) | (x["c"] != F.get(ordered, i - 1)["c"])
+        return F.filter(ordered, new)
+
+    base = let(F.array_sort(F.transform("_rows", laid)), first_of_each)
+    together = together.select(table, "_asked", "_known", F.explode(F.array(base)).alias("_base"))
+    samples = together.select(
+        table, "_base", "_asked", F.explode(F.transform("_known", lambda x: x)).alias("_s")
+    )
+    samples = samples.select(
+        table, "_base", "_s.*", F.explode(F.array(F.filter("_asked", lambda x: x["method"] == F.col("_s.method")))).alias("branches")
+    )
+
+    def cell(ids: Column, x: Column) -> Column:
+        row = x["row"]
+        own = lambda c: F.when(~x["none"], row[c])
+        return F.struct(
+            row["row_id"].alias("row_id"), F.struct(*[own(c).alias(c) for c in columns]).alias("at"), x["r"].alias("r"), x["c"].alias("c"),
+            own(value).alias("price"), plain(own(value), 2).alias("value"), F.coalesce(F.array_contains(ids, row["row_id"]), F.lit(False)).alias("needed"),
+        )
+
+    marked = let(F.transform("branches", lambda b: b["row_id"]), lambda ids: F.transform("_base", lambda x: cell(ids, x)))
+    named = [c for c in labels.columns if c != table]
+    samples = samples.select(table, *named, "branches", F.explode(F.array(marked)).alias("_marked"))
+    low, high = pivot.SHRINK_RANGE
+    shown = F.when(F.exists("_marked", lambda x: x["needed"]), cells_of.shrunk(F.col("_marked"), table, seed, low, high))
+    samples = samples.select(table, *named, "branches", F.explode(F.array(shown)).alias("cells"))
+    return samples.filter("size(cells) > 0")
+
+
+def _large_samples(
+    large: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int
+) -> DataFrame:
+    """The same for tables of any size, by joins."""
+    layouts = materialise(pivot.split_search(large, [table], columns, seed), "layouts")
+    base = materialise(base_pivot(large, layouts, table, columns, value), "base-pivot")
+    shown = shown_cells(base, chosen, labels, table, seed)
+    path = lambda side: F.array_join(side, perturb.PATH_MARK)
+    cell = F.struct(
+        "row_id", F.struct(*columns).alias("at"), path("row_path").alias("r"), path("col_path").alias("c"), F.col(value).alias("price"),
+        plain(F.col(value), 2).alias("value"), "needed",
+    )
+    cells = shown.groupBy(table, "method").agg(F.collect_list(cell).alias("cells"))
+    branches = chosen.select(table, "method", "row_id", *columns).groupBy(table, "method").agg(
+        F.collect_list(F.struct("method", "row_id", *columns)).alias("branches")
+    )
+    return labels.join(branches, [table, "method"]).join(cells, [table, "method"])
+
+
+def shown_samples(
+    rel: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, most: int = MOST_TOGETHER
+) -> DataFrame:
+    """One row per sample: the columns of ``labels``, ``branches`` (its chosen tuples) and ``cells``, the hundred it shows at most.
+
+    Tables are pivoted once and cut to what their samples show.
+    """
+    small, large = parted(rel, table, most)
+    samples = _small_samples(small, chosen, labels, table, columns, value, seed)
+    if large is None:
+        return samples
+    return samples.unionByName(_large_samples(large, chosen, labels, table, columns, value, seed))
 
 
 def _applies(name: str, seed: int) -> Column:
@@ -195,72 +306,46 @@ def _applies(name: str, seed: int) -> Column:
     return (F.col("perturbation") == name) | mixed
 
 
-def row_level(rows: DataFrame, seed: int, value: str) -> DataFrame:
-    """Perturbations of the relational form, in column ``shown``: missing entities, contradictions,
-    null tokens."""
-    missing = F.col("perturbation") == "entity_missing"
-    rows = rows.filter(~missing).unionByName(perturb.entity_missing(rows.filter(missing), "variant", "row_id", seed))
-    text = (
-        F.when(F.col("perturbation") == "value_contradiction", perturb.contradicted(["variant", "row_id"], value, seed, 2))
-        .when(_applies("null_inject", seed), perturb.nulled("variant", ["row_id"], "shown", seed))
-        .otherwise(F.col("shown"))
-    )
-    return rows.withColumn("shown", text)
+def _changed(variants: DataFrame, cells: Column) -> DataFrame:
+    """``variants`` with other cells, which are worked out once: what an explode makes is not read into later steps."""
+    kept = [c for c in variants.columns if c != "cells"]
+    return variants.select(*kept, F.explode(F.array(cells)).alias("cells"))
 
 
-def merged_rows(
-    rows: DataFrame, layouts: DataFrame, chosen: DataFrame, table: str, columns: Sequence[str], value: str, seed: int
-) -> DataFrame:
-    """New axis paths of the rows of variants that merge two columns; those whose merge is left out keep their layout."""
-    branches = chosen.select(F.concat_ws("|", F.col(table).cast("string"), "method").alias("sample"), *columns)
-    merged = rows.withColumn("sample", F.concat_ws("|", F.col(table).cast("string"), "method"))
-    merged = merged.withColumn("_price", F.col(value)).withColumn(value, F.col("shown"))
-    merged = perturb.merge_columns(merged, "sample", [*columns, value], value, branches, seed).withColumn(value, F.col("_price"))
-    merged = perturb.layout_cells(merged.drop("row_path", "col_path"), layouts, table, columns)
-    have = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
-    rest = F.array_except(F.array(*[F.lit(c) for c in columns]), F.array("c1", "c2"))
-    at = lambda i: F.array(have[F.get(rest, F.lit(i))])
-    done = ~F.col("skipped")
-    merged = (
-        merged.withColumn(
-            "row_path",
-            F.when(done & F.col("is_value"), at(0)).when(done, F.array("merged_value")).otherwise(F.col("row_path")),
-        )
-        .withColumn(
-            "col_path", F.when(done & F.col("is_value"), at(1)).when(done, at(0)).otherwise(F.col("col_path"))
-        )
-        .withColumn("shown", F.when(done & F.col("is_value"), F.col("merged_value")).otherwise(F.col("shown")))
+def row_level(variants: DataFrame, seed: int) -> DataFrame:
+    """Perturbations of the relational form: missing entities, contradictions, null tokens."""
+    cells = F.col("cells")
+    return _changed(
+        variants,
+        F.when(F.col("perturbation") == "entity_missing", cells_of.entity_missing(cells, "variant", seed))
+        .when(F.col("perturbation") == "value_contradiction", cells_of.contradicted(cells, "variant", seed, 2))
+        .when(_applies("null_inject", seed), cells_of.nulled(cells, "variant", seed))
+        .otherwise(cells),
     )
-    return merged.select(*rows.columns)
 
 
-def pivoted(rows: DataFrame) -> DataFrame:
-    """First value per cell; a needed row overrides the others, so its cell is restored."""
-    restored = F.max_by(F.when(F.col("needed"), F.col("shown")), F.when(F.col("needed"), F.col("row_id")))
-    return rows.groupBy("variant", "row_path", "col_path").agg(
-        F.coalesce(restored, F.min_by("shown", "row_id")).alias("value"), F.bool_or("needed").alias("needed")
-    )
+def merged_columns(variants: DataFrame, table: str, columns: Sequence[str], value: str, seed: int) -> DataFrame:
+    """Merges of two columns lay the rows of a variant out anew; its pivot is cut again. Other variants stay."""
+    cells, sample = F.col("cells"), F.concat_ws("|", F.col(table).cast("string"), "method")
+    merging = _applies("merge_columns", seed)
+    laid = cells_of.merged(cells, sample, F.col("branches"), columns, value, seed)
+    variants = _changed(variants, F.when(merging, laid).otherwise(cells_of.fields(cells, "row_id"))).drop("branches")
+    variants = _changed(variants, F.when(merging, cells_of.pivoted(cells)).otherwise(cells_of.fields(cells)))
+    return _changed(variants, F.when(merging, cells_of.shrunk(cells, "variant", seed, *pivot.SHRINK_RANGE)).otherwise(cells))
 
 
-def pivot_level(cells: DataFrame, seed: int, unit: str) -> DataFrame:
+def pivot_level(variants: DataFrame, seed: int, unit: str) -> DataFrame:
     """Units inside cells, notes and typos, each on the variants it applies to.
 
     Notes and typos are stronger where they are the only perturbation.
     """
     in_cell = pick_int(seed, "unit-in-cell", 0, 1, "variant") == 1
-    shown = F.when(in_cell & perturb.is_filled(F.col("value")), F.concat("value", F.lit(f" {unit}"))).otherwise(F.col("value"))
-    cells = cells.withColumn("value", shown).withColumn("header", ~in_cell)
-    cells = cells.withColumn("_r", F.array_join("row_path", "|")).withColumn("_c", F.array_join("col_path", "|"))
-    for name in ("add_notes", "typos"):
-        hit = cells.filter(_applies(name, seed)).withColumn(
-            "_strength", F.when(F.col("perturbation") == name, STRONG).otherwise(WEAK)
-        )
-        if name == "add_notes":
-            changed = perturb.add_notes(hit, "variant", ["_r", "_c"], "value", seed, "_strength", slices=1)
-        else:
-            changed = perturb.typos(hit, "variant", seed, "_strength", slices=1)
-        cells = cells.filter(~_applies(name, seed)).unionByName(changed.drop("_strength"))
-    return cells.drop("_r", "_c", "needed")
+    cells = F.col("cells")
+    variants = _changed(variants.withColumn("header", ~in_cell), F.when(~F.col("header"), cells_of.with_unit(cells, unit)).otherwise(cells))
+    for name, change in (("add_notes", cells_of.add_notes), ("typos", cells_of.typos)):
+        strength = F.when(F.col("perturbation") == name, STRONG).otherwise(WEAK)
+        variants = _changed(variants, F.when(_applies(name, seed), change(cells, "variant", seed, strength)).otherwise(cells))
+    return variants
 
 
 def _insert(lines: Column, spots: Column, blank: Column) -> Column:
@@ -276,7 +361,7 @@ def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) ->
 
     A variant has at most ten rows and columns after the shrink, so its cells are a small array.
     """
-    sep = "\u0001"
+    sep = perturb.PATH_MARK
     small = cells.select(
         "variant", "header", "value",
         F.array_join("row_path", sep).alias("r"), F.array_join("col_path", sep).alias("c"),
@@ -286,6 +371,12 @@ def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) ->
     )
     names = F.split("variant", r"\|")
     small = small.withColumn("method", names[1]).withColumn("perturbation", names[2]).withColumn(table, names[0])
+    return rendered_arrays(small, seed, header, unit).select(table, "method", "perturbation", "html")
+
+
+def rendered_arrays(small: DataFrame, seed: int, header: str, unit: str) -> DataFrame:
+    """``html`` of variants whose cells are the array ``_cells``, besides the columns of ``small``."""
+    sep, given = perturb.PATH_MARK, [c for c in small.columns if c not in ("_cells", "header")]
     line = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
     keys = lambda side: F.array_sort(F.array_distinct(F.transform("_cells", lambda x: x[side])))
     levels = lambda side: F.size(F.split(F.get(F.col("_cells"), F.lit(0))[side], sep))
@@ -318,55 +409,53 @@ def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) ->
     )
 
     def body_line(row):
-        mine = F.map_from_entries(
-            F.transform(F.filter("_cells", lambda x: x["r"] == row["key"]), lambda x: F.struct(x["c"], x["value"]))
-        )
+        return let(F.filter("_cells", lambda x: x["r"] == row["key"]), lambda mine: line_of(row, mine))
 
+    def line_of(row, mine):
         def cell(col):
             named = (row["kind"] == "header") & (F.col("_filled") | (col["key"] == F.col("_first")))
             data = (row["kind"] == "data") & (col["kind"] == "data")
-            text = F.when(data, F.coalesce(F.element_at(mine, col["key"]), F.lit(""))).when(named, F.col("_label"))
+            text = F.when(data, F.coalesce(F.get(F.filter(mine, lambda x: x["c"] == col["key"]), F.lit(0))["value"], F.lit(""))).when(named, F.col("_label"))
             return tag("td", escape(F.coalesce(text, F.lit(""))))
 
         return tag("tr", F.concat(labels(row["key"]), join_all(F.transform("_cols", cell))))
 
     text = F.concat(F.lit("<table>"), tag("thead", head), tag("tbody", join_all(F.transform("_rows", body_line))), F.lit("</table>"))
-    return small.select(table, "method", "perturbation", text.alias("html"))
+    return small.select(*given, text.alias("html"))
 
 
 def variant_cells(
-    rel: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, perturbations: Sequence[str]
+    rel: DataFrame, chosen: DataFrame, labels: DataFrame, table: str, columns: Sequence[str], value: str, seed: int, perturbations: Sequence[str],
+    most: int = MOST_TOGETHER,
 ) -> DataFrame:
-    """Cells of all samples and perturbations of the relational form: ``(variant, perturbation, row_path, col_path, value, needed)``.
+    """One row per sample and perturbation of the relational form, with its ``cells``: ``(variant, perturbation, ..., cells)``.
 
-    Tables are pivoted once and cut to what their samples show; perturbations only touch those cells. A merge of columns
-    lays the few rows of its sample out anew.
+    The columns of ``labels`` go along. Samples are made once; perturbations only touch the cells that they show, so they
+    move no rows.
     """
-    layouts = materialise(pivot.split_search(rel, [table], columns, seed), "layouts")
-    base = materialise(base_pivot(rel, layouts, table, columns, value), "base-pivot")
-    cells = materialise(shown_cells(base, chosen, labels, table, seed).withColumn("shown", plain(F.col(value), 2)), "shown-cells")
-    rows = row_level(spread_variants(cells, table, perturbations), seed, value)
-    merging = _applies("merge_columns", seed)
-    usual = rows.filter(~merging).select("variant", "perturbation", "row_path", "col_path", F.col("shown").alias("value"), "needed")
-    merged = pivoted(merged_rows(rows.filter(merging), layouts, chosen, table, columns, value, seed))
-    merged = pivot.shrink(merged, "variant", seed).withColumn("perturbation", F.element_at(F.split("variant", r"\|"), -1))
-    return usual.unionByName(merged.select(*usual.columns))
+    samples = shown_samples(rel, chosen, labels, table, columns, value, seed, most)
+    spread = samples.withColumn("perturbation", F.explode(F.array(*[F.lit(p) for p in perturbations])))
+    rows = row_level(spread.withColumn("variant", variant_key(table)), seed)
+    return merged_columns(rows, table, columns, value, seed).filter("size(cells) > 0")
 
 
 def single_table(
     rel: DataFrame, table: str, columns: Sequence[str], value: str, unit: str, seed: int,
-    methods: Sequence[str] = METHODS,
+    methods: Sequence[str] = METHODS, most: int = MOST_TOGETHER,
 ) -> DataFrame:
     """``question, sql_query, method, perturbation, table_html, label`` of a corpus of tables."""
-    chosen = materialise(chosen_cells(rel, table, columns, value, seed, methods), "chosen")
+    chosen = materialise(chosen_cells(rel, table, columns, value, seed, methods, most), "chosen")
     labels = materialise(sample_labels(chosen, table, value, seed), "labels")
-    cells = variant_cells(rel, chosen, labels, table, columns, value, seed, ["none", *BEFORE_PIVOT, *AFTER_PIVOT, MIXED])
-    tables = rendered(pivot_level(cells, seed, unit), table, seed, f"{value} ({unit})", unit)
-    tables = tables.withColumn(table, F.col(table).cast(rel.schema[table].dataType))
     texts = question_texts(chosen, labels, table, columns, value).join(
         query_texts(chosen, labels, table, columns, value), [table, "method"]
     )
-    return tables.join(labels, [table, "method"]).join(texts, [table, "method"])
+    named = materialise(labels.join(texts, [table, "method"]), "texts")
+    cells = variant_cells(rel, chosen, named, table, columns, value, seed, ["none", *BEFORE_PIVOT, *AFTER_PIVOT, MIXED], most)
+    cells = pivot_level(cells, seed, unit)
+    path = lambda p: F.when(p == cells_of.NO_PATH, "").otherwise(p)
+    shown = F.transform("cells", lambda x: F.struct(path(x["r"]).alias("r"), path(x["c"]).alias("c"), x["value"].alias("value")))
+    tables = rendered_arrays(cells.select(*[c for c in cells.columns if c != "cells"], F.explode(F.array(shown)).alias("_cells")), seed, f"{value} ({unit})", unit)
+    return tables.select(table, "method", "perturbation", "html", "aggregate", "label", "question", "sql_query")
 
 
 def complete_bundles(tables: DataFrame, sample: str, place: str) -> DataFrame:

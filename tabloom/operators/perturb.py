@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import plain
+from tabloom.functions.arrays import let
 from tabloom.functions.sampling import digest, pick, pick_int, uniform, unit_interval
 from tabloom.operators.ranking import SLICES, first_rows, hash_ranked, top_rows
 from tabloom.operators.units import NULL_TOKENS
@@ -57,16 +58,20 @@ MAX_BLANKS = 3
 PATH_MARK = "\u0001"
 
 
+def column(name: Column | str) -> Column:
+    return F.col(name) if isinstance(name, str) else name
+
+
 def is_filled(value: Column) -> Column:
     """Neither NULL nor one of the null tokens."""
     return value.isNotNull() & ~F.trim(value).isin(NULL_TOKENS)
 
 
-def nulled(table: str, row: Sequence[str], value: str, seed: int) -> Column:
+def nulled(table: str, row: Sequence[Column | str], value: Column | str, seed: int, needed: Column | str = "needed") -> Column:
     """The value, or the null token of the table for half of the rows that no answer needs."""
     token = pick(seed, "null-token", NULL_TOKENS, table)
-    lost = ~F.col("needed") & (uniform(seed, "null", table, *row) < 0.5)
-    return F.when(lost, token).otherwise(F.col(value))
+    lost = ~column(needed) & (uniform(seed, "null", table, *row) < 0.5)
+    return F.when(lost, token).otherwise(column(value))
 
 
 def null_inject(df: DataFrame, table: str, row: Sequence[str], value: str, seed: int) -> DataFrame:
@@ -80,10 +85,10 @@ def entity_missing(df: DataFrame, table: str, row: str, seed: int) -> DataFrame:
     return df.join(gone, [table, row], "left_anti")
 
 
-def contradicted(row: Sequence[str], value: str, seed: int, digits: int = 6) -> Column:
+def contradicted(row: Sequence[Column | str], value: Column | str, seed: int, digits: int = 6) -> Column:
     """``v (v + n)`` with n from 1 to 10."""
-    other = F.col(value) + pick_int(seed, "contradiction", 1, 10, *row)
-    return F.concat(plain(F.col(value), digits), F.lit(" ("), plain(other, digits), F.lit(")"))
+    other = column(value) + pick_int(seed, "contradiction", 1, 10, *row)
+    return F.concat(plain(column(value), digits), F.lit(" ("), plain(other, digits), F.lit(")"))
 
 
 def value_contradiction(df: DataFrame, row: Sequence[str], value: str, seed: int) -> DataFrame:
@@ -217,6 +222,13 @@ def note_templates(seed: int, table: str) -> Column:
     return F.when(F.size(chosen) > 0, chosen).otherwise(F.array(fallback))
 
 
+def with_note(templates: Column, table: str, cell: Sequence[Column | str], value: Column, seed: int) -> Column:
+    """The value in one of the templates of its table."""
+    index = F.floor(uniform(seed, "note-template", table, *cell) * F.size(templates)).cast("int")
+    number = pick_int(seed, "note-number", 1, 5, table, *cell).cast("string")
+    return F.replace(F.replace(F.get(templates, index), F.lit("{number}"), number), F.lit("{value}"), value)
+
+
 def add_notes(
     cells: DataFrame, table: str, cell: Sequence[str], value: str, seed: int, strength: int | str = 20, slices: int = SLICES
 ) -> DataFrame:
@@ -224,10 +236,7 @@ def add_notes(
     percent = checked(strength)
     filled = cells.filter(is_filled(F.col(value))).withColumn("_h", digest(seed, "note", table, *cell))
     ranked = hash_ranked(filled, [table], "_h", list(cell), "_rn", "_n", slices)
-    templates = note_templates(seed, table)
-    index = F.floor(uniform(seed, "note-template", table, *cell) * F.size(templates)).cast("int")
-    number = pick_int(seed, "note-number", 1, 5, table, *cell).cast("string")
-    noted = F.replace(F.replace(F.get(templates, index), F.lit("{number}"), number), F.lit("{value}"), F.col(value))
+    noted = with_note(note_templates(seed, table), table, cell, F.col(value), seed)
     changed = ranked.withColumn(
         value, F.when(F.col("_rn") <= share_of(F.col("_n"), percent), noted).otherwise(F.col(value))
     ).drop("_h", "_rn", "_n")
@@ -241,30 +250,47 @@ def noisy(text: Column, seed: Column, strength: Column) -> Column:
     Digits are never touched, so numbers keep their order. ``seed`` is a digest per text; the gaps between two
     non-digits are ranked by digests of it, and ``strength`` percent of them are used, of swaps in one or two rounds. An empty text becomes an invisible character; null stays.
     """
-    chars = F.split(text, "")
-    size = F.size(chars)
-    plain_at = lambda i: ~F.get(chars, i).rlike(r"^\p{Nd}$")
-    gaps = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i > 0) & plain_at(i - 1) & plain_at(i))
-    share = F.floor(F.size(gaps) * strength / 100).cast("int")
+    # every array is bound once: a lambda would work it out again for each element
+    return let(F.split(text, ""), lambda chars: _noisy_chars(text, chars, seed, strength))
 
-    def spots(n: Column, draw: str) -> Column:
-        ranked = F.array_sort(F.transform(gaps, lambda i: F.struct(F.md5(F.concat_ws("|", seed, F.lit(draw), i)).alias("h"), i.alias("i"))))
-        return F.transform(F.slice(ranked, F.lit(1), n), lambda g: g["i"])
 
-    def swapped(have: Column, i: Column) -> Column:
-        return F.transform(have, lambda c, j: F.when(j == i, F.get(have, i - 1)).when(j == i - 1, F.get(have, i)).otherwise(c))
+def _noisy_chars(text: Column, chars: Column, seed: Column, strength: Column) -> Column:
+    size = F.size(chars)
+
+    def gaps_of(free: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i > 0) & F.get(free, i - 1) & F.get(free, i))
 
     def invisible(i: Column) -> Column:
         which = F.floor(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("sign"), i))) * len(INVISIBLE)).cast("int")
         return F.get(F.array(*[F.lit(c) for c in INVISIBLE]), which)
 
-    again = F.when(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("rounds")))) < 0.5, share).otherwise(0)
-    moved = F.array_join(F.aggregate(F.concat(spots(share, "gap"), spots(again, "second")), chars, swapped), "")
-    at = spots(F.greatest(share, F.lit(1)), "gap")
-    filled = F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.concat(invisible(i), c)).otherwise(c)), "")
-    swaps = (unit_interval(F.md5(F.concat_ws("|", seed, F.lit("kind")))) < 0.5) & (share > 0)
-    at_end = F.concat(text, invisible(size))
-    return F.when(F.length(text) == 0, invisible(F.lit(0))).when(F.size(gaps) == 0, at_end).when(swaps, moved).otherwise(filled)
+    def swapped(have: Column, i: Column) -> Column:
+        return F.transform(have, lambda c, j: F.when(j == i, F.get(have, i - 1)).when(j == i - 1, F.get(have, i)).otherwise(c))
+
+    def in_gaps(gaps: Column) -> Column:
+        share = F.floor(F.size(gaps) * strength / 100).cast("int")
+
+        def spots(n: Column, draw: str) -> Column:
+            ranked = F.array_sort(F.transform(gaps, lambda i: F.struct(F.md5(F.concat_ws("|", seed, F.lit(draw), i)).alias("h"), i.alias("i"))))
+            return F.transform(F.slice(ranked, F.lit(1), n), lambda g: g["i"])
+
+        again = F.when(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("rounds")))) < 0.5, share).otherwise(0)
+        moved = F.array_join(F.aggregate(F.concat(spots(share, "gap"), spots(again, "second")), chars, swapped), "")
+        filled = let(
+            spots(F.greatest(share, F.lit(1)), "gap"),
+            lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.concat(invisible(i), c)).otherwise(c)), ""),
+        )
+        swaps = (unit_interval(F.md5(F.concat_ws("|", seed, F.lit("kind")))) < 0.5) & (share > 0)
+        return F.when(F.size(gaps) == 0, F.concat(text, invisible(size))).when(swaps, moved).otherwise(filled)
+
+    free = F.transform(chars, lambda c: ~c.rlike(r"^\p{Nd}$"))
+    gapped = let(free, lambda f: let(gaps_of(f), in_gaps))
+    return F.when(F.length(text) == 0, invisible(F.lit(0))).otherwise(gapped)
+
+
+def textual(text: Column) -> Column:
+    """Whether anything but digits is left."""
+    return F.regexp_replace(text, r"\d", "") != ""
 
 
 def typos(cells: DataFrame, table: str, seed: int, strength: int | str = 20, slices: int = SLICES) -> DataFrame:
@@ -274,8 +300,6 @@ def typos(cells: DataFrame, table: str, seed: int, strength: int | str = 20, sli
     """
     percent = checked(strength).alias("_percent")
     cells = materialise(cells, "typo-cells")
-    textual = lambda c: F.regexp_replace(c, r"\d", "") != ""
-
     def label_slots(path):
         spot = F.filter(F.sequence(F.lit(0), F.size(path) - 1), lambda i: textual(F.get(F.col(path), i)))
         slots = cells.select(table, path, percent).distinct().withColumn("_spots", spot).filter(F.size("_spots") > 0)

@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import digest
@@ -87,16 +87,26 @@ def split_search(df: DataFrame, group: Sequence[str], attributes: Sequence[str],
     distinct counts of attribute subsets: one aggregate gives all of them, and the choice is made
     inside the row of the table.
     """
-    splits = splits_of(attributes)
-    subsets = {tuple(s) for split in splits for s in split}
-    ordered = {s: f"_n{i}" for i, s in enumerate(sorted(subsets))}
+    ordered = split_sides(attributes)
     tuples = df.select(*group, *attributes).dropna(subset=list(attributes)).distinct()
     counts = tuples.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_filled"),
         *[F.countDistinct(*[F.col(c) for c in s]).alias(name) for s, name in ordered.items()],
     )
-    options = []
-    for rows, cols in splits:
+    best = counts.withColumn("_best", best_split(group, attributes, seed)).filter(F.col("_best").isNotNull())
+    return best.select(*group, "_best.layout", "_best.pivot_rows", "_best.pivot_columns", "_best.density")
+
+
+def split_sides(attributes: Sequence[str]) -> dict[tuple[str, ...], str]:
+    """The attribute subsets that are a side of some split, each with the name of its distinct count."""
+    subsets = {tuple(s) for split in splits_of(attributes) for s in split}
+    return {s: f"_n{i}" for i, s in enumerate(sorted(subsets))}
+
+
+def best_split(group: Sequence[str], attributes: Sequence[str], seed: int) -> Column:
+    """The split that ``split_search`` chooses, from the distinct counts ``_filled`` and those of ``split_sides``."""
+    ordered, options = split_sides(attributes), []
+    for rows, cols in splits_of(attributes):
         layout = F.lit("; ".join(rows) + " | " + "; ".join(cols))
         n_rows, n_cols = F.col(ordered[tuple(rows)]), F.col(ordered[tuple(cols)])
         share = F.col("_filled") / (n_rows * n_cols)
@@ -111,8 +121,7 @@ def split_search(df: DataFrame, group: Sequence[str], attributes: Sequence[str],
                 ),
             )
         )
-    best = counts.withColumn("_best", F.array_min(F.array(*options))).filter(F.col("_best").isNotNull())
-    return best.select(*group, "_best.layout", "_best.pivot_rows", "_best.pivot_columns", "_best.density")
+    return F.array_min(F.array(*options))
 
 
 CATALOG_ORDER = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.numbers import sql_plain
 from tabloom.functions.sampling import sql_digest, sql_pick, sql_pick_int, sql_uniform
 from tabloom.operators import datasets, discovered, joins, labels, pivot, scoring, units
+from tabloom.operators.cells import joined
 from tabloom.operators.keys import unique_combinations
 from tabloom.operators.units import NULL_TOKENS
 from tabloom.plans import catalogue, registry
@@ -91,15 +92,14 @@ def dataset_single_cells(spark, sf_dir):
     chosen = materialise(datasets.chosen_cells(rel, "table_id", TUPLE, "price", 42), "chosen")
     answers = materialise(datasets.sample_labels(chosen, "table_id", "price", 42), "labels")
     cells = datasets.variant_cells(rel, chosen, answers, "table_id", TUPLE, "price", 42, CELL_VARIANTS)
-    path = lambda side: F.array_join(side, "|")
-    line = F.struct(path("row_path").alias("r"), path("col_path").alias("c"), F.concat_ws("#", path("row_path"), path("col_path"), "value").alias("line"))
-    listed = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
-    digests = cells.groupBy("variant", "perturbation").agg(
-        F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("needed"), 1)).alias("needed_cells"), F.md5(F.array_join(listed, "\n")).alias("cells_digest")
-    )
-    key = F.split("variant", r"\|")
-    named = digests.withColumn("table_id", key[0].cast("long")).withColumn("method", key[1])
-    return named.join(answers, ["table_id", "method"]).select("table_id", "method", "perturbation", "label", "cells", "needed_cells", "cells_digest")
+    line = lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"), F.concat_ws("#", x["r"], x["c"], x["value"]).alias("line"))
+    named = F.transform("cells", lambda x: x.withField("r", joined(x["r"])).withField("c", joined(x["c"])))
+    cells = cells.withColumn("cells", F.explode(F.array(named)))
+    listed = F.transform(F.array_sort(F.transform("cells", line)), lambda x: x["line"])
+    return cells.select(
+        "table_id", "method", "perturbation", "label", F.size("cells").cast("long").alias("cells"),
+        F.size(F.filter("cells", lambda x: x["needed"])).cast("long").alias("needed_cells"), F.md5(F.array_join(listed, "\n")).alias("cells_digest"),
+    )
 
 
 @query("dataset_parallel")
