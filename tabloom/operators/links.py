@@ -18,7 +18,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.arrays import let
 from tabloom.functions.sampling import digest, uniform
+from tabloom.operators import parts
 from tabloom.operators.rules import columns_of
 from tabloom.session import materialise
 
@@ -93,7 +95,7 @@ def _rows_one_by_one(df: DataFrame, rules: Sequence[LinearRule], row: str, keys:
         whole = first_matches(alive, rule, row, key).filter("_t0").dropna(subset=others)
         part = F.xxhash64(*[c for c in key if all(c in k for k in keys)], F.lit(0)).alias("part")
         links.append(whole.select(F.lit(rule.id).alias("rule_id"), F.array("_row", *others).alias("rows"), part))
-    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, removed)
+    return materialise(reduce(DataFrame.unionByName, links), "links"), reduce(DataFrame.unionByName, removed)
 
 
 def _rows_by_key(picked: DataFrame, rules: Sequence[LinearRule], row: str, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +132,9 @@ def _rows_by_key(picked: DataFrame, rules: Sequence[LinearRule], row: str, key:
     )
 
 
-def _linked(df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, ignore: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+def linked_parts(
+    df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, ignore: Sequence[str] = (), most: int = MOST_TOGETHER
+) -> tuple[DataFrame, DataFrame]:
     """``link_rows``, with a ``part`` for every link: a digest of the columns in which all rows that links connect agree."""
     keys = [[c for c in df.columns if c not in {row, value, *ignore, *selector_columns(r, df.columns)}] for r in rules]
     if any(k != keys[0] for k in keys) or not keys[0]:
@@ -168,18 +172,24 @@ def link_rows(
     rows of a rule leave the table before its links are made and before the next rule is read. If all rules have the same
     key, the rows of a key meet once, unless they are more than ``most``.
     """
-    links, removed = _linked(df, rules, row, value, ignore, most)
+    links, removed = linked_parts(df, rules, row, value, ignore, most)
     return links.drop("part"), removed
 
 
-def _terms(links: DataFrame, rules: Sequence[LinearRule]) -> DataFrame:
-    """(link, row, pos, coef, low, high): one row per term of a link; ``low`` and ``high`` bound the link's sum."""
+def _per_rule(rules: Sequence[LinearRule]) -> tuple[Column, Column, Column]:
+    """Coefficients, least and greatest sum of the rule ``rule_id``."""
 
-    def per_rule(values: dict) -> Column:
+    def chosen(values: dict) -> Column:
         return reduce(lambda a, r: F.when(F.col("rule_id") == r, values[r]).otherwise(a), values, F.lit(None))
 
-    coefs = per_rule({r.id: F.array(*[F.lit(c).cast("long") for _, c in r.terms]) for r in rules})
-    low, high = (per_rule({r.id: F.lit(r.limits()[i]).cast("long") for r in rules}) for i in (0, 1))
+    coefs = chosen({r.id: F.array(*[F.lit(c).cast("long") for _, c in r.terms]) for r in rules})
+    low, high = (chosen({r.id: F.lit(r.limits()[i]).cast("long") for r in rules}) for i in (0, 1))
+    return coefs, low, high
+
+
+def _terms(links: DataFrame, rules: Sequence[LinearRule]) -> DataFrame:
+    """(link, row, pos, coef, low, high): one row per term of a link; ``low`` and ``high`` bound the link's sum."""
+    coefs, low, high = _per_rule(rules)
     link = F.concat_ws("|", "rule_id", F.col("rows")[0].cast("string"))
     rows = links.select(link.alias("link"), low.alias("low"), high.alias("high"), coefs.alias("coefs"), F.posexplode("rows").alias("pos", "row"))
     return rows.select("link", "row", "pos", F.col("coefs")[F.col("pos")].alias("coef"), "low", "high")
@@ -323,30 +333,83 @@ def unmet(terms: DataFrame, variables: DataFrame) -> DataFrame:
     return sums.filter("whole and (coalesce(total < low, false) or coalesce(total > high, false))").select("link", "row")
 
 
+def _solved_parts(links: DataFrame, variables: DataFrame, rules: Sequence[LinearRule], seed: int) -> DataFrame:
+    """(part, done, rows): the repaired rows of each part, worked out where the part lies; not ``done`` if that takes long."""
+    coefs, low, high = _per_rule(rules)
+    listed = links.select("part", F.struct("rows", coefs.alias("coefs"), low.alias("low"), high.alias("high")).alias("l")).groupBy("part").agg(F.collect_list("l").alias("_links"))
+    held = variables.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("row", "lo", "hi", "alive"))).alias("_vars"))
+    both = held.join(listed, "part")
+    # each step is an explode of one: what it makes is worked out once
+    names = F.transform("_vars", lambda v: v["row"])
+    own = (F.size(F.array_distinct(names)) == F.size("_vars")).alias("own")
+    both = both.select("part", "_vars", own, F.explode(F.array(let(names, lambda rows: parts.numbered(rows, F.col("_links"))))).alias("_links"))
+    both = both.select("part", "own", "_links", F.explode(F.array(parts.started(F.col("_vars"), F.col("_links"), seed))).alias("_state"))
+    tight = F.when(F.col("own"), parts.tightened(F.col("_state"), F.col("_links"))).otherwise(F.col("_state"))
+    both = both.select("part", "own", "_links", F.explode(F.array(tight)).alias("_tight"))
+    ready = ~F.exists("_tight", lambda v: v["moved"])
+    value = F.when(ready, parts.drawn(F.col("_tight"), F.col("_links"))).otherwise(F.col("_tight"))
+    both = both.select("part", (F.col("own") & ready).alias("ready"), "_links", "_tight", F.explode(F.array(value)).alias("_drawn"))
+    done = F.col("ready") & ~F.exists("_drawn", lambda v: v["alive"] & v["value"].isNull())
+
+    def row(v: Column, i: Column, broken: Column) -> Column:
+        value = F.get("_drawn", i)["value"]
+        state = F.when(~v["alive"], "unsatisfiable").when(value.isNull() | F.array_contains(broken, i), "undecided").otherwise("kept")
+        return let(state, lambda s: F.struct(v["row"].alias("row"), v["lo"].alias("lo"), v["hi"].alias("hi"), F.when(s == "kept", value).alias("value"), s.alias("state")))
+
+    rows = let(parts.unmet(F.col("_drawn"), F.col("_links")), lambda broken: F.transform("_tight", lambda v, i: row(v, i, broken)))
+    return both.select("part", done.alias("done"), rows.alias("rows"))
+
+
+def _solved_by_rounds(links: DataFrame, variables: DataFrame, rules: Sequence[LinearRule], seed: int) -> DataFrame:
+    """(row, lo, hi, value, state) of linked rows, by rounds over tables."""
+    terms = materialise(_terms(links, rules), "terms")
+    bounded = tightened(terms, variables)
+    found = drawn(terms, bounded, seed)
+    broken = unmet(terms, found).select("row").distinct().withColumn("broken", F.lit(True))
+    found = found.select("row", "value").join(broken, "row", "left")
+    state = F.when(~F.col("alive"), "unsatisfiable").when(F.col("value").isNull() | F.col("broken"), "undecided").otherwise("kept")
+    chained = bounded.join(found, "row").withColumn("state", state)
+    return chained.select("row", "lo", "hi", F.when(F.col("state") == "kept", F.col("value")).alias("value"), "state")
+
+
+def _solved(links: DataFrame, variables: DataFrame, rules: Sequence[LinearRule], seed: int, most: int) -> DataFrame:
+    """``_solved_by_rounds``, of parts of at most ``most`` links without it: they share no row, so each is solved by itself."""
+    apart = links.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("part")
+    twice = materialise(variables.filter("shared").select("row"), "rows-of-several")
+    if not twice.isEmpty():
+        ends = links.select("part", F.explode("rows").alias("row"))
+        apart = apart.unionByName(ends.join(twice, "row", "left_semi").select("part")).distinct()
+    apart = materialise(apart, "parts-apart")
+    usual = (links, variables) if apart.isEmpty() else (links.join(apart, "part", "left_anti"), variables.join(apart, "part", "left_anti"))
+    solved = materialise(_solved_parts(*usual, rules, seed), "solved")
+    apart = materialise(apart.unionByName(solved.filter("not done").select("part")), "parts-left")
+    found = solved.filter("done").select(F.explode("rows").alias("r")).select("r.*")
+    if apart.isEmpty():
+        return found
+    left = (links.join(apart, "part", "left_semi"), variables.join(apart, "part", "left_semi").select("row", "lo", "hi", "alive"))
+    return found.unionByName(_solved_by_rounds(*left, rules, seed))
+
+
 def repair(
-    df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, lower: str, upper: str, seed: int, ignore: Sequence[str] = ()
+    df: DataFrame, rules: Sequence[LinearRule], row: str, value: str, lower: str, upper: str, seed: int, ignore: Sequence[str] = (),
+    most: int = parts.MOST_LINKS, linked: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(row, lo, hi, value, state): a value for every row such that its bounds and all rules hold.
 
     ``lo`` and ``hi`` are the bounds that the rules leave. Linked rows are drawn anew; a row that no link holds keeps its
     value if its bounds allow it. Rows that cannot stay have no value and a reason: ``ambiguous`` (a rule could mean it
     or an earlier row), ``unsatisfiable`` (bounds crossed, or first row of a link that cannot hold), ``undecided`` (a
-    cycle of links left no value). The remaining rows meet every rule.
+    cycle of links left no value). The remaining rows meet every rule. Parts of more than ``most`` links, and parts that
+    share a row, take rounds over tables. ``linked`` is what ``linked_parts`` has found, if the caller needs it as well.
     """
-    links, removed = link_rows(df, rules, row, value, [*ignore, lower, upper])
-    terms = materialise(_terms(links, rules), "terms")
+    links, removed = linked or linked_parts(df, rules, row, value, [*ignore, lower, upper])
     removed = removed.select(F.col(row).alias("row")).distinct()
     start = df.select(F.col(row).alias("row"), F.col(lower).alias("lo"), F.col(upper).alias("hi"), F.col(value).alias("old"))
     start = start.join(removed, "row", "left_anti").withColumn("alive", F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False)))
-    linked = terms.select("row").distinct().withColumn("linked", F.lit(True))
+    ends = links.select("part", F.explode("rows").alias("row")).groupBy("row").agg(F.min("part").alias("part"), F.max("part").alias("_last"))
+    linked = ends.select("row", "part", (F.col("part") != F.col("_last")).alias("shared"), F.lit(True).alias("linked"))
     start = materialise(start.join(linked, "row", "left"), "variables")
-    bounded = tightened(terms, start.filter("linked").drop("linked", "old"))
-    found = drawn(terms, bounded, seed)
-    broken = unmet(terms, found).select("row").distinct().withColumn("broken", F.lit(True))
-    found = found.select("row", "value").join(broken, "row", "left")
-    state = F.when(~F.col("alive"), "unsatisfiable").when(F.col("value").isNull() | F.col("broken"), "undecided").otherwise("kept")
-    chained = bounded.join(found, "row").withColumn("state", state)
-    chained = chained.select("row", "lo", "hi", F.when(F.col("state") == "kept", F.col("value")).alias("value"), "state")
+    chained = _solved(links, start.filter("linked").drop("linked", "old"), rules, seed, most)
     u = uniform(seed, "linear", "row")
     kept = F.when(F.col("old").between(F.col("lo"), F.col("hi")), F.col("old")).otherwise(
         F.least(F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo") + 1)), F.col("hi"))

@@ -8,6 +8,7 @@ from tabloom.operators import links, rules
 from tabloom.operators.links import LinearRule
 from tabloom.plans.registry import query
 from tabloom.plans.synthesis import BOUND_RULES, DOMAIN, SQL_BOUNDS, SQL_RULE_LINES, rule_lines
+from tabloom.session import materialise
 
 #: Prices of lines of one order by size class, in cents. Several lines can share a class, so some are ambiguous.
 PACK_RULES = [
@@ -146,10 +147,11 @@ def rule_repair_linear(spark, sf_dir):
     ``broken_links`` counts the links that the new values of a row break, as first row.
     """
     lines = packs(spark, sf_dir)
-    found = links.repair(lines, PACK_RULES, "row_key", "price", "lo", "hi", 53)
-    made, _ = links.link_rows(lines, PACK_RULES, "row_key", "price", ["lo", "hi"])
+    made, removed = links.linked_parts(lines, PACK_RULES, "row_key", "price", ["lo", "hi"])
+    found = links.repair(lines, PACK_RULES, "row_key", "price", "lo", "hi", 53, linked=(made, removed))
     values = found.select(F.col("row_key").alias("row"), "value", (F.col("state") == "kept").alias("alive"))
     broken = links.unmet(links._terms(made, PACK_RULES), values).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    broken = materialise(broken, "broken-links")
     inside = (F.col("state") == "kept") & F.col("value").between(F.col("lo"), F.col("hi"))
     return found.join(broken, F.col("row_key") == F.col("row"), "left").select(
         "row_key", "lo", "hi", "state", F.coalesce(inside, F.lit(False)).alias("in_bounds"), F.coalesce("n", F.lit(0)).cast("int").alias("broken_links")
