@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def digest(seed: int, op: str, *keys: Column | str) -> Column:
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(op), *[c.cast("string") for c in cols]))
+    return F.md5(F.concat_ws("|", F.lit(f"{seed}|{op}"), *[c.cast("string") for c in cols]))
 
 
 def unit_interval(digest_col: Column) -> Column:
@@ -24,6 +24,11 @@ def uniform(seed: int, op: str, *keys: Column | str) -> Column:
     return unit_interval(digest(seed, op, *keys))
 
 
+def first_half(digest_col: Column) -> Column:
+    """Whether the number of a digest, see ``unit_interval``, is below a half; its first digit tells."""
+    return digest_col < "8"
+
+
 def pick_int(seed: int, op: str, lo: int, hi: int, *keys: Column | str) -> Column:
     """Integer in [lo, hi]."""
     return (F.lit(lo) + F.floor(uniform(seed, op, *keys) * F.lit(hi - lo + 1))).cast("int")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.arrays import let
+from tabloom.functions.arrays import let, lone
 from tabloom.functions.sampling import digest, pick_int, uniform
 from tabloom.operators import perturb
 from tabloom.operators.perturb import PATH_MARK
@@ -27,10 +27,6 @@ def joined(path: Column) -> Column:
     return F.when(path == NO_PATH, "").otherwise(F.replace(path, F.lit(PATH_MARK), F.lit("|")))
 
 
-def levels(path: Column) -> Column:
-    return F.when(path == NO_PATH, F.array(F.lit(None).cast("string"))).otherwise(F.split(path, PATH_MARK))
-
-
 def fields(cells: Column, *more: str) -> Column:
     """The cells with the fields of a pivot and some more."""
     return F.transform(cells, lambda x: F.struct(*[x[n].alias(n) for n in (*more, "r", "c", "value", "needed")]))
@@ -43,9 +39,10 @@ def fitting(cells: Column, side: str, key: str, seed: int, draw: str, low: int,
     """
 
     def kept(must: Column, lines: Column) -> Column:
-        ranked = F.array_sort(F.transform(lines, lambda x: F.struct(~F.array_contains(must, x), digest(seed, draw, key, joined(x)), x.alias("line"))))
+        place = lambda x: F.struct(~F.array_contains(must, x), digest(seed, draw, key, joined(x)), x.alias("line"))
+        first = F.transform(F.slice(F.sort_array(F.transform(lines, place)), 1, high), lambda x: x["line"])
         good = (F.size(lines) >= low) & ((F.size(must) <= high) | (F.size(lines) < high))
-        return F.when(good, F.transform(F.slice(ranked, 1, high), lambda x: x["line"])).otherwise(F.array().cast("array<string>"))
+        return F.when(~good, F.array().cast("array<string>")).when(F.size(lines) <= high, lines).otherwise(first)
 
     must = F.array_distinct(F.transform(F.filter(cells, lambda x: x["needed"]), lambda x: x[side]))
     return let(must, lambda m: let(F.array_distinct(F.transform(cells, lambda x: x[side])), lambda lines: kept(m, lines)))
@@ -73,7 +70,10 @@ def contradicted(cells: Column, table: str, seed: int, digits: int) -> Column:
 
 
 def nulled(cells: Column, table: str, seed: int) -> Column:
-    return F.transform(cells, lambda x: x.withField("value", perturb.nulled(table, [x["row_id"]], x["value"], seed, x["needed"])))
+    def lost(token: Column) -> Column:
+        return F.transform(cells, lambda x: x.withField("value", perturb.nulled(table, [x["row_id"]], x["value"], seed, x["needed"], token)))
+
+    return let(perturb.null_token(table, seed), lost)
 
 
 def pivoted(cells: Column) -> Column:
@@ -89,7 +89,11 @@ def pivoted(cells: Column) -> Column:
 
         return let(F.filter(cells, lambda x: (x["r"] == key["r"]) & (x["c"] == key["c"])), one)
 
-    return F.transform(F.array_distinct(F.transform(cells, lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c")))), cell)
+    def of(keys: Column) -> Column:
+        alone = lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"), F.when(x["row_id"].isNotNull(), x["value"]).alias("value"), x["needed"].alias("needed"))
+        return F.when(lone(keys), F.transform(cells, alone)).otherwise(F.transform(F.array_distinct(keys), cell))
+
+    return let(F.transform(cells, lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))), of)
 
 
 def merged(cells: Column, sample: Column, branches: Column, columns: Sequence[str], value: str, seed: int) -> Column:
@@ -130,86 +134,3 @@ def merged(cells: Column, sample: Column, branches: Column, columns: Sequence[st
         let(drawn, plan),
         lambda how: F.when(how["skipped"], fields(cells, "row_id")).otherwise(F.transform(cells, lambda x: laid_out(how, x))),
     )
-
-
-def with_unit(cells: Column, unit: str) -> Column:
-    shown = lambda v: F.when(perturb.is_filled(v), F.concat(v, F.lit(f" {unit}"))).otherwise(v)
-    return F.transform(cells, lambda x: x.withField("value", shown(x["value"])))
-
-
-def add_notes(cells: Column, table: str, seed: int, strength: Column) -> Column:
-    """A share of the filled cells gets a note."""
-
-    def place(x: Column) -> Column:
-        names = [joined(x["r"]), joined(x["c"])]
-        return F.struct(digest(seed, "note", table, *names).alias("h"), names[0].alias("r"), names[1].alias("c"))
-
-    def noted(last: Column, templates: Column) -> Column:
-        text = lambda x: perturb.with_note(templates, table, [joined(x["r"]), joined(x["c"])], x["value"], seed)
-        hit = lambda x: F.coalesce(perturb.is_filled(x["value"]), F.lit(False)) & (place(x) <= last)
-        return F.transform(cells, lambda x: x.withField("value", F.when(hit(x), text(x)).otherwise(x["value"])))
-
-    def shared(places: Column) -> Column:
-        last = F.get(places, perturb.share_of(F.size(places), strength).cast("int") - 1)
-        return F.when(F.size(places) == 0, cells).otherwise(
-            let(last, lambda at: let(perturb.note_templates(seed, table), lambda templates: noted(at, templates)))
-        )
-
-    filled = F.filter(cells, lambda x: F.coalesce(perturb.is_filled(x["value"]), F.lit(False)))
-    return let(F.array_sort(F.transform(filled, place)), shared)
-
-
-def typos(cells: Column, table: str, seed: int, strength: Column) -> Column:
-    """Noise in a share of the values, row labels and column labels; a label is the same in all cells of its line."""
-    none = F.lit(None).cast("int")
-
-    def slot(kind: str, path: Column, other: Column, level: Column, text: Column) -> Column:
-        h = digest(seed, "typo", table, F.lit(kind), joined(path), other)
-        return F.struct(
-            h.alias("h"), F.lit(kind).alias("kind"), path.alias("path"), other.alias("other"), level.cast("int").alias("level"), text.alias("text")
-        )
-
-    def label_slots(side: str, kind: str) -> Column:
-        def of(path: Column) -> Column:
-            def at(parts: Column) -> Column:
-                spots = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: perturb.textual(F.get(parts, i)))
-
-                def one(found: Column) -> Column:
-                    index = F.floor(uniform(seed, f"level-{kind}", table, joined(path)) * F.size(found)).cast("int")
-                    return F.when(F.size(found) > 0, let(F.get(found, index), lambda lv: slot(kind, path, F.lit(""), lv, F.get(parts, lv))))
-
-                return let(spots, one)
-
-            return let(levels(path), at)
-
-        paths = F.array_distinct(F.transform(cells, lambda x: x[side]))
-        return F.filter(F.transform(paths, of), lambda s: s.isNotNull())
-
-    data = F.transform(
-        F.filter(cells, lambda x: perturb.textual(x["value"])), lambda x: slot("data", x["r"], joined(x["c"]), none, x["value"])
-    )
-
-    def noise(s: Column) -> Column:
-        return F.struct(*[s[n].alias(n) for n in ("kind", "path", "other", "level")], perturb.noisy(s["text"], s["h"], strength).alias("noise"))
-
-    def applied(changed: Column) -> Column:
-        def renamed(path: Column, kind: str) -> Column:
-            def put(hit: Column) -> Column:
-                line = F.transform(levels(path), lambda part, i: F.when(i == hit["level"], hit["noise"]).otherwise(part))
-                return F.when(hit.isNull(), path).otherwise(F.array_join(line, PATH_MARK))
-
-            return let(F.get(F.filter(changed, lambda s: (s["kind"] == kind) & (s["path"] == path)), F.lit(0)), put)
-
-        def value(x: Column) -> Column:
-            mine = F.filter(changed, lambda s: (s["kind"] == "data") & (s["path"] == x["r"]) & (s["other"] == joined(x["c"])))
-            return F.coalesce(F.get(mine, F.lit(0))["noise"], x["value"])
-
-        return F.transform(
-            cells, lambda x: F.struct(renamed(x["r"], "row_path").alias("r"), renamed(x["c"], "col_path").alias("c"), value(x).alias("value"), x["needed"].alias("needed"))
-        )
-
-    def chosen(slots: Column) -> Column:
-        kept = F.slice(F.array_sort(slots), F.lit(1), perturb.share_of(F.size(slots), strength).cast("int"))
-        return let(F.transform(kept, noise), applied)
-
-    return let(F.concat(data, label_slots("r", "row_path"), label_slots("c", "col_path")), chosen)

@@ -31,11 +31,12 @@ from tabloom.operators.labels import (
     sampled_cells,
     yes_no,
 )
+from tabloom.operators.pages import pages
 from tabloom.operators.questions import templated
 from tabloom.operators.ranking import top_rows
 from tabloom.operators.units import convert_tables
 from tabloom.session import materialise
-from tabloom.sources.html import escape, join_all, multitable_text, render_rows, tag
+from tabloom.sources.html import multitable_text, render_rows
 from tabloom.sources.tables import spread
 
 # Question methods and perturbations.
@@ -241,7 +242,15 @@ def _small_samples(
         new = lambda x, i: (i == 0) | (x["r"] != F.get(ordered, i - 1)["r"]) | (x["c"] != F.get(ordered, i - 1)["c"])
         return F.filter(ordered, new)
 
-    base = let(F.array_sort(F.transform("_rows", laid)), first_of_each)
+    def cell(x: Column) -> Column:
+        row = x["row"]
+        own = lambda c: F.when(~x["none"], row[c])
+        return F.struct(
+            row["row_id"].alias("row_id"), F.struct(*[own(c).alias(c) for c in columns]).alias("at"), x["r"].alias("r"), x["c"].alias("c"),
+            own(value).alias("price"), plain(own(value), 2).alias("value"),
+        )
+
+    base = F.transform(let(F.sort_array(F.transform("_rows", laid)), first_of_each), cell)
     together = together.select(table, "_asked", "_known", F.explode(F.array(base)).alias("_base"))
     samples = together.select(
         table, "_base", "_asked", F.explode(F.transform("_known", lambda x: x)).alias("_s")
@@ -250,15 +259,11 @@ def _small_samples(
         table, "_base", "_s.*", F.explode(F.array(F.filter("_asked", lambda x: x["method"] == F.col("_s.method")))).alias("branches")
     )
 
-    def cell(ids: Column, x: Column) -> Column:
-        row = x["row"]
-        own = lambda c: F.when(~x["none"], row[c])
-        return F.struct(
-            row["row_id"].alias("row_id"), F.struct(*[own(c).alias(c) for c in columns]).alias("at"), x["r"].alias("r"), x["c"].alias("c"),
-            own(value).alias("price"), plain(own(value), 2).alias("value"), F.coalesce(F.array_contains(ids, row["row_id"]), F.lit(False)).alias("needed"),
-        )
+    def mark(ids: Column, x: Column) -> Column:
+        needed = F.coalesce(F.array_contains(ids, x["row_id"]), F.lit(False))
+        return F.struct(*[x[n].alias(n) for n in ("row_id", "at", "r", "c", "price", "value")], needed.alias("needed"))
 
-    marked = let(F.transform("branches", lambda b: b["row_id"]), lambda ids: F.transform("_base", lambda x: cell(ids, x)))
+    marked = let(F.transform("branches", lambda b: b["row_id"]), lambda ids: F.transform("_base", lambda x: mark(ids, x)))
     named = [c for c in labels.columns if c != table]
     samples = samples.select(table, *named, "branches", F.explode(F.array(marked)).alias("_marked"))
     low, high = pivot.SHRINK_RANGE
@@ -329,31 +334,19 @@ def merged_columns(variants: DataFrame, table: str, columns: Sequence[str], valu
     cells, sample = F.col("cells"), F.concat_ws("|", F.col(table).cast("string"), "method")
     merging = _applies("merge_columns", seed)
     laid = cells_of.merged(cells, sample, F.col("branches"), columns, value, seed)
-    variants = _changed(variants, F.when(merging, laid).otherwise(cells_of.fields(cells, "row_id"))).drop("branches")
-    variants = _changed(variants, F.when(merging, cells_of.pivoted(cells)).otherwise(cells_of.fields(cells)))
-    return _changed(variants, F.when(merging, cells_of.shrunk(cells, "variant", seed, *pivot.SHRINK_RANGE)).otherwise(cells))
+    cut = let(laid, lambda rows: let(cells_of.pivoted(rows), lambda pivoted: cells_of.shrunk(pivoted, "variant", seed, *pivot.SHRINK_RANGE)))
+    return _changed(variants, F.when(merging, cut).otherwise(cells_of.fields(cells))).drop("branches")
 
 
 def pivot_level(variants: DataFrame, seed: int, unit: str) -> DataFrame:
-    """Units inside cells, notes and typos, each on the variants it applies to.
+    """Units inside cells, notes and typos, each drawn for the variants it applies to; ``rendered_arrays`` puts them into the cells.
 
     Notes and typos are stronger where they are the only perturbation.
     """
+    strength = lambda name: F.when(_applies(name, seed), F.when(F.col("perturbation") == name, STRONG).otherwise(WEAK)).otherwise(0)
     in_cell = pick_int(seed, "unit-in-cell", 0, 1, "variant") == 1
-    cells = F.col("cells")
-    variants = _changed(variants.withColumn("header", ~in_cell), F.when(~F.col("header"), cells_of.with_unit(cells, unit)).otherwise(cells))
-    for name, change in (("add_notes", cells_of.add_notes), ("typos", cells_of.typos)):
-        strength = F.when(F.col("perturbation") == name, STRONG).otherwise(WEAK)
-        variants = _changed(variants, F.when(_applies(name, seed), change(cells, "variant", seed, strength)).otherwise(cells))
-    return variants
-
-
-def _insert(lines: Column, spots: Column, blank: Column) -> Column:
-    return F.aggregate(
-        spots,
-        lines,
-        lambda acc, at: F.concat(F.slice(acc, F.lit(1), at), F.array(blank), F.slice(acc, at + 1, F.size(acc))),
-    )
+    drawn = variants.withColumns({"unit": F.when(in_cell, unit), "notes": strength("add_notes"), "typos": strength("typos")})
+    return drawn.withColumns({"header": F.col("unit").isNull(), "templates": F.when(F.col("notes") > 0, perturb.note_templates(seed, "variant"))})
 
 
 def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) -> DataFrame:
@@ -363,65 +356,28 @@ def rendered(cells: DataFrame, table: str, seed: int, header: str, unit: str) ->
     """
     sep = perturb.PATH_MARK
     small = cells.select(
-        "variant", "header", "value",
+        "variant", "header", F.col("value").cast("string").alias("value"),
         F.array_join("row_path", sep).alias("r"), F.array_join("col_path", sep).alias("c"),
     )
     small = small.groupBy("variant").agg(
-        F.bool_or("header").alias("header"), F.collect_list(F.struct("r", "c", "value")).alias("_cells")
+        F.bool_or("header").alias("header"), F.collect_list(F.struct("r", "c", "value")).alias("cells")
     )
     names = F.split("variant", r"\|")
     small = small.withColumn("method", names[1]).withColumn("perturbation", names[2]).withColumn(table, names[0])
-    return rendered_arrays(small, seed, header, unit).select(table, "method", "perturbation", "html")
+    done = {"unit": F.lit(None).cast("string"), "notes": F.lit(0), "typos": F.lit(0), "templates": F.lit(None).cast("array<string>")}
+    return rendered_arrays(small.withColumns(done), seed, header, unit).select(table, "method", "perturbation", "html")
 
 
 def rendered_arrays(small: DataFrame, seed: int, header: str, unit: str) -> DataFrame:
-    """``html`` of variants whose cells are the array ``_cells``, besides the columns of ``small``."""
-    sep, given = perturb.PATH_MARK, [c for c in small.columns if c not in ("_cells", "header")]
-    line = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
-    keys = lambda side: F.array_sort(F.array_distinct(F.transform("_cells", lambda x: x[side])))
-    levels = lambda side: F.size(F.split(F.get(F.col("_cells"), F.lit(0))[side], sep))
-    label = F.when(pick_int(seed, "only-unit", 0, 1, "variant") == 1, unit).otherwise(header)
-    small = (
-        small.withColumn("_rows", F.transform(keys("r"), lambda k: line(k, "data")))
-        .withColumn("_cols", F.transform(keys("c"), lambda k: line(k, "data")))
-        .withColumn("_row_levels", levels("r"))
-        .withColumn("_col_levels", levels("c"))
-        .withColumn("_label", label)
-        .withColumn("_first", F.get(F.col("_cols"), F.lit(0))["key"])
-        .withColumn("_filled", pick_int(seed, "filled", 0, 1, "variant") == 1)
-    )
-    top = line(F.array_join(F.array_repeat("_label", F.col("_row_levels")), sep), "header")
-    small = small.withColumn("_rows", F.when(F.col("header"), F.concat(F.array(top), "_rows")).otherwise(F.col("_rows")))
-    for name, lines, count in (("blank_rows", "_rows", "_row_levels"), ("blank_columns", "_cols", "_col_levels")):
-        blank = line(F.array_join(F.array_repeat(F.lit(""), F.col(count)), sep), "blank")
-        spots = perturb.insert_positions(F.size(lines), seed, name, "variant")
-        small = small.withColumn(
-            lines, F.when(_applies(name, seed), _insert(F.col(lines), spots, blank)).otherwise(F.col(lines))
-        )
-    labels = lambda key: join_all(F.transform(F.split(key, sep, -1), lambda x: tag("th", escape(x))))
-    level = lambda key, k: F.get(F.split(key, sep, -1), k)
-    corner = F.array_join(F.array_repeat(F.lit("<th></th>"), F.col("_row_levels")), "")
-    head = join_all(
-        F.transform(
-            F.sequence(F.lit(0), F.col("_col_levels") - 1),
-            lambda k: tag("tr", F.concat(corner, join_all(F.transform("_cols", lambda c: tag("th", escape(level(c["key"], k))))))),
-        )
-    )
-
-    def body_line(row):
-        return let(F.filter("_cells", lambda x: x["r"] == row["key"]), lambda mine: line_of(row, mine))
-
-    def line_of(row, mine):
-        def cell(col):
-            named = (row["kind"] == "header") & (F.col("_filled") | (col["key"] == F.col("_first")))
-            data = (row["kind"] == "data") & (col["kind"] == "data")
-            text = F.when(data, F.coalesce(F.get(F.filter(mine, lambda x: x["c"] == col["key"]), F.lit(0))["value"], F.lit(""))).when(named, F.col("_label"))
-            return tag("td", escape(F.coalesce(text, F.lit(""))))
-
-        return tag("tr", F.concat(labels(row["key"]), join_all(F.transform("_cols", cell))))
-
-    text = F.concat(F.lit("<table>"), tag("thead", head), tag("tbody", join_all(F.transform("_rows", body_line))), F.lit("</table>"))
-    return small.select(*given, text.alias("html"))
+    """``html`` of variants whose ``cells`` are an array, with what ``pivot_level`` has drawn, besides the other columns of ``small``."""
+    spent = ["cells", "header", "unit", "notes", "templates", "typos"]
+    label = F.when(F.col("header"), F.when(pick_int(seed, "only-unit", 0, 1, "variant") == 1, unit).otherwise(header))
+    everywhere = pick_int(seed, "filled", 0, 1, "variant") == 1
+    none = F.array().cast("array<double>")
+    blanks = [F.when(_applies(name, seed), perturb.insert_draws(seed, name, "variant")).otherwise(none) for name in ("blank_rows", "blank_columns")]
+    drawn = [F.col(c) for c in ("unit", "notes", "templates", "typos")]
+    html = pages("cells", "variant", seed, *drawn, label, everywhere, *blanks)
+    return small.select(*[c for c in small.columns if c not in spent], html.alias("html"))
 
 
 def variant_cells(
@@ -452,9 +408,7 @@ def single_table(
     named = materialise(labels.join(texts, [table, "method"]), "texts")
     cells = variant_cells(rel, chosen, named, table, columns, value, seed, ["none", *BEFORE_PIVOT, *AFTER_PIVOT, MIXED], most)
     cells = pivot_level(cells, seed, unit)
-    path = lambda p: F.when(p == cells_of.NO_PATH, "").otherwise(p)
-    shown = F.transform("cells", lambda x: F.struct(path(x["r"]).alias("r"), path(x["c"]).alias("c"), x["value"].alias("value")))
-    tables = rendered_arrays(cells.select(*[c for c in cells.columns if c != "cells"], F.explode(F.array(shown)).alias("_cells")), seed, f"{value} ({unit})", unit)
+    tables = rendered_arrays(cells, seed, f"{value} ({unit})", unit)
     return tables.select(table, "method", "perturbation", "html", "aggregate", "label", "question", "sql_query")
 
 

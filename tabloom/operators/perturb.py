@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import plain
 from tabloom.functions.arrays import let
-from tabloom.functions.sampling import digest, pick, pick_int, uniform, unit_interval
+from tabloom.functions.sampling import digest, first_half, pick, pick_int, uniform, unit_interval
 from tabloom.operators.ranking import SLICES, first_rows, hash_ranked, top_rows
 from tabloom.operators.units import NULL_TOKENS
 from tabloom.session import materialise
@@ -67,11 +67,16 @@ def is_filled(value: Column) -> Column:
     return value.isNotNull() & ~F.trim(value).isin(NULL_TOKENS)
 
 
-def nulled(table: str, row: Sequence[Column | str], value: Column | str, seed: int, needed: Column | str = "needed") -> Column:
+def null_token(table: str, seed: int) -> Column:
+    return pick(seed, "null-token", NULL_TOKENS, table)
+
+
+def nulled(
+    table: str, row: Sequence[Column | str], value: Column | str, seed: int, needed: Column | str = "needed", token: Column | None = None
+) -> Column:
     """The value, or the null token of the table for half of the rows that no answer needs."""
-    token = pick(seed, "null-token", NULL_TOKENS, table)
-    lost = ~column(needed) & (uniform(seed, "null", table, *row) < 0.5)
-    return F.when(lost, token).otherwise(column(value))
+    lost = ~column(needed) & first_half(digest(seed, "null", table, *row))
+    return F.when(lost, null_token(table, seed) if token is None else token).otherwise(column(value))
 
 
 def null_inject(df: DataFrame, table: str, row: Sequence[str], value: str, seed: int) -> DataFrame:
@@ -163,10 +168,15 @@ def show_units(df: DataFrame, table: str, value: str, unit: str, in_cell: Column
     return marked.withColumn("header", header).withColumn(value, shown).drop("_lo", "_hi", "_cell")
 
 
+def insert_draws(seed: int, op: str, *keys: str) -> Column:
+    """One to three numbers in [0, 1), one for each insert."""
+    drawn = F.array(*[uniform(seed, f"{op}-{i}", *keys) for i in range(MAX_BLANKS)])
+    return F.slice(drawn, F.lit(1), pick_int(seed, op, 1, MAX_BLANKS, *keys))
+
+
 def insert_positions(size: Column, seed: int, op: str, *keys: str) -> Column:
     """One to three insert positions, each within the table as the inserts before have left it."""
-    spots = [F.floor(uniform(seed, f"{op}-{i}", *keys) * (size + i + 1)).cast("int") for i in range(MAX_BLANKS)]
-    return F.slice(F.array(*spots), F.lit(1), pick_int(seed, op, 1, MAX_BLANKS, *keys))
+    return F.transform(insert_draws(seed, op, *keys), lambda draw, i: F.floor(draw * (size + i + 1)).cast("int"))
 
 
 def pushed(position: Column, inserts: Column) -> Column:
@@ -248,49 +258,52 @@ def noisy(text: Column, seed: Column, strength: Column) -> Column:
     """Noise for short texts: neighbours change places, or invisible characters go between them.
 
     Digits are never touched, so numbers keep their order. ``seed`` is a digest per text; the gaps between two
-    non-digits are ranked by digests of it, and ``strength`` percent of them are used, of swaps in one or two rounds. An empty text becomes an invisible character; null stays.
+    non-digits are ranked by digests of it, and ``strength`` percent of them are used, of swaps in one or two rounds. An empty text,
+    or one without a gap, gets an invisible character at its end; null stays.
     """
     # every array is bound once: a lambda would work it out again for each element
-    return let(F.split(text, ""), lambda chars: _noisy_chars(text, chars, seed, strength))
+    gapped = let(F.split(text, ""), lambda chars: _noisy_chars(text, chars, seed, strength))
+    return F.when(~text.rlike(r"\P{Nd}\P{Nd}"), F.concat(text, _invisible(seed, F.length(text)))).otherwise(gapped)
+
+
+def _invisible(seed: Column, i: Column) -> Column:
+    which = F.floor(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("sign"), i))) * len(INVISIBLE)).cast("int")
+    return F.get(F.array(*[F.lit(c) for c in INVISIBLE]), which)
 
 
 def _noisy_chars(text: Column, chars: Column, seed: Column, strength: Column) -> Column:
     size = F.size(chars)
 
-    def gaps_of(free: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i > 0) & F.get(free, i - 1) & F.get(free, i))
-
-    def invisible(i: Column) -> Column:
-        which = F.floor(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("sign"), i))) * len(INVISIBLE)).cast("int")
-        return F.get(F.array(*[F.lit(c) for c in INVISIBLE]), which)
+    def gaps_of(shape: Column) -> Column:
+        """Gaps of a text whose digits all became noughts."""
+        free = lambda i: F.get(shape, i) != "0"
+        return F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i > 0) & free(i - 1) & free(i))
 
     def swapped(have: Column, i: Column) -> Column:
-        return F.transform(have, lambda c, j: F.when(j == i, F.get(have, i - 1)).when(j == i - 1, F.get(have, i)).otherwise(c))
+        return F.concat(F.slice(have, F.lit(1), i - 1), F.array(F.get(have, i), F.get(have, i - 1)), F.slice(have, i + 2, size))
 
     def in_gaps(gaps: Column) -> Column:
         share = F.floor(F.size(gaps) * strength / 100).cast("int")
 
         def spots(n: Column, draw: str) -> Column:
-            ranked = F.array_sort(F.transform(gaps, lambda i: F.struct(F.md5(F.concat_ws("|", seed, F.lit(draw), i)).alias("h"), i.alias("i"))))
+            ranked = F.sort_array(F.transform(gaps, lambda i: F.struct(F.md5(F.concat_ws("|", seed, F.lit(draw), i)).alias("h"), i.alias("i"))))
             return F.transform(F.slice(ranked, F.lit(1), n), lambda g: g["i"])
 
-        again = F.when(unit_interval(F.md5(F.concat_ws("|", seed, F.lit("rounds")))) < 0.5, share).otherwise(0)
-        moved = F.array_join(F.aggregate(F.concat(spots(share, "gap"), spots(again, "second")), chars, swapped), "")
+        again = F.when(first_half(F.md5(F.concat_ws("|", seed, F.lit("rounds")))), spots(share, "second")).otherwise(F.array().cast("array<int>"))
+        moved = F.array_join(F.aggregate(F.concat(spots(share, "gap"), again), chars, swapped), "")
         filled = let(
             spots(F.greatest(share, F.lit(1)), "gap"),
-            lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.concat(invisible(i), c)).otherwise(c)), ""),
+            lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.concat(_invisible(seed, i), c)).otherwise(c)), ""),
         )
-        swaps = (unit_interval(F.md5(F.concat_ws("|", seed, F.lit("kind")))) < 0.5) & (share > 0)
-        return F.when(F.size(gaps) == 0, F.concat(text, invisible(size))).when(swaps, moved).otherwise(filled)
+        swaps = (share > 0) & first_half(F.md5(F.concat_ws("|", seed, F.lit("kind"))))
+        return F.when(swaps, moved).otherwise(filled)
 
-    free = F.transform(chars, lambda c: ~c.rlike(r"^\p{Nd}$"))
-    gapped = let(free, lambda f: let(gaps_of(f), in_gaps))
-    return F.when(F.length(text) == 0, invisible(F.lit(0))).otherwise(gapped)
+    return let(F.split(F.regexp_replace(text, r"\p{Nd}", "0"), ""), lambda shape: let(gaps_of(shape), in_gaps))
 
 
 def textual(text: Column) -> Column:
     """Whether anything but digits is left."""
-    return F.regexp_replace(text, r"\d", "") != ""
+    return text.rlike("[^0-9]")
 
 
 def typos(cells: DataFrame, table: str, seed: int, strength: int | str = 20, slices: int = SLICES) -> DataFrame:
